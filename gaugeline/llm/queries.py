@@ -5,21 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gaugeline.llm.minhash import near_duplicates
+from gaugeline.llm.suffix_dedup import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(spark, _table(spark, sf_dir, "documents"), length=200)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark, _table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
     return out.withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_minhash_near_dedup": op3_minhash_near_dedup}
+    return {
+        "op2_suffix_array_dedup": op2_suffix_array_dedup,
+        "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
