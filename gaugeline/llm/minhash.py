@@ -23,6 +23,11 @@ BANDS, ROWS = 36, 5
 #: Pairs whose signatures agree in less than this share below the threshold are not verified: more than six
 #: standard deviations of the estimate at 180 slots.
 SLACK = 0.2
+#: Slots of the finer signatures that settle what the rounds leave open, and the slack there: four standard
+#: deviations of the estimate.
+FINE_SLOTS, FINE_SLACK = 1024, 0.05
+#: Members of a bucket that meet in one task, on either side.
+BLOCK = 1024
 #: Rounds that test each bucket's members against one member before the rest is tested pair by pair.
 STAR_ROUNDS = 4
 
@@ -163,6 +168,75 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _open_pairs(now: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and whose finer signatures come near the threshold.
+
+    In each bucket the members outside its commonest component meet all others of the bucket, in blocks of BLOCK by
+    BLOCK members, so neither a bucket nor its pairs lie in one task and only promising pairs are emitted.
+    now: (key, id, n, component).
+    """
+    ranked = now.withColumn("size", F.count("*").over(Window.partitionBy("key", "component")))
+    top = ranked.groupBy("key").agg(
+        F.max_by("component", F.struct("size", "component")).alias("top"), F.max("size").alias("most"), F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    ).where("lo <> hi")
+    top = top.select("key", "top", F.ceil(F.col("members") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int").alias("no"))
+    rows = scratch.keep(ranked.select("key", "id", "n", "component").join(top, "key"), "open")
+    ids = rows.select("id").distinct()
+
+    def run_fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, x, by in _sets(batch.column(1), size):
+                code = (mix64(superminhash(x, by, FINE_SLOTS).view(U64)) >> U64(13)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([c.tobytes() for c in code], pa.binary())], ["id", "fine"])
+
+    fine = scratch.keep(texts.join(ids, "id", "left_semi").mapInArrow(run_fine, "id long, fine binary"), "fine")
+    salt = F.xxhash64("id")
+    inner = rows.withColumn("mb", F.pmod(salt, F.col("nb")).cast("int")).withColumn("ob", F.explode(F.expr("sequence(0, no - 1)"))).withColumn("outer", F.lit(False))
+    outer = rows.where("component <> top").withColumn("ob", F.pmod(salt, F.col("no")).cast("int")).withColumn("mb", F.explode(F.expr("sequence(0, nb - 1)"))).withColumn("outer", F.lit(True))
+    cols = ["key", "ob", "mb", "outer", "id", "n", "component", (F.col("component") == F.col("top")).alias("common")]
+    both = inner.select(*cols).unionByName(outer.select(*cols)).join(fine, "id")
+    least = percent / 100 - FINE_SLACK
+
+    def meet(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        side = rows["outer"]
+        if side.all() or not side.any():
+            return
+        code = rows["fine"]
+        m = np.flatnonzero(~side)
+        for i in np.flatnonzero(side):
+            n, k = rows["n"][i], rows["n"][m]
+            fit = (rows["component"][m] != rows["component"][i]) & (100 * np.minimum(n, k) >= percent * np.maximum(n, k))
+            fit &= rows["common"][m] | (rows["id"][i] < rows["id"][m])
+            at = m[fit]
+            if len(at):
+                at = at[(code[at] == code[i]).mean(axis=1) >= least]
+            if len(at):
+                x, y = rows["id"][at], np.full(len(at), rows["id"][i])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        name = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = {c: batch.column(i).to_numpy(False) for i, c in enumerate(("key", "ob", "mb", "outer", "id", "n", "component", "common"))}
+            cell["fine"] = np.frombuffer(b"".join(batch.column(8).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, FINE_SLOTS)
+            new = np.flatnonzero((np.diff(cell["key"]) != 0) | (np.diff(cell["ob"]) != 0) | (np.diff(cell["mb"]) != 0)) + 1
+            for a, b in zip(np.append(0, new), np.append(new, batch.num_rows), strict=True):
+                this = (cell["key"][a], cell["ob"][a], cell["mb"][a])
+                if held and this != name:
+                    yield from meet({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+                    held = []
+                name = this
+                held.append({c: v[a:b].astype(bool) if c in ("outer", "common") else v[a:b] for c, v in cell.items()})
+        if held:
+            yield from meet({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+
+    spread = both.repartition("key", "ob", "mb").sortWithinPartitions("key", "ob", "mb")
+    return spread.select("key", "ob", "mb", "outer", "id", "n", "component", "common", "fine").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(
     spark: SparkSession,
     docs: DataFrame,
@@ -182,8 +256,9 @@ def near_duplicates(
     Documents with equal sets form a class first (a hash aggregate, combined before the shuffle), and only the
     class's smallest id goes on. Buckets of a band never emit all their pairs: in each round a member is tested
     against one member of each of its buckets, and members that links already join are not tested again. What
-    is left in different components after STAR_ROUNDS is then tested pair by pair within its buckets, so a link
-    can only be missed where two sets share no band or their sketches mislead. Rows with a null id
+    is left in different components after STAR_ROUNDS then meets within its buckets, block by block, on finer
+    signatures, and pairs near the threshold are verified. So a link can only be missed where two sets share no
+    band or their signatures mislead by four standard deviations. Rows with a null id
     are dropped; a repeated id counts as a class of its copies. Other columns of ``docs`` are not read.
     """
     scratch = Scratch(spark, "minhash")
@@ -212,15 +287,7 @@ def near_duplicates(
             row = now.withColumn("centre", pick.over(Window.partitionBy("key"))).select("id", "n", "component", "centre.*")
             pairs = row.where((F.col("component") != F.col("cc")) & fits).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
         else:
-            # members of components other than the bucket's commonest meet all others of their bucket
-            size = F.count("*").over(Window.partitionBy("key", "component"))
-            ranked = now.withColumn("size", size)
-            top = ranked.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("top"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-            ranked = scratch.keep(ranked.join(top.select("key", "top"), "key").select("key", "id", "n", "component", "top"), "open")
-            left = ranked.where("component <> top").select("key", "id", "n", "component")
-            right = ranked.select("key", F.col("id").alias("c"), F.col("n").alias("m"), F.col("component").alias("cc"), F.col("top").alias("ct"))
-            cond = (left["key"] == right["key"]) & (F.col("component") != F.col("cc")) & fits & ((F.col("id") < F.col("c")) | (F.col("cc") == F.col("ct")))
-            pairs = left.join(right, cond).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+            pairs = _open_pairs(now, texts, scratch, shingle_words, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, f"pairs-{k}")
@@ -229,7 +296,7 @@ def near_duplicates(
                 continue
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        near = _promising(pairs, sketch, percent / 100 - SLACK)
+        near = _promising(pairs, sketch, percent / 100 - SLACK) if k < STAR_ROUNDS else pairs
         links = scratch.keep(_verified(near, texts, shingle_words, percent), f"links-{k}")
         if links.isEmpty():
             continue
