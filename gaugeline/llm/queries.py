@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.llm import langid, quality
+from gaugeline.llm._split import bucket
 from gaugeline.llm.minhash import near_duplicates
 from gaugeline.llm.suffix_dedup import remove_repeats
 
@@ -25,10 +27,26 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    net = quality.fit(docs, labels.where(F.coalesce(bucket("doc_id", 5) != 0, F.lit(False))))
+    out = quality.score(docs.select("doc_id", "text"), net)
+    return out.select("doc_id", F.coalesce(bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(langid.learned_rows()))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op9_quality_classifier": op9_quality_classifier,
+        "op10_language_id": op10_language_id,
     }
 
 
