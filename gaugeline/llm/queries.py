@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import langid, quality
+from gaugeline.llm import ctw, langid, quality
 from gaugeline.llm._split import bucket
 from gaugeline.llm.minhash import near_duplicates
 from gaugeline.llm.suffix_dedup import remove_repeats
@@ -27,6 +27,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op7_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ctw.score(spark, _table(spark, sf_dir, "documents"), bucket("doc_id", 10) != 0)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     net = quality.fit(docs, labels.where(F.coalesce(bucket("doc_id", 5) != 0, F.lit(False))))
@@ -45,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op7_context_tree_scoring": op7_context_tree_scoring,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
     }
