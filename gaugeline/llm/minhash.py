@@ -168,11 +168,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(now: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+def _open_pairs(now: DataFrame, texts: DataFrame, first: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and whose finer signatures come near the threshold.
 
     In each bucket the members outside its commonest component meet all others of the bucket, in blocks of BLOCK by
-    BLOCK members, so neither a bucket nor its pairs lie in one task and only promising pairs are emitted.
+    BLOCK members, so neither a bucket nor its pairs lie in one task; only promising pairs are emitted, each in its first common bucket.
     now: (key, id, n, component).
     """
     ranked = now.withColumn("size", F.count("*").over(Window.partitionBy("key", "component")))
@@ -189,7 +189,7 @@ def _open_pairs(now: DataFrame, texts: DataFrame, scratch: Scratch, size: int, p
                 code = (mix64(superminhash(x, by, FINE_SLOTS).view(U64)) >> U64(13)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([c.tobytes() for c in code], pa.binary())], ["id", "fine"])
 
-    fine = scratch.keep(texts.join(ids, "id", "left_semi").mapInArrow(run_fine, "id long, fine binary"), "fine")
+    fine = scratch.keep(texts.join(ids, "id", "left_semi").mapInArrow(run_fine, "id long, fine binary").join(first.select("id", "bands"), "id"), "fine")
     salt = F.xxhash64("id")
     inner = rows.withColumn("mb", F.pmod(salt, F.col("nb")).cast("int")).withColumn("ob", F.explode(F.expr("sequence(0, no - 1)"))).withColumn("outer", F.lit(False))
     outer = rows.where("component <> top").withColumn("ob", F.pmod(salt, F.col("no")).cast("int")).withColumn("mb", F.explode(F.expr("sequence(0, nb - 1)"))).withColumn("outer", F.lit(True))
@@ -208,6 +208,10 @@ def _open_pairs(now: DataFrame, texts: DataFrame, scratch: Scratch, size: int, p
             fit = (rows["component"][m] != rows["component"][i]) & (100 * np.minimum(n, k) >= percent * np.maximum(n, k))
             fit &= rows["common"][m] | (rows["id"][i] < rows["id"][m])
             at = m[fit]
+            if len(at):
+                # of the buckets that two share, the first one tests them
+                shared = rows["bands"][at] == rows["bands"][i]
+                at = at[rows["bands"][i][shared.argmax(axis=1)] == rows["key"][i]]
             if len(at):
                 at = at[(code[at] == code[i]).mean(axis=1) >= least]
             if len(at):
@@ -222,6 +226,7 @@ def _open_pairs(now: DataFrame, texts: DataFrame, scratch: Scratch, size: int, p
                 continue
             cell = {c: batch.column(i).to_numpy(False) for i, c in enumerate(("key", "ob", "mb", "outer", "id", "n", "component", "common"))}
             cell["fine"] = np.frombuffer(b"".join(batch.column(8).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, FINE_SLOTS)
+            cell["bands"] = batch.column(9).flatten().to_numpy().reshape(batch.num_rows, -1)
             new = np.flatnonzero((np.diff(cell["key"]) != 0) | (np.diff(cell["ob"]) != 0) | (np.diff(cell["mb"]) != 0)) + 1
             for a, b in zip(np.append(0, new), np.append(new, batch.num_rows), strict=True):
                 this = (cell["key"][a], cell["ob"][a], cell["mb"][a])
@@ -234,7 +239,7 @@ def _open_pairs(now: DataFrame, texts: DataFrame, scratch: Scratch, size: int, p
             yield from meet({c: np.concatenate([h[c] for h in held]) for c in held[0]})
 
     spread = both.repartition("key", "ob", "mb").sortWithinPartitions("key", "ob", "mb")
-    return spread.select("key", "ob", "mb", "outer", "id", "n", "component", "common", "fine").mapInArrow(run, "a long, b long").distinct()
+    return spread.select("key", "ob", "mb", "outer", "id", "n", "component", "common", "fine", "bands").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -287,7 +292,7 @@ def near_duplicates(
             row = now.withColumn("centre", pick.over(Window.partitionBy("key"))).select("id", "n", "component", "centre.*")
             pairs = row.where((F.col("component") != F.col("cc")) & fits).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
         else:
-            pairs = _open_pairs(now, texts, scratch, shingle_words, percent)
+            pairs = _open_pairs(now, texts, first, scratch, shingle_words, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, f"pairs-{k}")
