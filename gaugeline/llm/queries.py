@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import chat, ctw, langid, quality
+from gaugeline.llm import chat, ctw, langid, quality, warc
 from gaugeline.llm._split import bucket
 from gaugeline.llm.minhash import near_duplicates
 from gaugeline.llm.suffix_dedup import remove_repeats
@@ -42,6 +42,11 @@ def op7_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back, _ = warc.archive_pages(spark, _table(spark, sf_dir, "pages"), least=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     net = quality.fit(docs, labels.where(F.coalesce(bucket("doc_id", 5) != 0, F.lit(False))))
@@ -71,16 +76,29 @@ FROM turns GROUP BY conv_id
 """
 
 
+_OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+m AS (SELECT body, max(page_id) AS last FROM p GROUP BY body)
+SELECT page_id, CAST(strlen(p.body) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INT), 5))::BIGINT >> (5 * (3 - i % 4))::INT) & 31 AS INT) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < last THEN last END AS refers_to
+FROM p JOIN m ON p.body = m.body
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op7_context_tree_scoring": op7_context_tree_scoring,
+        "op8_warc_index": op8_warc_index,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _OP1_SQL}
+    return {"op1_chat_formatting": _OP1_SQL, "op8_warc_index": _OP8_SQL}
