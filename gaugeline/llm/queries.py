@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeline.llm import chat, ctw, langid, quality, warc
+from gaugeline.llm import ann, chat, ctw, langid, mixing, quality, warc
 from gaugeline.llm._split import bucket
+from gaugeline.llm.decontaminate import find_contamination
 from gaugeline.llm.minhash import near_duplicates
 from gaugeline.llm.suffix_dedup import remove_repeats
 
@@ -37,6 +38,20 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(spark, _table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", "topic", "mix_weight", "keep_probability", "sampled")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_contamination(spark, _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.array_sort(F.col("matches.item")).alias("item_ids"), F.array_max("matches.similarity").alias("best"))
+
+
+def op6_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark, _table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, k=5)
+
+
 def op7_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ctw.score(spark, _table(spark, sf_dir, "documents"), bucket("doc_id", 10) != 0)
     return out.withColumnRenamed("id", "doc_id")
@@ -93,6 +108,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat_formatting": op1_chat_formatting,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op4_mixing": op4_mixing,
+        "op5_decontamination": op5_decontamination,
+        "op6_multi_index_search": op6_multi_index_search,
         "op7_context_tree_scoring": op7_context_tree_scoring,
         "op8_warc_index": op8_warc_index,
         "op9_quality_classifier": op9_quality_classifier,
