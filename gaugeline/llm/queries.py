@@ -103,6 +103,12 @@ FROM p JOIN m ON p.body = m.body
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -115,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_index": op8_warc_index,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_id": op10_language_id,
+        "pipeline": pipeline,
     }
 
 
