@@ -9,7 +9,7 @@ A text is coded as its bytes, with zero bytes before it, and the byte 0xFF (neve
 
 Scale: all that is gathered are counts of (context, byte) strings and of words, reduced in each task before the
 shuffle. The model is built in partitions by the two nearest context bytes; only the 256 x 255 nodes of depth 1 reach
-the driver. The commonest strings and words, at most HELD of each, are broadcast; occurrences of all others are
+the driver. The commonest strings and words, at most HELD and HELD_WORDS, are broadcast; occurrences of all others are
 joined with the whole table.
 """
 
@@ -26,8 +26,8 @@ from gaugeline.llm._store import Scratch, partitions
 from gaugeline.llm._text import U64, chunks, word_hashes
 
 DEPTH = 5
-#: Entries of each broadcast table at most, in 4.2 million places of 12 bytes (strings) or 16 (words).
-HELD = 2_000_000
+#: Entries of the broadcast tables at most: strings (12 bytes in 4.2 million places) and words (16 in half a million).
+HELD, HELD_WORDS = 2_000_000, 250_000
 #: Strings that a task sorts at a time while it counts.
 COUNT_BLOCK = 6_000_000
 GRAM, WORD = 0, 1
@@ -311,7 +311,7 @@ def _commonest(table: DataFrame, most: int) -> int:
     return least
 
 
-def score(spark: SparkSession, docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", held: int = HELD, held_words: int = HELD_WORDS) -> DataFrame:
     """One row per input row: (id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte).
 
     Learns from the rows where ``learn`` is true (null: not) and scores all rows, whole texts; a null text counts
@@ -335,7 +335,7 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column, id_col: str = "do
         got = rows.where(F.col("n") >= least).select("code", value.alias("value")).toArrow()
         return Table(got["code"].to_numpy().view(U64), got["value"].to_numpy())
 
-    gram_least, word_least = _commonest(model, held), _commonest(words, held)
+    gram_least, word_least = _commonest(model, held), _commonest(words, held_words)
     grams = spark.sparkContext.broadcast(table(model, F.col("value").cast("float"), gram_least))
     vocab = spark.sparkContext.broadcast(table(words, F.log10(F.col("n") + F.lit(0.1)), word_least))
     end = float(np.log10(learned + 0.1))
