@@ -1,0 +1,50 @@
+"""Exact order statistics without a global sort or a map of all distinct values."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Cells of one refinement, and rows that are sorted outright.
+CELLS, SMALL = 4096, 50_000
+
+
+def kth_smallest(df: DataFrame, column: str, ranks: Sequence[int]) -> list[float]:
+    """The values at the given places (from 0) of the sorted column of doubles without null or NaN.
+
+    Each pass counts rows in CELLS equal cells of the current interval, one small combined aggregate, and goes on with
+    the cell that holds the rank. A cell of SMALL rows or less is sorted; one of a single value is done.
+    """
+    values = df.select(F.col(column).cast("double").alias("v"))
+    end = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).first()
+    return [_one(values, k, end["lo"], end["hi"], end["n"]) for k in ranks]
+
+
+def _one(values: DataFrame, rank: int, lo: float, hi: float, n: int) -> float:
+    if not 0 <= rank < n:
+        raise IndexError(f"rank {rank} of {n} rows")
+    inside = values
+    while lo != hi:
+        if n <= SMALL:
+            return [r["v"] for r in inside.orderBy("v").limit(rank + 1).collect()][rank]
+        width = (hi - lo) / CELLS
+        if width == 0 or lo + width == lo:
+            break
+        cell = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(CELLS - 1))
+        rows = inside.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("cell").collect()
+        for r in rows:
+            if rank < r["n"]:
+                lo, hi, n = r["lo"], r["hi"], r["n"]
+                break
+            rank -= r["n"]
+        inside = values.where((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
+    if lo == hi:
+        return lo
+    # neighbouring doubles: few distinct values are left
+    for r in inside.groupBy("v").count().orderBy("v").collect():
+        if rank < r["count"]:
+            return r["v"]
+        rank -= r["count"]
+    raise AssertionError("rank outside its interval")

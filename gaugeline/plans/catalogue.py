@@ -1,6 +1,470 @@
-"""The registered queries and their DuckDB equivalents."""
+"""The registered queries over the driver's tables, and their DuckDB equivalents.
+
+Metrics are rounded to six places on both sides: sums of doubles depend on their order in the last digits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gaugeline.functions.metrics import DATA_BIAS, MODEL_BIAS
+from gaugeline.functions.segments import LabeledSegment, ThresholdSegment, heuristic_segment, segment
+from gaugeline.operators import analysis, reports
+from gaugeline.operators.drift import CategoricalBaseline, ContinuousBaseline, bin_column
+from gaugeline.plans import oracle as O
+from gaugeline.streaming import live, monitors
+
+BINARY, LOGISTIC, LINEAR = analysis.BINARY, analysis.LOGISTIC, analysis.LINEAR
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), 6) + F.lit(0.0) for c in columns})
+
+
+def values(df: DataFrame) -> DataFrame:
+    return rounded(df, "value")
+
+
+# ---- data bias -------------------------------------------------------------------------------------------------
+
+RETURNED, MANY, COSTLY = LabeledSegment("R"), ThresholdSegment(25.0, "GreaterThanEqualTo"), ThresholdSegment(50000.0, "GreaterThanEqualTo")
+_LINE = "SELECT l_returnflag = 'R' AS f, l_quantity >= 25 AS g FROM lineitem"
+_DB = O.long(O.DATA_BIAS, "k")
+
+
+def _data_bias(rows: str) -> str:
+    return f"WITH k AS {O.facet_cte(rows)} {_DB}"
+
+
+@query("data_bias_suite", _data_bias(_LINE))
+def data_bias_suite(spark, sf_dir):
+    return values(analysis.data_bias_report(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", RETURNED, MANY))
+
+
+def _customer_orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+
+
+for _short, _kind, _op in (("gt", "GreaterThan", ">"), ("ge", "GreaterThanEqualTo", ">="), ("lt", "LessThan", "<"), ("le", "LessThanEqualTo", "<=")):
+
+    @query(f"data_bias_threshold_{_short}", _data_bias(f"SELECT c_mktsegment = 'BUILDING' AS f, o_totalprice {_op} 250000 AS g FROM orders JOIN customer ON o_custkey = c_custkey"))
+    def data_bias_threshold(spark, sf_dir, kind=_kind):
+        return values(analysis.data_bias_report(_customer_orders(spark, sf_dir), "c_mktsegment", "o_totalprice", segment("BUILDING", "Label"), segment(250000.0, "Threshold", kind)))
+
+
+@query("data_bias_by_group", f"WITH k AS {O.facet_cte('SELECT l_linestatus, l_returnflag = chr(82) AS f, l_quantity >= 25 AS g FROM lineitem', 'l_linestatus')} {O.long(O.DATA_BIAS, 'k', 'l_linestatus')}")
+def data_bias_by_group(spark, sf_dir):
+    return values(analysis.data_bias_report(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", RETURNED, MANY, by=["l_linestatus"]))
+
+
+@query("data_bias_date_segment", _data_bias("SELECT o_orderdate >= TIMESTAMP '1998-01-01' AS f, o_orderstatus = 'F' AS g FROM orders"))
+def data_bias_date_segment(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return values(analysis.data_bias_report(orders, "o_orderdate", "o_orderstatus", F.col("o_orderdate") >= F.expr("timestamp_ntz '1998-01-01 00:00:00'"), LabeledSegment("F")))
+
+
+@query("heuristic_labeling", " UNION ALL ".join(
+    f"SELECT '{c}' AS col, count(*) FILTER (WHERE {test}) AS positives, count(*) AS n FROM {t}"
+    for c, t, test in (
+        ("l_linenumber", "lineitem", "l_linenumber = 3"), ("l_extendedprice", "lineitem", "l_extendedprice >= 40000"), ("l_returnflag", "lineitem", "l_returnflag = 'A'"), ("l_discount", "lineitem", "l_discount = 0.05"), ("p_size", "part", "CASE WHEN (SELECT count(DISTINCT p_size) <= 3 OR count(DISTINCT p_size) / count(*)::DOUBLE <= 0.05 FROM part) THEN p_size = 10 ELSE p_size >= 10 END"),
+    )
+))
+def heuristic_labeling(spark, sf_dir):
+    out = None
+    for column, name, label in (("l_linenumber", "lineitem", 3), ("l_extendedprice", "lineitem", 40000.0), ("l_returnflag", "lineitem", "A"), ("l_discount", "lineitem", 0.05), ("p_size", "part", 10)):
+        df = table(spark, sf_dir, name).select(column)
+        one = df.agg(F.count_if(heuristic_segment(df, column, label)).alias("positives"), F.count("*").alias("n")).select(F.lit(column).alias("col"), "positives", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_OLD, _NEW = "o_orderdate < TIMESTAMP '1998-01-01'", "o_orderdate >= TIMESTAMP '1998-01-01'"
+
+
+def _orders_sql(when: str) -> str:
+    return f"SELECT * FROM ({_data_bias(f'SELECT o_orderpriority IN (chr(49) || {chr(39)}-URGENT{chr(39)}) AS f, o_totalprice >= 200000 AS g FROM orders WHERE {when}')}) z"
+
+
+def _orders_report(spark, sf_dir, when):
+    return analysis.data_bias_report(table(spark, sf_dir, "orders").where(when), "o_orderpriority", "o_totalprice", LabeledSegment("1-URGENT"), ThresholdSegment(200000.0, "GreaterThanEqualTo"))
+
+
+def _orders_pair(spark, sf_dir):
+    """(latest, baseline), rounded as the SQL sides are, so that thresholds see the same values."""
+    return tuple(values(_orders_report(spark, sf_dir, F.expr(w.replace("TIMESTAMP", "timestamp_ntz")))) for w in (_NEW, _OLD))
+
+
+_T = 0.05
+
+
+@query("data_bias_runtime_check", O.check(DATA_BIAS, _orders_sql(_NEW), _orders_sql(_OLD), _T))
+def data_bias_runtime_check(spark, sf_dir):
+    return rounded(reports.runtime_check(*_orders_pair(spark, sf_dir), DATA_BIAS, _T), "drift")
+
+
+_SOME = ("ClassImbalance", "LpNorm", "KolmogorovSmirnov")
+
+
+@query("data_bias_runtime_check_partial", O.check(DATA_BIAS, _orders_sql(_NEW), _orders_sql(_OLD), _T, ", ".join(f"'{m}'" for m in _SOME)))
+def data_bias_runtime_check_partial(spark, sf_dir):
+    return rounded(reports.runtime_check(*_orders_pair(spark, sf_dir), DATA_BIAS, _T, _SOME), "drift")
+
+
+@query("data_bias_drift_snapshot", O.snapshot(DATA_BIAS, _orders_sql(_NEW), _orders_sql(_OLD)))
+def data_bias_drift_snapshot(spark, sf_dir):
+    return values(reports.drift_snapshot(*_orders_pair(spark, sf_dir), DATA_BIAS))
+
+
+@query("data_bias_drift_report", f"SELECT count(*) = 0 AS passed, string_agg(metric, ',' ORDER BY metric) AS failed FROM ({O.snapshot(DATA_BIAS, _orders_sql(_NEW), _orders_sql(_OLD))}) s WHERE value >= 0.1")
+def data_bias_drift_report(spark, sf_dir):
+    folded = reports.fold_report(reports.snapshot_failures(data_bias_drift_snapshot(spark, sf_dir), 0.1))
+    return folded.select("passed", F.array_join(F.col("failed_report.metric"), ",").alias("failed"))
+
+
+@query("report_wide", f"PIVOT ({_data_bias(_LINE)}) ON metric IN ({', '.join(repr(m) for m in O.DATA_BIAS)}) USING first(value)")
+def report_wide(spark, sf_dir):
+    return reports.to_wide(data_bias_suite(spark, sf_dir), DATA_BIAS)
+
+
+# ---- model bias ------------------------------------------------------------------------------------------------
+
+_CELLS = "SELECT l_returnflag = 'R' AS f, l_extendedprice >= 50000 AS g, l_quantity >= 25 AS h FROM lineitem"
+_DOCS = "SELECT lang = 'en' AS f, quality = 1 AS g, n_chars >= 1000 AS h FROM documents JOIN labels USING (doc_id)"
+
+
+def _model_bias(rows: str, metrics: dict[str, str] = O.MODEL_BIAS) -> str:
+    return f"SELECT * FROM (WITH k AS {O.model_cte(rows)} {O.long(metrics, 'k')}) z"
+
+
+def _lineitem_model(df: DataFrame, by=(), adhoc=False) -> DataFrame:
+    return analysis.model_bias_report(df, "l_returnflag", "l_extendedprice", "l_quantity", RETURNED, COSTLY, MANY, by, adhoc)
+
+
+@query("model_bias_suite", _model_bias(_CELLS))
+def model_bias_suite(spark, sf_dir):
+    return values(_lineitem_model(table(spark, sf_dir, "lineitem")))
+
+
+@query("model_bias_adhoc", _model_bias(_CELLS, O.MODEL_BIAS_ADHOC))
+def model_bias_adhoc(spark, sf_dir):
+    return values(_lineitem_model(table(spark, sf_dir, "lineitem"), adhoc=True))
+
+
+@query("model_bias_documents", _model_bias(_DOCS))
+def model_bias_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return values(analysis.model_bias_report(docs, "lang", "quality", "n_chars", LabeledSegment("en"), LabeledSegment(1), ThresholdSegment(1000, "GreaterThanEqualTo")))
+
+
+@query("model_bias_cells", f"SELECT CAST(a_tp AS BIGINT) AS a_tp, CAST(a_fp AS BIGINT) AS a_fp, CAST(a_tn AS BIGINT) AS a_tn, CAST(a_fn AS BIGINT) AS a_fn, CAST(d_tp AS BIGINT) AS d_tp, CAST(d_fp AS BIGINT) AS d_fp, CAST(d_tn AS BIGINT) AS d_tn, CAST(d_fn AS BIGINT) AS d_fn FROM {O.model_cte(_CELLS)}")
+def model_bias_cells(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    return analysis.model_counts(df, *(analysis.boolean(df, c, s) for c, s in (("l_returnflag", RETURNED), ("l_extendedprice", COSTLY), ("l_quantity", MANY))))
+
+
+_SHIP_OLD, _SHIP_NEW = "l_shipdate < TIMESTAMP '1998-01-01'", "l_shipdate >= TIMESTAMP '1998-01-01'"
+
+
+def _ship_pair(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    return tuple(values(_lineitem_model(df.where(F.expr(w.replace("TIMESTAMP", "timestamp_ntz"))))) for w in (_SHIP_NEW, _SHIP_OLD))
+
+
+_NO_NOISE = tuple(m for m in O.MODEL_BIAS if m != "ConditionalDemographicDesparityPredictedLabels")
+_NO_NOISE_SQL = ", ".join(f"'{m}'" for m in _NO_NOISE)
+_MB_SIDES = tuple(_model_bias(f"{_CELLS} WHERE {w}") for w in (_SHIP_NEW, _SHIP_OLD))
+
+
+@query("model_bias_runtime_check", O.check(MODEL_BIAS, *_MB_SIDES, _T))
+def model_bias_runtime_check(spark, sf_dir):
+    return rounded(reports.runtime_check(*_ship_pair(spark, sf_dir), MODEL_BIAS, _T), "drift")
+
+
+@query("model_bias_runtime_check_partial", O.check(MODEL_BIAS, *_MB_SIDES, _T, "'DisparateImpact', 'RecallDifference', 'TreatmentEquity'"))
+def model_bias_runtime_check_partial(spark, sf_dir):
+    return rounded(reports.runtime_check(*_ship_pair(spark, sf_dir), MODEL_BIAS, _T, ["DisparateImpact", "RecallDifference", "TreatmentEquity"]), "drift")
+
+
+@query("model_bias_drift_snapshot", O.snapshot(MODEL_BIAS, *_MB_SIDES, _NO_NOISE_SQL))
+def model_bias_drift_snapshot(spark, sf_dir):
+    # without the metric that is 0 by construction: 0/0 is not a number
+    return values(reports.drift_snapshot(*_ship_pair(spark, sf_dir), MODEL_BIAS, _NO_NOISE))
+
+
+# ---- model performance -----------------------------------------------------------------------------------------
+
+_BIN = "SELECT l_extendedprice >= 50000 AS g, l_quantity >= 25 AS h FROM lineitem"
+
+
+def _as_labels(df: DataFrame) -> DataFrame:
+    return df.select("l_shipdate", (F.col("l_extendedprice") >= 50000).cast("int").alias("y_true"), (F.col("l_quantity") >= 25).cast("int").alias("y_pred"))
+
+
+def _binary_sql(where: str = "") -> str:
+    return f"SELECT * FROM (WITH k AS {O.confusion_cte(_BIN + where)} {O.long(O.CLASSIFICATION, 'k')}) z"
+
+
+@query("binary_classification", _binary_sql())
+def binary_classification(spark, sf_dir):
+    return values(analysis.binary_report(_as_labels(table(spark, sf_dir, "lineitem")), "y_true", "y_pred", 1))
+
+
+@query("binary_classification_text_label", f"WITH k AS {O.confusion_cte(chr(83) + 'ELECT l_returnflag = chr(82) AS g, l_linestatus = chr(82) OR l_quantity > 30 AS h FROM lineitem')} {O.long(O.CLASSIFICATION, 'k')}")
+def binary_classification_text_label(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", F.when((F.col("l_linestatus") == "R") | (F.col("l_quantity") > 30), "R").otherwise("N").alias("guess"))
+    return values(analysis.binary_report(df, "l_returnflag", "guess", "R"))
+
+
+@query("accuracy_multiclass", "SELECT 'Accuracy' AS metric, round(count(*) FILTER (WHERE l_returnflag = CASE WHEN l_quantity < 17 THEN 'A' WHEN l_quantity < 34 THEN 'N' ELSE 'R' END) / CAST(count(*) AS DOUBLE), 6) + 0.0 AS value FROM lineitem")
+def accuracy_multiclass(spark, sf_dir):
+    q = F.col("l_quantity")
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", F.when(q < 17, "A").when(q < 34, "N").otherwise("R").alias("guess"))
+    return values(analysis.multiclass_accuracy(df, "l_returnflag", "guess"))
+
+
+_LOGIT = "SELECT CAST(quality AS DOUBLE) AS t, n_chars / (n_chars + 1500.0::DOUBLE) AS p, quality >= 0.5 AS g, n_chars / (n_chars + 1500.0::DOUBLE) >= 0.5 AS h FROM documents JOIN labels USING (doc_id)"
+
+
+def _logit_rows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    n = F.col("n_chars").cast("double")
+    return docs.select("doc_id", "quality", (n / (n + 1500.0)).alias("p"))
+
+
+def _logit_sql(where: str = "") -> str:
+    return f"SELECT * FROM (WITH k AS {O.confusion_cte(_LOGIT + where, O.PENALTY)} {O.long(O.LOGISTIC, 'k')}) z"
+
+
+@query("logistic_regression", _logit_sql())
+def logistic_regression(spark, sf_dir):
+    return values(analysis.logistic_report(_logit_rows(spark, sf_dir), "quality", "p", 0.5))
+
+
+@query("logistic_regression_exact_truth", _logit_sql())
+def logistic_regression_exact_truth(spark, sf_dir):
+    return values(analysis.logistic_report(_logit_rows(spark, sf_dir), "quality", "p", 0.5, exact_truth=True))
+
+
+_REG = "SELECT l_quantity AS t, l_quantity * (1 - l_discount) + 10 * l_tax AS p FROM lineitem"
+
+
+def _linear_rows(spark, sf_dir):
+    q = F.col("l_quantity")
+    return table(spark, sf_dir, "lineitem").select("l_shipdate", q.alias("t"), (q * (1 - F.col("l_discount")) + 10 * F.col("l_tax")).alias("p"))
+
+
+def _linear_sql(where: str = "", metrics: dict[str, str] = O.LINEAR) -> str:
+    return f"SELECT * FROM (WITH k AS {O.regression_cte(_REG + where)} {O.long(metrics, 'k')}) z"
+
+
+@query("linear_regression", _linear_sql())
+def linear_regression(spark, sf_dir):
+    return values(analysis.linear_report(_linear_rows(spark, sf_dir), "t", "p"))
+
+
+@query("linear_regression_adhoc", _linear_sql("", O.LINEAR_ADHOC))
+def linear_regression_adhoc(spark, sf_dir):
+    return values(analysis.linear_adhoc_report(_linear_rows(spark, sf_dir), "t", "p"))
+
+
+def _split(rows: DataFrame, report: Callable[[DataFrame], DataFrame], old: str, new: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(values(report(rows.where(F.expr(w.replace("TIMESTAMP", "timestamp_ntz"))))) for w in (new, old))
+
+
+def _perf_pair(family: str, spark, sf_dir):
+    if family == BINARY:
+        return _split(_as_labels(table(spark, sf_dir, "lineitem")), lambda d: analysis.binary_report(d, "y_true", "y_pred", 1), _SHIP_OLD, _SHIP_NEW)
+    if family == LINEAR:
+        return _split(_linear_rows(spark, sf_dir), lambda d: analysis.linear_report(d, "t", "p"), _SHIP_OLD, _SHIP_NEW)
+    return _split(_logit_rows(spark, sf_dir), lambda d: analysis.logistic_report(d, "quality", "p", 0.5), "doc_id % 2 = 0", "doc_id % 2 = 1")
+
+
+_PERF_SQL = {
+    BINARY: tuple(_binary_sql(f" WHERE {w}") for w in (_SHIP_NEW, _SHIP_OLD)),
+    LINEAR: tuple(_linear_sql(f" WHERE {w}") for w in (_SHIP_NEW, _SHIP_OLD)),
+    LOGISTIC: tuple(_logit_sql(f" WHERE {w}") for w in ("doc_id % 2 = 1", "doc_id % 2 = 0")),
+}
+#: Thresholds small enough that some metrics fail and some pass.
+_PERF_T = {BINARY: 0.0001, LINEAR: 0.0001, LOGISTIC: 0.001}
+for _family, _name in ((BINARY, "binary"), (LOGISTIC, "logistic"), (LINEAR, "linear")):
+
+    @query(f"perf_{_name}_runtime_check", O.check(_family, *_PERF_SQL[_family], _PERF_T[_family]))
+    def perf_runtime_check(spark, sf_dir, family=_family):
+        return rounded(reports.runtime_check(*_perf_pair(family, spark, sf_dir), family, _PERF_T[family]), "drift")
+
+    @query(f"perf_{_name}_drift_snapshot", O.snapshot(_family, *_PERF_SQL[_family]))
+    def perf_drift_snapshot(spark, sf_dir, family=_family):
+        return values(reports.drift_snapshot(*_perf_pair(family, spark, sf_dir), family))
+
+
+# ---- drift -----------------------------------------------------------------------------------------------------
+
+_EV_OLD, _EV_NEW = "ts < TIMESTAMP '2024-01-16'", "ts >= TIMESTAMP '2024-01-16'"
+
+
+def _when(df: DataFrame, test: str) -> DataFrame:
+    return df.where(F.expr(test.replace("TIMESTAMP", "timestamp_ntz")))
+
+
+def _divergence(ctes: str, wasserstein: str) -> str:
+    return f"{ctes} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, round({x}, 6) + 0.0 AS value" for m, x in O.divergence("bins", wasserstein).items())
+
+
+@query("drift_categorical", _divergence(O.categorical(f"SELECT o_orderpriority AS l FROM orders WHERE {_OLD}", f"SELECT o_orderpriority AS l FROM orders WHERE {_NEW}"), O.HALF))
+def drift_categorical(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return values(CategoricalBaseline.fit(_when(orders, _OLD), "o_orderpriority").score(_when(orders, _NEW), "o_orderpriority"))
+
+
+@query("drift_categorical_unseen", _divergence(O.categorical("SELECT event_type AS l FROM events WHERE event_type <> 'error'", "SELECT event_type AS l FROM events"), O.HALF))
+def drift_categorical_unseen(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return values(CategoricalBaseline.fit(events.where("event_type <> 'error'"), "event_type").score(events, "event_type"))
+
+
+@query("drift_categorical_by_group", f"""WITH b AS (SELECT event_type AS l, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS p FROM events WHERE {_EV_OLD} GROUP BY 1),
+  r AS (SELECT user_id % 3 AS g, event_type AS l, CAST(count(*) AS DOUBLE) AS c FROM events WHERE {_EV_NEW} GROUP BY 1, 2), n AS (SELECT g, sum(c) AS n FROM r GROUP BY g),
+  x AS (SELECT n.g, b.l, b.p, coalesce(r.c, 0) / n.n AS s FROM n CROSS JOIN b LEFT JOIN r ON r.g = n.g AND r.l = b.l UNION ALL SELECT g, NULL, 0.0, 0.0 FROM n)
+SELECT g, 'WassersteinDistance' AS metric, round(0.5 * sum(abs((p + 1e-12) - (s + 1e-12))), 6) + 0.0 AS value FROM x GROUP BY g""")
+def drift_categorical_by_group(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("g", F.col("user_id") % 3)
+    return values(CategoricalBaseline.fit(_when(events, _EV_OLD), "event_type").score(_when(events, _EV_NEW), "event_type", ["WassersteinDistance"], by=["g"]))
+
+
+for _rule, _name in (("FreedmanDiaconis", "fd"), ("Scott", "scott"), ("Sturges", "sturges")):
+    _ctes = O.continuous(f"SELECT value AS v FROM events WHERE {_EV_OLD}", f"SELECT value AS v FROM events WHERE {_EV_NEW}", _rule)
+
+    @query(f"drift_continuous_{_name}", _divergence(_ctes, O.INTERIOR))
+    def drift_continuous(spark, sf_dir, rule=_rule):
+        events = table(spark, sf_dir, "events")
+        return values(ContinuousBaseline.fit(_when(events, _EV_OLD), "value", rule).score(_when(events, _EV_NEW), "value"))
+
+    @query(f"drift_histogram_snapshot_{_name}", f"{_ctes} SELECT CAST(bin AS INTEGER) AS bin, round(p, 6) + 0.0 AS p, round(c / n, 6) + 0.0 AS share FROM bins")
+    def drift_histogram_snapshot(spark, sf_dir, rule=_rule):
+        events = table(spark, sf_dir, "events")
+        bins = ContinuousBaseline.fit(_when(events, _EV_OLD), "value", rule).histogram(_when(events, _EV_NEW), "value")
+        total = F.sum("c").over(Window.partitionBy(F.lit(0)))
+        return rounded(bins.select("bin", "p", (F.col("c") / total).alias("share")), "p", "share")
+
+
+_RATE = 1000
+
+
+@query("drift_flush_count", f"SELECT (row_number() OVER (ORDER BY ts, event_id) - 1) // {_RATE} AS flush_window, event_id FROM events")
+def drift_flush_count(spark, sf_dir):
+    return live.flush_windows(table(spark, sf_dir, "events").select("ts", "event_id"), ["ts", "event_id"], _RATE).select("flush_window", "event_id")
+
+
+@query("drift_flush_live_window", f"""WITH r AS (SELECT event_type, row_number() OVER (ORDER BY ts, event_id) AS k, count(*) OVER () AS n FROM events)
+SELECT event_type, count(*) AS c FROM r WHERE k > n - ((n - 1) % {_RATE * 7 // 4} + 1) GROUP BY event_type""")
+def drift_flush_live_window(spark, sf_dir):
+    windows = live.flush_windows(table(spark, sf_dir, "events").select("ts", "event_id", "event_type"), ["ts", "event_id"], _RATE * 7 // 4)
+    last = windows.agg(F.max("flush_window").alias("flush_window"))
+    return windows.join(last, "flush_window").groupBy("event_type").agg(F.count("*").alias("c"))
+
+
+_HALF_LIFE = 2.0
+
+
+@query("drift_decay", f"""WITH d AS (SELECT event_type, date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts)) AS step FROM events), m AS (SELECT max(step) AS last FROM d)
+SELECT event_type, round(sum(pow(pow(0.5, 1.0 / {_HALF_LIFE}), last - step + 1)), 6) + 0.0 AS c FROM d CROSS JOIN m GROUP BY event_type""")
+def drift_decay(spark, sf_dir):
+    days = table(spark, sf_dir, "events").select("event_type", F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("step"))
+    last = days.agg(F.max("step")).first()[0] or 0
+    return rounded(live.decayed_histogram(days, "step", "event_type", last, _HALF_LIFE), "c")
+
+
+@query("drift_bin_resolution", """WITH e AS (SELECT list(min_v + i * step ORDER BY i) AS edges FROM (SELECT min(value) AS min_v, (max(value) - min(value)) / 16 AS step FROM events), (SELECT unnest(range(0, 4)) AS i))
+SELECT CASE WHEN value < edges[1] THEN 0 WHEN value > edges[4] THEN 5 ELSE len(list_filter(edges, lambda z: z <= value)) END AS bin, count(*) AS c FROM events, e GROUP BY 1""")
+def drift_bin_resolution(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    s = events.agg(F.min("value").alias("lo"), F.max("value").alias("hi")).first()
+    edges = [s["lo"] + i * ((s["hi"] - s["lo"]) / 16) for i in range(4)]
+    return events.groupBy(bin_column(F.col("value"), edges, 6).alias("bin")).agg(F.count("*").alias("c"))
+
+
+# ---- monitors and windows --------------------------------------------------------------------------------------
+
+
+def _monthly(df: DataFrame, ts: str) -> list[DataFrame]:
+    """The rows by quarter of the year: four batches whose union is the table."""
+    return [df.where(F.quarter(F.col(ts).cast("timestamp")) == k) for k in range(1, 5)]
+
+
+def _replayed(monitor, batches: list[DataFrame], spark: SparkSession) -> DataFrame:
+    for i, batch in enumerate(batches):
+        monitor.push_batch(batch, i)
+        monitor.push_batch(batch, i)  # a repeated batch changes nothing
+    return values(spark.createDataFrame(list(monitor.performance_snapshot().items()), "metric string, value double"))
+
+
+@query("monitor_replay_data_bias", _data_bias(_LINE))
+def monitor_replay_data_bias(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_shipdate", "l_returnflag", "l_quantity")
+    return _replayed(monitors.DataBiasStreaming(df, "l_returnflag", "l_quantity", RETURNED, MANY), _monthly(df, "l_shipdate"), spark)
+
+
+@query("monitor_replay_model_bias", _model_bias(_CELLS))
+def monitor_replay_model_bias(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_shipdate", "l_returnflag", "l_extendedprice", "l_quantity")
+    return _replayed(monitors.ModelBiasStreaming(df, "l_returnflag", "l_extendedprice", "l_quantity", RETURNED, COSTLY, MANY), _monthly(df, "l_shipdate"), spark)
+
+
+@query("monitor_replay_linear", _linear_sql())
+def monitor_replay_linear(spark, sf_dir):
+    df = _linear_rows(spark, sf_dir)
+    return _replayed(monitors.LinearRegressionStreaming(df, "t", "p"), _monthly(df, "l_shipdate"), spark)
+
+
+@query("monitor_replay_binary", _binary_sql())
+def monitor_replay_binary(spark, sf_dir):
+    df = _as_labels(table(spark, sf_dir, "lineitem"))
+    return _replayed(monitors.BinaryClassificationStreaming(df, 1, "y_true", "y_pred"), _monthly(df, "l_shipdate"), spark)
+
+
+@query("monitor_replay_logistic", _logit_sql())
+def monitor_replay_logistic(spark, sf_dir):
+    df = _logit_rows(spark, sf_dir)
+    return _replayed(monitors.LogisticRegressionStreaming(df, "quality", "p", 0.5), [df.where(F.col("doc_id") % 3 == k) for k in range(3)], spark)
+
+
+@query("monitor_replay_drift_categorical", _divergence(O.categorical(f"SELECT event_type AS l FROM events WHERE {_EV_OLD}", f"SELECT event_type AS l FROM events WHERE {_EV_NEW}"), O.HALF))
+def monitor_replay_drift_categorical(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    monitor = monitors.StreamingCategoricalDataDriftFlush(_when(events, _EV_OLD), "event_type", flush_rate=10**9)
+    for k in range(3):
+        monitor.update_stream_batch(_when(events, _EV_NEW).where(F.col("event_id") % 3 == k), k)
+    names = list(O.divergence("bins", O.HALF))
+    return values(spark.createDataFrame(list(zip(names, monitor.compute_drift_multiple_criteria(names), strict=True)), "metric string, value double"))
+
+
+@query("windowed_counts", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_counts(spark, sf_dir):
+    out = live.windowed_counts(table(spark, sf_dir, "events"), "ts", "1 day", by=("event_type",))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query("windowed_data_bias", f"WITH k AS {O.facet_cte('SELECT date_trunc(chr(100) || chr(97) || chr(121), ts) AS day, event_type = chr(99) || chr(108) || chr(105) || chr(99) || chr(107) AS f, value >= 50 AS g FROM events', 'day')} {O.long({'ClassImbalance': O.DATA_BIAS['ClassImbalance'], 'DifferenceInProportionOfLabels': 'p - q'}, 'k', 'day')}")
+def windowed_data_bias(spark, sf_dir):
+    out = live.windowed_data_bias(table(spark, sf_dir, "events"), "ts", "1 day", "event_type", "value", LabeledSegment("click"), ThresholdSegment(50.0, "GreaterThanEqualTo"))
+    out = out.where(F.col("metric").isin("ClassImbalance", "DifferenceInProportionOfLabels"))
+    return values(out.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "metric", "value"))
