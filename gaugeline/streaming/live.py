@@ -60,11 +60,18 @@ def flush_windows(df: DataFrame, order: list[str], rate: int, by: list[str] | No
     if by:
         number = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         return df.withColumn("flush_window", F.floor((number - 1) / F.lit(rate)).cast("long"))
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = df.agg(F.percentile_approx(order[0], [k / spread for k in range(1, spread)] or [0.5], 10_000).alias("cuts")).first()["cuts"] or []
     # the range is a function of the row alone, so every evaluation of the plan agrees
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(order[0]))) if cuts else F.lit(0)
-    ranged = df.withColumn("_part", F.coalesce(part, F.lit(-1)))
+    cuts = sorted(set(cuts))
+
+    def place(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(order[0]) < F.lit(cuts[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    ranged = df.withColumn("_part", F.when(F.col(order[0]).isNull(), F.lit(-1)).otherwise(place(0, len(cuts))))
     numbered = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     # one row for each range, as many as there are shuffle partitions
