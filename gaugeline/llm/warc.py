@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from gaugeline.llm._store import Scratch
 
-#: Bytes of payload that an archive file is planned for.
-FILE_BYTES = 16 << 20
+#: Records in an archive file at most; files otherwise follow Spark's partitions, which it sizes by bytes.
+FILE_RECORDS = 10_000
 #: Captures in a block of the index.
 BLOCK_LINES = 1000
 #: Fixed values of the format: an empty gzip member (header, empty block, zero checksum and size).
@@ -110,7 +110,7 @@ def write_archives(records: DataFrame, folder: str) -> None:
 
     # the writer copies a string's bytes as they are
     packed = records.mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
-    packed.write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(folder)
+    packed.write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", FILE_RECORDS).text(folder)
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -151,7 +151,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record: (page_id, url, record_type, payload_digest, payload_bytes, refers_to, body, file, offset, length).
 
     A response's digest and length are taken anew from the payload that was read, a revisit's from its headers.
-    Files are read whole, one at a time in each task; they were planned for FILE_BYTES.
+    Files are read whole, one at a time in each task; they hold FILE_RECORDS records at most.
     """
     import base64
     import hashlib
@@ -268,9 +268,7 @@ def archive_pages(spark: SparkSession, pages: DataFrame, id_col: str = "page_id"
     """
     scratch = Scratch(spark, "warc")
     records = plan_records(pages, id_col, url_col, body_col, least)
-    size = pages.agg(F.sum(F.octet_length(F.col(body_col).cast("string")))).first()[0] or 0
-    files = max(1, -(-size // FILE_BYTES))
-    write_archives(records.repartition(int(files)), f"{scratch.path}/archives")
+    write_archives(records, f"{scratch.path}/archives")
     back = read_archives(spark, f"{scratch.path}/archives")
     write_index(back, f"{scratch.path}/index")
     return back, CaptureIndex(spark, f"{scratch.path}/index")
