@@ -23,7 +23,6 @@ from gaugeline.functions.metrics import drift_names
 from gaugeline.operators.selection import kth_smallest
 
 EPS = 1e-12
-OTHER = "__other__"
 
 
 class QuantileType(StrEnum):
@@ -84,7 +83,7 @@ def bin_column(value: Column, edges: Sequence[float], n_bins: int) -> Column:
     return F.when(F.isnan(value) | (value < F.lit(low)), F.lit(0)).when(value > F.lit(high), F.lit(n_bins - 1)).otherwise(inner).cast("int")
 
 
-def divergences(key: str = "bin", by: Sequence[str] = (), interior: Column | None = None, eps: float = EPS) -> dict[str, Column]:
+def divergences(interior: Column | None = None, eps: float = EPS) -> dict[str, Column]:
     """Aggregates over bins with columns p (baseline share), c (count) and n (all rows).
 
     interior: the bins that count for the continuous Wasserstein distance; without it the categorical one is taken.
@@ -113,7 +112,8 @@ def _scored(bins: DataFrame, interior: Column | None, by: Sequence[str], eps: fl
     """(by..., the four metrics) from rows (by..., p, c): one row for every bin."""
     total = F.sum("c").over(Window.partitionBy(*(by or [F.lit(0)])))
     rows = bins.withColumn("n", total).where("n > 0")
-    return rows.groupBy(*by).agg(*[m.alias(k) for k, m in divergences(interior=interior, by=by, eps=eps).items()])
+    scored = rows.groupBy(*by).agg(F.count("*").alias("_rows"), *[m.alias(k) for k, m in divergences(interior, eps).items()])
+    return scored.where("_rows > 0").drop("_rows")
 
 
 def _long(scored: DataFrame, metrics: Iterable[str] | None, by: Sequence[str]) -> DataFrame:
