@@ -59,7 +59,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
     folded = folded.withColumn("open", F.expr("array_max(transform(log, (e, i) -> case when e.kind <> 'delta' then i else -1 end))"))
     text = F.expr("array_join(transform(slice(log, greatest(open, 0) + 1, size(log)), e -> case when e.kind = 'regenerate' then '' else e.text end), '')")
-    role = F.expr("coalesce(element_at(filter(log, e -> e.role <> ''), -1).role, '')")
+    role = F.expr("coalesce(try_element_at(filter(log, e -> e.role <> ''), -1).role, '')")
     final = folded.select("conv_id", "message", role.alias("role"), text.alias("text"), "born")
     # only conversations with regenerations need a look at other messages
     redone = folded.where("redone is not null").select(F.col("conv_id").alias("rc"), F.col("message").alias("rm"), "redone")

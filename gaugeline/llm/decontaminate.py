@@ -145,7 +145,8 @@ class BenchmarkIndex:
             for i in self.within(self.fingerprint(bag)):
                 if self.size[i] == size:
                     sim = self.jaccard(bag, self.bags[i])
-                    if sim >= self.similarity and (i not in best or (sim, -start) > (best[i][0], -best[i][1])):
+                    # sums of weights may fall short of a threshold met exactly by their last digits
+                    if sim >= self.similarity - 1e-9 and (i not in best or (sim, -start) > (best[i][0], -best[i][1])):
                         best[i] = (sim, start)
         return sorted((item, start, sim) for i, (sim, start) in best.items() for item in self.ids[i])
 

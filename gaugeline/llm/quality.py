@@ -55,14 +55,14 @@ def _symbols(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sym
 
 
-def _windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start of every window, and n + 1 offsets by text; the last window of a text ends with it."""
+def _windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start of every window, the end of its text, and n + 1 offsets by text; the last window of a text ends with it."""
     size = np.diff(at)
     count = np.maximum(1, -(-(size - WIDTH) // STRIDE) + 1)
     by = np.concatenate([[0], np.cumsum(count)])
     k = np.arange(by[-1]) - np.repeat(by[:-1], count)
     start = np.minimum(k * STRIDE, np.repeat(np.maximum(size - WIDTH, 0), count))
-    return start + np.repeat(at[:-1], count), by
+    return start + np.repeat(at[:-1], count), np.repeat(at[1:], count), by
 
 
 def _spans(by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,9 +75,13 @@ def _spans(by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lo, np.minimum(lo + CHUNK_WINDOWS, np.repeat(by[1:], pieces)), off
 
 
-def _activate(net: QualityNet, sym: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _activate(net: QualityNet, sym: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.concatenate([sym, np.zeros(WIDTH, np.int16)])
     rows = padded[start[:, None] + np.arange(WIDTH)]
+    # what follows a short text in the chunk is not its own
+    short = np.flatnonzero(end - start < WIDTH)
+    if len(short):
+        rows[short] = np.where(start[short, None] + np.arange(WIDTH) < end[short, None], rows[short], 0)
     return np.maximum(net.table[rows].reshape(len(start), -1) @ net.filters + net.bias, 0), rows
 
 
@@ -90,11 +94,11 @@ def _pooled(act: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def score_chunk(net: QualityNet, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Probability of label 1 for each text."""
-    start, by = _windows(at)
+    start, end, by = _windows(at)
     sym = _symbols(data, at)
     act = np.empty((len(start), FILTERS), dtype=np.float32)
     for i in range(0, len(start), 1 << 14):
-        act[i : i + (1 << 14)] = _activate(net, sym, start[i : i + (1 << 14)])[0]
+        act[i : i + (1 << 14)] = _activate(net, sym, start[i : i + (1 << 14)], end[i : i + (1 << 14)])[0]
     _, top, mean = _pooled(act, by)
     z = np.concatenate([top, mean], axis=1) @ net.out + net.out_bias + net.shift
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
@@ -114,8 +118,8 @@ def _train(texts: list[bytes], label: np.ndarray, epochs: int) -> QualityNet:
             own = order[b : b + STEP]
             data = np.frombuffer(b"".join(texts[i] for i in own), dtype=np.uint8)
             at = np.concatenate([[0], np.cumsum([len(texts[i]) for i in own])]).astype(np.int64)
-            start, by = _windows(at)
-            act, rows = _activate(net, _symbols(data, at), start)
+            start, end, by = _windows(at)
+            act, rows = _activate(net, _symbols(data, at), start, end)
             each, top, mean = _pooled(act, by)
             lo, hi, off = _spans(by)
             feat = np.concatenate([top, mean], axis=1)
