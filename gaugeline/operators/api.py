@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.errors import EmptyDatasetError, FacetError, InvalidMetricError, InvalidReportError, ModelTypeMismatchError
 from gaugeline.functions.finishers import FINISHERS
-from gaugeline.functions.metrics import DATA_BIAS, FAMILIES, MODEL_BIAS, ModelType
+from gaugeline.functions.metrics import DATA_BIAS, MODEL_BIAS, ModelType
 from gaugeline.functions.segments import LabeledSegment, Segment, heuristic_segment
 from gaugeline.operators import analysis
 from gaugeline.operators.reports import THRESHOLD, drift_report_dict, report_from_dict, runtime_check, to_long
@@ -153,4 +153,36 @@ def adhoc_metric(df: DataFrame, metric: str, feature: str, ground_truth: str, fe
     return row["value"]
 
 
-FAMILY_NAMES = tuple(FAMILIES)
+def adhoc_classification_metric(df: DataFrame, metric: str, y_true: str, y_pred: str, label: Any = None, threshold: float | None = None) -> float:
+    """One classification metric, with a positive ``label`` or a decision ``threshold`` for both columns.
+
+    Accuracy with a label is the share of rows whose label agrees, whatever the label is; log loss needs neither.
+    """
+    name = str(getattr(metric, "value", metric))
+    if name not in FINISHERS[LOGISTIC]():
+        raise InvalidMetricError(f"unknown metric {name!r}")
+    if name == "Accuracy" and threshold is None:
+        return analysis.multiclass_accuracy(df, y_true, y_pred).first()["value"]
+    if name == "LogLoss" or threshold is not None:
+        df = require_numeric(df.select(y_true, y_pred), y_true, y_pred)
+        cut = 0.5 if threshold is None else threshold
+        counted = analysis.logistic_counts(df, F.col(y_true), F.col(y_pred), ~F.isnan(y_true) & (F.col(y_true) >= cut), cut)
+    else:
+        one = LabeledSegment(label)
+        counted = analysis.confusion_counts(df, one.column(F.col(y_true)), one.column(F.col(y_pred)))
+    return to_long(counted, {name: FINISHERS[LOGISTIC]()[name]}).first()["value"]
+
+
+def adhoc_regression_metric(df: DataFrame, metric: str, y_true: str, y_pred: str) -> float:
+    """One regression metric of the stand-alone variants; the mean squared log error raises where a value is -1."""
+    name = str(getattr(metric, "value", metric))
+    if name not in FINISHERS[LINEAR]():
+        raise InvalidMetricError(f"unknown metric {name!r}")
+    df = require_numeric(df.select(y_true, y_pred), y_true, y_pred)
+    if name == "MeanSquaredLogError" and df.where((F.col(y_true) == -1) | (F.col(y_pred) == -1)).limit(1).count():
+        raise FacetError("the log error is not defined at -1")
+    rows = analysis.linear_adhoc_report(df, y_true, y_pred).where(F.col("metric") == name).collect()
+    value = rows[0]["value"]
+    if df.where(F.col(y_true).isNotNull() & F.col(y_pred).isNotNull()).limit(1).count() == 0:
+        raise EmptyDatasetError("no rows")
+    return value

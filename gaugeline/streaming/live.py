@@ -51,6 +51,29 @@ def windowed_counts(df: DataFrame, ts: str, duration: str, slide: str | None = N
     return with_window(df, ts, duration, slide, watermark).groupBy("window", *by).agg(F.count("*").alias("n"))
 
 
+def session_counts(df: DataFrame, ts: str, gap: str, by: tuple[str, ...], watermark: str | None = None) -> DataFrame:
+    """(by..., window, n): rows by session, which ends after a ``gap`` without rows."""
+    df = df.withColumn(ts, F.col(ts).cast("timestamp"))
+    df = df.withWatermark(ts, watermark) if watermark is not None else df
+    return df.groupBy(*by, F.session_window(ts, gap).alias("window")).agg(F.count("*").alias("n"))
+
+
+def join_labels(predictions: DataFrame, truths: DataFrame, key: str, predicted_at: str | None = None, labelled_at: str | None = None, within: str | None = None) -> DataFrame:
+    """Predictions with their later labels, by key.
+
+    On streams give both times and ``within``: a label counts if it comes no later than that after its prediction,
+    and the state of older rows is dropped.
+    """
+    if within is None:
+        return predictions.join(truths, key)
+    p = predictions.withColumn(predicted_at, F.col(predicted_at).cast("timestamp"))
+    t = truths.withColumnRenamed(key, "_key").withColumn(labelled_at, F.col(labelled_at).cast("timestamp"))
+    if predictions.isStreaming:
+        p, t = p.withWatermark(predicted_at, within), t.withWatermark(labelled_at, within)
+    late = F.col(labelled_at) <= F.col(predicted_at) + F.expr(f"interval {within}")
+    return p.join(t, (F.col(key) == F.col("_key")) & (F.col(labelled_at) >= F.col(predicted_at)) & late).drop("_key")
+
+
 def flush_windows(df: DataFrame, order: list[str], rate: int, by: list[str] | None = None) -> DataFrame:
     """Adds ``flush_window``: which run of ``rate`` rows a row falls into, in order.
 

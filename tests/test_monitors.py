@@ -208,3 +208,23 @@ def test_decayed_histogram(spark):
     df = spark.createDataFrame([(0, "x"), (0, "x"), (1, "x"), (1, "y")], "step int, bin string")
     got = {r["bin"]: r["c"] for r in live.decayed_histogram(df, "step", "bin", 1, 1.0).collect()}
     assert got == {"x": 2 * 0.25 + 0.5, "y": 0.5}
+
+
+def test_sessions(spark):
+    start = datetime.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("a", start + datetime.timedelta(minutes=m)) for m in (0, 3, 20, 21, 22)], "k string, ts timestamp")
+    assert sorted(r.n for r in live.session_counts(df, "ts", "10 minutes", ("k",)).collect()) == [2, 3]
+
+
+def test_delayed_labels(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda h: start + datetime.timedelta(hours=h)
+    pred = spark.createDataFrame([(1, 0.5, at(0)), (2, 0.7, at(0)), (3, 0.1, at(1))], "id long, p double, pt timestamp")
+    truth = spark.createDataFrame([(1, 1, at(2)), (2, 0, at(30)), (4, 1, at(1))], "id long, t int, lt timestamp")
+    assert live.join_labels(pred, truth, "id").count() == 2
+    assert [r.id for r in live.join_labels(pred, truth, "id", "pt", "lt", "1 day").collect()] == [1]
+    streams = [stream_of(spark, tmp_path / n, [d]) for n, d in (("p", pred), ("t", truth))]
+    seen = []
+    q = live.join_labels(*streams, "id", "pt", "lt", "1 day").writeStream.foreachBatch(lambda d, _: seen.extend(d.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    assert [r.id for r in seen] == [1]

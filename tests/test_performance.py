@@ -107,3 +107,25 @@ def test_report_round_trip(spark, tmp_path):
     assert reports.to_wide(report, "LinearRegression").first()["MaxError"] == 0.5
     with pytest.raises(InvalidReportError):
         reports.validate_report(report.where("metric <> 'MaxError'"), "LinearRegression")
+
+
+def test_adhoc_metrics(spark):
+    from gaugeline.errors import FacetError, InvalidMetricError
+
+    df = from_columns(spark, t=LABELS, p=GUESSES)
+    for m, v in CLASSES.items():
+        assert api.adhoc_classification_metric(df, m, "t", "p", label=1) == pytest.approx(v, abs=1e-6)
+    probs = from_columns(spark, t=[float(x) for x in LABELS], p=PROBS)
+    for m, v in (CLASSES | {"LogLoss": 0.714502180}).items():
+        assert api.adhoc_classification_metric(probs, m, "t", "p", threshold=0.5) == pytest.approx(v, abs=1e-6)
+    words = from_columns(spark, t=["a", "b", "c"], p=["a", "c", "c"])
+    assert api.adhoc_classification_metric(words, "Accuracy", "t", "p") == pytest.approx(2 / 3)
+    reg = from_columns(spark, t=T, p=P)
+    assert api.adhoc_regression_metric(reg, "RSquared", "t", "p") == pytest.approx(0.743516001)
+    with pytest.raises(FacetError):
+        api.adhoc_regression_metric(from_columns(spark, t=[-1.0, 2.0], p=[1.0, 2.0]), "MeanSquaredLogError", "t", "p")
+    with pytest.raises(EmptyDatasetError):
+        api.adhoc_regression_metric(reg.limit(0), "MaxError", "t", "p")
+    for f, args in ((api.adhoc_regression_metric, ("x", "t", "p")), (api.adhoc_classification_metric, ("x", "t", "p"))):
+        with pytest.raises(InvalidMetricError):
+            f(reg, *args)
