@@ -71,7 +71,10 @@ for _short, _kind, _op in (("gt", "GreaterThan", ">"), ("ge", "GreaterThanEqualT
         return values(analysis.data_bias_report(_customer_orders(spark, sf_dir), "c_mktsegment", "o_totalprice", segment("BUILDING", "Label"), segment(250000.0, "Threshold", kind)))
 
 
-@query("data_bias_by_group", f"WITH k AS {O.facet_cte('SELECT l_linestatus, l_returnflag = chr(82) AS f, l_quantity >= 25 AS g FROM lineitem', 'l_linestatus')} {O.long(O.DATA_BIAS, 'k', 'l_linestatus')}")
+_BY_STATUS = "SELECT l_linestatus, l_returnflag = 'R' AS f, l_quantity >= 25 AS g FROM lineitem"
+
+
+@query("data_bias_by_group", f"WITH k AS {O.facet_cte(_BY_STATUS, 'l_linestatus')} {O.long(O.DATA_BIAS, 'k', 'l_linestatus')}")
 def data_bias_by_group(spark, sf_dir):
     return values(analysis.data_bias_report(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", RETURNED, MANY, by=["l_linestatus"]))
 
@@ -101,7 +104,8 @@ _OLD, _NEW = "o_orderdate < TIMESTAMP '1998-01-01'", "o_orderdate >= TIMESTAMP '
 
 
 def _orders_sql(when: str) -> str:
-    return f"SELECT * FROM ({_data_bias(f'SELECT o_orderpriority IN (chr(49) || {chr(39)}-URGENT{chr(39)}) AS f, o_totalprice >= 200000 AS g FROM orders WHERE {when}')}) z"
+    rows = f"SELECT o_orderpriority = '1-URGENT' AS f, o_totalprice >= 200000 AS g FROM orders WHERE {when}"
+    return f"SELECT * FROM ({_data_bias(rows)}) z"
 
 
 def _orders_report(spark, sf_dir, when):
@@ -113,20 +117,21 @@ def _orders_pair(spark, sf_dir):
     return tuple(values(_orders_report(spark, sf_dir, F.expr(w.replace("TIMESTAMP", "timestamp_ntz")))) for w in (_NEW, _OLD))
 
 
-_T = 0.05
+#: Thresholds of the registered checks: the tables are random, so only small ones split the metrics.
+_T, _T_DATA = 0.05, 0.0
 
 
-@query("data_bias_runtime_check", O.check(DATA_BIAS, _orders_sql(_NEW), _orders_sql(_OLD), _T))
+@query("data_bias_runtime_check", O.check(DATA_BIAS, _orders_sql(_NEW), _orders_sql(_OLD), _T_DATA))
 def data_bias_runtime_check(spark, sf_dir):
-    return rounded(reports.runtime_check(*_orders_pair(spark, sf_dir), DATA_BIAS, _T), "drift")
+    return rounded(reports.runtime_check(*_orders_pair(spark, sf_dir), DATA_BIAS, _T_DATA), "drift")
 
 
 _SOME = ("ClassImbalance", "LpNorm", "KolmogorovSmirnov")
 
 
-@query("data_bias_runtime_check_partial", O.check(DATA_BIAS, _orders_sql(_NEW), _orders_sql(_OLD), _T, ", ".join(f"'{m}'" for m in _SOME)))
+@query("data_bias_runtime_check_partial", O.check(DATA_BIAS, _orders_sql(_NEW), _orders_sql(_OLD), _T_DATA, ", ".join(f"'{m}'" for m in _SOME)))
 def data_bias_runtime_check_partial(spark, sf_dir):
-    return rounded(reports.runtime_check(*_orders_pair(spark, sf_dir), DATA_BIAS, _T, _SOME), "drift")
+    return rounded(reports.runtime_check(*_orders_pair(spark, sf_dir), DATA_BIAS, _T_DATA, _SOME), "drift")
 
 
 @query("data_bias_drift_snapshot", O.snapshot(DATA_BIAS, _orders_sql(_NEW), _orders_sql(_OLD)))
@@ -228,7 +233,10 @@ def binary_classification(spark, sf_dir):
     return values(analysis.binary_report(_as_labels(table(spark, sf_dir, "lineitem")), "y_true", "y_pred", 1))
 
 
-@query("binary_classification_text_label", f"WITH k AS {O.confusion_cte(chr(83) + 'ELECT l_returnflag = chr(82) AS g, l_linestatus = chr(82) OR l_quantity > 30 AS h FROM lineitem')} {O.long(O.CLASSIFICATION, 'k')}")
+_TEXT = "SELECT l_returnflag = 'R' AS g, l_linestatus = 'R' OR l_quantity > 30 AS h FROM lineitem"
+
+
+@query("binary_classification_text_label", f"WITH k AS {O.confusion_cte(_TEXT)} {O.long(O.CLASSIFICATION, 'k')}")
 def binary_classification_text_label(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_returnflag", F.when((F.col("l_linestatus") == "R") | (F.col("l_quantity") > 30), "R").otherwise("N").alias("guess"))
     return values(analysis.binary_report(df, "l_returnflag", "guess", "R"))
@@ -294,17 +302,18 @@ def _perf_pair(family: str, spark, sf_dir):
     if family == BINARY:
         return _split(_as_labels(table(spark, sf_dir, "lineitem")), lambda d: analysis.binary_report(d, "y_true", "y_pred", 1), _SHIP_OLD, _SHIP_NEW)
     if family == LINEAR:
-        return _split(_linear_rows(spark, sf_dir), lambda d: analysis.linear_report(d, "t", "p"), _SHIP_OLD, _SHIP_NEW)
+        return _split(_linear_rows(spark, sf_dir), lambda d: analysis.linear_report(d, "t", "p"), _SHIP_NEW, _SHIP_OLD)
     return _split(_logit_rows(spark, sf_dir), lambda d: analysis.logistic_report(d, "quality", "p", 0.5), "doc_id % 2 = 0", "doc_id % 2 = 1")
 
 
 _PERF_SQL = {
     BINARY: tuple(_binary_sql(f" WHERE {w}") for w in (_SHIP_NEW, _SHIP_OLD)),
-    LINEAR: tuple(_linear_sql(f" WHERE {w}") for w in (_SHIP_NEW, _SHIP_OLD)),
+    # the older rows as the latest: their errors are the larger ones
+    LINEAR: tuple(_linear_sql(f" WHERE {w}") for w in (_SHIP_OLD, _SHIP_NEW)),
     LOGISTIC: tuple(_logit_sql(f" WHERE {w}") for w in ("doc_id % 2 = 1", "doc_id % 2 = 0")),
 }
 #: Thresholds small enough that some metrics fail and some pass.
-_PERF_T = {BINARY: 0.0001, LINEAR: 0.0001, LOGISTIC: 0.001}
+_PERF_T = {BINARY: 0.0, LINEAR: 0.0, LOGISTIC: 0.001}
 for _family, _name in ((BINARY, "binary"), (LOGISTIC, "logistic"), (LINEAR, "linear")):
 
     @query(f"perf_{_name}_runtime_check", O.check(_family, *_PERF_SQL[_family], _PERF_T[_family]))
@@ -316,6 +325,45 @@ for _family, _name in ((BINARY, "binary"), (LOGISTIC, "logistic"), (LINEAR, "lin
         return values(reports.drift_snapshot(*_perf_pair(family, spark, sf_dir), family))
 
 
+#: Reports of the monitors: snapshots at or above a threshold, for whole families and for chosen metrics.
+_REPORT_T = {MODEL_BIAS: 0.02, BINARY: 0.0005, LOGISTIC: 0.001, LINEAR: 0.00001}
+_CHOSEN = {
+    MODEL_BIAS: ("DisparateImpact", "RecallDifference", "TreatmentEquity"),
+    BINARY: ("Accuracy", "F1Score", "PrecisionNegative", "RecallPositive", "PrecisionPositive", "RecallNegative"),
+    LOGISTIC: ("LogLoss", "RecallPositive", "PrecisionNegative", "Accuracy"),
+    LINEAR: ("RSquared", "MaxError", "MeanSquaredError", "MeanAbsolutePercentageError"),
+}
+
+
+def _in(names) -> str:
+    return ", ".join(f"'{m}'" for m in names)
+
+
+def _pair(family: str, spark, sf_dir):
+    return _ship_pair(spark, sf_dir) if family == MODEL_BIAS else _perf_pair(family, spark, sf_dir)
+
+
+for _family, _name in ((MODEL_BIAS, "model_bias"), (BINARY, "perf_binary"), (LOGISTIC, "perf_logistic"), (LINEAR, "perf_linear")):
+    _sides = _MB_SIDES if _family == MODEL_BIAS else _PERF_SQL[_family]
+    _metrics = _NO_NOISE if _family == MODEL_BIAS else tuple(reports.FAMILIES[_family])
+
+    @query(f"{_name}_drift_report", f"SELECT metric, value AS drift FROM ({O.snapshot(_family, *_sides, _in(_metrics))}) s WHERE value >= {_REPORT_T[_family]}")
+    def drift_report(spark, sf_dir, family=_family, metrics=_metrics):
+        snapshot = values(reports.drift_snapshot(*_pair(family, spark, sf_dir), family, metrics))
+        return reports.snapshot_failures(snapshot, _REPORT_T[family])
+
+    @query(f"{_name}_drift_report_partial", f"SELECT metric, value AS drift FROM ({O.snapshot(_family, *_sides, _in(_CHOSEN[_family]))}) s WHERE value >= {_REPORT_T[_family]}")
+    def drift_report_partial(spark, sf_dir, family=_family):
+        snapshot = values(reports.drift_snapshot(*_pair(family, spark, sf_dir), family, _CHOSEN[family]))
+        return reports.snapshot_failures(snapshot, _REPORT_T[family])
+
+    if _family != MODEL_BIAS:
+
+        @query(f"{_name}_runtime_check_partial", O.check(_family, *_sides, _PERF_T[_family], _in(_CHOSEN[_family])))
+        def perf_runtime_check_partial(spark, sf_dir, family=_family):
+            return rounded(reports.runtime_check(*_pair(family, spark, sf_dir), family, _PERF_T[family], _CHOSEN[family]), "drift")
+
+
 # ---- drift -----------------------------------------------------------------------------------------------------
 
 _EV_OLD, _EV_NEW = "ts < TIMESTAMP '2024-01-16'", "ts >= TIMESTAMP '2024-01-16'"
@@ -457,14 +505,36 @@ def monitor_replay_drift_categorical(spark, sf_dir):
     return values(spark.createDataFrame(list(zip(names, monitor.compute_drift_multiple_criteria(names), strict=True)), "metric string, value double"))
 
 
+@query("monitor_replay_drift_continuous", _divergence(O.continuous(f"SELECT value AS v FROM events WHERE {_EV_OLD}", f"SELECT value AS v FROM events WHERE {_EV_NEW}", "Sturges"), O.INTERIOR))
+def monitor_replay_drift_continuous(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    monitor = monitors.StreamingContinuousDataDriftFlush(_when(events, _EV_OLD), "value", "Sturges", flush_rate=10**9)
+    for k in range(3):
+        monitor.update_stream_batch(_when(events, _EV_NEW).where(F.col("event_id") % 3 == k), k)
+    names = list(O.divergence("bins", O.INTERIOR))
+    return values(spark.createDataFrame(list(zip(names, monitor.compute_drift_multiple_criteria(names), strict=True)), "metric string, value double"))
+
+
+@query("session_counts", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_counts(spark, sf_dir):
+    out = live.session_counts(table(spark, sf_dir, "events"), "ts", "6 hours", ("user_id",))
+    return out.select("user_id", F.col("window.start").cast("timestamp_ntz").alias("started"), "n")
+
+
 @query("windowed_counts", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed_counts(spark, sf_dir):
     out = live.windowed_counts(table(spark, sf_dir, "events"), "ts", "1 day", by=("event_type",))
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
-@query("windowed_data_bias", f"WITH k AS {O.facet_cte('SELECT date_trunc(chr(100) || chr(97) || chr(121), ts) AS day, event_type = chr(99) || chr(108) || chr(105) || chr(99) || chr(107) AS f, value >= 50 AS g FROM events', 'day')} {O.long({'ClassImbalance': O.DATA_BIAS['ClassImbalance'], 'DifferenceInProportionOfLabels': 'p - q'}, 'k', 'day')}")
+_DAILY = "SELECT date_trunc('day', ts) AS day, event_type = 'click' AS f, value >= 50 AS g FROM events"
+_DAILY_METRICS = {m: O.DATA_BIAS[m] for m in ("ClassImbalance", "DifferenceInProportionOfLabels")}
+
+
+@query("windowed_data_bias", f"WITH k AS {O.facet_cte(_DAILY, 'day')} {O.long(_DAILY_METRICS, 'k', 'day')}")
 def windowed_data_bias(spark, sf_dir):
     out = live.windowed_data_bias(table(spark, sf_dir, "events"), "ts", "1 day", "event_type", "value", LabeledSegment("click"), ThresholdSegment(50.0, "GreaterThanEqualTo"))
-    out = out.where(F.col("metric").isin("ClassImbalance", "DifferenceInProportionOfLabels"))
+    out = out.where(F.col("metric").isin(list(_DAILY_METRICS)))
     return values(out.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "metric", "value"))

@@ -337,7 +337,8 @@ class _Categorical(_DriftMonitor):
         self.shares = {r["label"]: r["p"] for r in fitted.labels.orderBy("label").collect()} | {_OTHER: 0.0}
         if len(self.shares) < 2:
             raise BaselineError("the baseline is empty")
-        self._labels = fitted.labels.select("label")
+        # the monitor holds the dictionary anyway: the baseline's rows are not read again
+        self._labels = self.spark.createDataFrame([(k,) for k in self.shares if k is not _OTHER], "label string")
 
     def _bin(self, x: Any) -> str | None:
         return str(x) if str(x) in self.shares else _OTHER
