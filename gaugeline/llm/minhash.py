@@ -26,6 +26,10 @@ SLACK = 0.2
 #: Slots of the finer signatures that settle what the rounds leave open, and the slack there: four standard
 #: deviations of the estimate.
 FINE_SLOTS, FINE_SLACK = 1024, 0.05
+#: What identifies a set of shingles. Classes of equal sets with at least HOT_ROWS rows and one in HOT_CLASSES of all
+#: rows are joined by broadcast; there are HOT_CLASSES of them at most.
+SET_KEY = ["set_a", "set_b", "n_shingles"]
+HOT_ROWS, HOT_CLASSES = 100, 2000
 #: Members of a bucket that meet in one task, on either side.
 BLOCK = 1024
 #: Rounds that test each bucket's members against one member before the rest is tested pair by pair.
@@ -269,7 +273,7 @@ def near_duplicates(
     scratch = Scratch(spark, "minhash")
     sig = scratch.keep(signatures(docs, id_col, text_col, shingle_words, bands, rows).where("id is not null"), "signatures")
     filled = sig.where("n_shingles > 0")
-    klass = filled.groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("rep"))
+    klass = filled.groupBy(*SET_KEY).agg(F.min("id").alias("rep"), F.count("*").alias("members"))
     first = filled.join(klass.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     first = scratch.keep(first.select("id", "n_shingles", "bands", "sketch"), "first")
     member = first.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
@@ -310,9 +314,14 @@ def near_duplicates(
         merged = connected_components(links.select("src", "dst") if k else links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, f"cc{k}")
         labels = scratch.keep(labels.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component")), f"labels-{k}")
 
-    grouped = klass.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.col("n_shingles").alias("n_set"), F.coalesce("component", "rep").alias("component_id"))
-    joined = sig.select("id", "n_shingles", "set_a", "set_b").join(
-        grouped, (sig["set_a"] == grouped["set_a"]) & (sig["set_b"] == grouped["set_b"]) & (sig["n_shingles"] == grouped["n_set"]), "left"
-    )
-    out = joined.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    grouped = klass.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*SET_KEY, "members", F.coalesce("component", "rep").alias("component_id"))
+    grouped = scratch.keep(grouped, "grouped")
+    rows = sig.select("id", *SET_KEY)
+    # classes with at least this many rows number HOT_CLASSES at most: their rows stay where they are
+    hot_from = max(HOT_ROWS, -(-rows.count() // HOT_CLASSES))
+    hot = F.broadcast(grouped.where(F.col("members") >= hot_from).drop("members"))
+    own = rows.join(hot, SET_KEY)
+    rest = rows.join(hot.select(*SET_KEY), SET_KEY, "left_anti").join(grouped.where(F.col("members") < hot_from).drop("members"), SET_KEY, "left")
+    out = own.unionByName(rest).select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    scratch.drop("texts", "open", "fine")
     return out.withColumn("kept", F.col("id") == F.col("component_id"))
