@@ -322,12 +322,9 @@ def induced_sort(
     else:
         seeds = star[:0]
     if carry:
-        end = stops[np.searchsorted(stops, np.arange(n))] if n < (1 << 22) else None
-        left = (end - np.arange(n)) if end is not None else None
-        if left is None:
-            left = np.empty(n, dtype=np.int64)
-            for a, b in zip(np.concatenate([[0], stops[:-1] + 1]), stops, strict=True):
-                left[a : b + 1] = np.arange(b - a, -1, -1)
+        size = np.diff(np.concatenate([[0], stops]))
+        left = np.zeros(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+        left[1:] = np.repeat(stops, size) - np.arange(1, n)
         seed_lcp = _neighbour_lcp(raw, left, seeds, cap).astype(kind)
         del left
     else:

@@ -17,16 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.llm._skew import join_by_key
 from gaugeline.llm._store import Scratch
-from gaugeline.llm._text import _M_INV, BYTE_HASH, U64, chunks, powers, prefix_hash, span_hash, string_buffers
+from gaugeline.llm._text import _M_INV, BYTE_HASH, U64, chunks, powers, prefix_hash, span_hash
 from gaugeline.llm.induced import repeated_starts
 
 GRAM = 32
 #: Bytes of segments that a shard is planned for; a larger shard is sorted too, through files.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Memory for the tuples of each queue of a shard's sort.
 SORT_BUDGET = 48 << 20
 #: Windows in a segment at most; a longer run (a text that repeats itself) is cut into several of the same hash.
@@ -119,17 +121,15 @@ def _cut(wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = string_buffers(batch.column(0))
-            lists = batch.column(1)
-            rows = lists.flatten()
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            start = rows.field("start").to_numpy() + at[doc]
-            n = rows.field("n").to_numpy()
-            raw = data.tobytes()
-            for i in range(0, len(start), 4096):
-                part = slice(i, min(i + 4096, len(start)))
-                body = pa.array([raw[a : a + k + length - 1] for a, k in zip(start[part].tolist(), n[part].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.field(c).slice(i, part.stop - i) for c in ("key", "seg", "copies", "n")] + [body], ["key", "seg", "copies", "n", "body"])
+            for lo, hi, data, at in chunks(batch.column(0)):
+                lists = batch.column(1).slice(lo, hi - lo)
+                rows = lists.flatten()
+                doc = np.repeat(np.arange(hi - lo), np.diff(lists.offsets.to_numpy()))
+                start = (rows.field("start").to_numpy() + at[doc]).tolist()
+                end = (rows.field("n").to_numpy() + (length - 1)).tolist()
+                raw = data.tobytes()
+                body = pa.array([raw[a : a + k] for a, k in zip(start, end, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(rows.field(c) for c in ("key", "seg", "copies", "n")), body], ["key", "seg", "copies", "n", "body"])
 
     return wanted.mapInArrow(run, "key long, seg long, copies long, n int, body binary")
 
@@ -175,6 +175,26 @@ def _sorted_shards(segments: DataFrame, length: int) -> DataFrame:
     return segments.mapInArrow(run, "key long, seg long, runs array<struct<a:int,b:int>>")
 
 
+def _cut_out(body: np.ndarray, a: np.ndarray, b: np.ndarray, whole_characters: bool) -> tuple[bytes, int, int]:
+    """body without the bytes [a, b): what is left, how many bytes went, in how many maximal runs."""
+    if not len(a):
+        return body.tobytes(), 0, 0
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    fresh = np.concatenate([[True], a[1:] > b[:-1]])
+    a, b = a[fresh], b[np.append(np.flatnonzero(fresh)[1:] - 1, len(b) - 1)]
+    if whole_characters:
+        # a character is cut whole or stays whole
+        heads = np.flatnonzero(np.append((body & 0xC0) != 0x80, True))
+        a, b = heads[np.searchsorted(heads, a)], heads[np.searchsorted(heads, b, side="right") - 1]
+        a, b = a[b > a], b[b > a]
+    keep = np.ones(len(body) + 1, dtype=np.int8)
+    np.add.at(keep, a, -1)
+    np.add.at(keep, b, 1)
+    keep = np.cumsum(keep[:-1] - 1) + 1 if len(body) else keep[:0]
+    return body[keep > 0].tobytes(), int((b - a).sum()), len(a)
+
+
 def _without(joined: DataFrame, length: int, whole_characters: bool) -> DataFrame:
     """Cuts the covered bytes out of each row's text."""
     carried = [c for c in joined.schema.fieldNames() if c not in ("text", "spans")]
@@ -182,44 +202,23 @@ def _without(joined: DataFrame, length: int, whole_characters: bool) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = string_buffers(batch.column(places["text"]))
-            lists = batch.column(places["spans"])
-            flat = lists.flatten()
-            begin, stop = flat.field("a").to_numpy(), flat.field("b").to_numpy()
-            by = np.concatenate([[0], np.cumsum(np.where(lists.is_valid().to_numpy(False), np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(False)), 0).astype(np.int64))])
-            raw = data.tobytes()
-            kept, removed, spans = [], [], []
-            for i in range(batch.num_rows):
-                lo, hi = int(at[i]), int(at[i + 1])
-                if by[i] == by[i + 1]:
-                    kept.append(raw[lo:hi])
-                    removed.append(0)
-                    spans.append(0)
-                    continue
-                a, b = begin[by[i] : by[i + 1]].astype(np.int64), stop[by[i] : by[i + 1]].astype(np.int64) + length - 1
-                order = np.argsort(a, kind="stable")
-                a, b = a[order], np.maximum.accumulate(b[order])
-                fresh = np.concatenate([[True], a[1:] > b[:-1]])
-                a, b = a[fresh], b[np.append(np.flatnonzero(fresh)[1:] - 1, len(b) - 1)]
-                if whole_characters:
-                    # a character is cut whole or stays whole
-                    body = data[lo:hi]
-                    lead = np.append((body & 0xC0) != 0x80, True)
-                    heads = np.flatnonzero(lead)
-                    a, b = heads[np.searchsorted(heads, a)], heads[np.searchsorted(heads, b, side="right") - 1]
-                    a, b = a[b > a], b[b > a]
-                pieces, last = [], 0
-                for p, q in zip(a.tolist(), b.tolist(), strict=True):
-                    pieces.append(raw[lo + last : lo + p])
-                    last = q
-                pieces.append(raw[lo + last : hi])
-                kept.append(b"".join(pieces))
-                removed.append(int((b - a).sum()))
-                spans.append(len(a))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(places[c]) for c in carried] + [pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-                [*carried, "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+            for first, last_row, data, at in chunks(batch.column(places["text"])):
+                part = batch.slice(first, last_row - first)
+                lists = part.column(places["spans"])
+                flat = lists.flatten()
+                begin, stop = flat.field("a").to_numpy(), flat.field("b").to_numpy()
+                by = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(False).astype(np.int64))])
+                kept, removed, spans = [], [], []
+                for i in range(part.num_rows):
+                    body = data[at[i] : at[i + 1]]
+                    text, n, k = _cut_out(body, begin[by[i] : by[i + 1]].astype(np.int64), stop[by[i] : by[i + 1]].astype(np.int64) + (length - 1), whole_characters)
+                    kept.append(text)
+                    removed.append(n)
+                    spans.append(k)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(places[c]) for c in carried), pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
+                    [*carried, "n_bytes", "n_removed", "n_spans", "kept"],
+                )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in carried)
     return joined.mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
@@ -256,8 +255,12 @@ def remove_repeats(
         F.xxhash64(text, F.col(id_col).isNull()).alias("row_b"),
     )
     every = _routed(base, length, gram)
-    crowd = every.withColumn("all", F.count("*").over(Window.partitionBy("key"))).where((F.col("all") > 1) | F.col("twice")).drop("all", "twice")
+    routed = scratch.keep(every, "routed")
+    n_routed = routed.count()
+    keys = routed.groupBy("key").agg(F.count("*").alias("members"), F.max("twice").alias("repeats")).where("members > 1 or repeats").select("key", "members")
+    crowd = join_by_key(routed.drop("twice"), scratch.keep(keys, "keys"), ["key"], n_routed, F.xxhash64("row_a", "row_b", "start"))
     crowd = scratch.keep(crowd, "crowd")
+    scratch.drop("routed", "keys")
     unique = crowd.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("row_a", "row_b", "start", "n")).alias("rep"))
     unique = scratch.keep(unique.select("key", "seg", "copies", "rep.*"), "unique")
     volume = unique.agg(F.sum(F.col("n") + F.lit(length - 1))).first()[0] or 0
@@ -267,7 +270,8 @@ def remove_repeats(
     source = base.select("row_a", "row_b", "text")
     cut = _cut(source.join(wanted.hint("shuffle_hash"), ["row_a", "row_b"]).select("text", "parts"), length)
     found = scratch.keep(_sorted_shards(cut.repartition(shards, "key"), length), "found")
-    spans = crowd.join(found, ["key", "seg"]).select("row_a", "row_b", F.expr("transform(runs, x -> struct(x.a + start as a, x.b + start as b))").alias("runs"))
+    found = found.join(unique.select("key", "seg", F.col("copies").alias("members")), ["key", "seg"])
+    spans = join_by_key(crowd, scratch.keep(found, "runs"), ["key", "seg"], n_routed, F.xxhash64("row_a", "row_b", "start")).select("row_a", "row_b", F.expr("transform(runs, x -> struct(x.a + start as a, x.b + start as b))").alias("runs"))
     per_row = spans.groupBy("row_a", "row_b").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("spans"))
     joined = base.join(per_row.hint("shuffle_hash"), ["row_a", "row_b"], "left").select("id", *carry, "text", "spans")
     return _without(joined, length, whole_characters)
