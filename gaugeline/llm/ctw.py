@@ -8,8 +8,8 @@ mixes the estimates of all depths. A context that was never seen predicts 1/2, a
 A text is coded as its bytes, with zero bytes before it, and the byte 0xFF (never in UTF-8) to close it.
 
 Scale: all that is gathered are counts of (context, byte) strings and of words, reduced in each task before the
-shuffle. The model is built in partitions by the two nearest context bytes; only the 256 x 255 nodes of depth 1 reach
-the driver. The commonest strings and words, at most HELD and HELD_WORDS, are broadcast; occurrences of all others are
+shuffle. The model is built in partitions by the three nearest context bytes, a block of contexts at a time; only the
+nodes of depth 2 (65 536 x 255 at most) reach the driver. The commonest strings and words, at most HELD and HELD_WORDS, are broadcast; occurrences of all others are
 joined with the whole table.
 """
 
@@ -30,6 +30,10 @@ DEPTH = 5
 HELD, HELD_WORDS = 2_000_000, 250_000
 #: Strings that a task sorts at a time while it counts.
 COUNT_BLOCK = 6_000_000
+#: Strings whose deeper levels a task builds at a time.
+BUILD_BLOCK = 400_000
+#: Depths up to NEAR are finished on the driver: at most 256**2 contexts of 255 nodes at depth 2, far fewer in text.
+NEAR = 2
 GRAM, WORD = 0, 1
 
 
@@ -206,45 +210,59 @@ def log10_of(p: np.ndarray, byte: np.ndarray) -> np.ndarray:
     return np.log10(np.where(bits == 1, p, 1 - p)).sum(axis=0)
 
 
+def _parents(level: _Level) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, zeros, ones and summed log weights of the nodes one depth up."""
+    parent = (level.keys >> U64(16) << U64(8)) | (level.keys & U64(255))
+    keys = np.unique(parent)
+    return keys, *(_summed(parent, v, keys) for v in (level.zeros, level.ones, level.log_w))
+
+
 def _model(spark: SparkSession, counts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(code, n, value): the log10 probability of each string's last byte after its context."""
+    """(code, n, value): the log10 probability of each string's last byte after its context.
 
-    def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not parts:
-            return
-        code, n = np.concatenate([x[0] for x in parts]).view(U64), np.concatenate([x[1] for x in parts])
-        order = np.argsort(code)
-        code, n = code[order], n[order]
-        p, level = build(code, n, low=2)
+    Strings are dealt by their NEAR + 1 nearest context bytes and sorted; a task mixes the deeper levels of one run of
+    whole contexts after another, in blocks of BUILD_BLOCK strings. The levels up to NEAR are sums over those.
+    """
+    near_shift = U64(8 * (DEPTH + 1 - (NEAR + 1)))
+
+    def block(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        p, level = build(code, n, low=NEAR + 1)
+        names = ["code", "n", "p", "below", "zeros", "ones"]
         for i in range(0, len(code), 1 << 16):
             q = np.ascontiguousarray(p[:, i : i + (1 << 16)].T)
             m = len(q)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(code[i : i + m].view(np.int64)), pa.array(n[i : i + m]), pa.array([r.tobytes() for r in q], pa.binary()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())],
-                ["code", "n", "p", "below", "zeros", "ones"],
-            )
+            none = pa.nulls(m, pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(code[i : i + m].view(np.int64)), pa.array(n[i : i + m]), pa.array([r.tobytes() for r in q], pa.binary()), none, none, none], names)
         if level is not None:
-            parent = (level.keys >> U64(16) << U64(8)) | (level.keys & U64(255))
-            keys = np.unique(parent)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.binary()), *(pa.array(_summed(parent, v, keys)) for v in (level.log_w, level.zeros, level.ones))],
-                ["code", "n", "p", "below", "zeros", "ones"],
-            )
+            keys, zeros, ones, below = _parents(level)
+            m = len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), *(pa.array(v) for v in (below, zeros, ones))], names)
+
+    def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, n = np.zeros(0, U64), np.zeros(0, np.int64)
+        for b in batches:
+            code = np.concatenate([code, b.column(0).to_numpy().view(U64)])
+            n = np.concatenate([n, b.column(1).to_numpy()])
+            if len(code) >= BUILD_BLOCK:
+                # up to the last change of context
+                cut = int(np.searchsorted(code >> near_shift, code[-1] >> near_shift))
+                if cut:
+                    yield from block(code[:cut], n[:cut])
+                    code, n = code[cut:], n[cut:]
+        if len(code):
+            yield from block(code, n)
 
     grams = counts.where(F.col("kind") == GRAM).select("code", "n")
-    placed = grams.repartition(partitions(spark), F.shiftright("code", 32))
+    placed = grams.repartition(partitions(spark), F.shiftright("code", int(near_shift))).sortWithinPartitions("code")
     got = scratch.keep(placed.mapInArrow(deep, "code long, n long, p binary, below double, zeros double, ones double"), "deep")
-    # depth 1 has at most 256 contexts of 255 nodes
-    near = got.where("p is null").groupBy("code").agg(*(F.sum(c).alias(c) for c in ("below", "zeros", "ones"))).orderBy("code").toArrow()
-    key = near["code"].to_numpy().view(U64) if near.num_rows else np.zeros(0, U64)
-    if near.num_rows:
-        one = _Level(key, near["zeros"].to_numpy(), near["ones"].to_numpy(), near["below"].to_numpy())
-        root_keys = np.unique(key & U64(255))
-        top = _Level(root_keys, *(_summed(key & U64(255), v, root_keys) for v in (one.zeros, one.ones, one.log_w)))
-        levels = [(one, 1), (top, 0)]
-    else:
-        levels = []
+    top = got.where("p is null").groupBy("code").agg(*(F.sum(c).alias(c) for c in ("below", "zeros", "ones"))).orderBy("code").toArrow()
+    levels: list[_Level] = []
+    if top.num_rows:
+        parts = (top["code"].to_numpy().view(U64), *(top[c].to_numpy() for c in ("zeros", "ones", "below")))
+        for _ in range(NEAR + 1):
+            levels.append(_Level(*parts))
+            parts = _parents(levels[-1])
+    shared = spark.sparkContext.broadcast(levels)
 
     def shallow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,8 +271,8 @@ def _model(spark: SparkSession, counts: DataFrame, scratch: Scratch) -> DataFram
             code = batch.column(0).to_numpy().view(U64)
             p = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.float64).reshape(-1, 8).T.copy()
             byte = code & U64(255)
-            for level, d in levels:
-                context = (code >> U64(8 * DEPTH)) if d else np.zeros_like(code)
+            for d, level in zip(range(NEAR, -1, -1), shared.value):
+                context = code >> U64(8 * (DEPTH - d + 1))
                 for j in range(8):
                     p[j] = level.mix(context << U64(8) | (U64(1 << j) | byte >> U64(8 - j)), p[j])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log10_of(p, byte))], ["code", "n", "value"])

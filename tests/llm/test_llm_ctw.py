@@ -55,7 +55,8 @@ TEXTS = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog",
 
 
 @pytest.mark.parametrize("held", [10**6, 5])
-def test_scores(spark, held):
+def test_scores(spark, held, monkeypatch):
+    monkeypatch.setattr(ctw, "BUILD_BLOCK", held // 3)
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_bytes int")
     got = {r.id: r for r in ctw.score(spark, df, F.col("doc_id") < 5, held=held, held_words=held).collect()}
     score = brute([(t or "").encode() for t in TEXTS[:5]])
