@@ -145,7 +145,10 @@ def data_bias_drift_report(spark, sf_dir):
     return folded.select("passed", F.array_join(F.col("failed_report.metric"), ",").alias("failed"))
 
 
-@query("report_wide", f"PIVOT ({_data_bias(_LINE)}) ON metric IN ({', '.join(repr(m) for m in O.DATA_BIAS)}) USING first(value)")
+_COLUMNS = ", ".join(f"max(value) FILTER (WHERE metric = '{m}') AS {m}" for m in O.DATA_BIAS)
+
+
+@query("report_wide", f"SELECT {_COLUMNS} FROM ({_data_bias(_LINE)}) z")
 def report_wide(spark, sf_dir):
     return reports.to_wide(data_bias_suite(spark, sf_dir), DATA_BIAS)
 
