@@ -11,9 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.llm._skew import join_by_key
 from gaugeline.llm._store import Scratch
 from gaugeline.llm._text import U64, chunks, mix64, shingle_hashes, word_hashes
 from gaugeline.llm.components import connected_components
@@ -26,10 +27,8 @@ SLACK = 0.2
 #: Slots of the finer signatures that settle what the rounds leave open, and the slack there: four standard
 #: deviations of the estimate.
 FINE_SLOTS, FINE_SLACK = 1024, 0.05
-#: What identifies a set of shingles. Classes of equal sets with at least HOT_ROWS rows and one in HOT_CLASSES of all
-#: rows are joined by broadcast; there are HOT_CLASSES of them at most.
+#: What identifies a set of shingles.
 SET_KEY = ["set_a", "set_b", "n_shingles"]
-HOT_ROWS, HOT_CLASSES = 100, 2000
 #: Members of a bucket that meet in one task, on either side.
 BLOCK = 1024
 #: Rounds that test each bucket's members against one member before the rest is tested pair by pair.
@@ -172,19 +171,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(now: DataFrame, texts: DataFrame, first: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+def _open_pairs(now: DataFrame, n_hits: int, texts: DataFrame, first: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and whose finer signatures come near the threshold.
 
     In each bucket the members outside its commonest component meet all others of the bucket, in blocks of BLOCK by
     BLOCK members, so neither a bucket nor its pairs lie in one task; only promising pairs are emitted, each in its first common bucket.
     now: (key, id, n, component).
     """
-    ranked = now.withColumn("size", F.count("*").over(Window.partitionBy("key", "component")))
-    top = ranked.groupBy("key").agg(
-        F.max_by("component", F.struct("size", "component")).alias("top"), F.max("size").alias("most"), F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")
-    ).where("lo <> hi")
-    top = top.select("key", "top", F.ceil(F.col("members") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int").alias("no"))
-    rows = scratch.keep(ranked.select("key", "id", "n", "component").join(top, "key"), "open")
+    top = (
+        now.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key")
+        .agg(F.max_by("component", F.struct("size", "component")).alias("top"), F.max("size").alias("most"), F.sum("size").alias("members"), F.count("*").alias("parts"))
+        .where("parts > 1")
+    )
+    top = top.select("key", "top", F.ceil(F.col("members") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int").alias("no"), "members")
+    rows = scratch.keep(join_by_key(now.select("key", "id", "n", "component"), scratch.keep(top, "tops"), ["key"], n_hits, F.col("id")), "open")
     ids = rows.select("id").distinct()
 
     def run_fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +277,9 @@ def near_duplicates(
     first = filled.join(klass.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     first = scratch.keep(first.select("id", "n_shingles", "bands", "sketch"), "first")
     member = first.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    crowd = member.withColumn("others", F.count("*").over(Window.partitionBy("key"))).where("others > 1")
-    hits = scratch.keep(crowd.select("key", "id", "n"), "hits")
+    crowds = member.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    hits = scratch.keep(join_by_key(member, scratch.keep(crowds, "crowds"), ["key"], bands * first.count(), F.col("id")), "hits")
+    n_hits = hits.count()
     busy = hits.select("id").distinct()
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = scratch.keep(source.join(busy.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), "texts")
@@ -293,10 +294,11 @@ def near_duplicates(
             # the bucket's centre: its smallest id first, then members in an order that changes by round
             order = F.col("id") if k == 0 else F.struct(F.xxhash64(F.lit(k), F.col("id")), F.col("id"))
             pick = F.min_by(F.struct(F.col("id").alias("c"), F.col("n").alias("m"), F.col("component").alias("cc")), order)
-            row = now.withColumn("centre", pick.over(Window.partitionBy("key"))).select("id", "n", "component", "centre.*")
+            centres = now.groupBy("key").agg(pick.alias("centre"), F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+            row = join_by_key(now, scratch.keep(centres.select("key", "centre.*", "members"), f"centres-{k}"), ["key"], n_hits, F.col("id"))
             pairs = row.where((F.col("component") != F.col("cc")) & fits).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
         else:
-            pairs = _open_pairs(now, texts, first, scratch, shingle_words, percent)
+            pairs = _open_pairs(now, n_hits, texts, first, scratch, shingle_words, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, f"pairs-{k}")
@@ -317,11 +319,7 @@ def near_duplicates(
     grouped = klass.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*SET_KEY, "members", F.coalesce("component", "rep").alias("component_id"))
     grouped = scratch.keep(grouped, "grouped")
     rows = sig.select("id", *SET_KEY)
-    # classes with at least this many rows number HOT_CLASSES at most: their rows stay where they are
-    hot_from = max(HOT_ROWS, -(-rows.count() // HOT_CLASSES))
-    hot = F.broadcast(grouped.where(F.col("members") >= hot_from).drop("members"))
-    own = rows.join(hot, SET_KEY)
-    rest = rows.join(hot.select(*SET_KEY), SET_KEY, "left_anti").join(grouped.where(F.col("members") < hot_from).drop("members"), SET_KEY, "left")
-    out = own.unionByName(rest).select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    joined = join_by_key(rows, grouped, SET_KEY, rows.count(), F.col("id"), all_rows=True)
+    out = joined.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     scratch.drop("texts", "open", "fine")
     return out.withColumn("kept", F.col("id") == F.col("component_id"))
