@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.llm._skew import join_by_key
 from gaugeline.llm._store import Scratch
 
 #: Records in an archive file at most; files otherwise follow Spark's partitions, which it sizes by bytes.
@@ -60,14 +61,17 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Of pages with equal payloads of at least ``least`` bytes the one with the largest id is the response, the others
     revisit it; smaller payloads are always responses. Null payloads are empty. The largest id of a payload is one
-    combined aggregate and is joined back by digest, so copies are never gathered.
+    combined aggregate and is joined back by digest; the rows of a very common payload are dealt by page.
     """
     body = F.coalesce(F.col(body_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("body").cast("long"), "payload_digest": payload_digest(F.col("body").cast("binary"))})
-    last = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("last"))
+    last = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("members"))
+    # a payload that one page has needs no partner
+    last = last.where("members > 1")
     revisit = F.col("last").isNotNull() & (F.col("payload_bytes") >= least) & (F.col("page_id") < F.col("last"))
-    return rows.join(last, "payload_digest", "left").select(
+    joined = join_by_key(rows, last, ["payload_digest"], pages.count(), F.struct("page_id", "url"), all_rows=True)
+    return joined.select(
         "page_id", "url", "body", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last")).alias("refers_to")
     )
 
