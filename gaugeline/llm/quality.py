@@ -23,6 +23,8 @@ WIDTH, STRIDE, DEPTH, FILTERS = 12, 4, 8, 32
 CHUNK_WINDOWS, HOP_WINDOWS = 512, 448
 #: Labelled rows to learn from: about EACH of either label. Passes over them, documents in a step.
 EACH, EPOCHS, STEP = 1000, 10, 16
+#: Bytes of a text to learn from at most: with EACH it bounds what comes to the driver. Scoring has no such bound.
+LONGEST = 1 << 16
 _LAGS = range(3, 25)
 
 
@@ -150,17 +152,18 @@ def _train(texts: list[bytes], label: np.ndarray, epochs: int) -> QualityNet:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", each: int = EACH, epochs: int = EPOCHS) -> QualityNet | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", each: int = EACH, epochs: int = EPOCHS, longest: int = LONGEST) -> QualityNet | None:
     """Learns from about ``each`` rows of either label (at most twice that in all); None where a label has no rows.
 
-    The sample is drawn from the labels, so only its texts leave the scan. Texts are read whole.
+    The sample is drawn from the labels, so only its texts leave the scan. Texts are read whole; those of more than
+    ``longest`` bytes are not learned from.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
     sample = sample_by(known, "label", "id", each, 2 * each)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("label", "text").toArrow()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id").where(F.octet_length("text") <= longest).select("label", "text").toArrow()
     label = rows["label"].to_numpy().astype(np.float32)
     if not label.size or label.min() == label.max():
         return None
