@@ -29,9 +29,9 @@ DEPTH = 5
 #: Entries of the broadcast tables at most: strings (12 bytes in 4.2 million places) and words (16 in half a million).
 HELD, HELD_WORDS = 2_000_000, 250_000
 #: Strings that a task sorts at a time while it counts.
-COUNT_BLOCK = 6_000_000
+COUNT_BLOCK = 3_000_000
 #: Strings whose deeper levels a task builds at a time.
-BUILD_BLOCK = 400_000
+BUILD_BLOCK = 200_000
 #: Depths up to NEAR are finished on the driver: at most 256**2 contexts of 255 nodes at depth 2, far fewer in text.
 NEAR = 2
 GRAM, WORD = 0, 1
