@@ -4,7 +4,8 @@ Two equal strings of ``length`` bytes hold the same smallest hash of their ``GRA
 ``length`` bytes is routed by that hash, runs of windows with one hash make a segment, and all windows that can
 be equal meet in one shard. A hash that occurs once, in a segment that holds it
 once, cannot repeat and is dropped; equal segments are reduced to one
-with a count before anything is moved. Each shard's segments are sorted by external induced sorting, and a window
+with a count before anything is moved. A hash whose segments exceed HOT_BYTES (those around a common header, say) is
+split: its segments are routed again, by strings twice as long and at last by whole windows. Each shard's segments are sorted by external induced sorting, and a window
 is repeated where its common prefix with a neighbour reaches ``length`` or where its segment occurs more than once.
 """
 
@@ -29,6 +30,8 @@ from gaugeline.llm.induced import repeated_starts
 GRAM = 32
 #: Bytes of segments that a shard is planned for; a larger shard is sorted too, through files.
 SHARD_BYTES = 2 << 20
+#: Bytes of distinct segments of one hash above which they are routed again by longer strings.
+HOT_BYTES = SHARD_BYTES
 #: Memory for the tuples of each queue of a shard's sort.
 SORT_BUDGET = 48 << 20
 #: Windows in a segment at most; a longer run (a text that repeats itself) is cut into several of the same hash.
@@ -138,9 +141,16 @@ def _sorted_shards(segments: DataFrame, length: int) -> DataFrame:
     """Sorts each partition's segments: (key, seg, runs) with the runs of repeated windows, for segments that have some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, bodies = [], []
+        keys, bodies, seen = [], [], set()
         for batch in batches:
-            if batch.num_rows:
+            # equal rows bring the same segments
+            fresh = []
+            for i, name in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if name not in seen:
+                    seen.add(name)
+                    fresh.append(i)
+            if fresh:
+                batch = batch.take(pa.array(fresh))
                 keys.append(batch.select(["key", "seg", "copies", "n"]))
                 bodies += batch.column(4).to_pylist()
         if not bodies:
@@ -224,6 +234,45 @@ def _without(joined: DataFrame, length: int, whole_characters: bool) -> DataFram
     return joined.mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def _repeated(scratch: Scratch, rows: DataFrame, length: int, gram: int, level: int = 0) -> DataFrame:
+    """Repeated windows of rows (row_a, row_b, text): (row_a, row_b, runs), a row for each segment that holds some."""
+    table = "{}-" + str(level)
+    spread = F.xxhash64("row_a", "row_b", "start")
+    routed = scratch.keep(_routed(rows, length, gram), table.format("routed"))
+    n_routed = routed.count()
+    keys = routed.groupBy("key").agg(F.count("*").alias("members"), F.max("twice").alias("repeats")).where("members > 1 or repeats").select("key", "members")
+    crowd = join_by_key(routed.drop("twice"), scratch.keep(keys, table.format("keys")), ["key"], n_routed, spread)
+    crowd = scratch.keep(crowd, table.format("crowd"))
+    scratch.drop(table.format("routed"), table.format("keys"))
+    unique = crowd.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("row_a", "row_b", "start", "n")).alias("rep"))
+    unique = scratch.keep(unique.select("key", "seg", "copies", "rep.*"), table.format("unique"))
+    # equal windows share their strings of any length too, so a hot hash's segments part exactly; whole windows end it
+    size = F.sum(F.col("n") + F.lit(length - 1))
+    hot = unique.groupBy("key").agg(F.count("*").alias("members"), size.alias("bytes")).where(F.col("bytes") > HOT_BYTES)
+    hot = None if gram == length else scratch.keep(hot.select("key", "members", F.lit(True).alias("hot")), table.format("hot"))
+    cold, deep = unique, None
+    if hot is not None and not hot.isEmpty():
+        marked = scratch.keep(join_by_key(unique, hot, ["key"], unique.count(), F.col("seg"), all_rows=True), table.format("marked"))
+        cold, deep = marked.where("hot is null").drop("hot"), marked.where("hot").drop("hot")
+
+    def cut(segments: DataFrame) -> DataFrame:
+        wanted = segments.groupBy("row_a", "row_b").agg(F.collect_list(F.struct("start", "n", "key", "seg", "copies")).alias("parts"))
+        return _cut(rows.join(wanted.hint("shuffle_hash"), ["row_a", "row_b"]).select("text", "parts"), length)
+
+    shards = max(1, math.ceil((cold.agg(size).first()[0] or 0) / SHARD_BYTES))
+    found = scratch.keep(_sorted_shards(cut(cold).repartition(shards, "key"), length), table.format("found"))
+    if deep is not None:
+        # segments are the next level's rows; those that occur more than once repeat from end to end
+        bodies = scratch.keep(cut(deep).select(F.col("key").alias("row_a"), F.col("seg").alias("row_b"), F.col("body").alias("text")), table.format("bodies"))
+        inner = _repeated(scratch, bodies, length, min(2 * gram, length), level + 1).withColumnsRenamed({"row_a": "key", "row_b": "seg"})
+        whole = deep.where("copies > 1").select("key", "seg", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("runs"))
+        inner = inner.unionByName(whole).groupBy("key", "seg").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+        found = found.unionByName(inner)
+    found = found.join(unique.select("key", "seg", F.col("copies").alias("members")), ["key", "seg"])
+    spans = join_by_key(crowd, scratch.keep(found, table.format("runs")), ["key", "seg"], n_routed, spread)
+    return spans.select("row_a", "row_b", F.expr("transform(runs, x -> struct(x.a + start as a, x.b + start as b))").alias("runs"))
+
+
 def remove_repeats(
     spark: SparkSession,
     docs: DataFrame,
@@ -254,24 +303,7 @@ def remove_repeats(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**62))).alias("row_a"),
         F.xxhash64(text, F.col(id_col).isNull()).alias("row_b"),
     )
-    every = _routed(base, length, gram)
-    routed = scratch.keep(every, "routed")
-    n_routed = routed.count()
-    keys = routed.groupBy("key").agg(F.count("*").alias("members"), F.max("twice").alias("repeats")).where("members > 1 or repeats").select("key", "members")
-    crowd = join_by_key(routed.drop("twice"), scratch.keep(keys, "keys"), ["key"], n_routed, F.xxhash64("row_a", "row_b", "start"))
-    crowd = scratch.keep(crowd, "crowd")
-    scratch.drop("routed", "keys")
-    unique = crowd.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("row_a", "row_b", "start", "n")).alias("rep"))
-    unique = scratch.keep(unique.select("key", "seg", "copies", "rep.*"), "unique")
-    volume = unique.agg(F.sum(F.col("n") + F.lit(length - 1))).first()[0] or 0
-    shards = max(1, math.ceil(volume / SHARD_BYTES))
-    wanted = unique.groupBy("row_a", "row_b").agg(F.collect_list(F.struct("start", "n", "key", "seg", "copies")).alias("parts"))
-    # equal rows are cut once: the segments would only meet themselves
-    source = base.select("row_a", "row_b", "text")
-    cut = _cut(source.join(wanted.hint("shuffle_hash"), ["row_a", "row_b"]).select("text", "parts"), length)
-    found = scratch.keep(_sorted_shards(cut.repartition(shards, "key"), length), "found")
-    found = found.join(unique.select("key", "seg", F.col("copies").alias("members")), ["key", "seg"])
-    spans = join_by_key(crowd, scratch.keep(found, "runs"), ["key", "seg"], n_routed, F.xxhash64("row_a", "row_b", "start")).select("row_a", "row_b", F.expr("transform(runs, x -> struct(x.a + start as a, x.b + start as b))").alias("runs"))
+    spans = _repeated(scratch, base.select("row_a", "row_b", "text"), length, gram)
     per_row = spans.groupBy("row_a", "row_b").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("spans"))
     joined = base.join(per_row.hint("shuffle_hash"), ["row_a", "row_b"], "left").select("id", *carry, "text", "spans")
     return _without(joined, length, whole_characters)

@@ -88,6 +88,31 @@ def test_against_brute_force(spark):
         assert run(spark, texts, length=length, gram=gram) == brute(texts, length)
 
 
+def test_hot_hashes_are_split(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from gaugeline.llm import suffix_dedup
+
+    rng = np.random.default_rng(5)
+    noise = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    # a header one byte shorter than a window, among ever different texts; some windows around it do repeat
+    header = noise(49)
+    texts = [noise(60) + header + noise(60) for _ in range(300)]
+    texts += [texts[0], texts[1][:90] + "!", "x" * 70, "x" * 90]
+    sizes, sort = [], suffix_dedup._sorted_shards
+
+    def spy(segments, length):
+        sizes.extend(r[1] for r in segments.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("body"))).collect())
+        return sort(segments, length)
+
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 4000, raising=False)
+    monkeypatch.setattr(suffix_dedup, "_sorted_shards", spy)
+    assert run(spark, texts, length=50, gram=8) == brute(texts, 50)
+    # unsplit, the header's segments make one shard beyond this
+    assert max(sizes) < 12_000
+
+
 def test_real_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = docs.orderBy("doc_id").collect()
