@@ -22,3 +22,19 @@ def sample_by(rows: DataFrame, group: str, key: str, each: int, most: int) -> Da
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))])
     place = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return rows.where(F.col(group).isin(list(counts))).where(place < share[F.col(group)]).limit(most)
+
+
+def sample_every(rows: DataFrame, group: str, key: str, text: str, each: int, most: int, few: int) -> DataFrame:
+    """Rows of every value of ``group``, chosen by a hash of ``key``, or of ``text`` where the key is null.
+
+    About ``each`` rows a value; where that makes more than ``most`` in all, fewer, but ``few`` at least, so the total
+    grows with the values and none is left out.
+    """
+    counts = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return rows.limit(0)
+    want = min(each, max(few, most // len(counts)))
+    share = rows.sparkSession.createDataFrame([(k, min(1.0, want / n)) for k, n in counts.items()], f"`{group}` string, _share double")
+    hashed = F.when(F.col(key).isNull(), F.xxhash64(F.col(text), F.lit("sample"))).otherwise(F.xxhash64(F.col(key), F.lit("sample")))
+    place = F.pmod(hashed, F.lit(1_000_003)) / F.lit(1_000_003.0)
+    return rows.join(F.broadcast(share), group).where(place < F.col("_share")).select(*rows.columns)

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeline.llm._split import bucket, sample_by
+from gaugeline.llm._split import bucket, sample_every
 from gaugeline.llm._text import chunks
 
 DIM = 4096
-#: Centroids for each language, training texts for each language and in all, languages at most.
-CENTROIDS, EACH, MOST = 4, 600, 12_000
+#: Centroids for each language; training texts for each language, in all, and for each where languages are many.
+CENTROIDS, EACH, MOST, FEW = 4, 600, 12_000, 100
 #: A text is rejected below this share of the cosine that all but one in a thousand of the training texts reach.
 REJECT = 0.5
 #: A text shorter than this many bytes gives too little evidence to be rejected by distance.
@@ -85,9 +85,13 @@ class LanguageModel:
 
 
 def fit(texts: DataFrame, lang_col: str = "lang", text_col: str = "text", key: str = "doc_id", each: int = EACH, most: int = MOST, centroids: int = CENTROIDS) -> LanguageModel | None:
-    """Learns from a sample of about ``each`` rows for each non-null language, ``most`` in all; None if there are none."""
+    """Learns every non-null language from a sample of about ``each`` rows; None if there are none.
+
+    With more than ``most // each`` languages the rows for each go down to FEW at least, and from there the sample grows
+    with the languages. Only one language's rows are dense at a time.
+    """
     rows = texts.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    sample = sample_by(rows, "lang", "key", each, most).select("lang", "text")
+    sample = sample_every(rows, "lang", "key", "text", each, most, FEW).select("lang", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,17 +108,22 @@ def fit(texts: DataFrame, lang_col: str = "lang", text_col: str = "text", key: s
     use = [i for i, w in enumerate(got["cells"]) if w]
     if not use:
         return None
-    x = np.zeros((len(use), DIM), dtype=np.float32)
-    for r, i in enumerate(use):
-        x[r, np.frombuffer(got["cells"][i], np.int16)] = np.frombuffer(got["counts"][i], np.float32)
+    cells = [np.frombuffer(got["cells"][i], np.int16) for i in use]
+    counts = [np.frombuffer(got["counts"][i], np.float32) for i in use]
     lang = np.array([got["lang"][i] for i in use])
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.01
-    x = _weighted(x, idf)
+    df = np.zeros(DIM, dtype=np.int64)
+    for c in cells:
+        df[c] += 1
+    idf = np.log((1 + len(use)) / (1 + df)).astype(np.float32) + 0.01
     names = sorted(set(lang.tolist()))
     rng = np.random.default_rng(17)
     cents, owner, least = [], [], []
     for k, name in enumerate(names):
-        own = x[lang == name]
+        mine = np.flatnonzero(lang == name)
+        own = np.zeros((len(mine), DIM), dtype=np.float32)
+        for r, i in enumerate(mine):
+            own[r, cells[i]] = counts[i]
+        own = _weighted(own, idf)
         c = own[rng.permutation(len(own))[: min(centroids, len(own))]].copy()
         for _ in range(12):
             near = (own @ c.T).argmax(axis=1)

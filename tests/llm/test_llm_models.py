@@ -37,6 +37,29 @@ def test_language_rows(spark, model):
     assert {r.lang_pred for r in langid.identify(df, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(4)
+    rows, letters = [], "abcdefghijklmnopqrstuvwxyz"
+    for k in range(26):
+        # each language has its own five letters; the last ones are the rarest, one has no ids
+        own = [letters[(k * 3 + j * (k % 4 + 1)) % 26] for j in range(5)]
+        rows += [(None if k == 25 else len(rows) + i, " ".join("".join(rng.choice(own, 4)) for _ in range(30)), f"l{k:02d}") for i in range(40 - k)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.languages == [f"l{k:02d}" for k in range(26)]
+    got = langid.identify(df, model).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got if r.lang >= "l20"]) > 0.9
+
+
+def test_many_languages_share_the_sample(spark):
+    from gaugeline.llm._split import sample_every
+
+    df = spark.range(8000).selectExpr("if(id % 2 = 0, id, null) as key", "cast(id % 4 as string) as lang", "concat('t', id) as text").union(spark.sql("select 1L, 'rare', 'x'"))
+    for each, most, few, want in ((100, 10_000, 10, 100), (100, 200, 10, 40), (100, 20, 10, 10)):
+        got = {r.lang: r["count"] for r in sample_every(df, "lang", "key", "text", each, most, few).groupBy("lang").count().collect()}
+        assert got.pop("rare") == 1 and len(got) == 4 and all(want / 4 < n < want * 2.5 for n in got.values())
+
+
 def test_language_counts_stay_inside_documents():
     data = np.frombuffer("abcÉté".encode() + b"abc", dtype=np.uint8)
     at = np.array([0, len(data) - 3, len(data)])
