@@ -63,9 +63,9 @@ def _signs(shingle: int) -> np.ndarray:
 class BenchmarkIndex:
     """Items with distinct word sequences, their shingles' places, weights, fingerprints and block tables."""
 
-    def __init__(self, items: list[tuple[int, str]], shingle: int = SHINGLE, similarity: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int | None, str]], shingle: int = SHINGLE, similarity: float = SIMILARITY):
         self.similarity = similarity
-        self.ids: list[list[int]] = []
+        self.ids: list[list[int | None]] = []
         self.bags: list[Counter] = []
         self.length: list[int] = []
         self.size: list[int] = []
@@ -130,7 +130,7 @@ class BenchmarkIndex:
             high += w * max(a[s], b[s])
         return low / high if high else 0.0
 
-    def matches(self, hashes: np.ndarray, runs: dict[int, np.ndarray], hits: dict[int, np.ndarray]) -> list[tuple[int, int, float]]:
+    def matches(self, hashes: np.ndarray, runs: dict[int, np.ndarray], hits: dict[int, np.ndarray]) -> list[tuple[int | None, int, float]]:
         """(item, first word, similarity) for the best window of each item in one document, and the items equal to it."""
         windows = set()
         for size, at in hits.items():
@@ -148,7 +148,7 @@ class BenchmarkIndex:
                     # sums of weights may fall short of a threshold met exactly by their last digits
                     if sim >= self.similarity - 1e-9 and (i not in best or (sim, -start) > (best[i][0], -best[i][1])):
                         best[i] = (sim, start)
-        return sorted((item, start, sim) for i, (sim, start) in best.items() for item in self.ids[i])
+        return sorted(((item, start, sim) for i, (sim, start) in best.items() for item in self.ids[i]), key=lambda x: (x[0] is None, x[0] or 0, *x[1:]))
 
     def scan(self, data: np.ndarray, at: np.ndarray) -> list[list[tuple[int, int, float]]]:
         """The matches of each document of a chunk."""
@@ -188,7 +188,7 @@ def find_contamination(
 
     Words are runs of letters and digits (bytes from 128 count as letters, A-Z are lower-cased). An item of fewer than
     ``shingle`` words counts as one shingle; items without words match nothing, equal items all match. Null texts
-    match nothing. The benchmark is read in blocks of about ``index_bytes`` bytes, so what is sent to the executors
+    match nothing; an item without an id is matched like any other, with a null item. The benchmark is read in blocks of about ``index_bytes`` bytes, so what is sent to the executors
     at a time is bounded whatever its size; all other columns of ``docs`` are kept.
     """
     docs = docs.drop(name)
@@ -201,9 +201,9 @@ def find_contamination(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     item_type = pa.list_(pa.struct([("item", pa.int64()), ("word", pa.int64()), ("similarity", pa.float64())]))
     for b in range(blocks):
-        own = benchmark.where(F.col(item_id).isNotNull()).where(F.pmod(F.xxhash64(item_id, item_text), F.lit(blocks)) == b)
-        items = [(int(r[0]), r[1]) for r in own.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")).collect()]
-        index = spark.sparkContext.broadcast(BenchmarkIndex(sorted(items, key=lambda x: (x[0], x[1] or "")), shingle, similarity))
+        own = benchmark.where(F.pmod(F.xxhash64(item_id, item_text), F.lit(blocks)) == b)
+        items = [(None if r[0] is None else int(r[0]), r[1]) for r in own.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")).collect()]
+        index = spark.sparkContext.broadcast(BenchmarkIndex(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")), shingle, similarity))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -97,3 +97,12 @@ def test_short_items(n):
     index = d.BenchmarkIndex([(7, " ".join("abcd"[:n]))])
     raw = np.frombuffer(b"x a b c d y", dtype=np.uint8)
     assert bool(index.scan(raw, np.array([0, len(raw)]))[0]) is (n > 0)
+
+
+def test_items_without_an_id(spark):
+    text = "one two three four five six seven eight"
+    bench = spark.createDataFrame([(None, text), (None, "nine ten eleven twelve thirteen"), (3, text), (None, None)], "item_id long, text string")
+    df = spark.createDataFrame([(1, "so " + text), (2, "nine ten eleven twelve thirteen"), (3, "clean words only in this text")], "doc_id long, text string")
+    for size in (1 << 20, 40):
+        got = {r.doc_id: [m.item for m in r.matches] for r in d.find_contamination(spark, df, bench, index_bytes=size).collect()}
+        assert sorted(got[1], key=str) == [3, None] and got[2] == [None] and got[3] == []
