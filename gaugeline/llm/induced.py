@@ -8,6 +8,10 @@ order. Tuples (position, common prefix with the tuple before) wait in a priority
 and are taken out and processed a block at a time.
 
 Common prefixes are carried up to ``cap``; suffixes equal that far may stand in any order.
+
+Every array that grows with the text (bytes, symbols, types, names, seeds, flags) comes from ``Files``: beyond its
+budget it is a memory-mapped file, and such arrays are made and read a block at a time. In memory are the queues' budget,
+a few blocks, one number for each string, and the base case of at most ``base_case`` names.
 """
 
 from __future__ import annotations
@@ -24,6 +28,65 @@ import numpy as np
 BLOCK = 1 << 17
 
 
+class Files:
+    """Hands out arrays: in memory up to ``budget`` bytes each, beyond it in nameless files in ``folder``."""
+
+    def __init__(self, folder: str | None, budget: int):
+        self.folder, self.budget = folder, budget
+        #: bytes that went to files
+        self.mapped = 0
+
+    def new(self, n: int, dtype) -> np.ndarray:
+        """An array of n zeros."""
+        size = n * np.dtype(dtype).itemsize
+        if size <= self.budget:
+            return np.zeros(n, dtype)
+        self.mapped += size
+        with tempfile.TemporaryFile(dir=self.folder) as file:
+            return np.memmap(file, dtype, "w+", shape=(n,))
+
+    def where(self, flags: np.ndarray) -> np.ndarray:
+        """Places of the true values."""
+        out = self.new(sum(int(np.count_nonzero(flags[i : i + BLOCK])) for i in range(0, len(flags), BLOCK)), np.int64)
+        at = 0
+        for i in range(0, len(flags), BLOCK):
+            got = np.flatnonzero(flags[i : i + BLOCK]) + i
+            out[at : at + len(got)] = got
+            at += len(got)
+        return out
+
+    def rank(self, keys: np.ndarray) -> np.ndarray:
+        """Dense ranks from 0 of 64-bit keys; beyond the budget by sorted runs in files, merged a block at a time."""
+        n, out = len(keys), self.new(len(keys), np.int64)
+        if keys.nbytes <= self.budget:
+            out[:] = np.unique(keys, return_inverse=True)[1]
+            return out
+        run = max(1024, self.budget // 16)
+        key, who = self.new(n, np.uint64), self.new(n, np.int64)
+        for i in range(0, n, run):
+            order = np.argsort(keys[i : i + run], kind="stable")
+            key[i : i + run], who[i : i + run] = np.asarray(keys[i : i + run])[order], order + i
+        heads = np.arange(0, n, run)
+        ends = np.minimum(heads + run, n)
+        piece = max(64, run // len(heads))
+        last, rank = None, -1
+        while len(heads):
+            # all keys up to the least last key of the runs' next pieces are at hand
+            stops = np.minimum(heads + piece, ends)
+            bound = min(int(key[b - 1]) for b in stops)
+            cuts = np.array([a + int(np.searchsorted(key[a:b], np.uint64(bound), side="right")) for a, b in zip(heads, stops, strict=True)])
+            k = np.concatenate([key[a:b] for a, b in zip(heads, cuts, strict=True)])
+            w = np.concatenate([who[a:b] for a, b in zip(heads, cuts, strict=True)])
+            order = np.argsort(k, kind="stable")
+            k = k[order]
+            new = np.concatenate([[last is None or int(k[0]) != last], k[1:] != k[:-1]])
+            step = np.cumsum(new) + rank
+            out[w[order]] = step
+            last, rank = int(k[-1]), int(step[-1])
+            heads, ends = cuts[cuts < ends], ends[cuts < ends]
+        return out
+
+
 class SpillQueue:
     """A priority queue of (bucket, insertion order) -> (position, common prefix).
 
@@ -99,50 +162,93 @@ class SpillQueue:
         self._file.close()
 
 
-def _types(t: np.ndarray) -> np.ndarray:
+def _types(t: np.ndarray, files: Files) -> np.ndarray:
     """True where the suffix is of S type; the last symbol is a terminator and of S type."""
     n = len(t)
-    at = np.where(t[:-1] != t[1:], np.arange(n - 1), n)
-    at = np.minimum.accumulate(at[::-1])[::-1]
-    out = np.ones(n, dtype=bool)
-    ok = at < n
-    idx = at[ok]
-    out[:-1][ok] = t[idx] < t[idx + 1]
+    out = files.new(n, bool)
+    out[n - 1] = True
+    for b in range(n - 1, 0, -BLOCK):
+        a = max(0, b - BLOCK)
+        x = np.asarray(t[a : b + 1])
+        k = b - a
+        at = np.where(x[:-1] != x[1:], np.arange(k), k)
+        at = np.minimum.accumulate(at[::-1])[::-1]
+        kind = np.full(k, bool(out[b]))
+        ok = at < k
+        kind[ok] = x[at[ok]] < x[at[ok] + 1]
+        out[a:b] = kind
     return out
 
 
-def _names(t: np.ndarray, s_type: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _names(t: np.ndarray, s_type: np.ndarray, start: np.ndarray, end: np.ndarray, files: Files) -> np.ndarray:
     """Order-preserving names 1.. of the S* substrings t[start..end], both ends included.
 
-    A symbol counts as 2 * symbol + type, so no substring is a proper prefix of another.
+    A symbol counts as 2 * symbol + type, so no substring is a proper prefix of another. As many symbols as fit into 64
+    bits are ranked at a time; substrings that go on are ranked by their name so far and their next symbols.
     """
-    bits = int(2 * int(t.max()) + 1).bit_length()
+    most = max(int(t[i : i + BLOCK].max()) for i in range(0, len(t), BLOCK))
+    bits = (2 * most + 1).bit_length()
     per = max(1, 63 // bits)
-    key = np.zeros(len(start), dtype=np.uint64)
-    for k in range(per):
-        at = np.minimum(start + k, end)
-        sym = (t[at].astype(np.uint64) << np.uint64(1)) | s_type[at]
-        key = (key << np.uint64(bits)) | np.where(start + k <= end, sym, np.uint64(0))
-    _, name = np.unique(key, return_inverse=True)
-    long = np.flatnonzero(end - start >= per)
-    if not len(long):
-        return name + 1
-    wide = ((t.astype(np.uint64) << np.uint64(1)) | s_type).astype(">u8" if bits > 32 else ">u4")
-    tails = [(int(n), wide[a + per : b + 1].tobytes()) for n, a, b in zip(name[long], start[long], end[long], strict=True)]
-    rank = {x: i for i, x in enumerate(sorted(set(tails)))}
-    sub = np.array([rank[x] for x in tails])
-    # names of longer substrings are split by the rank of the rest; a name holds only such or none
-    first = np.zeros(name.max() + 2, dtype=np.int64)
-    parts = np.ones(name.max() + 1, dtype=np.int64)
-    owner = np.array([x[0] for x in sorted(rank, key=rank.get)])
-    owners, low, count = np.unique(owner, return_index=True, return_counts=True)
-    parts[owners] = count
-    np.cumsum(parts, out=first[1:])
-    out = first[name]
-    base = np.zeros(name.max() + 1, dtype=np.int64)
-    base[owners] = low
-    out[long] += sub - base[name[long]]
-    return out + 1
+
+    def packed(who: np.ndarray | None, done: int) -> np.ndarray:
+        n = len(start) if who is None else len(who)
+        out = files.new(n, np.uint64)
+        for i in range(0, n, BLOCK):
+            pick = slice(i, min(n, i + BLOCK)) if who is None else who[i : i + BLOCK]
+            a, b = start[pick] + done, end[pick]
+            key = np.zeros(len(a), dtype=np.uint64)
+            for k in range(per):
+                at = np.minimum(a + k, b)
+                sym = (t[at].astype(np.uint64) << np.uint64(1)) | s_type[at]
+                key = (key << np.uint64(bits)) | np.where(a + k <= b, sym, np.uint64(0))
+            out[i : i + len(a)] = key
+        return out
+
+    name = files.rank(packed(None, 0))
+    done = per
+    long = files.new(len(start), bool)
+    for i in range(0, len(start), BLOCK):
+        long[i : i + BLOCK] = end[i : i + BLOCK] - start[i : i + BLOCK] >= done
+    who = files.where(long)
+    while len(who):
+        # substrings of one name go on all or none, so each such name is split by the ranks of what follows
+        both = files.rank(packed(who, done)).view(np.uint64)
+        for i in range(0, len(who), BLOCK):
+            both[i : i + BLOCK] |= name[who[i : i + BLOCK]].astype(np.uint64) << np.uint64(32)
+        sub = files.rank(both)
+        top = max(int(name[i : i + BLOCK].max()) for i in range(0, len(name), BLOCK)) + 1
+        low, count = files.new(top, np.int64), files.new(top, np.int64)
+        low[:] = len(who)
+        for i in range(0, len(who), BLOCK):
+            n, k = name[who[i : i + BLOCK]], sub[i : i + BLOCK]
+            np.minimum.at(low, n, k)
+            np.maximum.at(count, n, k + 1)
+        # how many names come before each: those that are not split count once
+        first = files.new(top, np.int64)
+        before = 0
+        for i in range(0, top, BLOCK):
+            size = np.where(count[i : i + BLOCK] > 0, count[i : i + BLOCK] - low[i : i + BLOCK], 1)
+            first[i : i + BLOCK] = np.cumsum(size) - size + before
+            before += int(size.sum())
+        extra = files.new(len(who), np.int64)
+        for i in range(0, len(who), BLOCK):
+            extra[i : i + BLOCK] = sub[i : i + BLOCK] - low[name[who[i : i + BLOCK]]]
+        for i in range(0, len(name), BLOCK):
+            name[i : i + BLOCK] = first[name[i : i + BLOCK]]
+        done += per
+        on = files.new(len(who), bool)
+        for i in range(0, len(who), BLOCK):
+            pick = who[i : i + BLOCK]
+            name[pick] += extra[i : i + BLOCK]
+            on[i : i + BLOCK] = end[pick] - start[pick] >= done
+        kept = files.where(on)
+        new = files.new(len(kept), np.int64)
+        for i in range(0, len(kept), BLOCK):
+            new[i : i + BLOCK] = who[kept[i : i + BLOCK]]
+        who = new
+    for i in range(0, len(name), BLOCK):
+        name[i : i + BLOCK] += 1
+    return name
 
 
 def _doubling(r: np.ndarray, cap: int) -> np.ndarray:
@@ -174,15 +280,17 @@ def _doubling(r: np.ndarray, cap: int) -> np.ndarray:
     return order[r[order] != 0]
 
 
-def _neighbour_lcp(raw: np.ndarray, left: np.ndarray, pos: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix, up to cap, of each suffix with the one before it. raw: the bytes; left: bytes to the terminator."""
+def _neighbour_lcp(word: np.ndarray, stops: np.ndarray, pos: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefix, up to cap, of each suffix with the one before it.
+
+    word: the eight bytes from each place on; stops: places of the terminators.
+    """
     out = np.zeros(len(pos), dtype=np.int64)
     if len(pos) < 2:
         return out
-    padded = np.concatenate([raw, np.zeros(cap + 16, np.uint8)])
-    word = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), shape=(len(padded) - 7,), strides=(1,))
+    left = stops[np.searchsorted(stops, pos)] - pos
     a, b, todo = pos[:-1].copy(), pos[1:].copy(), np.arange(1, len(pos))
-    most = np.minimum(np.minimum(left[a], left[b]), cap)
+    most = np.minimum(np.minimum(left[:-1], left[1:]), cap)
     done = 0
     while len(todo):
         x = word[a + done] ^ word[b + done]
@@ -224,7 +332,7 @@ class _Inducer:
     def __init__(self, t: np.ndarray, queue: SpillQueue, sign: int, cap: int, carry: bool):
         self.t, self.queue, self.sign, self.cap, self.carry = t, queue, sign, cap, carry
         #: least common prefix since the last tuple handed on to a bucket
-        self.since: np.ndarray | None = np.zeros(int(t.max()) + 1, dtype=np.int64) if carry else None
+        self.since: np.ndarray | None = np.zeros(max(int(t[i : i + BLOCK].max()) for i in range(0, len(t), BLOCK)) + 1, dtype=np.int64) if carry else None
         self.own: list = []
 
     def start(self, bucket: int) -> None:
@@ -292,45 +400,79 @@ def induced_sort(
     just before. raw: one byte for each symbol, where common prefixes are wanted; without it they are 0.
     Up to ``budget`` bytes of tuples stay in memory for each queue, the rest lies in files in ``folder``.
     Strings of names longer than ``base_case`` are sorted by recursion, shorter ones in memory.
-    Returns figures: levels of recursion and bytes spilled.
+    Arrays of more than ``budget`` bytes lie there too.
+    Returns figures: levels of recursion, bytes of tuples spilled, bytes of arrays in files.
     """
     carry = raw is not None
     n = len(t)
-    stats = {"levels": 1, "spilled": 0}
-    stops = np.flatnonzero(t == 0)[1:]
+    stats = {"levels": 1, "spilled": 0, "mapped": 0}
+    files = Files(folder, budget)
+    ends = files.new(n, bool)
+    for i in range(0, n, BLOCK):
+        ends[i : i + BLOCK] = t[i : i + BLOCK] == 0
+    stops = files.where(ends)[1:]
+    del ends
     if n <= 1 or not len(stops):
         return stats
     kind = np.uint8 if cap < 256 else np.int64
-    s_type = _types(t)
-    star = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    star = star[t[star - 1] > 0]
-    inner = t[star] > 0
-    if inner.any():
-        at = np.flatnonzero(inner)
-        names = np.zeros(len(star), dtype=np.int64)
-        names[at] = _names(t, s_type, star[at], star[at + 1])
-        r = np.concatenate([[0], names])
+    s_type = _types(t, files)
+    leads = files.new(n, bool)
+    for i in range(1, n, BLOCK):
+        j = min(n, i + BLOCK)
+        leads[i:j] = s_type[i:j] & ~s_type[i - 1 : j - 1] & (np.asarray(t[i - 1 : j - 1]) > 0)
+    star = files.where(leads)
+    del leads
+    inner = files.new(len(star), bool)
+    for i in range(0, len(star), BLOCK):
+        inner[i : i + BLOCK] = t[star[i : i + BLOCK]] > 0
+    at = files.where(inner)
+    if len(at):
+        start, end = files.new(len(at), np.int64), files.new(len(at), np.int64)
+        for i in range(0, len(at), BLOCK):
+            start[i : i + BLOCK], end[i : i + BLOCK] = star[at[i : i + BLOCK]], star[at[i : i + BLOCK] + 1]
+        named = _names(t, s_type, start, end, files)
+        del start, end
+        r = files.new(len(star) + 1, np.int64)
+        for i in range(0, len(at), BLOCK):
+            r[at[i : i + BLOCK] + 1] = named[i : i + BLOCK]
+        del named
+        seeds = files.new(len(at), np.int64)
         if len(r) <= base_case:
-            order = _doubling(r, cap)
+            order = _doubling(np.asarray(r), cap)
+            for i in range(0, len(order), BLOCK):
+                seeds[i : i + BLOCK] = star[order[i : i + BLOCK] - 1]
+            del order
         else:
-            got: list[np.ndarray] = []
-            more = induced_sort(r, lambda p, _: got.append(p.copy()), cap, folder, budget, base_case)
+            left = [len(at)]
+
+            def place(p: np.ndarray, _) -> None:
+                # the recursion hands out the largest suffix first
+                left[0] -= len(p)
+                seeds[left[0] : left[0] + len(p)] = star[p[::-1] - 1]
+
+            more = induced_sort(r, place, cap, folder, budget, base_case)
             stats["levels"] += more["levels"]
             stats["spilled"] += more["spilled"]
-            order = np.concatenate(got)[::-1]
-        seeds = star[order - 1]
+            stats["mapped"] += more["mapped"]
+        del r
     else:
         seeds = star[:0]
+    del star, inner, at, s_type
+    seed_lcp = files.new(len(seeds), kind)
     if carry:
-        size = np.diff(np.concatenate([[0], stops]))
-        left = np.zeros(n, dtype=np.int32 if n < 1 << 31 else np.int64)
-        left[1:] = np.repeat(stops, size) - np.arange(1, n)
-        seed_lcp = _neighbour_lcp(raw, left, seeds, cap).astype(kind)
-        del left
-    else:
-        seed_lcp = np.zeros(len(seeds), dtype=kind)
-    heads = t[seeds]
-    seed_at = dict(zip(*((np.unique(heads)).tolist(), np.searchsorted(heads, np.unique(heads)).tolist()), strict=True)) if len(seeds) else {}
+        padded = files.new(n + cap + 16, np.uint8)
+        for i in range(0, n, BLOCK):
+            padded[i : min(n, i + BLOCK)] = raw[i : i + BLOCK]
+        word = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), shape=(len(padded) - 7,), strides=(1,))
+        for i in range(0, len(seeds), BLOCK):
+            a = max(0, i - 1)
+            seed_lcp[i : i + BLOCK] = _neighbour_lcp(word, stops, np.asarray(seeds[a : i + BLOCK]), cap)[i - a :].astype(kind)
+        del word, padded
+    seed_at: dict[int, int] = {}
+    for i in range(0, len(seeds), BLOCK):
+        heads = t[seeds[i : i + BLOCK]]
+        for j in np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]])):
+            seed_at.setdefault(int(heads[j]), i + int(j))
     bounds = sorted(seed_at.items())
     seed_range = {c: (i, bounds[k + 1][1] if k + 1 < len(bounds) else len(seeds)) for k, (c, i) in enumerate(bounds)}
     waiting = sorted(seed_range, reverse=True)
@@ -378,6 +520,7 @@ def induced_sort(
                 push.feed(pos, lcp, own=False)
     stats["spilled"] += lo_queue.spilled + kept.spilled
     lo_queue.close()
+    stats["mapped"] += files.mapped
     del seeds, seed_lcp
 
     # S types, descending; then the bucket's L types, descending
@@ -430,18 +573,53 @@ def induced_sort(
     return stats
 
 
-def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Spool:
+    """Collects the strings of a shard as ``0 s1 0 s2 0 ...``; beyond the budget their bytes go to a file as they come."""
+
+    def __init__(self, files: Files):
+        self.files, self.sizes, self.held, self.bytes = files, [], [np.zeros(1, np.uint8)], 1
+        self._file = None
+
+    def add(self, data: np.ndarray, at: np.ndarray) -> None:
+        """Strings data[at[i]:at[i + 1]]."""
+        size = np.diff(at)
+        out = np.zeros(len(data) + len(size), dtype=np.uint8)
+        out[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data
+        self.sizes.append(size)
+        self.held.append(out)
+        self.bytes += len(out)
+        if sum(map(len, self.held)) > self.files.budget:
+            self._file = self._file or tempfile.TemporaryFile(dir=self.files.folder)
+            for x in self.held:
+                self._file.write(x.tobytes())
+            self.held = []
+
+    def close(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols, bytes, start of each string); a symbol is its byte + 1, and 0 closes a string."""
+        if self._file is None:
+            raw = np.concatenate(self.held)
+        else:
+            for x in self.held:
+                self._file.write(x.tobytes())
+            self._file.flush()
+            with self._file as file:
+                raw = np.memmap(file, np.uint8, "r", shape=(self.bytes,))
+            self.files.mapped += self.bytes
+        size = np.concatenate([np.zeros(0, np.int64), *self.sizes])
+        start = np.concatenate([[0], np.cumsum(size + 1)])[:-1] + 1
+        t = self.files.new(self.bytes, np.uint16)
+        for i in range(0, self.bytes, BLOCK):
+            t[i : i + BLOCK] = raw[i : i + BLOCK].astype(np.uint16) + np.uint16(1)
+        t[0] = 0
+        t[start + size] = 0
+        return t, raw, start
+
+
+def layout(texts: list[bytes], folder: str | None = None, budget: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, bytes, start of each text) of ``0 s1 0 s2 0 ...``; a symbol is its byte + 1."""
-    size = np.array([len(x) for x in texts], dtype=np.int64)
-    start = np.concatenate([[0], np.cumsum(size + 1)])[:-1] + 1
-    n = int(size.sum()) + len(texts) + 1
-    raw = np.frombuffer(b"\0" + b"".join(x + b"\0" for x in texts), dtype=np.uint8)
-    t = raw.astype(np.uint16) + np.uint16(1)
-    stop = np.zeros(n, dtype=bool)
-    stop[0] = True
-    stop[start + size] = True
-    t[stop] = 0
-    return t, raw, start
+    spool = Spool(Files(folder, budget))
+    spool.add(np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64))
+    return spool.close()
 
 
 def suffix_array(texts: list[bytes], cap: int = 200, **options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -456,10 +634,11 @@ def suffix_array(texts: list[bytes], cap: int = 200, **options) -> tuple[np.ndar
     return p, x, start
 
 
-def repeated_starts(texts: list[bytes], length: int, **options) -> tuple[np.ndarray, np.ndarray]:
-    """(flags, start of each text): flags[p] where the string of ``length`` symbols at p also starts elsewhere in texts."""
-    t, raw, start = layout(texts)
-    flag = np.zeros(len(t), dtype=bool)
+def repeated_starts(spool: Spool, length: int, **options) -> tuple[np.ndarray, np.ndarray, dict]:
+    """(flags, start of each string, figures): flags[p] where the string of ``length`` symbols at p also starts elsewhere."""
+    files = spool.files
+    t, raw, start = spool.close()
+    flag = files.new(len(t), bool)
     state = {"last": -1}
 
     def emit(pos: np.ndarray, lcp: np.ndarray) -> None:
@@ -471,5 +650,5 @@ def repeated_starts(texts: list[bytes], length: int, **options) -> tuple[np.ndar
                 flag[state["last"]] = True
         state["last"] = int(pos[-1])
 
-    induced_sort(t, emit, length, raw=raw, **options)
-    return flag, start
+    stats = induced_sort(t, emit, length, files.folder, files.budget, raw=raw, **options)
+    return flag, start, stats

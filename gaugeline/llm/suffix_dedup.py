@@ -2,18 +2,20 @@
 
 Two equal strings of ``length`` bytes hold the same smallest hash of their ``GRAM``-byte strings. So every window of
 ``length`` bytes is routed by that hash, runs of windows with one hash make a segment, and all windows that can
-be equal meet in one shard. A hash that occurs once, in a segment that holds it
-once, cannot repeat and is dropped; equal segments are reduced to one
-with a count before anything is moved. A hash whose segments exceed HOT_BYTES (those around a common header, say) is
-split: its segments are routed again, by strings twice as long and at last by whole windows. Each shard's segments are sorted by external induced sorting, and a window
-is repeated where its common prefix with a neighbour reaches ``length`` or where its segment occurs more than once.
+be equal meet in one shard. A hash that occurs once, in a segment that holds it once, cannot repeat and is dropped;
+equal segments are reduced to one with a count before anything is moved. A hash whose segments exceed HOT_BYTES (those
+around a common header, say) is split: its segments are routed again, by strings twice as long and at last by whole
+windows. Each shard's segments are sorted by external induced sorting, and a window is repeated where its common prefix
+with a neighbour reaches ``length`` or where its segment occurs more than once.
+
+Shards are small next to a partition: a task sorts its partition by shard (Spark spills that), then takes one shard after
+another, so partitions may hold hundreds of MB and their number does not follow the number of shards. A shard's bytes,
+symbols, types, names, seeds and flags lie in memory-mapped files beyond SORT_BUDGET, its tuples in queues that spill.
 """
 
 from __future__ import annotations
 
 import math
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,19 +23,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeline.llm._skew import join_by_key
-from gaugeline.llm._store import Scratch
-from gaugeline.llm._text import _M_INV, BYTE_HASH, U64, chunks, powers, prefix_hash, span_hash
-from gaugeline.llm.induced import repeated_starts
+from gaugeline.llm._store import Scratch, partitions
+from gaugeline.llm._text import _M_INV, BYTE_HASH, U64, chunks, powers, prefix_hash, span_hash, string_buffers
+from gaugeline.llm.induced import Files, Spool, repeated_starts
 
 GRAM = 32
 #: Bytes of segments that a shard is planned for; a larger shard is sorted too, through files.
 SHARD_BYTES = 2 << 20
+#: Bytes of segments in a partition, a run of shards, at most on average.
+PARTITION_BYTES = 256 << 20
 #: Bytes of distinct segments of one hash above which they are routed again by longer strings.
 HOT_BYTES = SHARD_BYTES
-#: Memory for the tuples of each queue of a shard's sort.
-SORT_BUDGET = 48 << 20
+#: Memory for the tuples of each queue of a shard's sort, and for each of its arrays; the rest lies in files.
+SORT_BUDGET = 1 << 20
+#: Strings of names that a shard's sort orders in memory, about 100 bytes a name; longer ones are sorted by recursion.
+BASE_CASE = 2 << 20
 #: Windows in a segment at most; a longer run (a text that repeats itself) is cut into several of the same hash.
 RUN = 4096
 
@@ -137,33 +144,19 @@ def _cut(wanted: DataFrame, length: int) -> DataFrame:
     return wanted.mapInArrow(run, "key long, seg long, copies long, n int, body binary")
 
 
-def _sorted_shards(segments: DataFrame, length: int) -> DataFrame:
-    """Sorts each partition's segments: (key, seg, runs) with the runs of repeated windows, for segments that have some."""
+def _sorted_shards(segments: DataFrame, length: int, shards: int, spread: int) -> DataFrame:
+    """Sorts the segments of each shard: (key, seg, runs) with the runs of repeated windows, for segments that have some.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, bodies, seen = [], [], set()
-        for batch in batches:
-            # equal rows bring the same segments
-            fresh = []
-            for i, name in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if name not in seen:
-                    seen.add(name)
-                    fresh.append(i)
-            if fresh:
-                batch = batch.take(pa.array(fresh))
-                keys.append(batch.select(["key", "seg", "copies", "n"]))
-                bodies += batch.column(4).to_pylist()
-        if not bodies:
-            return
-        folder = tempfile.mkdtemp(prefix="induced-")
-        try:
-            flag, start = repeated_starts(bodies, length, folder=folder, budget=SORT_BUDGET)
-        finally:
-            shutil.rmtree(folder, ignore_errors=True)
-        meta = pa.Table.from_batches(keys)
+    segments: (key, seg, copies, n, body), each (key, seg) once. A hash's segments lie in one shard, shards in one
+    partition of ``spread`` each. A task holds one shard's names and counts at a time; its bytes are spooled.
+    """
+    dealt = segments.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(spread, "shard").sortWithinPartitions("shard")
+    budget, base_case = SORT_BUDGET, BASE_CASE
+
+    def sort(held: list[pa.RecordBatch], spool: Spool) -> Iterator[pa.RecordBatch]:
+        meta = pa.Table.from_batches(held)
         n = meta["n"].to_numpy()
-        size = np.array([len(b) for b in bodies])
-        del bodies
+        flag, start, _ = repeated_starts(spool, length, base_case=base_case)
         # every window of a segment that occurs more than once is repeated
         for i in np.flatnonzero(meta["copies"].to_numpy() > 1):
             flag[start[i] : start[i] + n[i]] = True
@@ -171,7 +164,7 @@ def _sorted_shards(segments: DataFrame, length: int) -> DataFrame:
         a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         owner = np.searchsorted(start, a, side="right") - 1
         # a run that is flagged reaches at most to the segment's last window, so it has one owner
-        assert ((b - start[owner]) <= np.maximum(n[owner], size[owner])).all()
+        assert (b - start[owner] <= n[owner]).all()
         have = np.unique(owner)
         count = np.bincount(owner, minlength=len(n))[have]
         runs = pa.ListArray.from_arrays(
@@ -179,10 +172,28 @@ def _sorted_shards(segments: DataFrame, length: int) -> DataFrame:
             pa.StructArray.from_arrays([pa.array((a - start[owner]).astype(np.int32)), pa.array((b - start[owner]).astype(np.int32))], ["a", "b"]),
         )
         pick = pa.array(have)
-        out = pa.table({"key": meta["key"].take(pick), "seg": meta["seg"].take(pick), "runs": runs})
-        yield from out.to_batches(max_chunksize=5000)
+        yield from pa.table({"key": meta["key"].take(pick), "seg": meta["seg"].take(pick), "runs": runs}).to_batches(max_chunksize=5000)
 
-    return segments.mapInArrow(run, "key long, seg long, runs array<struct<a:int,b:int>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        shard, spool = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of = batch.column(5).to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if spool is None or of[a] != shard:
+                    if spool is not None:
+                        yield from sort(held, spool)
+                    shard, spool, held = of[a], Spool(Files(None, budget)), []
+                part = batch.slice(a, b - a)
+                spool.add(*string_buffers(part.column(4)))
+                held.append(part.select(["key", "seg", "copies", "n"]))
+        if spool is not None:
+            yield from sort(held, spool)
+
+    return dealt.select("key", "seg", "copies", "n", "body", "shard").mapInArrow(run, "key long, seg long, runs array<struct<a:int,b:int>>")
 
 
 def _cut_out(body: np.ndarray, a: np.ndarray, b: np.ndarray, whole_characters: bool) -> tuple[bytes, int, int]:
@@ -230,12 +241,13 @@ def _without(joined: DataFrame, length: int, whole_characters: bool) -> DataFram
                     [*carried, "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in carried)
-    return joined.mapInArrow(run, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
+    schema = T.StructType([f for f in joined.schema if f.name in carried])
+    schema = schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
+    return joined.mapInArrow(run, schema)
 
 
 def _repeated(scratch: Scratch, rows: DataFrame, length: int, gram: int, level: int = 0) -> DataFrame:
-    """Repeated windows of rows (row_a, row_b, text): (row_a, row_b, runs), a row for each segment that holds some."""
+    """Repeated windows of rows (row_a, row_b, text), each (row_a, row_b) once: (row_a, row_b, runs), a row for each segment that holds some."""
     table = "{}-" + str(level)
     spread = F.xxhash64("row_a", "row_b", "start")
     routed = scratch.keep(_routed(rows, length, gram), table.format("routed"))
@@ -259,8 +271,10 @@ def _repeated(scratch: Scratch, rows: DataFrame, length: int, gram: int, level:
         wanted = segments.groupBy("row_a", "row_b").agg(F.collect_list(F.struct("start", "n", "key", "seg", "copies")).alias("parts"))
         return _cut(rows.join(wanted.hint("shuffle_hash"), ["row_a", "row_b"]).select("text", "parts"), length)
 
-    shards = max(1, math.ceil((cold.agg(size).first()[0] or 0) / SHARD_BYTES))
-    found = scratch.keep(_sorted_shards(cut(cold).repartition(shards, "key"), length), table.format("found"))
+    volume = cold.agg(size).first()[0] or 0
+    shards = max(1, math.ceil(volume / SHARD_BYTES))
+    tasks = min(shards, max(partitions(rows.sparkSession), math.ceil(volume / PARTITION_BYTES)))
+    found = scratch.keep(_sorted_shards(cut(cold), length, shards, tasks), table.format("found"))
     if deep is not None:
         # segments are the next level's rows; those that occur more than once repeat from end to end
         bodies = scratch.keep(cut(deep).select(F.col("key").alias("row_a"), F.col("seg").alias("row_b"), F.col("body").alias("text")), table.format("bodies"))
@@ -287,23 +301,43 @@ def remove_repeats(
 
     Every byte covered by a string of ``length`` bytes that also starts anywhere else, in any document, is removed;
     strings are judged on the input and never cross documents. ``kept`` holds the remaining bytes; n_spans counts
-    maximal removed runs. A null text counts as empty; a null id and repeated ids or rows are rows like any other
-    (a row that occurs twice repeats itself). With ``whole_characters`` a removed run is narrowed to whole UTF-8
-    characters, so that ``kept`` is text. Columns other than those named are not read.
+    maximal removed runs. A null text counts as empty; a null id and repeated ids or rows are rows like any other.
+    A row (id and text) that occurs twice repeats itself, so all of it goes if it has ``length`` bytes; it takes part in
+    the search once. Very long texts are read in one piece, their segments are not longer than others. With
+    ``whole_characters`` a removed run is narrowed to whole UTF-8 characters, so that ``kept`` is text. Columns
+    other than those named are not read; carried ones may have any name but those of the result.
     """
     if not 1 <= gram <= length:
         raise ValueError("gram must lie between 1 and length")
+    added = ("id", "n_bytes", "n_removed", "n_spans", "kept")
+    if clash := {c.lower() for c in carry} & set(added):
+        raise ValueError(f"carried columns named as columns of the result: {sorted(clash)}")
     scratch = Scratch(spark, "suffix")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # a row is known by its id and a hash of its text; equal rows share all decisions
+    # a row is known by its id and a hash of its text
     base = docs.select(
         F.col(id_col).cast("long").alias("id"),
-        *carry,
+        (F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.lit(None).cast("int")).alias("carried"),
         text.alias("text"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**62))).alias("row_a"),
         F.xxhash64(text, F.col(id_col).isNull()).alias("row_b"),
     )
-    spans = _repeated(scratch, base.select("row_a", "row_b", "text"), length, gram)
-    per_row = spans.groupBy("row_a", "row_b").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("spans"))
-    joined = base.join(per_row.hint("shuffle_hash"), ["row_a", "row_b"], "left").select("id", *carry, "text", "spans")
-    return _without(joined, length, whole_characters)
+    row = ["row_a", "row_b"]
+    times = scratch.keep(base.groupBy(*row).agg(F.count("*").alias("members")).where("members > 1").withColumn("again", F.lit(True)), "times")
+    once, again = base, None
+    if not times.isEmpty():
+        marked = join_by_key(base, times, row, base.count(), F.monotonically_increasing_id(), all_rows=True)
+        once, again = marked.where("again is null").drop("again"), marked.where("again").drop("again")
+    distinct = once.select(*row, "text")
+    if again is not None:
+        # one text for each, combined before the shuffle
+        distinct = distinct.unionByName(scratch.keep(again.groupBy(*row).agg(F.first("text").alias("text")), "distinct"))
+    spans = _repeated(scratch, distinct, length, gram)
+    per_row = spans.groupBy(*row).agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("spans"))
+    joined = once.join(per_row.hint("shuffle_hash"), row, "left").select("id", "carried", "text", "spans")
+    if again is not None:
+        size = F.octet_length("text")
+        whole = F.when(size >= length, F.array(F.struct(F.lit(0).alias("a"), (size - F.lit(length - 1)).alias("b"))))
+        joined = joined.unionByName(again.select("id", "carried", "text", whole.alias("spans")))
+    out = _without(joined, length, whole_characters)
+    return out.select("id", *[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)], *added[1:])

@@ -101,9 +101,9 @@ def test_hot_hashes_are_split(spark, monkeypatch):
     texts += [texts[0], texts[1][:90] + "!", "x" * 70, "x" * 90]
     sizes, sort = [], suffix_dedup._sorted_shards
 
-    def spy(segments, length):
-        sizes.extend(r[1] for r in segments.groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("body"))).collect())
-        return sort(segments, length)
+    def spy(segments, length, shards, spread):
+        sizes.extend(r[1] for r in segments.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards))).agg(F.sum(F.octet_length("body"))).collect())
+        return sort(segments, length, shards, spread)
 
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
     monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 4000, raising=False)
@@ -128,6 +128,71 @@ def test_whole_characters(spark):
         assert bytes(r.kept).decode() in ("ê", "x")
 
 
+def test_a_shard_beyond_its_memory(tmp_path):
+    """Ten times the budget and more: arrays and tuples lie in files, names are sorted by recursion."""
+    rng = np.random.default_rng(6)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(300)]
+    texts = [b" ".join(words[k] for k in rng.integers(0, 300, 60)) for _ in range(700)]
+    texts += [x[40:200] + y[10:180] for x, y in zip(texts[:80], texts[80:160])] + [b"=" * 3000, b"=" * 90 + b"x"]
+    spool = induced.Spool(induced.Files(str(tmp_path), 20_000))
+    for i in range(0, len(texts), 50):
+        part = texts[i : i + 50]
+        spool.add(np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in part])]))
+    flag, start, stats = induced.repeated_starts(spool, 60, base_case=10_000)
+    assert stats["levels"] > 1 and stats["spilled"] > 10 * 20_000 and stats["mapped"] > 10 * 20_000
+    from collections import Counter
+
+    seen = Counter(x[p : p + 60] for x in texts for p in range(len(x) - 59))
+    want = {s + p for s, x in zip(start.tolist(), texts) for p in range(len(x) - 59) if seen[x[p : p + 60]] > 1}
+    assert len(want) > 5000 and set(np.flatnonzero(flag).tolist()) == want
+
+
+def test_ranks_from_files(tmp_path):
+    rng = np.random.default_rng(9)
+    for n, top in ((1, 5), (5000, 40), (30_000, 1 << 62)):
+        keys = rng.integers(0, top, n).astype(np.uint64)
+        files = induced.Files(str(tmp_path), 4000)
+        assert (np.asarray(files.rank(keys)) == np.unique(keys, return_inverse=True)[1]).all()
+
+
+def test_queries_spill(spark, tmp_path, monkeypatch):
+    """The query's own budget sends an ordinary shard's tuples and arrays to files."""
+    from gaugeline.llm import suffix_dedup
+
+    texts = [r.text.encode()[:2000] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").limit(1500).collect()]
+    spool = induced.Spool(induced.Files(str(tmp_path), suffix_dedup.SORT_BUDGET))
+    spool.add(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]))
+    stats = induced.repeated_starts(spool, 200, base_case=suffix_dedup.BASE_CASE)[2]
+    assert stats["spilled"] > 0 and stats["mapped"] > 0
+
+
+def test_very_many_equal_rows(spark):
+    """A table of one row 20 000 times: nothing grows with the square of the copies."""
+    text = " ".join(f"word{k}" for k in range(120))
+    df = spark.range(20_000).selectExpr("7L as doc_id", f"'{text}' as text", "id as other").unionByName(spark.createDataFrame([(8, "tail " + text[:400], 0), (9, "short", 1), (9, "short", 2)], "doc_id long, text string, other long"))
+    rows = remove_repeats(spark, df, length=200, carry=("other",)).collect()
+    assert len(rows) == 20_003 and len({r.other for r in rows if r.id == 7}) == 20_000
+    assert {(r.n_removed, r.n_spans, bytes(r.kept)) for r in rows if r.id == 7} == {(len(text), 1, b"")}
+    assert [(r.n_removed, bytes(r.kept)) for r in rows if r.id == 8] == [(400, b"tail ")]
+    assert [r.n_removed for r in rows if r.id == 9] == [0, 0]
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(3)
+    long = bytes(rng.integers(97, 123, 3_000_000).astype(np.uint8)).decode()
+    got = run(spark, [long, "x" * 400_000, long[1_000_000:1_000_500]])
+    assert [g[1:3] for g in got] == [(500, 1), (400_000, 1), (500, 1)]
+
+
+def test_columns_named_as_inside(spark):
+    names = ["row_a", "row_b", "spans", "runs", "carried", "key", "seg", "members", "again", "text2", "c0", "shard"]
+    df = spark.createDataFrame([(1, "abcdefghijkl" * 3, *range(12)), (2, "abcdefghijkl" * 3, *range(12))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    for r in remove_repeats(spark, df, length=12, gram=4, carry=tuple(names)).collect():
+        assert r.n_removed == 36 and [r[n] for n in names] == list(range(12))
+    with pytest.raises(ValueError, match="carried"):
+        remove_repeats(spark, df.withColumn("kept", df.c0), length=12, gram=4, carry=("kept",))
+
+
 def test_rows(spark):
     long = "abcdefghij" * 3
     # null ids, repeated rows, and columns named as inside
