@@ -16,8 +16,8 @@ def words(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
 
-def brute(text, item, weight, unknown):
-    """Best weighted Jaccard over all windows of the item's length."""
+def brute(text, item):
+    """Best weighted Jaccard over all windows of the item's length; a shingle weighs its words' bytes."""
     from collections import Counter
 
     w, q = words(text), words(item)
@@ -26,9 +26,9 @@ def brute(text, item, weight, unknown):
     size = min(5, len(q))
     bag = lambda x: Counter(tuple(x[k : k + size]) for k in range(len(x) - size + 1))
     b, best = bag(q), 0.0
+    get = lambda g: sum(len(x.encode()) for x in g)
     for s in range(max(1, len(w) - len(q) + 1)):
         a = bag(w[s : s + len(q)])
-        get = lambda g: weight.get(g, unknown)
         low = sum(get(g) * min(a[g], b[g]) for g in a.keys() | b.keys())
         high = sum(get(g) * max(a[g], b[g]) for g in a.keys() | b.keys())
         best = max(best, low / high if high else 0)
@@ -55,21 +55,26 @@ def test_passages(spark):
 def test_against_brute_force(spark):
     rng = np.random.default_rng(4)
     vocab = [f"w{k}" for k in range(40)]
-    items = [(k, " ".join(rng.choice(vocab, rng.integers(8, 30)))) for k in range(25)]
+    items = [(k, " ".join(rng.choice(vocab, rng.integers(8, 50)))) for k in range(25)]
     texts = []
     for _ in range(60):
         core = words(items[rng.integers(25)][1])
         for _ in range(rng.integers(0, 3)):
-            core[rng.integers(len(core))] = "zz"
+            # near an end few shingles change, so that similarities lie around the threshold
+            core[min(int(rng.integers(6)), len(core) - 1) * (1 if rng.random() < 0.5 else -1)] = "zz"
         texts.append(" ".join([*rng.choice(vocab, rng.integers(0, 20)), *core, *rng.choice(vocab, rng.integers(0, 20))]))
-    from collections import Counter
-
-    df = Counter(g for _, t in items for g in {tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)})
-    weight = {g: float(np.log1p(len(items) / c)) for g, c in df.items()}
-    unknown = float(np.log1p(len(items)))
-    want = {i: [k for k, t in items if brute(text, t, weight, unknown) >= 0.8 - 1e-9] for i, text in enumerate(texts)}
+    sims = {(i, k): brute(text, t) for i, text in enumerate(texts) for k, t in items}
+    want = {i: [k for k, _ in items if sims[i, k] >= 0.8 - 1e-9] for i in range(len(texts))}
     assert sum(map(bool, want.values())) > 10
-    assert found(spark, texts, items) == want
+    # many texts lie just below or above the threshold
+    assert sum(0.7 < x < 0.8 for x in sims.values()) > 5 and sum(0.8 <= x < 0.9 for x in sims.values()) > 5
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda size: {r.doc_id: r.matches for r in d.find_contamination(spark, docs, bench, index_bytes=size).collect()}
+    got = rows(4 << 20)
+    assert {i: [m.item for m in x] for i, x in got.items()} == want
+    assert all(m.similarity == pytest.approx(sims[i, m.item], abs=1e-12) for i, x in got.items() for m in x)
+    # the size of a block of the index changes nothing, to the last digit
+    assert rows(1500) == got and rows(200) == got
 
 
 def test_blocks_find_all_within_the_radius():
@@ -80,7 +85,18 @@ def test_blocks_find_all_within_the_radius():
         flip = rng.choice(d.BITS, rng.integers(0, 80), replace=False)
         code[flip] ^= 1
         near = [i for i, c in enumerate(index.codes) if (np.unpackbits(c) ^ code).sum() <= d.RADIUS]
-        assert index.within(np.packbits(code)) == near
+        (group,) = index.groups
+        assert [group.number[k] for k in group.within(np.packbits(code)[None])[1]] == near
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    fox = ITEMS[0][1]
+    text = "filler word " * 40_000 + fox + " filler word" * 40_000 + " " + fox
+    df = spark.createDataFrame([(1, text, 5, "m", None), (2, "clean", 6, None, [1])], "doc_id long, text string, maybe int, matches string, item array<int>")
+    for size in (4 << 20, 60):
+        got = {r.doc_id: r for r in d.find_contamination(spark, df, spark.createDataFrame(ITEMS, "item_id long, text string"), index_bytes=size).collect()}
+        assert [(m.item, m.word, m.similarity) for m in got[1].matches] == [(1, 80_000, 1.0), (6, 80_000, 1.0)]
+        assert got[2].matches == [] and (got[1].maybe, got[2].maybe, got[2].item) == (5, 6, [1])
 
 
 def test_rows(spark):
