@@ -25,3 +25,18 @@ def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], total: int,
     if not all_rows:
         both = both.where(F.col("_got").isNotNull())
     return both.select(*rows.columns, *[F.col(f"_got.{c}").alias(c) for c in values])
+
+
+def join_salted(rows: DataFrame, table: DataFrame, key: str, total: int, spread_by: Column) -> DataFrame:
+    """rows joined with ``table``, one row for each key, whose values may be large (texts).
+
+    The table's row of a key that many rows have is copied, once for each HOT_KEYS-th part of all rows, and the key's rows
+    are dealt over the copies: of the values nothing is broadcast, and there are 2 * HOT_KEYS further copies at most.
+    total: the number of rows.
+    """
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    hot = F.broadcast(counts.select(key, F.ceil(F.col("_n") / least).cast("int").alias("_copies")))
+    dealt = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_copies")).cast("int"), F.lit(0))).drop("_copies")
+    copies = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")

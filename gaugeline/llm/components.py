@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm._skew import join_by_key
 from gaugeline.llm._store import Scratch
 
 
@@ -18,7 +19,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
 
     Each step rewires every edge to the smallest neighbour, so the graph turns into stars in a number of
     rounds that grows with the logarithm of its size. A node's neighbours are only ever reduced by ``min``
-    (combined before the shuffle) and joined back, so a node with very many edges is never gathered in a task.
+    (combined before the shuffle) and joined back; the edges of a node that has very many are dealt by their other end.
     Self-loops and repeated edges are allowed; null ends are ignored. An empty table gives an empty result.
     """
     now = (
@@ -33,12 +34,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
         k += 1
         # large star: each node's larger neighbours move to its smallest neighbour
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = now.select(F.col("u").alias("big"), F.col("v").alias("u")).join(low, "u").select(F.col("big").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("members")).select("u", F.least("u", "m").alias("m"), "members")
+        large = join_by_key(now.select(F.col("u").alias("big"), F.col("v").alias("u")), low, ["u"], before[0], F.col("big")).select(F.col("big").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # small star: each node's smaller neighbours, and itself, move to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("members"))
+        small = join_by_key(large, low, ["u"], before[0], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = scratch.keep(small.where("u <> v").distinct(), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         after = _size(now)

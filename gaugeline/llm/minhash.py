@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeline.llm._skew import join_by_key
+from gaugeline.llm._skew import join_by_key, join_salted
 from gaugeline.llm._store import Scratch
 from gaugeline.llm._text import U64, chunks, mix64, shingle_hashes, word_hashes
 from gaugeline.llm.components import connected_components
@@ -95,13 +95,19 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, n
         yield lo, hi, (np.concatenate(parts) if parts else sh[:0]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, text); id and text_hash identify a text, also where ids are null or repeated."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, n_shingles, set_a, set_b, bands, sketch): two 64-bit hashes of the whole set, a key for each band, a byte for each slot."""
+    """(id, text_hash, n_shingles, set_a, set_b, bands, sketch): two 64-bit hashes of the whole set, a key for each band, a byte for each slot."""
     slots = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, x, by in _sets(batch.column(1), size):
+            for lo, hi, x, by in _sets(batch.column(2), size):
                 sig = superminhash(x, by, slots)
                 code = mix64(sig.view(U64))
                 keys = np.zeros((hi - lo, bands), dtype=U64)
@@ -119,17 +125,25 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
+                        batch.column(1).slice(lo, hi - lo),
                         pa.array(n),
                         pa.array(sums[0].view(np.int64)),
                         pa.array(sums[1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int64))),
                         pa.array([s.tobytes() for s in sketch], pa.binary()),
                     ],
-                    ["id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                    ["id", "text_hash", "n_shingles", "set_a", "set_b", "bands", "sketch"],
                 )
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary")
+    return _identified(docs, id_col, text_col).mapInArrow(run, "id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary")
+
+
+def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """Pairs (a, b) with the value of either end; pairs of a document that has very many (a bucket's centre) are dealt out."""
+    total = pairs.count()
+    for end, other in (("a", "b"), ("b", "a")):
+        pairs = join_salted(pairs, table.select(F.col("id").alias(end), F.col(value).alias(f"of_{end}")), end, total, F.col(other))
+    return pairs.select("a", "b", "of_a", "of_b")
 
 
 def _promising(pairs: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
@@ -142,8 +156,7 @@ def _promising(pairs: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
                 keep = pa.array((x == y).mean(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    both = pairs.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, sketch, "sketch").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -167,8 +180,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, texts, "text").mapInArrow(run, "a long, b long")
 
 
 def _open_pairs(now: DataFrame, texts: DataFrame, first: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
@@ -255,32 +267,44 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """One row per document: (id, n_shingles, component_id, kept).
+    """One row per input row: (id, n_shingles, component_id, kept, text_hash).
 
     A document's set holds its distinct runs of ``shingle_words`` words (A-Z lower-cased); fewer words make one
     shingle, none (or a null text) an empty set that is linked with nothing. Documents are linked where
-    100 * intersection >= percent * union; component_id is the smallest id reachable over links.
+    100 * intersection >= percent * union; component_id is the smallest id reachable over links. ``kept`` marks the
+    one document of each component that has this id. text_hash (xxhash64 of the text, null as "") is returned so that
+    results can be joined back where ids do not identify rows.
+
+    Every row is a document of its own. A null id never names a component unless all its ids are null, which makes
+    component_id null; of rows with one id each text counts, and where several in a component have the smallest id
+    one of them is kept. Very long texts are read whole. Other columns of ``docs`` are not read.
 
-    Documents with equal sets form a class first (a hash aggregate, combined before the shuffle), and only the
-    class's smallest id goes on. Buckets of a band never emit all their pairs: in each round a member is tested
+    Documents with equal sets form a class first (a hash aggregate, combined before the shuffle), and only one
+    of each class goes on. Buckets of a band never emit all their pairs: in each round a member is tested
     against one member of each of its buckets, and members that links already join are not tested again. What
     is left in different components after STAR_ROUNDS then meets within its buckets, block by block, on finer
     signatures, and pairs near the threshold are verified. So a link can only be missed where two sets share no
-    band or their signatures mislead by four standard deviations. Rows with a null id
-    are dropped; a repeated id counts as a class of its copies. Other columns of ``docs`` are not read.
+    band or their signatures mislead by four standard deviations.
     """
     scratch = Scratch(spark, "minhash")
-    sig = scratch.keep(signatures(docs, id_col, text_col, shingle_words, bands, rows).where("id is not null"), "signatures")
+    # rows are told apart by a number that is given once, when the table is written; from here on it is called id
+    sig = signatures(docs, id_col, text_col, shingle_words, bands, rows).withColumnRenamed("id", "doc").withColumn("id", F.monotonically_increasing_id())
+    sig = scratch.keep(sig, "signatures")
     filled = sig.where("n_shingles > 0")
-    klass = filled.groupBy(*SET_KEY).agg(F.min("id").alias("rep"), F.count("*").alias("members"))
-    first = filled.join(klass.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    first = scratch.keep(first.select("id", "n_shingles", "bands", "sketch"), "first")
+    # the order of documents: the smallest id, null ids last
+    klass = filled.groupBy(*SET_KEY).agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "id", "text_hash")).alias("least"), F.count("*").alias("members"))
+    klass = scratch.keep(klass.select(*SET_KEY, "members", F.col("least.id").alias("rep"), "least"), "classes")
+    first = filled.join(klass.select(F.col("rep").alias("id")), "id", "left_semi")
+    first = scratch.keep(first.select("id", "doc", "text_hash", "n_shingles", "bands", "sketch"), "first")
     member = first.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     crowd = member.withColumn("others", F.count("*").over(Window.partitionBy("key"))).where("others > 1")
     hits = scratch.keep(crowd.select("key", "id", "n"), "hits")
     busy = hits.select("id").distinct()
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = scratch.keep(source.join(busy.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    # a text is found again by its id and hash; rows that share both have one set, so one of them is a class's first at most
+    wanted = first.join(busy, "id", "left_semi").select("id", F.coalesce("doc", F.lit(-(2**62))).alias("by_doc"), F.col("doc").isNull().alias("no_doc"), "text_hash")
+    source = _identified(docs, id_col, text_col).select(F.coalesce("id", F.lit(-(2**62))).alias("by_doc"), F.col("id").isNull().alias("no_doc"), "text_hash", "text")
+    texts = source.join(wanted.hint("shuffle_hash"), ["by_doc", "no_doc", "text_hash"])
+    texts = scratch.keep(texts.groupBy("id").agg(F.first("text").alias("text")), "texts")
     sketch = first.select("id", "sketch")
 
     labels = busy.select("id", F.col("id").alias("component"))
@@ -313,10 +337,18 @@ def near_duplicates(
         merged = connected_components(links.select("src", "dst") if k else links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, f"cc{k}")
         labels = scratch.keep(labels.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component")), f"labels-{k}")
 
-    grouped = klass.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*SET_KEY, "members", F.coalesce("component", "rep").alias("component_id"))
+    grouped = klass.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     grouped = scratch.keep(grouped, "grouped")
-    rows = sig.select("id", *SET_KEY)
-    joined = join_by_key(rows, grouped, SET_KEY, rows.count(), F.col("id"), all_rows=True)
-    out = joined.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    best = grouped.groupBy("component").agg(F.min("least").alias("best"), F.count("*").alias("members"))
+    several = best.where("members > 1")
+    named = join_by_key(grouped.select(*SET_KEY, "component", "least", F.col("members").alias("copies")), several, ["component"], grouped.count(), F.xxhash64(*SET_KEY), all_rows=True)
+    named = named.select(*SET_KEY, F.col("copies").alias("members"), F.coalesce("best", "least").alias("best"))
+    named = scratch.keep(named.select(*SET_KEY, "members", F.col("best.doc").alias("component_id"), F.col("best.id").alias("keeper")), "named")
+    rows = sig.select("id", "doc", "text_hash", *SET_KEY)
+    joined = join_by_key(rows, named, SET_KEY, rows.count(), F.col("id"), all_rows=True)
+    alone = F.col("n_shingles") == 0
+    out = joined.select(
+        F.col("doc").alias("id"), "n_shingles", F.when(alone, F.col("doc")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("keeper") == F.col("id"))).alias("kept"), "text_hash"
+    )
     scratch.drop("texts", "open", "fine")
-    return out.withColumn("kept", F.col("id") == F.col("component_id"))
+    return out

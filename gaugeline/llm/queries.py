@@ -35,7 +35,7 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark, _table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
-    return out.withColumnRenamed("id", "doc_id")
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

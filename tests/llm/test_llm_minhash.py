@@ -67,12 +67,34 @@ def test_documents(spark):
 
 
 def test_rows(spark):
-    df = spark.createDataFrame([(None, "a b c", 1), (5, "a b c", 2), (5, "a b c", 3), (3, "A  b\tc", 4), (9, None, 5)], "doc_id long, text string, bands int")
-    got = sorted((r.id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark, df, shingle_words=2).collect())
-    assert got == [(3, 2, 3, True), (5, 2, 3, False), (5, 2, 3, False), (9, 0, 9, True)]
+    rows = [(None, "a b c", 1), (5, "a b c", 2), (5, "a b c", 3), (3, "A  b\tc", 4), (9, None, 5), (7, "x y z", 6), (7, "q r s", 7), (None, "only null ids", 8), (None, "only null ids", 9), (8, "x y z", 10), (3, "a b c", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bands int").selectExpr("*", "1 as id", "2 as doc", "3 as text_hash", "4 as component", "5 as least")
+    got = sorted(((r.id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark, df, shingle_words=2).collect()), key=str)
+    want = [(None, 2, 3, False), (5, 2, 3, False), (5, 2, 3, False), (3, 2, 3, True), (3, 2, 3, False), (9, 0, 9, True), (7, 2, 7, True), (7, 2, 7, True), (8, 2, 7, False), (None, 2, None, True), (None, 2, None, False)]
+    assert got == sorted(want, key=str)
     assert minhash.near_duplicates(spark, df.limit(0)).count() == 0
 
 
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(7)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 60_000)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:57_000], "new"])), (3, " ".join(base[:30_000])), (4, "y " * 200_000), (5, "Y " * 3)]
+    assert run(spark, rows, shingle_words=2) == brute(rows)
+
+
+def test_hubs_are_dealt_out(spark, monkeypatch):
+    """A bucket's centre with very many pairs, and a node with very many edges, whatever counts as many."""
+    from gaugeline.llm import _skew
+
+    monkeypatch.setattr(_skew, "HOT_ROWS", 3)
+    monkeypatch.setattr(_skew, "HOT_KEYS", 20)
+    rng = np.random.default_rng(11)
+    rows = list(enumerate(near_copies(rng, [f"v{k}" for k in range(60)], 90, 0.1)))
+    assert run(spark, rows, shingle_words=2) == brute(rows)
+    star = spark.createDataFrame([(0, k) for k in range(1, 60)] + [(100, 101)], "src long, dst long")
+    assert {r.id: r.component for r in connected_components(star, Scratch(spark, "t")).collect()} == {**dict.fromkeys(range(60), 0), 100: 100, 101: 100}
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 3000, dtype=np.uint64)
