@@ -5,27 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeline.llm._names import fresh
+
 
 def bucket(id_col: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; null for a null id."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))
 
 
-def sample_by(rows: DataFrame, group: str, key: str, each: int, most: int) -> DataFrame:
-    """About ``each`` rows of every value of ``group``, chosen by a hash of ``key``; never more than ``most`` in all.
-
-    The counts are one combined aggregate and the choice is a filter, so no group is gathered anywhere.
-    """
-    counts = {r[group]: r["n"] for r in rows.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(max(1, most // each)).collect()}
-    if not counts:
-        return rows.limit(0)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))])
-    place = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return rows.where(F.col(group).isin(list(counts))).where(place < share[F.col(group)]).limit(most)
-
-
-def sample_every(rows: DataFrame, group: str, key: str, text: str, each: int, most: int, few: int) -> DataFrame:
-    """Rows of every value of ``group``, chosen by a hash of ``key``, or of ``text`` where the key is null.
+def sample_every(rows: DataFrame, group: str, key: str, text: str | None, each: int, most: int, few: int) -> DataFrame:
+    """Rows of every value of ``group`` (strings), chosen by a hash of ``key``, or of ``text`` where the key is null.
 
     About ``each`` rows a value; where that makes more than ``most`` in all, fewer, but ``few`` at least, so the total
     grows with the values and none is left out.
@@ -34,7 +23,10 @@ def sample_every(rows: DataFrame, group: str, key: str, text: str, each: int, mo
     if not counts:
         return rows.limit(0)
     want = min(each, max(few, most // len(counts)))
-    share = rows.sparkSession.createDataFrame([(k, min(1.0, want / n)) for k, n in counts.items()], f"`{group}` string, _share double")
-    hashed = F.when(F.col(key).isNull(), F.xxhash64(F.col(text), F.lit("sample"))).otherwise(F.xxhash64(F.col(key), F.lit("sample")))
+    part, grp = fresh(rows, "share", "of")
+    share = rows.sparkSession.createDataFrame([(k, min(1.0, want / n)) for k, n in counts.items()], f"{grp} string, {part} double")
+    hashed = F.xxhash64(F.col(key), F.lit("sample"))
+    if text is not None:
+        hashed = F.when(F.col(key).isNull(), F.xxhash64(F.col(text), F.lit("sample"))).otherwise(hashed)
     place = F.pmod(hashed, F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return rows.join(F.broadcast(share), group).where(place < F.col("_share")).select(*rows.columns)
+    return rows.join(F.broadcast(share), F.col(group) == F.col(grp)).where(place < F.col(part)).select(*rows.columns)

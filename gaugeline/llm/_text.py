@@ -83,12 +83,13 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def chunks(column: pa.Array, target: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yields (first row, last row + 1, bytes, offsets) for runs of whole documents."""
+def chunks(column: pa.Array, target: int = CHUNK, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Yields (first row, last row + 1, bytes, offsets) for runs of whole documents, ``most`` at a time if given."""
     data, at = string_buffers(column)
     n, lo = len(at) - 1, 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + target, side="right")) - 1)
+        hi = hi if most is None else min(hi, lo + most)
         yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 

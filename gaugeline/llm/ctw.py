@@ -26,7 +26,7 @@ from gaugeline.llm._store import Scratch, partitions
 from gaugeline.llm._text import U64, chunks, word_hashes
 
 DEPTH = 5
-#: Entries of the broadcast tables at most: strings (12 bytes in 4.2 million places) and words (16 in half a million).
+#: Entries of the broadcast tables at most: strings (16 bytes in 4.2 million places) and words (16 in half a million).
 HELD, HELD_WORDS = 2_000_000, 250_000
 #: Strings that a task sorts at a time while it counts.
 COUNT_BLOCK = 3_000_000
@@ -330,7 +330,7 @@ def _commonest(table: DataFrame, most: int) -> int:
 
 
 def score(spark: SparkSession, docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", held: int = HELD, held_words: int = HELD_WORDS) -> DataFrame:
-    """One row per input row: (id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte).
+    """One row per input row: (id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, n_bytes).
 
     Learns from the rows where ``learn`` is true (null: not) and scores all rows, whole texts; a null text counts
     as empty. Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end. base_score sums
@@ -354,7 +354,7 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column, id_col: str = "do
         return Table(got["code"].to_numpy().view(U64), got["value"].to_numpy())
 
     gram_least, word_least = _commonest(model, held), _commonest(words, held_words)
-    grams = spark.sparkContext.broadcast(table(model, F.col("value").cast("float"), gram_least))
+    grams = spark.sparkContext.broadcast(table(model, F.col("value"), gram_least))
     vocab = spark.sparkContext.broadcast(table(words, F.log10(F.col("n") + F.lit(0.1)), word_least))
     end = float(np.log10(learned + 0.1))
 
@@ -408,11 +408,11 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column, id_col: str = "do
     return done.select("row", "id", "learn", "n_bytes", "n_tokens").join(parts, "row").select(
         "id",
         (~F.col("learn")).alias("held_out"),
-        "n_bytes",
         "n_tokens",
         (F.col("k") + F.lit(1 if learned else 0)).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("w") + F.lit(end) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
         F.col("g").alias("score"),
         (-F.col("g") / F.lit(float(np.log10(2))) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        "n_bytes",
     )

@@ -2,8 +2,7 @@
 
 A text becomes a vector of hashed byte n-grams (letters lower-cased, everything else a blank), weighted by TF-IDF and
 normalised. Each language has several centroids, found by spherical k-means. A text takes the language of the centroid
-with the largest cosine, and is rejected where it is not short and that cosine is far below what the language's
-own texts reach.
+with the largest cosine, and is rejected where that cosine is far below what training texts of its length reach.
 """
 
 from __future__ import annotations
@@ -15,17 +14,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeline.llm._split import bucket, sample_every
+from gaugeline.llm._store import Scratch
 from gaugeline.llm._text import chunks
 
 DIM = 4096
 #: Centroids for each language; training texts for each language, in all, and for each where languages are many.
 CENTROIDS, EACH, MOST, FEW = 4, 600, 12_000, 100
-#: A text is rejected below this share of the cosine that all but one in a thousand of the training texts reach.
-REJECT = 0.5
-#: A text shorter than this many bytes gives too little evidence to be rejected by distance.
-SURE = 100
+#: A text is rejected below REJECT times the cosine that all but LOWEST of the training texts and pieces of its length reach.
+REJECT, LOWEST = 0.6, 0.01
+#: Lengths are told apart by powers of two. Each training text counts in its own class and gives one piece to every
+#: class from PIECES on below it; a class of fewer than ENOUGH takes the limit of the next shorter one.
+LENGTHS, PIECES, ENOUGH = 24, 4, 50
+#: Documents whose counts are dense at a time.
+DENSE = 512
 
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -64,6 +68,29 @@ def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(norm, 1e-12)
 
 
+def _length(n_bytes: np.ndarray) -> np.ndarray:
+    """The class of each length."""
+    return np.minimum(np.frexp(n_bytes.astype(np.float64))[1], LENGTHS - 1)
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """The text, and a piece from its middle for each shorter class of lengths, in whole characters."""
+    yield raw
+    for k in range(PIECES, min(LENGTHS, int(_length(np.array([len(raw)]))[0]))):
+        size = 3 << (k - 2)
+        a = (len(raw) - size) // 2
+        yield raw[a : a + size].decode("utf-8", "ignore").encode()
+
+
+def _limits(best: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """The least accepted cosine of each length class; shorter texts are never asked for more than longer ones."""
+    own, out = _length(n_bytes), np.zeros(LENGTHS)
+    for k in range(1, LENGTHS):
+        mine = best[own == k]
+        out[k] = max(out[k - 1], REJECT * float(np.quantile(mine, LOWEST))) if len(mine) >= ENOUGH else out[k - 1]
+    return out
+
+
 def _letters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether each text holds a letter of any script."""
     have = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
@@ -75,7 +102,7 @@ def _letters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """idf weights, unit centroids, the language of each centroid and each language's least accepted cosine."""
+    """idf weights, unit centroids, the language of each centroid and each length's least accepted cosine."""
 
     languages: list[str]
     idf: np.ndarray
@@ -92,10 +119,11 @@ def fit(texts: DataFrame, lang_col: str = "lang", text_col: str = "text", key: s
     """
     rows = texts.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     sample = sample_every(rows, "lang", "key", "text", each, most, FEW).select("lang", "text")
+    sample = Scratch(texts.sparkSession, "langid").keep(sample, "sample")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in chunks(batch.column(1)):
+            for lo, hi, data, at in chunks(batch.column(1), most=DENSE):
                 counts, letter = _counts(data, at), _letters(data, at)
                 where, value = [], []
                 for i in range(hi - lo):
@@ -110,14 +138,17 @@ def fit(texts: DataFrame, lang_col: str = "lang", text_col: str = "text", key: s
         return None
     cells = [np.frombuffer(got["cells"][i], np.int16) for i in use]
     counts = [np.frombuffer(got["counts"][i], np.float32) for i in use]
-    lang = np.array([got["lang"][i] for i in use])
+    # the sample's order does not matter to the model
+    order = sorted(range(len(use)), key=lambda i: (got["lang"][use[i]], got["cells"][use[i]], got["counts"][use[i]]))
+    cells, counts = [cells[i] for i in order], [counts[i] for i in order]
+    lang = np.array([got["lang"][use[i]] for i in order])
     df = np.zeros(DIM, dtype=np.int64)
     for c in cells:
         df[c] += 1
     idf = np.log((1 + len(use)) / (1 + df)).astype(np.float32) + 0.01
     names = sorted(set(lang.tolist()))
     rng = np.random.default_rng(17)
-    cents, owner, least = [], [], []
+    cents, owner = [], []
     for k, name in enumerate(names):
         mine = np.flatnonzero(lang == name)
         own = np.zeros((len(mine), DIM), dtype=np.float32)
@@ -131,18 +162,30 @@ def fit(texts: DataFrame, lang_col: str = "lang", text_col: str = "text", key: s
                 if (near == j).any():
                     mean = own[near == j].sum(axis=0)
                     c[j] = mean / max(float(np.sqrt((mean * mean).sum())), 1e-12)
-        best = (own @ c.T).max(axis=1)
         cents.append(c)
         owner += [k] * len(c)
-        least.append(REJECT * float(np.quantile(best, 0.001)))
-    return LanguageModel(names, idf, np.concatenate(cents), np.array(owner), np.array(least))
+    model = LanguageModel(names, idf, np.concatenate(cents), np.array(owner), np.zeros(LENGTHS))
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                parts = pa.array(list(_pieces(text.encode())), pa.binary())
+                for _, _, data, at in chunks(parts):
+                    use = _letters(data, at)
+                    best = (_weighted(_counts(data, at), model.idf) @ model.centroids.T).max(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(best[use].astype(np.float64)), pa.array(np.diff(at)[use])], ["best", "size"])
+
+    reached = sample.mapInArrow(reach, "best double, size long").toArrow()
+    model.least = _limits(reached["best"].to_numpy(), reached["size"].to_numpy())
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """Adds the predicted language, its cosine (0 to 1) and whether the text is rejected to every row.
 
     A null text, or one without a letter of any script, is ``und`` with score 0 and rejected; with no model all are.
-    Texts are read whole, a chunk of documents at a time; all columns of ``docs`` but those of the given names are kept.
+    Texts are read whole, however long, DENSE documents at a time; repeated rows get values equal to single precision. All columns of
+    ``docs`` but those of the given names, which are replaced, are kept.
     """
     docs = docs.drop(*names)
     place = docs.columns.index(text_col)
@@ -150,7 +193,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(place)
-            for lo, hi, data, at in chunks(column.cast(pa.string())):
+            for lo, hi, data, at in chunks(column.cast(pa.string()), most=DENSE):
                 lang = np.full(hi - lo, "und", dtype=object)
                 score, out = np.zeros(hi - lo), np.ones(hi - lo, dtype=bool)
                 if model is not None:
@@ -161,12 +204,12 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
                     top = cos[np.arange(hi - lo), best].astype(np.float64)
                     lang[letter] = np.array(model.languages, dtype=object)[owner[letter]]
                     score[letter] = np.clip(top, 0, 1)[letter]
-                    out = ~letter | ((top < model.least[owner]) & (np.diff(at) >= SURE))
+                    out = ~letter | (top < model.least[_length(np.diff(at))])
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(out)], [*batch.schema.names, *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double, {names[2]} boolean")
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *map(T.StructField, names, kinds)]))
 
 
 def learned_rows(id_col: str = "doc_id") -> Column:

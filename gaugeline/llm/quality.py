@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gaugeline.llm._split import sample_by
+from gaugeline.llm._split import sample_every
+from gaugeline.llm._store import Scratch
 from gaugeline.llm._text import chunks
 
 WIDTH, STRIDE, DEPTH, FILTERS = 12, 4, 8, 32
@@ -23,8 +25,8 @@ WIDTH, STRIDE, DEPTH, FILTERS = 12, 4, 8, 32
 CHUNK_WINDOWS, HOP_WINDOWS = 512, 448
 #: Labelled rows to learn from: about EACH of either label. Passes over them, documents in a step.
 EACH, EPOCHS, STEP = 1000, 10, 16
-#: Bytes of a text to learn from at most: with EACH it bounds what comes to the driver. Scoring has no such bound.
-LONGEST = 1 << 16
+#: Bytes of the sample's texts: where they have more, the sample is thinned evenly, whatever the texts' lengths.
+SAMPLE_BYTES = 16 << 20
 _LAGS = range(3, 25)
 
 
@@ -152,18 +154,23 @@ def _train(texts: list[bytes], label: np.ndarray, epochs: int) -> QualityNet:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", each: int = EACH, epochs: int = EPOCHS, longest: int = LONGEST) -> QualityNet | None:
-    """Learns from about ``each`` rows of either label (at most twice that in all); None where a label has no rows.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", each: int = EACH, epochs: int = EPOCHS, sample_bytes: int = SAMPLE_BYTES) -> QualityNet | None:
+    """Learns from about ``each`` rows of either label, of about ``sample_bytes`` in all; None where a label has no rows.
 
-    The sample is drawn from the labels, so only its texts leave the scan. Texts are read whole; those of more than
-    ``longest`` bytes are not learned from.
+    The sample is drawn from the labels, so only its texts leave the scan; texts are read whole, however long. A sample
+    of more bytes is thinned by a hash that does not depend on the texts, so long ones are as likely as short ones. A
+    document with several label rows counts with each.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").cast("string").alias("label"))
+    counts = {int(r["label"]): r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
-    sample = sample_by(known, "label", "id", each, 2 * each)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id").where(F.octet_length("text") <= longest).select("label", "text").toArrow()
+    sample = sample_every(known, "label", "id", None, each, 2 * each, each)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
+    rows = Scratch(docs.sparkSession, "quality").keep(rows, "sample")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    place = F.pmod(F.xxhash64("id", F.lit("thin")), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    rows = rows.where(place < F.lit(sample_bytes / max(1, size))).select(F.col("label").cast("int").alias("label"), "text").orderBy(F.xxhash64("id"), "id", "label").toArrow()
     label = rows["label"].to_numpy().astype(np.float32)
     if not label.size or label.min() == label.max():
         return None
@@ -173,7 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, net: QualityNet | None, text_col: str = "text", name: str = "score") -> DataFrame:
-    """Adds the probability of label 1 to every row; a null text counts as empty; without a net every row gets 0.5."""
+    """Adds the probability of label 1 to every row; a null text counts as empty; without a net every row gets 0.5.
+
+    Texts are read whole, however long; repeated rows get values equal to single precision. A column of the given name is replaced.
+    """
     docs = docs.drop(name)
     place = docs.columns.index(text_col)
 
@@ -183,5 +193,4 @@ def score(docs: DataFrame, net: QualityNet | None, text_col: str = "text", name:
                 p = np.full(hi - lo, 0.5) if net is None else score_chunk(net, data, at)
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(p)], [*batch.schema.names, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, `{name}` double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

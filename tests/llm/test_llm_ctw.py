@@ -66,7 +66,7 @@ def test_scores(spark, held, monkeypatch):
     n = sum(c.values())
     for i, t in enumerate(TEXTS):
         r = got[i]
-        assert r.score == pytest.approx(score((t or "").encode()), abs=1e-4)
+        assert r.score == pytest.approx(score((t or "").encode()), abs=1e-9)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (len(c) + 1))) for w in words[i]), abs=1e-9)
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(words[i]), sum(c[w] > 0 for w in words[i]), n, i >= 5)
         assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / (len((t or "").encode()) + 1))
