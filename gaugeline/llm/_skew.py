@@ -27,16 +27,26 @@ def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], total: int,
     return both.select(*rows.columns, *[F.col(f"_got.{c}").alias(c) for c in values])
 
 
-def join_salted(rows: DataFrame, table: DataFrame, key: str, total: int, spread_by: Column) -> DataFrame:
-    """rows joined with ``table``, one row for each key, whose values may be large (texts).
+def hot_ends(pairs: DataFrame) -> dict[int, int]:
+    """Which ids of a written table of pairs (a, b) very many pairs share, and over how many copies to deal each.
 
-    The table's row of a key that many rows have is copied, once for each HOT_KEYS-th part of all rows, and the key's rows
-    are dealt over the copies: of the values nothing is broadcast, and there are 2 * HOT_KEYS further copies at most.
-    total: the number of rows.
+    An id is hot with at least HOT_ROWS pairs and one in HOT_KEYS of all, so twice HOT_KEYS numbers reach the driver at most.
     """
-    least = max(HOT_ROWS, -(-total // HOT_KEYS))
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    hot = F.broadcast(counts.select(key, F.ceil(F.col("_n") / least).cast("int").alias("_copies")))
-    dealt = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_copies")).cast("int"), F.lit(0))).drop("_copies")
-    copies = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
-    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    least = max(HOT_ROWS, -(-pairs.count() // HOT_KEYS))
+    hot = ends.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return {r["id"]: -(-r["n"] // least) for r in hot.collect()}
+
+
+def join_salted(rows: DataFrame, table: DataFrame, key: str, hot: dict[int, int], spread_by: Column) -> DataFrame:
+    """rows joined with ``table``, one row for each key (a long), whose values may be large (texts).
+
+    The table's row of a hot key is copied as often as ``hot`` says and the key's rows are dealt over the copies: of the
+    values nothing is broadcast, and there are 4 * HOT_KEYS further copies at most.
+    """
+    if not hot:
+        return rows.join(table, key)
+    copies = F.broadcast(rows.sparkSession.createDataFrame(sorted(hot.items()), f"{key} long, _copies int"))
+    dealt = rows.join(copies, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_copies")).cast("int"), F.lit(0))).drop("_copies")
+    each = table.join(copies, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    return dealt.join(each, [key, "_salt"]).drop("_salt")

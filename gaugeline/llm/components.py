@@ -9,6 +9,14 @@ from gaugeline.llm._skew import join_by_key
 from gaugeline.llm._store import Scratch
 
 
+#: Edges that fit into one task whatever they share; more are joined so that no node's edges meet in one.
+FEW = 100_000
+
+
+def _joined(rows: DataFrame, low: DataFrame, total: int, other: str) -> DataFrame:
+    return rows.join(low, "u") if total < FEW else join_by_key(rows, low, ["u"], total, F.col(other))
+
+
 def _size(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]
@@ -35,11 +43,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
         # large star: each node's larger neighbours move to its smallest neighbour
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("members")).select("u", F.least("u", "m").alias("m"), "members")
-        large = join_by_key(now.select(F.col("u").alias("big"), F.col("v").alias("u")), low, ["u"], before[0], F.col("big")).select(F.col("big").alias("u"), F.col("m").alias("v"))
+        large = _joined(now.select(F.col("u").alias("big"), F.col("v").alias("u")), low, before[0], "big").select(F.col("big").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # small star: each node's smaller neighbours, and itself, move to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("members"))
-        small = join_by_key(large, low, ["u"], before[0], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        small = _joined(large, low, before[0], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = scratch.keep(small.where("u <> v").distinct(), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         after = _size(now)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeline.llm._skew import join_by_key, join_salted
+from gaugeline.llm._skew import hot_ends, join_by_key, join_salted
 from gaugeline.llm._store import Scratch
 from gaugeline.llm._text import U64, chunks, mix64, shingle_hashes, word_hashes
 from gaugeline.llm.components import connected_components
@@ -138,15 +138,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
     return _identified(docs, id_col, text_col).mapInArrow(run, "id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary")
 
 
-def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+def _with_both(pairs: DataFrame, table: DataFrame, value: str, hot: dict[int, int]) -> DataFrame:
     """Pairs (a, b) with the value of either end; pairs of a document that has very many (a bucket's centre) are dealt out."""
-    total = pairs.count()
     for end, other in (("a", "b"), ("b", "a")):
-        pairs = join_salted(pairs, table.select(F.col("id").alias(end), F.col(value).alias(f"of_{end}")), end, total, F.col(other))
+        pairs = join_salted(pairs, table.select(F.col("id").alias(end), F.col(value).alias(f"of_{end}")), end, hot, F.col(other))
     return pairs.select("a", "b", "of_a", "of_b")
 
 
-def _promising(pairs: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
+def _promising(pairs: DataFrame, sketch: DataFrame, least: float, hot: dict[int, int]) -> DataFrame:
     """Pairs (a, b) whose sketches agree in at least ``least`` of their slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +155,10 @@ def _promising(pairs: DataFrame, sketch: DataFrame, least: float) -> DataFrame:
                 keep = pa.array((x == y).mean(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return _with_both(pairs, sketch, "sketch").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, sketch, "sketch", hot).mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, hot: dict[int, int]) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union on the full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +179,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return _with_both(pairs, texts, "text").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, texts, "text", hot).mapInArrow(run, "a long, b long")
 
 
 def _open_pairs(now: DataFrame, texts: DataFrame, first: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
@@ -328,8 +327,9 @@ def near_duplicates(
                 continue
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        near = _promising(pairs, sketch, percent / 100 - SLACK) if k < STAR_ROUNDS else pairs
-        links = scratch.keep(_verified(near, texts, shingle_words, percent), f"links-{k}")
+        hot = hot_ends(pairs)
+        near = _promising(pairs, sketch, percent / 100 - SLACK, hot) if k < STAR_ROUNDS else pairs
+        links = scratch.keep(_verified(near, texts, shingle_words, percent, hot), f"links-{k}")
         if links.isEmpty():
             continue
         if k:

@@ -3,7 +3,7 @@ import collections
 import numpy as np
 import pytest
 
-from gaugeline.llm import minhash
+from gaugeline.llm import components, minhash
 from gaugeline.llm._store import Scratch
 from gaugeline.llm.components import connected_components
 
@@ -88,6 +88,7 @@ def test_hubs_are_dealt_out(spark, monkeypatch):
 
     monkeypatch.setattr(_skew, "HOT_ROWS", 3)
     monkeypatch.setattr(_skew, "HOT_KEYS", 20)
+    monkeypatch.setattr(components, "FEW", 0)
     rng = np.random.default_rng(11)
     rows = list(enumerate(near_copies(rng, [f"v{k}" for k in range(60)], 90, 0.1)))
     assert run(spark, rows, shingle_words=2) == brute(rows)
