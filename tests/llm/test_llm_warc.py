@@ -3,6 +3,7 @@ import glob
 import gzip
 import hashlib
 
+import numpy as np
 import pytest
 
 from gaugeline.llm import warc
@@ -63,9 +64,44 @@ def test_index_blocks_split_a_key(spark, archived):
     back, _ = warc.archive_pages(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
     folder = Scratch(spark, "index").path
     warc.write_index(back, folder, lines=7)
-    index = warc.CaptureIndex(spark, folder)
-    assert [c["page_id"] for c in index.lookup("http://h.com/same")] == list(range(50))
-    assert all([c["page_id"] for c in index.lookup(f"http://h.com/{k}")] == [k] for k in (50, 77, 119))
+    # a directory of all first keys, and sparser ones
+    for keys in (warc.DIRECTORY, 5, 1):
+        index = warc.CaptureIndex(spark, folder, keys)
+        assert [c["page_id"] for c in index.lookup("http://h.com/same")] == list(range(50))
+        assert all([c["page_id"] for c in index.lookup(f"http://h.com/{k}")] == [k] for k in (50, 77, 119))
+        assert index.lookup("http://a.com/") == [] and index.lookup("http://z.com/") == []
+
+
+def test_records_come_by_the_index(spark, archived, monkeypatch):
+    _, back, index = archived
+    archives = back[0].file.rsplit("/", 1)[0]
+    scanned = warc.read_archives(spark, archives).collect()
+    order = lambda rows: sorted(map(repr, rows))
+    assert order(back) == order(scanned)
+    # any other store: files by Spark's reader, ranges from the index
+    other = archives.replace("file:", "FILE:", 1) if archives.startswith("file:") else archives
+    monkeypatch.setattr(warc, "_files", lambda s, f, real=warc._files: real(s, f.replace("FILE:", "file:", 1)))
+    assert order(index.records(other).collect()) == order(scanned)
+    # an index without its last line, or with a wrong offset, does not go unnoticed
+    lines = index.ranges().orderBy("file", "offset")
+    monkeypatch.setattr(index, "ranges", lambda: lines.limit(len(back) - 1))
+    assert index.records(archives).count() == len(back) - 1
+    monkeypatch.setattr(index, "ranges", lambda: lines.selectExpr("file", "offset + 1 as offset", "length"))
+    with pytest.raises(Exception, match="incorrect header|invalid|zlib"):
+        index.records(archives).count()
+
+
+def test_files_are_split_by_bytes(spark):
+    from gaugeline.llm._store import Scratch
+
+    rng = np.random.default_rng(1)
+    pages = [(k, f"http://h.com/{k}", "".join(chr(c) for c in rng.integers(33, 5000, 400))) for k in range(60)] + [(99, "http://h.com/long", "long page " * 300_000)]
+    folder = f"{Scratch(spark, 'split').path}/archives"
+    warc.write_archives(warc.plan_records(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)), folder, file_bytes=5000)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(folder).select("length").collect()]
+    assert len(sizes) > 8 and max(sizes) < 40_000
+    back = {r.page_id: bytes(r.body).decode() for r in warc.read_archives(spark, folder).collect()}
+    assert back == {k: html for k, _, html in pages}
 
 
 def test_threshold_and_rows(spark):
