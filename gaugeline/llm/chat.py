@@ -6,8 +6,9 @@ A log holds events (conversation, sequence, kind, message, role, text):
 * ``delta`` appends to it;
 * ``regenerate`` drops its text and every later message that was started before the regeneration; deltas follow.
 
-A message is its last starting event's text and all deltas after that event, in sequence. Events of one message are
-folded together, whatever the length of the conversation; a conversation is never gathered.
+A message is its last starting event's text and all deltas after that event, in sequence. A log is dealt by conversation
+and sorted by message and sequence, the only shuffle there is, and folded as it streams by: what is held is one message
+and the time of the last regeneration so far, however long the conversation. Rendering and digests follow in that order.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeline.llm._store import partitions
 
@@ -43,28 +45,72 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+#: Code points of a delta in which turns are streamed.
+DELTA = 1000
+
+
+def _folded(events: DataFrame) -> DataFrame:
+    """Final messages (conv_id, message, role, text) of events that stream by message, each message's in sequence.
+
+    A regeneration of an earlier message drops those that were started before it, so the latest one so far decides.
+    """
+    message = events.schema["message"].dataType
+    kind = T.StructType([events.schema["conv_id"], T.StructField("message", message), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = None
+        done: list[tuple] = []
+        conv = name = role = born = redone = latest = None
+        open_ = False
+        parts: list[str] = []
+
+        def close() -> None:
+            nonlocal latest
+            if open_ and (latest is None or born >= latest):
+                done.append((conv, name, role, "".join(parts)))
+            if redone is not None:
+                latest = redone if latest is None else max(latest, redone)
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], kind.names)
+            done.clear()
+            return out
+
+        for batch in batches:
+            types = [batch.schema.field(0).type, batch.schema.field(1).type, pa.string(), pa.string()]
+            for c, m, seq, what, who, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if not open_ or c != conv or m != name:
+                    close()
+                    if not open_ or c != conv:
+                        latest = None
+                    conv, name, role, born, redone, open_, parts = c, m, "", seq, None, True, []
+                if what == "delta":
+                    parts.append(text)
+                else:
+                    parts = [] if what == "regenerate" else [text]
+                    if what == "regenerate":
+                        redone = seq
+                role = who or role
+            if len(done) >= 5000:
+                yield flush()
+        close()
+        if done:
+            yield flush()
+
+    return events.select("conv_id", "message", "seq", "kind", "role", "text").mapInArrow(run, kind)
+
+
 def fold_events(events: DataFrame) -> DataFrame:
-    """Final messages (conv_id, message, role, text) of a log (conv_id, seq, kind, message, role, text).
+    """Final messages (conv_id, message, role, text) of a log (conv_id, seq, kind, message, role, text), in order by task.
 
     ``message`` is a message's place in its conversation. Null kinds count as ``message``, null texts as empty; ties
-    in seq are ordered by kind, role and text, and exact repeats of an event count each. Rows without conversation
-    or message are dropped.
+    in seq are ordered by kind, role and text, and exact repeats of an event count each. A message's role is the last
+    one named. Rows without conversation or message are dropped, an empty log stays empty, further columns are not read.
     """
     rows = events.where("conv_id is not null and message is not null").select(
         "conv_id", "message", F.coalesce("seq", F.lit(-1)).cast("long").alias("seq"), F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    event = F.struct("seq", "kind", "role", "text")
-    folded = rows.groupBy("conv_id", "message").agg(
-        F.array_sort(F.collect_list(event)).alias("log"), F.min("seq").alias("born"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("redone")
-    )
-    folded = folded.withColumn("open", F.expr("array_max(transform(log, (e, i) -> case when e.kind <> 'delta' then i else -1 end))"))
-    text = F.expr("array_join(transform(slice(log, greatest(open, 0) + 1, size(log)), e -> case when e.kind = 'regenerate' then '' else e.text end), '')")
-    role = F.expr("coalesce(try_element_at(filter(log, e -> e.role <> ''), -1).role, '')")
-    final = folded.select("conv_id", "message", role.alias("role"), text.alias("text"), "born")
-    # only conversations with regenerations need a look at other messages
-    redone = folded.where("redone is not null").select(F.col("conv_id").alias("rc"), F.col("message").alias("rm"), "redone")
-    gone = final.select("conv_id", "message", "born").join(redone, (F.col("conv_id") == F.col("rc")) & (F.col("message") > F.col("rm")) & (F.col("born") < F.col("redone")), "left_semi")
-    return final.drop("born").join(gone.select("conv_id", "message"), ["conv_id", "message"], "left_anti")
+    return _folded(rows.repartition(partitions(events.sparkSession), "conv_id").sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -91,11 +137,11 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def digests(rendered: DataFrame, spread: int) -> DataFrame:
+def digests(rendered: DataFrame) -> DataFrame:
     """Per conversation, read back from ``formatted``: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    Rows are dealt by conversation and sorted within partitions; the hashes are chains over a conversation's turns,
-    so they are fed turn by turn, and no more than one batch is in memory however long a conversation is.
+    A conversation's rows must follow each other in one task, as ``fold_events`` leaves them. The hashes are chains over a
+    conversation's turns, so they are fed turn by turn, and no more than one batch is in memory however long it is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,24 +178,28 @@ def digests(rendered: DataFrame, spread: int) -> DataFrame:
         if rows:
             yield flush()
 
-    dealt = rendered.repartition(spread, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rendered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
+def format_conversations(turns: DataFrame, delta: int = DELTA) -> DataFrame:
     """Rendered turns (conv_id, turn, role, text, formatted, loss_start, loss_end) of a table of turns (conv_id, turn, role, text).
 
-    Each row is a ``message`` event. Rows of one conversation and turn are kept as separate turns, ordered by role
-    and text. A null turn comes first, a null role or text is empty, rows without a conversation are dropped.
+    Each row is a message of its own, logged as it would be streamed: its first ``delta`` code points start it, the rest
+    comes in deltas. Rows of one conversation and turn, also equal ones, are separate turns, ordered by role and text. A
+    null turn comes first, a null role or text is empty, rows without a conversation are dropped; very long texts are
+    whole turns, and an empty table stays empty. Other columns are not read.
     """
     rows = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    # each row is a message of its own, also where rows share a turn
+    dealt = rows.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    # numbered after the sort, so that messages of a task come in their order
     message = F.struct("turn", F.monotonically_increasing_id().alias("row"))
-    events = rows.select("conv_id", message.alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
-    messages = fold_events(events)
-    return render(messages.select("conv_id", F.col("message.turn").alias("turn"), "role", "text"))
+    last = F.greatest(F.floor((F.length("text") - 1) / delta), F.lit(0)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("text", i * delta + 1, F.lit(delta)))
+    events = dealt.select("conv_id", message.alias("message"), "role", F.posexplode(F.when(F.length("text") <= delta, F.array("text")).otherwise(parts)).alias("seq", "part"))
+    log = events.select("conv_id", "message", "seq", F.when(F.col("seq") == 0, "message").otherwise("delta").alias("kind"), "role", F.col("part").alias("text"))
+    return render(_folded(log).select("conv_id", F.col("message.turn").alias("turn"), "role", "text"))
 
 
 def conversation_digests(turns: DataFrame) -> DataFrame:
-    """The digests of every conversation of a table of turns."""
-    return digests(format_conversations(turns), partitions(turns.sparkSession))
+    """The digests of every conversation of a table of turns, from its rendered form; rows as in ``format_conversations``."""
+    return digests(format_conversations(turns))

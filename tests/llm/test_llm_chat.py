@@ -56,3 +56,49 @@ def test_fold_events(spark):
     assert got == [(1, 0, "user", "hi"), (1, 1, "assistant", "hey"), (1, 4, "user", "and then?"), (2, 0, "assistant", "abb"), (3, 0, "", "")]
     rendered = chat.render(chat.fold_events(df)).where("conv_id = 1 and message = 1").first()
     assert rendered.formatted[rendered.loss_start : rendered.loss_end] == "hey"
+
+
+def test_turns_are_streamed_in_deltas(spark):
+    text = "é<|im_end|>\n" * 700 + "end"
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text * 3), (1, 1, "assistant", ""), (2, 5, None, "x" * 1000)], "conv_id long, turn long, role string, text string")
+    for delta in (7, 1000, 10**9):
+        rows = chat.format_conversations(df, delta).collect()
+        assert [(r.conv_id, r.turn, r.role, r.text) for r in sorted(rows, key=lambda r: (r.conv_id, r.turn, r.text))] == [(1, 0, "user", text), (1, 1, "assistant", ""), (1, 1, "assistant", text * 3), (2, 5, "", "x" * 1000)]
+
+
+def brute_fold(log):
+    """Every message from all its events at hand, and every regeneration against every message."""
+    events = {}
+    for c, seq, kind, m, role, text in log:
+        events.setdefault((c, m), []).append((seq, kind, role or "", text or ""))
+    out, born, redone = {}, {}, []
+    for (c, m), own in events.items():
+        own.sort()
+        text, role = "", ""
+        for seq, kind, who, piece in own:
+            text = text + piece if kind == "delta" else "" if kind == "regenerate" else piece
+            role = who or role
+            if kind == "regenerate":
+                redone.append((c, m, seq))
+        # the latest of a message's regenerations is the one that counts, and the others come before it
+        out[c, m], born[c, m] = (role, text), own[0][0]
+    return sorted((c, m, *x) for (c, m), x in out.items() if not any(c == rc and m > rm and born[c, m] < seq for rc, rm, seq in redone))
+
+
+def test_random_logs(spark):
+    import random
+
+    rng = random.Random(3)
+    log = []
+    for c in range(40):
+        for seq in range(rng.randint(1, 60)):
+            kind = rng.choices(["delta", "message", "edit", "regenerate"], [6, 2, 1, 0.4 * (c % 2)])[0]
+            log.append((c, seq, kind, rng.randint(0, 8), rng.choice([None, "user", "assistant"]), f"{c}.{seq} "))
+    df = spark.createDataFrame(log, "conv_id long, seq long, kind string, message long, role string, text string").repartition(7)
+    assert sorted(tuple(r) for r in chat.fold_events(df).collect()) == brute_fold(log)
+
+
+def test_one_shuffle(spark):
+    df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    plan = chat.conversation_digests(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Aggregate" not in plan and "Join" not in plan
