@@ -192,10 +192,10 @@ def format_conversations(turns: DataFrame, delta: int = DELTA) -> DataFrame:
     rows = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     # numbered after the sort, so that messages of a task come in their order
-    message = F.struct("turn", F.monotonically_increasing_id().alias("row"))
+    dealt = dealt.withColumn("message", F.struct("turn", F.monotonically_increasing_id().alias("row")))
     last = F.greatest(F.floor((F.length("text") - 1) / delta), F.lit(0)).cast("int")
     parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("text", i * delta + 1, F.lit(delta)))
-    events = dealt.select("conv_id", message.alias("message"), "role", F.posexplode(F.when(F.length("text") <= delta, F.array("text")).otherwise(parts)).alias("seq", "part"))
+    events = dealt.select("conv_id", "message", "role", F.posexplode(F.when(F.length("text") <= delta, F.array("text")).otherwise(parts)).alias("seq", "part"))
     log = events.select("conv_id", "message", "seq", F.when(F.col("seq") == 0, "message").otherwise("delta").alias("kind"), "role", F.col("part").alias("text"))
     return render(_folded(log).select("conv_id", F.col("message.turn").alias("turn"), "role", "text"))
 
