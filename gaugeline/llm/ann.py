@@ -26,6 +26,8 @@ SAMPLE, SAMPLE_QUERIES = 20_000, 500
 COVER = 0.985
 #: Queries that are searched in one pass over the rows.
 QUERY_BLOCK = 4096
+#: Rows in a block of the stored index.
+INDEX_ROWS = 10_000
 
 _POP = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 #: NEAR[s][v]: the byte values within s bits of v.
@@ -67,16 +69,23 @@ def distances(codes: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 class MultiIndex:
-    """Posting lists of every byte substring of a block of codes."""
+    """Posting lists of every byte substring of a block of codes; ``pack`` and ``unpack`` move it to a table and back."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, order: np.ndarray | None = None):
         self.codes = codes
         n, self.m = codes.shape
-        self.order = np.concatenate([np.argsort(codes[:, j], kind="stable") for j in range(self.m)]) if self.m else np.zeros(0, int)
+        self.order = order if order is not None else np.concatenate([np.argsort(codes[:, j], kind="stable") for j in range(self.m)]).astype(np.int32)
         count = np.stack([np.bincount(codes[:, j], minlength=256) for j in range(self.m)])
         self.length = count.reshape(-1)
         self.start = (np.cumsum(count, axis=1) - count + n * np.arange(self.m)[:, None]).reshape(-1)
 
+    def pack(self) -> tuple[bytes, bytes]:
+        return self.codes.tobytes(), self.order.tobytes()
+
+    @classmethod
+    def unpack(cls, codes: bytes, order: bytes, n: int) -> MultiIndex:
+        return cls(np.frombuffer(codes, np.uint8).reshape(n, -1), np.frombuffer(order, np.int32))
+
     def within(self, query: np.ndarray, radius: int) -> np.ndarray:
         """Every row whose code lies within ``radius`` of the query's."""
         s, rest = divmod(radius, self.m)
@@ -130,9 +139,12 @@ def search(
     """(query_id, rank, vec_id, score): each query's k nearest rows by cosine, itself left out; ties to the smaller id.
 
     Vectors that are null, zero, of an unusual length or hold null or non-finite components take no part, nor do rows
-    with a null id. Every other row is indexed and searched, in blocks of rows by blocks of ``query_block`` queries; a
-    task keeps only the k best of its rows for each query of the block. Queries for which the radius gives fewer than
-    k rows are searched again without a radius. Rotations and radius are learned from at most ``sample`` rows.
+    with a null id. Rows are told apart by a number: those that share an id, or are equal, are queries and candidates
+    each, so a repeated query id has k rows for every row of it, and only a query's own row is left out. Every row is
+    indexed once, in blocks of INDEX_ROWS rows that are stored with their posting lists, and searched by blocks of
+    ``query_block`` queries; a task keeps only the k best of its rows for each query. Queries for which the radius
+    gives fewer than k rows are searched again without a radius. Rotations and radius are learned from at most
+    ``sample`` rows. Other columns are not read; an empty table gives an empty result.
     """
     scratch = Scratch(spark, "ann")
     base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("id is not null")
@@ -141,62 +153,72 @@ def search(
     if common is None:
         return spark.createDataFrame([], schema)
     dim = common["dim"]
-    base = base.where(usable("vec", dim))
+    base = scratch.keep(base.where(usable("vec", dim)).withColumn("row", F.monotonically_increasing_id()), "vectors")
 
     def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         return column.flatten().to_numpy().reshape(len(column), dim)
 
-    picked = base.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(sample).select("vec").toArrow()
+    picked = base.orderBy(F.xxhash64("id", F.lit("sample")), "id", "row").limit(sample).select("vec").toArrow()
     if not picked.num_rows:
         return spark.createDataFrame([], schema)
     x = matrix(picked["vec"])
     coder = Coder(x, bits)
     radius = learn_radius(coder, x, k)
 
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, INDEX_ROWS):
+                part = batch.slice(i, INDEX_ROWS)
+                x = matrix(part.column(2))
+                packed = (part.column(0).to_numpy().tobytes(), part.column(1).to_numpy().tobytes(), x.tobytes(), *MultiIndex(coder.codes(x)).pack())
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in packed], ["rows", "ids", "vecs", "codes", "lists"])
+
+    stored = scratch.keep(base.select("row", "id", "vec").mapInArrow(store, "rows binary, ids binary, vecs binary, codes binary, lists binary"), "index")
+
     def run_pass(queries: DataFrame, block: int, reach: int) -> DataFrame:
-        got = queries.select("id", "vec").toArrow()
-        q_ids, q = got["id"].to_numpy(), matrix(got["vec"])
-        shared = spark.sparkContext.broadcast((q_ids, q, coder.codes(q) if len(q) else np.zeros((0, bits // 8), np.uint8)))
+        got = queries.select("row", "id", "vec").toArrow()
+        q_rows, q_ids, q = got["row"].to_numpy(), got["id"].to_numpy(), matrix(got["vec"])
+        shared = spark.sparkContext.broadcast((q_rows, q_ids, q, coder.codes(q) if len(q) else np.zeros((0, bits // 8), np.uint8)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, q, q_codes = shared.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(q_ids)
+            q_rows, q_ids, q, q_codes = shared.value
+            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(q_rows)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-                index = MultiIndex(coder.codes(x))
-                for i in range(len(q_ids)):
-                    at = index.within(q_codes[i], reach)
-                    at = at[ids[at] != q_ids[i]]
-                    if len(at):
-                        score = np.concatenate([best[i][0], cosines(x[at], q[i])])
-                        who = np.concatenate([best[i][1], ids[at]])
-                        top = _top(score, who, k)
-                        best[i] = (score[top], who[top])
+                for r, i, v, c, o in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                    own, ids = np.frombuffer(r, np.int64), np.frombuffer(i, np.int64)
+                    x, index = np.frombuffer(v, np.float64).reshape(len(ids), dim), MultiIndex.unpack(c, o, len(ids))
+                    for j in range(len(q_rows)):
+                        at = index.within(q_codes[j], reach)
+                        at = at[own[at] != q_rows[j]]
+                        if len(at):
+                            score = np.concatenate([best[j][0], cosines(x[at], q[j])])
+                            who = np.concatenate([best[j][1], ids[at]])
+                            top = _top(score, who, k)
+                            best[j] = (score[top], who[top])
             size = np.array([len(b[0]) for b in best], dtype=np.int64)
             if size.sum():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, size)), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]))], ["query_id", "vec_id", "score"]
+                    [pa.array(np.repeat(q_rows, size)), pa.array(np.repeat(q_ids, size)), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]))],
+                    ["query_row", "query_id", "vec_id", "score"],
                 )
 
-        near = base.select("id", "vec").mapInArrow(run, "query_id long, vec_id long, score double")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return scratch.keep(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), f"block-{block}")
+        near = stored.mapInArrow(run, "query_row long, query_id long, vec_id long, score double")
+        order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+        return scratch.keep(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score"), f"block-{block}")
 
     wanted = base.where("is_query")
     blocks = max(1, -(-wanted.count() // query_block))
     total = base.count()
     parts = []
     for b in range(blocks):
-        own = wanted.where(F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)) == b)
+        own = wanted.where(F.pmod(F.xxhash64("row", F.lit("block")), F.lit(blocks)) == b)
         found = run_pass(own, 2 * b, radius)
         # too few in the radius: all rows are within the code's full length
-        short = own.join(found.groupBy("query_id").agg(F.count("*").alias("n")), F.col("id") == F.col("query_id"), "left").where(F.coalesce("n", F.lit(0)) < min(k, total - 1)).select("id", "vec")
+        short = own.join(found.groupBy("query_row").agg(F.count("*").alias("n")), F.col("row") == F.col("query_row"), "left").where(F.coalesce("n", F.lit(0)) < min(k, total - 1)).select("row", "id", "vec")
         if not short.isEmpty():
             more = run_pass(short, 2 * b + 1, bits)
-            found = found.join(more.select("query_id").distinct(), "query_id", "left_anti").unionByName(more)
+            found = found.join(more.select("query_row").distinct(), "query_row", "left_anti").unionByName(more)
         parts.append(found)
     out = parts[0]
     for p in parts[1:]:

@@ -64,3 +64,18 @@ def test_rows(spark):
     assert ann.search(spark, df.limit(0), F.lit(True)).count() == 0
     assert ann.search(spark, df.where("vec_id = 50"), F.lit(True)).count() == 0
     assert ann.search(spark, df.where("vec_id = 0"), F.lit(True)).count() == 0
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.normal(size=4).tolist()) for k in range(1, 9)]
+    rows += [(50, [1.0, 0.0, 0.0, 0.0]), (50, [0.0, 1.0, 0.0, 0.0]), (8, rows[7][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(spark, df, F.col("vec_id") == 50, k=5).collect()
+    x, ids = np.array([v for _, v in rows]), np.array([k for k, _ in rows])
+    want = []
+    for q in (8, 9):
+        sim = ann.cosines(x, x[q])
+        order = [j for j in np.lexsort((ids, -sim)) if j != q][:5]
+        want += [(50, n + 1, int(ids[j]), float(sim[j])) for n, j in enumerate(order)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
