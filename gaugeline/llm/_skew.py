@@ -27,26 +27,35 @@ def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], total: int,
     return both.select(*rows.columns, *[F.col(f"_got.{c}").alias(c) for c in values])
 
 
-def hot_ends(pairs: DataFrame) -> dict[int, int]:
-    """Which ids of a written table of pairs (a, b) very many pairs share, and over how many copies to deal each.
+#: Buckets by which ids with very many pairs are found.
+BUCKETS = 4096
 
-    An id is hot with at least HOT_ROWS pairs and one in HOT_KEYS of all, so twice HOT_KEYS numbers reach the driver at most.
+
+def _bucket(col: str) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(BUCKETS)).cast("int")
+
+
+def hot_ends(pairs: DataFrame) -> list[int] | None:
+    """For each bucket of ids, over how many copies to deal its pairs (a, b) of a written table; None where all have one.
+
+    A bucket is hot with HOT_ROWS pair ends and four times its share. BUCKETS numbers reach the driver.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    least = max(HOT_ROWS, -(-pairs.count() // HOT_KEYS))
-    hot = ends.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return {r["id"]: -(-r["n"] // least) for r in hot.collect()}
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy(_bucket("id").alias("bucket")).agg(F.count("*").alias("n"))
+    counts = {r["bucket"]: r["n"] for r in ends.collect()}
+    least = max(HOT_ROWS, -(-4 * sum(counts.values()) // BUCKETS))
+    copies = [max(1, -(-counts.get(b, 0) // least)) for b in range(BUCKETS)]
+    return copies if max(copies) > 1 else None
 
 
-def join_salted(rows: DataFrame, table: DataFrame, key: str, hot: dict[int, int], spread_by: Column) -> DataFrame:
-    """rows joined with ``table``, one row for each key (a long), whose values may be large (texts).
+def join_salted(rows: DataFrame, table: DataFrame, key: str, hot: list[int] | None, spread_by: Column) -> DataFrame:
+    """rows joined with ``table``, one row for each key, whose values may be large (texts).
 
-    The table's row of a hot key is copied as often as ``hot`` says and the key's rows are dealt over the copies: of the
-    values nothing is broadcast, and there are 4 * HOT_KEYS further copies at most.
+    The table's rows of a hot bucket are copied as often as ``hot`` says and the bucket's rows are dealt over the copies:
+    nothing is broadcast, and as a bucket has one in BUCKETS of the keys there are few further copies.
     """
-    if not hot:
+    if hot is None:
         return rows.join(table, key)
-    copies = F.broadcast(rows.sparkSession.createDataFrame(sorted(hot.items()), f"{key} long, _copies int"))
-    dealt = rows.join(copies, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_copies")).cast("int"), F.lit(0))).drop("_copies")
-    each = table.join(copies, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    copies = F.element_at(F.lit(hot), _bucket(key) + 1)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), copies).cast("int"))
+    each = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     return dealt.join(each, [key, "_salt"]).drop("_salt")

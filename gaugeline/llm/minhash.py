@@ -138,14 +138,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
     return _identified(docs, id_col, text_col).mapInArrow(run, "id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary")
 
 
-def _with_both(pairs: DataFrame, table: DataFrame, value: str, hot: dict[int, int]) -> DataFrame:
+def _with_both(pairs: DataFrame, table: DataFrame, value: str, hot: list[int] | None) -> DataFrame:
     """Pairs (a, b) with the value of either end; pairs of a document that has very many (a bucket's centre) are dealt out."""
     for end, other in (("a", "b"), ("b", "a")):
         pairs = join_salted(pairs, table.select(F.col("id").alias(end), F.col(value).alias(f"of_{end}")), end, hot, F.col(other))
     return pairs.select("a", "b", "of_a", "of_b")
 
 
-def _promising(pairs: DataFrame, sketch: DataFrame, least: float, hot: dict[int, int]) -> DataFrame:
+def _promising(pairs: DataFrame, sketch: DataFrame, least: float, hot: list[int] | None) -> DataFrame:
     """Pairs (a, b) whose sketches agree in at least ``least`` of their slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,7 @@ def _promising(pairs: DataFrame, sketch: DataFrame, least: float, hot: dict[int,
     return _with_both(pairs, sketch, "sketch", hot).mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, hot: dict[int, int]) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, hot: list[int] | None) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union on the full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

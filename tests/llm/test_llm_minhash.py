@@ -88,6 +88,7 @@ def test_hubs_are_dealt_out(spark, monkeypatch):
 
     monkeypatch.setattr(_skew, "HOT_ROWS", 3)
     monkeypatch.setattr(_skew, "HOT_KEYS", 20)
+    monkeypatch.setattr(_skew, "BUCKETS", 16)
     monkeypatch.setattr(components, "FEW", 0)
     rng = np.random.default_rng(11)
     rows = list(enumerate(near_copies(rng, [f"v{k}" for k in range(60)], 90, 0.1)))
