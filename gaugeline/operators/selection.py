@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,40 +12,61 @@ from pyspark.sql import functions as F
 CELLS, SMALL = 4096, 50_000
 
 
-def kth_smallest(df: DataFrame, column: str, ranks: Sequence[int]) -> list[float]:
+def kth_smallest(df: DataFrame, column: str, ranks: Sequence[int], extent: tuple[float, float, int] | None = None) -> list[float]:
     """The values at the given places (from 0) of the sorted column of doubles without null or NaN.
 
-    Each pass counts rows in CELLS equal cells of the current interval, one small combined aggregate, and goes on with
-    the cell that holds the rank. A cell of SMALL rows or less is sorted; one of a single value is done.
+    Each pass counts rows in CELLS equal cells of every rank's current interval, one scan and one small combined
+    aggregate for all ranks, and goes on with the cells that hold them. Intervals of SMALL rows or less are fetched and
+    sorted; one of a single value is done. extent: least and largest value and number of rows, where they are known.
     """
     values = df.select(F.col(column).cast("double").alias("v"))
-    end = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).first()
-    return [_one(values, k, end["lo"], end["hi"], end["n"]) for k in ranks]
-
-
-def _one(values: DataFrame, rank: int, lo: float, hi: float, n: int) -> float:
-    if not 0 <= rank < n:
-        raise IndexError(f"rank {rank} of {n} rows")
-    inside = values
-    while lo != hi:
-        if n <= SMALL:
-            return [r["v"] for r in inside.orderBy("v").limit(rank + 1).collect()][rank]
-        width = (hi - lo) / CELLS
-        if width == 0 or lo + width == lo:
-            break
-        cell = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(CELLS - 1))
-        rows = inside.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("cell").collect()
-        for r in rows:
-            if rank < r["n"]:
-                lo, hi, n = r["lo"], r["hi"], r["n"]
-                break
-            rank -= r["n"]
-        inside = values.where((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
-    if lo == hi:
-        return lo
-    # neighbouring doubles: few distinct values are left
-    for r in inside.groupBy("v").count().orderBy("v").collect():
-        if rank < r["count"]:
-            return r["v"]
-        rank -= r["count"]
+    if extent is None:
+        end = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")).first()
+        extent = (end["lo"], end["hi"], end["n"])
+    for rank in ranks:
+        if not 0 <= rank < extent[2]:
+            raise IndexError(f"rank {rank} of {extent[2]} rows")
+    # each rank's interval and its place in it; two ranks' intervals are the same or disjoint
+    at = [(extent, rank) for rank in ranks]
+    while wide := sorted({span for span, _ in at if span[0] != span[1] and span[2] > SMALL and _cut(span)}):
+        cell = F.lit(None).cast("struct<span:int,cell:bigint>")
+        for i, (lo, hi, _) in enumerate(wide):
+            place = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit((hi - lo) / CELLS)), F.lit(CELLS - 1).cast("bigint"))
+            cell = F.when(F.col("v").between(lo, hi), F.struct(F.lit(i).alias("span"), place.alias("cell"))).otherwise(cell)
+        rows = values.where("v is not null").groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("cell is not null").collect()
+        cells: dict[int, list] = {}
+        for r in sorted(rows, key=lambda r: (r["cell"]["span"], r["cell"]["cell"])):
+            cells.setdefault(r["cell"]["span"], []).append((r["lo"], r["hi"], r["n"]))
+        at = [_inside(cells[wide.index(span)], rank) if span in wide else (span, rank) for span, rank in at]
+    few = {span for span, _ in at if span[0] != span[1]}
+    sorted_values: dict[tuple, list] = {}
+    if few:
+        # small intervals, or a few neighbouring doubles: distinct values with their counts
+        near = F.lit(False)
+        for lo, hi, _ in few:
+            near = near | F.col("v").between(lo, hi)
+        counts = sorted((r["v"], r["count"]) for r in values.where(near).groupBy("v").count().collect())
+        sorted_values = {span: [x for x in counts if span[0] <= x[0] <= span[1]] for span in few}
+    return [span[0] if span[0] == span[1] else _pick(sorted_values[span], rank) for span, rank in at]
+
+
+def _cut(span: tuple[float, float, int]) -> bool:
+    """Whether the interval has cells narrower than itself."""
+    lo, hi, _ = span
+    width = (hi - lo) / CELLS
+    return width > 0 and lo + width != lo
+
+
+def _inside(cells: list[tuple[float, float, int]], rank: int) -> tuple[tuple[float, float, int], int]:
+    for cell in cells:
+        if rank < cell[2]:
+            return cell, rank
+        rank -= cell[2]
+    raise AssertionError("rank outside its interval")
+
+
+def _pick(counts: list[tuple[float, int]], rank: int) -> float:
+    for (value, _), upto in zip(counts, accumulate(n for _, n in counts), strict=True):
+        if rank < upto:
+            return value
     raise AssertionError("rank outside its interval")

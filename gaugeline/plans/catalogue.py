@@ -275,6 +275,27 @@ def logistic_regression_exact_truth(spark, sf_dir):
     return values(analysis.logistic_report(_logit_rows(spark, sf_dir), "quality", "p", 0.5, exact_truth=True))
 
 
+def _fractional(g: str) -> str:
+    """A truth between the two rules' thresholds for a third of the good documents."""
+    rows = "SELECT CASE WHEN quality = 1 AND doc_id % 3 = 0 THEN 0.75 ELSE quality END AS t, n_chars / (n_chars + 1500.0::DOUBLE) AS p FROM documents JOIN labels USING (doc_id)"
+    return f"SELECT * FROM (WITH k AS {O.confusion_cte(f'SELECT CAST(t AS DOUBLE) AS t, p, {g} AS g, p >= 0.5 AS h FROM ({rows})', O.PENALTY)} {O.long(O.LOGISTIC, 'k')}) z"
+
+
+def _fractional_rows(spark, sf_dir):
+    part = F.when((F.col("quality") == 1) & (F.col("doc_id") % 3 == 0), 0.75).otherwise(F.col("quality").cast("double"))
+    return _logit_rows(spark, sf_dir).withColumn("t", part)
+
+
+@query("logistic_fractional_truth", _fractional("t >= 0.5"))
+def logistic_fractional_truth(spark, sf_dir):
+    return values(analysis.logistic_report(_fractional_rows(spark, sf_dir), "t", "p", 0.5))
+
+
+@query("logistic_fractional_truth_exact", _fractional("t = 1"))
+def logistic_fractional_truth_exact(spark, sf_dir):
+    return values(analysis.logistic_report(_fractional_rows(spark, sf_dir), "t", "p", 0.5, exact_truth=True))
+
+
 _REG = "SELECT l_quantity AS t, l_quantity * (1 - l_discount) + 10 * l_tax AS p FROM lineitem"
 
 
@@ -413,8 +434,8 @@ for _rule, _name in (("FreedmanDiaconis", "fd"), ("Scott", "scott"), ("Sturges",
     def drift_histogram_snapshot(spark, sf_dir, rule=_rule):
         events = table(spark, sf_dir, "events")
         bins = ContinuousBaseline.fit(_when(events, _EV_OLD), "value", rule).histogram(_when(events, _EV_NEW), "value")
-        total = F.sum("c").over(Window.partitionBy(F.lit(0)))
-        return rounded(bins.select("bin", "p", (F.col("c") / total).alias("share")), "p", "share")
+        total = bins.agg(F.sum("c").alias("n"))
+        return rounded(bins.join(F.broadcast(total)).select("bin", "p", (F.col("c") / F.col("n")).alias("share")), "p", "share")
 
 
 _RATE = 1000
@@ -518,6 +539,21 @@ def monitor_replay_drift_continuous(spark, sf_dir):
     return values(spark.createDataFrame(list(zip(names, monitor.compute_drift_multiple_criteria(names), strict=True)), "metric string, value double"))
 
 
+_FLUSHED = f"""SELECT event_type AS l FROM (SELECT event_type, row_number() OVER (ORDER BY ts, event_id) AS k, count(*) OVER () AS n FROM events WHERE {_EV_NEW}) WHERE k > n - ((n - 1) % {_RATE} + 1)"""
+
+
+@query("monitor_flush_categorical", _divergence(O.categorical(f"SELECT event_type AS l FROM events WHERE {_EV_OLD}", _FLUSHED), O.HALF))
+def monitor_flush_categorical(spark, sf_dir):
+    """A monitor that flushes every thousand rows, fed by two batches in order of time."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    monitor = monitors.StreamingCategoricalDataDriftFlush(_when(events, _EV_OLD), "event_type", flush_rate=_RATE)
+    new = _when(events, _EV_NEW)
+    for k, early in enumerate((True, False)):
+        monitor.update_stream_batch(new.where((F.col("ts").cast("timestamp") < F.lit("2024-08-01").cast("timestamp")) == early), k, F.struct("ts", "event_id"))
+    names = list(O.divergence("bins", O.HALF))
+    return values(spark.createDataFrame(list(zip(names, monitor.compute_drift_multiple_criteria(names), strict=True)), "metric string, value double"))
+
+
 @query("session_counts", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, k""")

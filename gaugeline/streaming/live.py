@@ -13,7 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from gaugeline.functions.segments import Segment
 from gaugeline.operators import analysis
-from gaugeline.operators.drift import ContinuousBaseline, bin_of
+from gaugeline.operators.drift import ContinuousBaseline, Edges
 from gaugeline.streaming.monitors import histogram_divergences
 
 
@@ -120,7 +120,7 @@ class HistogramProcessor(StatefulProcessor):
     mode "decay": each emission first multiplies the histogram by ``rate`` (a factor below 1).
     """
 
-    def __init__(self, edges: tuple[float, ...], shares: tuple[float, ...], mode: str, rate: float, value: str, order: str | None):
+    def __init__(self, edges: np.ndarray, shares: tuple[float, ...], mode: str, rate: float, value: str, order: str | None):
         self.edges, self.shares, self.mode, self.rate, self.value, self.order = edges, shares, mode, rate, value, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -140,8 +140,9 @@ class HistogramProcessor(StatefulProcessor):
         if self.mode == "flush" and size + len(values) > self.rate:
             live = int((size + len(values) - 1) % self.rate) + 1
             bins, size, values = np.zeros(len(self.shares)), 0.0, values[len(values) - live :]
-        for x in values:
-            bins[bin_of(float(x), self.edges, len(self.shares))] += 1.0
+        place = np.searchsorted(self.edges, values, side="right")
+        place = np.where(np.isnan(values) | (values < self.edges[0]), 0, np.where(values > self.edges[-1], len(self.shares) - 1, place))
+        bins = bins + np.bincount(place, minlength=len(self.shares))
         size += len(values)
         if size:
             if self.mode == "decay":
@@ -157,6 +158,7 @@ class HistogramProcessor(StatefulProcessor):
 def live_drift(stream: DataFrame, key: str, value: str, baseline: ContinuousBaseline, mode: str = "flush", rate: float = 1_000_000, order: str | None = None, half_life: float | None = None) -> DataFrame:
     """A stream of (key, samples, the four metrics) after every micro-batch; needs the RocksDB state store."""
     factor = 0.5 ** (1.0 / half_life) if mode == "decay" and half_life else rate
-    processor = HistogramProcessor(baseline.edges, baseline.shares, mode, factor, value, order)
+    edges = baseline.edges.to_array() if isinstance(baseline.edges, Edges) else np.array(baseline.edges)
+    processor = HistogramProcessor(edges, baseline.shares, mode, factor, value, order)
     schema = "key string, samples double, PopulationStabilityIndex double, KullbackLeibler double, JensenShannon double, WassersteinDistance double"
     return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Update", timeMode="None")

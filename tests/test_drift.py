@@ -131,3 +131,50 @@ def test_grouped_scores(spark):
     for g in range(2):
         alone = {r["metric"]: r["value"] for r in base.score(events.where(F.col("g") == g), "v").collect()}
         assert {m: got[g, m] for m in alone} == pytest.approx(alone)
+
+
+def test_one_outlier_makes_very_many_bins(spark):
+    import time
+
+    began = time.time()
+    rng = np.random.default_rng(1)
+    values = [*np.round(rng.normal(0, 3e-5, 1000), 9), 300.0]
+    base = drift.ContinuousBaseline.fit(numbers(spark, values), "v")
+    assert base.n_bins > 10**6 and not isinstance(base.held, tuple)
+    got = {r["metric"]: r["value"] for r in base.score(numbers(spark, values), "v").collect()}
+    assert time.time() - began < 60
+    assert all(abs(x) < 1e-3 for x in got.values())
+    moved = {r["metric"]: r["value"] for r in base.score(numbers(spark, [v + 1 for v in values]), "v").collect()}
+    assert moved["PopulationStabilityIndex"] > 10
+    # every bin is where adding up the edges puts it
+    edges = base.edges.to_array()
+    assert len(edges) == base.n_bins - 2 and base.edges[-1] == edges[-1] and base.edges[5_000_001] == edges[5_000_001]
+    probes = [*values, *edges[rng.integers(0, len(edges), 60)].tolist(), *np.nextafter(edges[rng.integers(0, len(edges), 60)], -1e9).tolist()]
+    found = [r.b for r in numbers(spark, probes).select(drift.bin_column(F.col("v"), base.edges, base.n_bins).alias("b")).collect()]
+    assert found == [0 if x < edges[0] else base.n_bins - 1 if x > edges[-1] else int(np.searchsorted(edges, x, side="right")) for x in probes]
+
+
+def test_bins_in_part_agree_with_all_bins(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    old, new = numbers(spark, np.round(rng.normal(0, 1, 3000), 2)), numbers(spark, np.round(rng.normal(0.3, 1.4, 500), 2))
+    dense = drift.ContinuousBaseline.fit(old, "v")
+    monkeypatch.setattr(drift, "DRIVER_BINS", 3)
+    sparse = drift.ContinuousBaseline.fit(old, "v")
+    assert isinstance(dense.held, tuple) and not isinstance(sparse.held, tuple) and sparse.shares == dense.shares
+    want = {r["metric"]: r["value"] for r in dense.score(new, "v").collect()}
+    assert {r["metric"]: r["value"] for r in sparse.score(new, "v").collect()} == pytest.approx(want, abs=1e-11)
+    assert sorted(map(tuple, sparse.histogram(new, "v").collect())) == sorted(map(tuple, dense.histogram(new, "v").collect()))
+    labels = spark.createDataFrame(list(zip("aaabbcd", [1, 1, 2, 2, None, None, 1])), "v string, g int")
+    fitted = drift.CategoricalBaseline.fit(from_columns(spark, v=list("aabxyz")), "v")
+    whole = drift._long(drift._scored(fitted.histogram(labels, "v"), None, (), drift.EPS), None, ())
+    assert {r["metric"]: r["value"] for r in fitted.score(labels, "v").collect()} == pytest.approx({r["metric"]: r["value"] for r in whole.collect()}, abs=1e-11)
+    grouped = {(r["g"], r["metric"]): r["value"] for r in fitted.score(labels, "v", by=["g"]).collect()}
+    for g in (1, 2, None):
+        alone = {r["metric"]: r["value"] for r in fitted.score(labels.where(F.col("g").eqNullSafe(F.lit(g))), "v").collect()}
+        assert {m: grouped[g, m] for m in alone} == pytest.approx(alone, abs=1e-11)
+
+
+def test_infinite_baselines_are_refused(spark):
+    for rule in drift.QuantileType:
+        with pytest.raises(BaselineError, match="infinite"):
+            drift.ContinuousBaseline.fit(numbers(spark, [1.0, 2.0, float("inf")]), "v", rule)
