@@ -40,8 +40,10 @@ def hot_ends(pairs: DataFrame) -> list[int] | None:
 
     A bucket is hot with HOT_ROWS pair ends and four times its share. BUCKETS numbers reach the driver.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy(_bucket("id").alias("bucket")).agg(F.count("*").alias("n"))
-    counts = {r["bucket"]: r["n"] for r in ends.collect()}
+    counts: dict[int, int] = {}
+    for end in ("a", "b"):
+        for r in pairs.groupBy(_bucket(end).alias("bucket")).agg(F.count("*").alias("n")).collect():
+            counts[r["bucket"]] = counts.get(r["bucket"], 0) + r["n"]
     least = max(HOT_ROWS, -(-4 * sum(counts.values()) // BUCKETS))
     copies = [max(1, -(-counts.get(b, 0) // least)) for b in range(BUCKETS)]
     return copies if max(copies) > 1 else None
