@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +65,38 @@ def regression_cells(truth: Column, pred: Column) -> list[Column]:
     ]
 
 
+def facet_cells_of(facet: bool, label: bool) -> dict[str, int]:
+    """One row's cells, as facet_cells counts them."""
+    side = "a" if facet else "d"
+    return dict.fromkeys(FACET_CELLS, 0) | {f"n_{side}": 1, f"pos_{side}": int(label)}
+
+
+def confusion_cells_of(truth: bool, pred: bool) -> dict[str, int]:
+    hit = {(True, True): "tp", (False, True): "fp", (False, False): "tn", (True, False): "fn"}[truth, pred]
+    return dict.fromkeys(CONFUSION_CELLS, 0) | {hit: 1}
+
+
+def model_cells_of(facet: bool, truth: bool, pred: bool) -> dict[str, int]:
+    side = "a" if facet else "d"
+    return dict.fromkeys(MODEL_CELLS, 0) | {f"{side}_{c}": n for c, n in confusion_cells_of(truth, pred).items()}
+
+
+def log_penalty_of(truth: float, prob: float, eps: float = EPS) -> float:
+    """One row's term of log_penalty; a NaN probability counts as the largest."""
+    p = 1 - eps if math.isnan(prob) else min(max(prob, eps), 1 - eps)
+    return truth * math.log(p) + (1 - truth) * math.log(1 - p)
+
+
+def regression_cells_of(truth: float, pred: float) -> dict[str, float]:
+    """One row's cells, as regression_cells sums them."""
+    with np.errstate(all="ignore"):
+        t, p = np.float64(truth), np.float64(pred)
+        e = np.abs(p - t)
+        log_gap = np.log(t + 1) - np.log(p + 1)
+        row = (1, e * e, e, 0.0 if np.isnan(e) else e, log_gap * log_gap, np.abs(e / t), t, t * t, p * p, t * p)
+    return {c: x if c == "n" else float(x) for c, x in zip(REGRESSION_CELLS, row, strict=True)}
+
+
 def merge(a: dict, b: dict) -> dict:
     """Cells of two disjoint sets of rows together."""
     return {k: max(a[k], b[k]) if k.startswith("max_") else a[k] + b[k] for k in a}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
 from enum import StrEnum
 from typing import Any
@@ -116,6 +117,25 @@ class Payload:
         return self.segment.column(F.col(self.column), kind)
 
 
+_COMPARED = {
+    ThresholdType.GreaterThan: operator.gt,
+    ThresholdType.GreaterThanEqualTo: operator.ge,
+    ThresholdType.LessThan: operator.lt,
+    ThresholdType.LessThanEqualTo: operator.le,
+}
+
+
+def judged(criterion: Segment | Column | Payload, value: Any) -> bool | None:
+    """The criterion for one Python value; None where only a column's semantics can tell (other types, NaN, conditions)."""
+    criterion = criterion.segment if isinstance(criterion, Payload) else criterion
+    if not isinstance(criterion, (LabeledSegment, ThresholdSegment)) or type(value) not in _PYTHON_TYPES:
+        return None
+    want = criterion.value
+    if type(want) is not type(value) or value != value or want != want:
+        return None
+    return value == want if isinstance(criterion, LabeledSegment) else _COMPARED[criterion.threshold_type](value, want)
+
+
 def is_categorical(distinct: int, rows: int, share: float = DISTINCT_SHARE) -> bool:
     return distinct <= FEW_DISTINCT or (rows > 0 and distinct / rows <= share)
 

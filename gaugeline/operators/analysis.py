@@ -88,7 +88,7 @@ def binary_report(df: DataFrame, y_true: str, y_pred: str, label: Any = 1, by: S
     return finish(confusion_counts(df, one.column(F.col(y_true)), one.column(F.col(y_pred)), by), BINARY, by)
 
 
-def logistic_report(df: DataFrame, y_true: str, y_pred: str, threshold: float = 0.5, by: Sequence[str] = (), exact_truth: bool = False) -> DataFrame:
+def logistic_report(df: DataFrame, y_true: str, y_pred: str, threshold: float = 0.5, by: Sequence[str] = (), exact_truth: bool = False, eps: float = cells.EPS) -> DataFrame:
     """Classification metrics of probabilities, and log loss.
 
     The batch form applies the threshold to y_true as well; with ``exact_truth`` (the monitors' form) y_true is positive
@@ -96,7 +96,7 @@ def logistic_report(df: DataFrame, y_true: str, y_pred: str, threshold: float =
     """
     t = F.col(y_true).cast("double")
     positive = (t == 1.0) if exact_truth else ~F.isnan(t) & (t >= threshold)
-    return finish(logistic_counts(df, F.col(y_true), F.col(y_pred), positive, threshold, by), LOGISTIC, by)
+    return finish(logistic_counts(df, F.col(y_true), F.col(y_pred), positive, threshold, by, eps), LOGISTIC, by)
 
 
 def linear_report(df: DataFrame, y_true: str, y_pred: str, by: Sequence[str] = ()) -> DataFrame:

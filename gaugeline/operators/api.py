@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.errors import EmptyDatasetError, FacetError, InvalidMetricError, InvalidReportError, ModelTypeMismatchError
+from gaugeline.functions.cells import EPS
 from gaugeline.functions.finishers import FINISHERS
 from gaugeline.functions.metrics import DATA_BIAS, MODEL_BIAS, ModelType
-from gaugeline.functions.segments import LabeledSegment, Segment, heuristic_segment
+from gaugeline.functions.segments import DISTINCT_SHARE, LabeledSegment, Segment, heuristic_segment
 from gaugeline.operators import analysis
 from gaugeline.operators.reports import THRESHOLD, drift_report_dict, report_from_dict, runtime_check, to_long
 from gaugeline.sources.tables import performance_report, require_numeric
@@ -51,10 +52,10 @@ def _analysed(counted: DataFrame, family: str) -> dict[str, float]:
     return {m: row[f"_m_{m}"] for m in metrics}
 
 
-def data_bias_perform_analysis(df: DataFrame, feature: str, ground_truth: str, feature_label_or_threshold: Any, ground_truth_label_or_threshold: Any) -> dict[str, float]:
-    """Metrics with criteria implied by bare labels or thresholds."""
-    truth = heuristic_segment(df, ground_truth, ground_truth_label_or_threshold)
-    return _analysed(analysis.facet_counts(df, heuristic_segment(df, feature, feature_label_or_threshold), truth), DATA_BIAS)
+def data_bias_perform_analysis(df: DataFrame, feature: str, ground_truth: str, feature_label_or_threshold: Any, ground_truth_label_or_threshold: Any, share: float = DISTINCT_SHARE) -> dict[str, float]:
+    """Metrics with criteria implied by bare labels or thresholds; share: of distinct values, up to which a number is a label."""
+    truth = heuristic_segment(df, ground_truth, ground_truth_label_or_threshold, share)
+    return _analysed(analysis.facet_counts(df, heuristic_segment(df, feature, feature_label_or_threshold, share), truth), DATA_BIAS)
 
 
 def data_bias_perform_analysis_explicit_segmentation(df: DataFrame, feature: str, ground_truth: str, feature_segment: Segment | Column, ground_truth_segment: Segment | Column) -> dict[str, float]:
@@ -62,9 +63,9 @@ def data_bias_perform_analysis_explicit_segmentation(df: DataFrame, feature: str
 
 
 def model_bias_perform_analysis(
-    df: DataFrame, feature: str, ground_truth: str, predictions: str, feature_label_or_threshold: Any, ground_truth_label_or_threshold: Any, prediction_label_or_threshold: Any
+    df: DataFrame, feature: str, ground_truth: str, predictions: str, feature_label_or_threshold: Any, ground_truth_label_or_threshold: Any, prediction_label_or_threshold: Any, share: float = DISTINCT_SHARE
 ) -> dict[str, float]:
-    sides = [heuristic_segment(df, c, v) for c, v in ((feature, feature_label_or_threshold), (ground_truth, ground_truth_label_or_threshold), (predictions, prediction_label_or_threshold))]
+    sides = [heuristic_segment(df, c, v, share) for c, v in ((feature, feature_label_or_threshold), (ground_truth, ground_truth_label_or_threshold), (predictions, prediction_label_or_threshold))]
     return _analysed(analysis.model_counts(df, *sides), MODEL_BIAS)
 
 
@@ -80,10 +81,10 @@ def linear_regression_analysis(df: DataFrame, y_true: str, y_pred: str) -> dict:
     return performance_report(LINEAR, _analysed(analysis.regression_sums(df, F.col(y_true), F.col(y_pred)), LINEAR))
 
 
-def logistic_regression_analysis(df: DataFrame, y_true: str, y_pred: str, decision_threshold: float = 0.5) -> dict:
+def logistic_regression_analysis(df: DataFrame, y_true: str, y_pred: str, decision_threshold: float = 0.5, eps: float = EPS) -> dict:
     df = require_numeric(df.select(y_true, y_pred), y_true, y_pred)
     t = F.col(y_true)
-    values = _analysed(analysis.logistic_counts(df, t, F.col(y_pred), ~F.isnan(t) & (t >= decision_threshold), decision_threshold), LOGISTIC)
+    values = _analysed(analysis.logistic_counts(df, t, F.col(y_pred), ~F.isnan(t) & (t >= decision_threshold), decision_threshold, eps=eps), LOGISTIC)
     if math.isnan(values["LogLoss"]):
         raise FacetError("log loss is not defined")
     return performance_report(LOGISTIC, values)

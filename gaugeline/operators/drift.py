@@ -389,13 +389,14 @@ class _DriftModel:
 
     baseline: ContinuousBaseline | CategoricalBaseline
     column: str
+    eps: float
 
     def compute_drift(self, df: DataFrame, metric: str) -> float:
         return self.compute_drift_multiple_criteria(df, [metric])[0]
 
     def compute_drift_multiple_criteria(self, df: DataFrame, metrics: Sequence[str]) -> list[float]:
         drift_names(metrics)
-        return _listed(self.baseline.score(df, self.column, metrics), metrics)
+        return _listed(self.baseline.score(df, self.column, metrics, eps=self.eps), metrics)
 
     @property
     def num_bins(self) -> int:
@@ -403,8 +404,8 @@ class _DriftModel:
 
 
 class ContinuousDataDrift(_DriftModel):
-    def __init__(self, df: DataFrame, column: str, quantile_type: QuantileType | str = QuantileType.FreedmanDiaconis):
-        self.column, self.rule = column, QuantileType(quantile_type)
+    def __init__(self, df: DataFrame, column: str, quantile_type: QuantileType | str = QuantileType.FreedmanDiaconis, eps: float = EPS):
+        self.column, self.rule, self.eps = column, QuantileType(quantile_type), eps
         self.reset_baseline(df)
 
     def reset_baseline(self, df: DataFrame) -> None:
@@ -416,8 +417,8 @@ class ContinuousDataDrift(_DriftModel):
 
 
 class CategoricalDataDrift(_DriftModel):
-    def __init__(self, df: DataFrame, column: str):
-        self.column = column
+    def __init__(self, df: DataFrame, column: str, eps: float = EPS):
+        self.column, self.eps = column, eps
         self.reset_baseline(df)
 
     def reset_baseline(self, df: DataFrame) -> None:

@@ -5,6 +5,7 @@ Metrics are rounded to six places on both sides: sums of doubles depend on their
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -554,6 +555,50 @@ def monitor_flush_categorical(spark, sf_dir):
     return values(spark.createDataFrame(list(zip(names, monitor.compute_drift_multiple_criteria(names), strict=True)), "metric string, value double"))
 
 
+def _labelled(monitor, events: DataFrame) -> DataFrame:
+    """The weights of a decaying monitor's labels, after three batches with a computation each."""
+    for k in range(3):
+        monitor.update_stream_batch(events.where(F.col("event_id") % 3 == k), k)
+        monitor.compute_drift("JensenShannon")
+    return monitor.spark.createDataFrame(list(monitor.export_snapshot().items()), "event_type string, weight double")
+
+
+@query("monitor_decay_export", f"""WITH c AS (SELECT event_type, sum(pow(pow(0.5, 1.0 / {_HALF_LIFE}), 3 - event_id % 3)) AS w FROM events WHERE {_EV_NEW} GROUP BY 1)
+SELECT b.event_type, round(coalesce(c.w, 0), 6) + 0.0 AS weight FROM (SELECT DISTINCT event_type FROM events WHERE {_EV_OLD}) b LEFT JOIN c ON c.event_type = b.event_type""")
+def monitor_decay_export(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    monitor = monitors.StreamingCategoricalDataDriftDecay(_when(events, _EV_OLD), "event_type", _HALF_LIFE)
+    return rounded(_labelled(monitor, _when(events, _EV_NEW)), "weight")
+
+
+@query("monitor_export_continuous", f"{O.continuous(f'SELECT value AS v FROM events WHERE {_EV_OLD}', f'SELECT value AS v FROM events WHERE {_EV_NEW}', 'Sturges')} SELECT CAST(bin AS INTEGER) AS bin, round(p, 6) + 0.0 AS p, round(c / n, 6) + 0.0 AS share FROM bins")
+def monitor_export_continuous(spark, sf_dir):
+    """A monitor that another one takes over after half of the rows, as after a restart of the driver."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    first, second = (monitors.StreamingContinuousDataDriftFlush(_when(events, _EV_OLD), "value", "Sturges", flush_rate=10**9) for _ in range(2))
+    first.update_stream_batch(_when(events, _EV_NEW).where(F.col("event_id") % 2 == 0), 0)
+    second.restore(json.loads(json.dumps(first.state())))
+    second.update_stream_batch(_when(events, _EV_NEW).where(F.col("event_id") % 2 == 1), 1)
+    snapshot = second.export_snapshot()
+    rows = zip(range(second.num_bins), snapshot["baselineBins"], snapshot["streamBins"], strict=True)
+    return rounded(spark.createDataFrame(list(rows), "bin int, p double, share double"), "p", "share")
+
+
+_MONITOR_PARTS = tuple(f"SELECT l_returnflag = 'R' AS f, l_quantity >= 25 AS g FROM lineitem WHERE {w}" for w in ("quarter(l_shipdate) > 1", "quarter(l_shipdate) = 1"))
+_MONITOR_T = 0.01
+
+
+@query("monitor_drift_report", f"SELECT metric FROM ({O.snapshot(DATA_BIAS, *(f'SELECT * FROM ({_data_bias(p)}) z' for p in _MONITOR_PARTS))}) s WHERE value >= {_MONITOR_T}")
+def monitor_drift_report(spark, sf_dir):
+    """What a data-bias monitor reports as failed: three quarters against the first one."""
+    df = table(spark, sf_dir, "lineitem").select("l_shipdate", "l_returnflag", "l_quantity")
+    old, *new = _monthly(df, "l_shipdate")
+    monitor = monitors.DataBiasStreaming(old, "l_returnflag", "l_quantity", RETURNED, MANY)
+    for k, batch in enumerate(new):
+        monitor.push_batch(batch, k)
+    return spark.createDataFrame([(r["metric"],) for r in monitor.drift_report(_MONITOR_T).get("failed_report", [])], "metric string")
+
+
 @query("session_counts", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, k""")

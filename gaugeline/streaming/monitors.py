@@ -1,39 +1,101 @@
 """Monitors: a fixed baseline report and mergeable runtime cells, fed by DataFrames or single values.
 
 The runtime state is a handful of numbers (a histogram for drift), whatever the number of rows pushed. A monitor is
-idempotent towards ``foreachBatch``: a batch id that is not larger than the last one is skipped.
+idempotent towards ``foreachBatch``: a batch id that is not larger than the last one is skipped. With a folder for its
+state it goes on after a restart of the driver. Single values are counted in the driver's process, without a job.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import time
 from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeline.errors import BaselineError, EmptyDatasetError
 from gaugeline.functions import cells as C
 from gaugeline.functions.metrics import DATA_BIAS, MODEL_BIAS, drift_names
-from gaugeline.functions.segments import LabeledSegment, Segment
+from gaugeline.functions.segments import LabeledSegment, Segment, judged
 from gaugeline.operators import analysis
 from gaugeline.operators.api import check_cells
-from gaugeline.operators.drift import CategoricalBaseline, ContinuousBaseline, QuantileType, bin_of
-from gaugeline.operators.reports import THRESHOLD, drift_report_dict, drift_snapshot, report_to_dict, snapshot_failures
+from gaugeline.operators.drift import EPS, CategoricalBaseline, ContinuousBaseline, QuantileType, bin_of
+from gaugeline.operators.reports import STABILITY_EPS, THRESHOLD, drift_report_dict, drift_snapshot, report_to_dict, snapshot_failures
 
 
-class _Monitor:
+class _Kept:
+    """Runtime state that can be written and taken up again; the baseline is what the constructor is given.
+
+    Two slots of a folder are overwritten in turn, so one is whole whenever a write is cut off. A batch that was counted
+    after the last write is replayed by the stream, one that was counted before is skipped by its id.
+    """
+
+    spark: SparkSession
+    _last_batch: int
+    _saves = 0
+
+    def state(self) -> dict[str, Any]:
+        """The runtime's numbers, as JSON can hold them."""
+        raise NotImplementedError
+
+    def restore(self, state: dict[str, Any]) -> None:
+        """Takes up a state of a monitor with the same baseline."""
+        raise NotImplementedError
+
+    def save(self, folder: str) -> None:
+        self._saves += 1
+        line = json.dumps({"saves": self._saves, "last_batch": self._last_batch, "state": self.state()})
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{self._saves % 2}")
+
+    def load(self, folder: str) -> bool:
+        """Takes up the folder's latest state, if there is one."""
+        kept = []
+        for slot in (0, 1):
+            try:
+                kept += [json.loads(r["value"]) for r in self.spark.read.text(f"{folder}/{slot}").collect()]
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+        if kept:
+            last = max(kept, key=lambda k: k["saves"])
+            self.restore(last["state"])
+            self._saves, self._last_batch = last["saves"], last["last_batch"]
+        return bool(kept)
+
+    def _each_batch(self, push: Callable[[DataFrame, int], None], state: str | None) -> Callable[[DataFrame, int], None]:
+        if state is None:
+            return push
+        self.load(state)
+
+        def kept(df: DataFrame, batch_id: int) -> None:
+            push(df, batch_id)
+            self.save(state)
+
+        return kept
+
+
+def _plain(values: Iterable[Any]) -> list[Any]:
+    return [v.item() if isinstance(v, np.generic) else v for v in values]
+
+
+def _number(value: Any) -> float | None:
+    return float(value) if type(value) in (int, float) else None
+
+
+class _Monitor(_Kept):
     """Shared surface: push, flush, reset, snapshots and reports over a family's cells."""
 
     family: str
     cell_names: tuple[str, ...]
     flush_on_reset = False
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, eps: float = STABILITY_EPS):
+        self.spark, self.eps = spark, eps
         self._last_batch = -1
         self.flush()
 
@@ -41,6 +103,29 @@ class _Monitor:
     def _count(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def _cells_of(self, *values: Any) -> dict[str, float] | None:
+        """One row's cells, its values in the order of a push; None where a job has to count it."""
+        raise NotImplementedError
+
+    def _push_one(self, names: Sequence[str], values: Iterable[Any]) -> None:
+        """Adds one row; a null leaves it out."""
+        row = _plain(values)
+        if any(v is None for v in row):
+            return
+        cells = self._cells_of(*row)
+        if cells is None:
+            self.push_batch(self.spark.createDataFrame([tuple(row)], list(names)))
+        else:
+            self.cells = C.merge(self.cells, cells)
+
+    def state(self) -> dict[str, Any]:
+        return {"cells": dict(self.cells)}
+
+    def restore(self, state: dict[str, Any]) -> None:
+        if set(state["cells"]) != set(self.cell_names):
+            raise BaselineError("the state is of another kind of monitor")
+        self.cells = {c: state["cells"][c] for c in self.cell_names}
+
     def _collected(self, df: DataFrame) -> dict[str, float]:
         row = self._count(df).first()
         return {c: row[c] for c in self.cell_names}
@@ -59,9 +144,9 @@ class _Monitor:
 
     update_stream_batch = push_batch
 
-    def foreach_batch(self) -> Callable[[DataFrame, int], None]:
-        """For ``writeStream.foreachBatch``."""
-        return lambda df, batch_id: self.push_batch(df, batch_id)
+    def foreach_batch(self, state: str | None = None) -> Callable[[DataFrame, int], None]:
+        """For ``writeStream.foreachBatch``; state: a shared folder in which the runtime outlives the driver."""
+        return self._each_batch(self.push_batch, state)
 
     def _set_baseline(self, df: DataFrame) -> None:
         cells = self._collected(df)
@@ -88,13 +173,13 @@ class _Monitor:
         return report_to_dict(self._runtime())
 
     def drift_snapshot(self) -> dict[str, float]:
-        return report_to_dict(drift_snapshot(self._runtime(), self.baseline, self.family))
+        return report_to_dict(drift_snapshot(self._runtime(), self.baseline, self.family, eps=self.eps))
 
     def drift_report(self, drift_threshold: float = THRESHOLD) -> dict:
         return self.drift_report_partial_metrics(None, drift_threshold)
 
     def drift_report_partial_metrics(self, metrics: Iterable[str] | None, drift_threshold: float = THRESHOLD) -> dict:
-        snapshot = drift_snapshot(self._runtime(), self.baseline, self.family, metrics)
+        snapshot = drift_snapshot(self._runtime(), self.baseline, self.family, metrics, eps=self.eps)
         return drift_report_dict(snapshot_failures(snapshot, drift_threshold))
 
 
@@ -103,16 +188,20 @@ class DataBiasStreaming(_Monitor):
 
     family, cell_names, flush_on_reset = DATA_BIAS, C.FACET_CELLS, True
 
-    def __init__(self, df: DataFrame, feature: str, ground_truth: str, feature_segment: Segment | Column, ground_truth_segment: Segment | Column):
+    def __init__(self, df: DataFrame, feature: str, ground_truth: str, feature_segment: Segment | Column, ground_truth_segment: Segment | Column, eps: float = STABILITY_EPS):
         self.columns, self.segments = (feature, ground_truth), (feature_segment, ground_truth_segment)
-        super().__init__(df.sparkSession)
+        super().__init__(df.sparkSession, eps)
         self._set_baseline(df)
 
     def _count(self, df: DataFrame) -> DataFrame:
         return analysis.facet_counts(df, *(analysis.boolean(df, c, s) for c, s in zip(self.columns, self.segments, strict=True)))
 
+    def _cells_of(self, *values: Any) -> dict[str, float] | None:
+        sides = [judged(s, v) for s, v in zip(self.segments, values, strict=True)]
+        return None if None in sides else C.facet_cells_of(*sides)
+
     def push(self, feature_value: Any, ground_truth_value: Any) -> None:
-        self.push_batch(self.spark.createDataFrame([(feature_value, ground_truth_value)], list(self.columns)))
+        self._push_one(self.columns, (feature_value, ground_truth_value))
 
     def reset_baseline_and_segmentation_criteria(self, df: DataFrame, feature_segment: Segment | Column, ground_truth_segment: Segment | Column) -> None:
         """New criteria change what the cells mean, so the runtime is flushed too."""
@@ -141,9 +230,12 @@ class ModelBiasStreaming(_Monitor):
     def _count(self, df: DataFrame) -> DataFrame:
         return analysis.model_counts(df, *(analysis.boolean(df, c, s) for c, s in zip(self.columns, self.segments, strict=True)))
 
+    def _cells_of(self, *values: Any) -> dict[str, float] | None:
+        sides = [judged(s, v) for s, v in zip(self.segments, values, strict=True)]
+        return None if None in sides else C.model_cells_of(*sides)
+
     def push(self, feature: Any, prediction: Any, ground_truth: Any) -> None:
-        names = [self.columns[0], self.columns[2], self.columns[1]]
-        self.push_batch(self.spark.createDataFrame([(feature, prediction, ground_truth)], names))
+        self._push_one(self.columns, (feature, ground_truth, prediction))
 
     def reset_baseline_and_segmentation_criteria(self, df: DataFrame, feature_segment: Segment | Column, ground_truth_segment: Segment | Column, prediction_segment: Segment | Column) -> None:
         self.segments = (feature_segment, ground_truth_segment, prediction_segment)
@@ -158,7 +250,7 @@ class _Performance(_Monitor):
         self._set_baseline(df)
 
     def update_stream(self, y_true: Any, y_pred: Any) -> None:
-        self.push_batch(self.spark.createDataFrame([(y_true, y_pred)], [self.y_true, self.y_pred]))
+        self._push_one((self.y_true, self.y_pred), (y_true, y_pred))
 
 
 class BinaryClassificationStreaming(_Performance):
@@ -174,6 +266,10 @@ class BinaryClassificationStreaming(_Performance):
         one = LabeledSegment(self.label)
         return analysis.confusion_counts(df, one.column(F.col(self.y_true)), one.column(F.col(self.y_pred)))
 
+    def _cells_of(self, *values: Any) -> dict[str, float] | None:
+        sides = [judged(LabeledSegment(self.label), v) for v in values]
+        return None if None in sides else C.confusion_cells_of(*sides)
+
     def reset_baseline_and_label(self, df: DataFrame, label: Any) -> None:
         self.label = label
         self.reset_baseline(df)
@@ -187,18 +283,28 @@ class LinearRegressionStreaming(_Performance):
     def _count(self, df: DataFrame) -> DataFrame:
         return analysis.regression_sums(df, F.col(self.y_true), F.col(self.y_pred))
 
+    def _cells_of(self, *values: Any) -> dict[str, float] | None:
+        t, p = map(_number, values)
+        return None if t is None or p is None else C.regression_cells_of(t, p)
+
 
 class LogisticRegressionStreaming(_Performance):
     """The truth is positive where it is 1; resets of baseline and threshold keep the runtime."""
 
     family, cell_names = analysis.LOGISTIC, (*C.CONFUSION_CELLS, "penalty")
 
-    def __init__(self, df: DataFrame, y_true: str, y_pred: str, decision_threshold: float = 0.5):
-        self.threshold = decision_threshold
+    def __init__(self, df: DataFrame, y_true: str, y_pred: str, decision_threshold: float = 0.5, eps: float = C.EPS):
+        self.threshold, self.log_eps = decision_threshold, eps
         super().__init__(df, y_true, y_pred)
 
     def _count(self, df: DataFrame) -> DataFrame:
-        return analysis.logistic_counts(df, F.col(self.y_true), F.col(self.y_pred), F.col(self.y_true).cast("double") == 1.0, self.threshold)
+        return analysis.logistic_counts(df, F.col(self.y_true), F.col(self.y_pred), F.col(self.y_true).cast("double") == 1.0, self.threshold, eps=self.log_eps)
+
+    def _cells_of(self, *values: Any) -> dict[str, float] | None:
+        t, p = map(_number, values)
+        if t is None or p is None:
+            return None
+        return C.confusion_cells_of(t == 1.0, p >= self.threshold) | {"penalty": C.log_penalty_of(t, p, self.log_eps)}
 
     def reset_baseline_and_decision_threshold(self, df: DataFrame, decision_threshold: float) -> None:
         self.threshold = decision_threshold
@@ -211,11 +317,11 @@ CLOCK_EVERY = 256
 _OTHER = None
 
 
-class _DriftMonitor:
+class _DriftMonitor(_Kept):
     """A baseline histogram and the runtime's; ``bins`` maps a bin (or label) to its weight."""
 
-    def __init__(self, df: DataFrame, column: str):
-        self.spark, self.column = df.sparkSession, column
+    def __init__(self, df: DataFrame, column: str, eps: float = EPS):
+        self.spark, self.column, self.eps = df.sparkSession, column, eps
         self._last_batch = -1
         self.reset_baseline(df)
 
@@ -229,6 +335,17 @@ class _DriftMonitor:
         self.size = 0.0
         self._since = time.monotonic()
 
+    def state(self) -> dict[str, Any]:
+        return {"bins": [[k, v] for k, v in self.bins.items()], "size": self.size, "age": time.monotonic() - self._since, "at": time.time()}
+
+    def restore(self, state: dict[str, Any]) -> None:
+        bins = {k: v for k, v in state["bins"]}
+        if bins.keys() != self.shares.keys():
+            raise BaselineError("the state was counted against another baseline")
+        self.bins, self.size = {k: bins[k] for k in self.shares}, state["size"]
+        # the clock went on while no monitor was there
+        self._since = time.monotonic() - state["age"] - max(0.0, time.time() - state["at"])
+
     # one value
     def _before_push(self) -> None:
         """Hook of the flush mode."""
@@ -254,8 +371,9 @@ class _DriftMonitor:
             self._last_batch = batch_id
         self._push(df.where(F.col(self.column).isNotNull()), order)
 
-    def foreach_batch(self, order: str | Column | None = None) -> Callable[[DataFrame, int], None]:
-        return lambda df, batch_id: self.update_stream_batch(df, batch_id, order)
+    def foreach_batch(self, order: str | Column | None = None, state: str | None = None) -> Callable[[DataFrame, int], None]:
+        """For ``writeStream.foreachBatch``; state: a shared folder in which the runtime outlives the driver."""
+        return self._each_batch(lambda df, batch_id: self.update_stream_batch(df, batch_id, order), state)
 
     def _push(self, df: DataFrame, order: str | Column | None) -> None:
         self._add(self._binned(df))
@@ -273,7 +391,7 @@ class _DriftMonitor:
             raise EmptyDatasetError("nothing was pushed since the last flush")
         self._before_compute()
         keys = list(self.shares)
-        values = histogram_divergences(np.array([self.shares[k] for k in keys]), np.array([self.bins[k] for k in keys]), self.size, self.continuous)
+        values = histogram_divergences(np.array([self.shares[k] for k in keys]), np.array([self.bins[k] for k in keys]), self.size, self.continuous, self.eps)
         return [values[m] for m in names]
 
     @property
@@ -288,7 +406,7 @@ class _DriftMonitor:
         return self.size == 0
 
 
-def histogram_divergences(p: np.ndarray, c: np.ndarray, n: float, continuous: bool, eps: float = 1e-12) -> dict[str, float]:
+def histogram_divergences(p: np.ndarray, c: np.ndarray, n: float, continuous: bool, eps: float = EPS) -> dict[str, float]:
     """The drift metrics of a runtime histogram that is already on the driver; same formulas as ``operators.drift``."""
     with np.errstate(divide="ignore", invalid="ignore"):
         base, seen, share = p + eps, (c + eps) / n, c / n + eps
@@ -305,9 +423,9 @@ def histogram_divergences(p: np.ndarray, c: np.ndarray, n: float, continuous: bo
 class _Continuous(_DriftMonitor):
     continuous = True
 
-    def __init__(self, df: DataFrame, column: str, quantile_type: QuantileType | str = QuantileType.FreedmanDiaconis):
+    def __init__(self, df: DataFrame, column: str, quantile_type: QuantileType | str = QuantileType.FreedmanDiaconis, eps: float = EPS):
         self.rule = QuantileType(quantile_type)
-        super().__init__(df, column)
+        super().__init__(df, column, eps)
 
     def _fit(self, df: DataFrame) -> None:
         self.baseline = ContinuousBaseline.fit(df, self.column, self.rule)
@@ -407,24 +525,24 @@ class _DecayMode(_DriftMonitor):
 
 
 class StreamingContinuousDataDriftFlush(_FlushMode, _Continuous):
-    def __init__(self, df: DataFrame, column: str, quantile_type: QuantileType | str = QuantileType.FreedmanDiaconis, flush_rate: int | None = None, flush_cadence: int | None = None):
+    def __init__(self, df: DataFrame, column: str, quantile_type: QuantileType | str = QuantileType.FreedmanDiaconis, flush_rate: int | None = None, flush_cadence: int | None = None, eps: float = EPS):
         self._configure(flush_rate, flush_cadence)
-        _Continuous.__init__(self, df, column, quantile_type)
+        _Continuous.__init__(self, df, column, quantile_type, eps)
 
 
 class StreamingContinuousDataDriftDecay(_DecayMode, _Continuous):
-    def __init__(self, df: DataFrame, column: str, quantile_type: QuantileType | str = QuantileType.FreedmanDiaconis, decay_half_life: int | None = None):
+    def __init__(self, df: DataFrame, column: str, quantile_type: QuantileType | str = QuantileType.FreedmanDiaconis, decay_half_life: int | None = None, eps: float = EPS):
         self._configure_decay(decay_half_life)
-        _Continuous.__init__(self, df, column, quantile_type)
+        _Continuous.__init__(self, df, column, quantile_type, eps)
 
 
 class StreamingCategoricalDataDriftFlush(_FlushMode, _Categorical):
-    def __init__(self, df: DataFrame, column: str, flush_rate: int | None = None, flush_cadence: int | None = None):
+    def __init__(self, df: DataFrame, column: str, flush_rate: int | None = None, flush_cadence: int | None = None, eps: float = EPS):
         self._configure(flush_rate, flush_cadence)
-        _Categorical.__init__(self, df, column)
+        _Categorical.__init__(self, df, column, eps)
 
 
 class StreamingCategoricalDataDriftDecay(_DecayMode, _Categorical):
-    def __init__(self, df: DataFrame, column: str, decay_half_life: int | None = None):
+    def __init__(self, df: DataFrame, column: str, decay_half_life: int | None = None, eps: float = EPS):
         self._configure_decay(decay_half_life)
-        _Categorical.__init__(self, df, column)
+        _Categorical.__init__(self, df, column, eps)

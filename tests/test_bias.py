@@ -187,3 +187,10 @@ def test_plan_has_one_exchange_and_a_pruned_scan(spark):
     report = analysis.data_bias_report(df, "l_returnflag", "l_quantity", LabeledSegment("R"), ThresholdSegment(25.0, "GreaterThanEqualTo"))
     plan = report._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "l_extendedprice" not in plan and "Python" not in plan
+
+
+def test_share_of_distinct_values_is_a_parameter(spark):
+    rows = from_columns(spark, f=[1, 1, 2, 3, 4, 4, 4, 4], g=[1, 0, 1, 0, 1, 0, 1, 0])
+    # as a threshold 2 and above are the facet, as a label only 2 itself
+    assert api.data_bias_perform_analysis(rows, "f", "g", 2, 1)["ClassImbalance"] == pytest.approx(abs(6 - 2) / 8)
+    assert api.data_bias_perform_analysis(rows, "f", "g", 2, 1, share=0.5)["ClassImbalance"] == pytest.approx(abs(1 - 7) / 8)

@@ -1,12 +1,13 @@
 import datetime
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeline.errors import EmptyDatasetError
+from gaugeline.errors import BaselineError, EmptyDatasetError, PayloadTypeError
 from gaugeline.functions.segments import LabeledSegment, ThresholdSegment
 from gaugeline.operators import analysis, reports
-from gaugeline.operators.drift import ContinuousBaseline
+from gaugeline.operators.drift import CategoricalDataDrift, ContinuousBaseline, compute_drift_categorical_distribution
 from gaugeline.sources.tables import from_columns
 from gaugeline.streaming import live, monitors
 
@@ -96,6 +97,98 @@ def test_performance_monitors(spark):
     assert g.performance_snapshot()["Accuracy"] == 0.5
 
 
+def jobs_of(spark, run):
+    """How many jobs a call starts."""
+    sc = spark.sparkContext
+    sc.setJobGroup("counted", "counted")
+    run()
+    n = len(sc.statusTracker().getJobIdsForGroup("counted"))
+    sc.setJobGroup("rest", "rest")
+    return n
+
+
+NAN = float("nan")
+
+
+def test_single_pushes_count_as_batches_do(spark):
+    rows = [(1.0, 0.5), (0.0, 0.25), (0.5, 0.5), (1.0, 1.0), (0.0, 0.0), (-2.0, 3.0), (NAN, 0.5), (1.0, NAN)]
+    df = spark.createDataFrame(rows, "t double, p double")
+    over = ThresholdSegment(0.5, "GreaterThanEqualTo")
+    base = from_columns(spark, t=[1.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 1.0], p=[1.0, 1.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0], h=[1, 0, 0, 0, 1, 1, 0, 0])
+    made = {
+        "data": lambda: monitors.DataBiasStreaming(base, "t", "p", over, over),
+        "linear": lambda: monitors.LinearRegressionStreaming(base, "t", "p"),
+        "logistic": lambda: monitors.LogisticRegressionStreaming(base, "t", "p", 0.5, eps=1e-3),
+        "binary": lambda: monitors.BinaryClassificationStreaming(base, 1.0, "t", "p"),
+    }
+    for kind, make in made.items():
+        one, all_rows = make(), make()
+        push = one.push if kind == "data" else one.update_stream
+        # the last two rows hold NaN, which segments leave to columns
+        assert jobs_of(spark, lambda push=push: [push(*r) for r in rows[:-2]]) == 0
+        for r in rows[-2:]:
+            push(*r)
+        push(None, 1.0)
+        all_rows.push_batch(df)
+        for c in one.cells:
+            assert one.cells[c] == pytest.approx(all_rows.cells[c], nan_ok=True), (kind, c)
+
+
+def test_pushes_of_other_types_are_left_to_columns(spark):
+    m = monitors.DataBiasStreaming(flipped(spark), "f", "g", F.col("f") == 1, ONE)
+    m.push(1, 1)
+    m.push(1, 0)
+    assert m.cells == {"n_a": 2, "pos_a": 1, "n_d": 0, "pos_d": 0}
+    with pytest.raises(PayloadTypeError):
+        monitors.DataBiasStreaming(flipped(spark), "f", "g", ONE, ONE).push("1", 1)
+
+
+def test_state_outlives_the_driver(spark, tmp_path):
+    df, folder = flipped(spark), str(tmp_path / "state")
+    m = monitors.DataBiasStreaming(df, "f", "g", ONE, ONE)
+    assert not m.load(folder)
+    each = m.foreach_batch(folder)
+    for k in range(3):
+        each(df, k)
+    again = monitors.DataBiasStreaming(df, "f", "g", ONE, ONE)
+    each = again.foreach_batch(folder)
+    assert again.cells == m.cells
+    each(df, 2)  # replayed: it was counted before
+    each(df, 3)
+    assert again.cells["n_a"] + again.cells["n_d"] == 32
+    # one slot cut off while it is written: the other one is whole
+    shutil.rmtree(f"{folder}/{again._saves % 2}")
+    third = monitors.DataBiasStreaming(df, "f", "g", ONE, ONE)
+    assert third.load(folder) and third.cells["n_a"] + third.cells["n_d"] in (24, 32)
+    with pytest.raises(BaselineError):
+        monitors.LinearRegressionStreaming(from_columns(spark, t=[1.0, 2.0], p=[1.0, 2.0]), "t", "p").load(folder)
+
+
+def test_drift_state_outlives_the_driver(spark, tmp_path, monkeypatch):
+    now = [100.0]
+    monkeypatch.setattr(monitors.time, "monotonic", lambda: now[0])
+    monkeypatch.setattr(monitors.time, "time", lambda: now[0])
+    base, folder = from_columns(spark, v=list("aabbc")), str(tmp_path / "state")
+    m = monitors.StreamingCategoricalDataDriftFlush(base, "v", flush_cadence=50)
+    now[0] = 110.0
+    m.foreach_batch(state=folder)(from_columns(spark, v=["a", "z", "b"]), 0)
+    now[0] = 130.0
+    again = monitors.StreamingCategoricalDataDriftFlush(base, "v", flush_cadence=50)
+    assert again.load(folder) and again.bins == m.bins and again.total_samples == 3 and again.last_flush() == 30
+    with pytest.raises(BaselineError):
+        monitors.StreamingCategoricalDataDriftFlush(from_columns(spark, v=list("ax")), "v").load(folder)
+
+
+def test_epsilon_of_drift_monitors(spark):
+    base, now = from_columns(spark, v=list("aabb")), from_columns(spark, v=list("aaaa"))
+    for eps in (1e-12, 1e-3):
+        m = monitors.StreamingCategoricalDataDriftFlush(base, "v", eps=eps)
+        m.update_stream_batch(now)
+        names = ["PopulationStabilityIndex", "KullbackLeibler", "JensenShannon", "WassersteinDistance"]
+        assert m.compute_drift_multiple_criteria(names) == pytest.approx(compute_drift_categorical_distribution(base, now, "v", names, eps=eps))
+        assert CategoricalDataDrift(base, "v", eps).compute_drift_multiple_criteria(now, names) == pytest.approx(compute_drift_categorical_distribution(base, now, "v", names, eps=eps))
+
+
 def test_flush_by_rate(spark):
     base = from_columns(spark, v=[float(x) for x in range(20)])
     m = monitors.StreamingContinuousDataDriftFlush(base, "v", flush_rate=3)
