@@ -8,9 +8,9 @@ mixes the estimates of all depths. A context that was never seen predicts 1/2, a
 A text is coded as its bytes, with zero bytes before it, and the byte 0xFF (never in UTF-8) to close it.
 
 Scale: all that is gathered are counts of (context, byte) strings and of words, reduced in each task before the
-shuffle. The model is built in partitions by the three nearest context bytes, a block of contexts at a time; only the
-nodes of depth 2 (65 536 x 255 at most) reach the driver. The commonest strings and words, at most HELD and HELD_WORDS, are broadcast; occurrences of all others are
-joined with the whole table.
+shuffle. The model is built in partitions by the three nearest context bytes, a block of contexts at a time, then
+finished in partitions by the two nearest; only the nodes of depths 1 and 0 (65 535 at most) reach the driver. The commonest
+strings and words, at most HELD and HELD_WORDS, are broadcast; occurrences of all others are joined with the whole table.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ HELD, HELD_WORDS = 2_000_000, 250_000
 COUNT_BLOCK = 3_000_000
 #: Strings whose deeper levels a task builds at a time.
 BUILD_BLOCK = 200_000
-#: Depths up to NEAR are finished on the driver: at most 256**2 contexts of 255 nodes at depth 2, far fewer in text.
+#: Depth NEAR is mixed where the strings of its contexts meet, those above it on the driver.
 NEAR = 2
+#: Strings of one context that may meet in one task whatever their share.
+MEET = 50_000
 GRAM, WORD = 0, 1
 
 
@@ -217,11 +219,18 @@ def _parents(level: _Level) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return keys, *(_summed(parent, v, keys) for v in (level.zeros, level.ones, level.log_w))
 
 
+def _level_of(rows: pa.Table | pa.RecordBatch) -> _Level:
+    """The level of nodes (code, zeros, ones, below); repeated nodes count once."""
+    keys, first = np.unique(rows.column("code").to_numpy().view(U64), return_index=True)
+    return _Level(keys, *(rows.column(c).to_numpy()[first] for c in ("zeros", "ones", "below")))
+
+
 def _model(spark: SparkSession, counts: DataFrame, scratch: Scratch) -> DataFrame:
     """(code, n, value): the log10 probability of each string's last byte after its context.
 
     Strings are dealt by their NEAR + 1 nearest context bytes and sorted; a task mixes the deeper levels of one run of
-    whole contexts after another, in blocks of BUILD_BLOCK strings. The levels up to NEAR are sums over those.
+    whole contexts after another, in blocks of BUILD_BLOCK strings. The levels up to NEAR are sums over those, and strings
+    meet the nodes of level NEAR by their NEAR nearest bytes.
     """
     near_shift = U64(8 * (DEPTH + 1 - (NEAR + 1)))
 
@@ -255,29 +264,65 @@ def _model(spark: SparkSession, counts: DataFrame, scratch: Scratch) -> DataFram
     grams = counts.where(F.col("kind") == GRAM).select("code", "n")
     placed = grams.repartition(partitions(spark), F.shiftright("code", int(near_shift))).sortWithinPartitions("code")
     got = scratch.keep(placed.mapInArrow(deep, "code long, n long, p binary, below double, zeros double, ones double"), "deep")
-    top = got.where("p is null").groupBy("code").agg(*(F.sum(c).alias(c) for c in ("below", "zeros", "ones"))).orderBy("code").toArrow()
+    nodes = got.where("p is null").groupBy("code").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below")))
+    nodes = scratch.keep(nodes, "near")
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                key, *sums = _parents(_level_of(batch))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(v) for v in sums)], ["code", "zeros", "ones", "below"])
+
+    # the levels above NEAR: 65 536 nodes at most
+    top = nodes.mapInArrow(up, "code long, zeros double, ones double, below double").groupBy("code").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below"))).orderBy("code").toArrow().combine_chunks()
     levels: list[_Level] = []
     if top.num_rows:
-        parts = (top["code"].to_numpy().view(U64), *(top[c].to_numpy() for c in ("zeros", "ones", "below")))
-        for _ in range(NEAR + 1):
-            levels.append(_Level(*parts))
-            parts = _parents(levels[-1])
+        levels.append(_level_of(top))
+        for _ in range(NEAR - 1):
+            levels.append(_Level(*_parents(levels[-1])))
     shared = spark.sparkContext.broadcast(levels)
 
+    # strings meet the nodes of their NEAR nearest bytes; a context of very many strings is dealt over copies of its nodes
+    parts = partitions(spark)
+    strings = got.where("p is not null").select("code", "n", "p", F.shiftright("code", 8 * (DEPTH + 1 - NEAR)).alias("near"))
+    share = max(MEET, -(-strings.count() // (4 * parts)))
+    hot = strings.groupBy("near").agg(F.count("*").alias("m")).where(F.col("m") > share).select("near", F.ceil(F.col("m") / share).alias("copies"))
+    hot = F.broadcast(scratch.keep(hot, "hot"))
+    copies = F.coalesce("copies", F.lit(1).cast("long"))
+    none = F.lit(None).cast("double")
+    dealt = strings.join(hot, "near", "left").select("near", F.pmod(F.xxhash64("code"), copies).alias("copy"), "code", "n", "p", none.alias("zeros"), none.alias("ones"), none.alias("below"))
+    placed = nodes.withColumn("near", F.shiftright("code", 8)).join(hot, "near", "left").select(
+        "near", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"), "code", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("p"), "zeros", "ones", "below"
+    )
+    met = dealt.unionByName(placed).repartition(parts, "near", "copy").sortWithinPartitions("near", F.col("p").isNotNull(), "code")
+
     def shallow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # nodes of the context that the last batch ended in
         for batch in batches:
             if not batch.num_rows:
                 continue
-            code = batch.column(0).to_numpy().view(U64)
-            p = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.float64).reshape(-1, 8).T.copy()
+            rows = pa.Table.from_batches([batch])
+            is_node = batch.column(3).is_null()
+            fresh = rows.filter(is_node)
+            seen = pa.concat_tables([held, fresh]) if held is not None else fresh
+            last = batch.column(0)[-1].as_py()
+            held = seen.filter(pa.array(seen["near"].to_numpy() == last))
+            strings = rows.filter(batch.column(3).is_valid())
+            if not strings.num_rows:
+                continue
+            code = strings["code"].to_numpy().view(U64)
+            p = np.frombuffer(b"".join(strings["p"].to_pylist()), dtype=np.float64).reshape(-1, 8).T.copy()
             byte = code & U64(255)
-            for d, level in zip(range(NEAR, -1, -1), shared.value):
+            near = [_level_of(seen)] if seen.num_rows else [None]
+            for d, level in zip(range(NEAR, -1, -1), near + shared.value, strict=False):
+                if level is None:
+                    continue
                 context = code >> U64(8 * (DEPTH - d + 1))
                 for j in range(8):
                     p[j] = level.mix(context << U64(8) | (U64(1 << j) | byte >> U64(8 - j)), p[j])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log10_of(p, byte))], ["code", "n", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(strings["n"].to_numpy()), pa.array(log10_of(p, byte))], ["code", "n", "value"])
 
-    return scratch.keep(got.where("p is not null").select("code", "n", "p").mapInArrow(shallow, "code long, n long, value double"), "model")
+    return scratch.keep(met.select("near", "code", "n", "p", "zeros", "ones", "below").mapInArrow(shallow, "code long, n long, value double"), "model")
 
 
 class Table:
