@@ -294,7 +294,7 @@ def _model(spark: SparkSession, counts: DataFrame, scratch: Scratch) -> DataFram
     placed = nodes.withColumn("near", F.shiftright("code", 8)).join(hot, "near", "left").select(
         "near", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"), "code", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("p"), "zeros", "ones", "below"
     )
-    met = dealt.unionByName(placed).repartition(parts, "near", "copy").sortWithinPartitions("near", F.col("p").isNotNull(), "code")
+    met = dealt.unionByName(placed).repartition(4 * parts, "near", "copy").sortWithinPartitions("near", F.col("p").isNotNull())
 
     def shallow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None  # nodes of the context that the last batch ended in
