@@ -35,7 +35,7 @@ BUILD_BLOCK = 200_000
 #: Depth NEAR is mixed where the strings of its contexts meet, those above it on the driver.
 NEAR = 2
 #: Strings of one context that may meet in one task whatever their share.
-MEET = 50_000
+MEET = 4_000
 GRAM, WORD = 0, 1
 
 
