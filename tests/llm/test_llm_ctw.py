@@ -95,22 +95,6 @@ def test_rows(spark):
     assert ctw.score(spark, df.limit(0), F.lit(True)).count() == 0
 
 
-def test_contexts_dealt_over_copies_and_batches(spark, monkeypatch):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    want = {r.id: r.score for r in ctw.score(spark, docs, F.col("doc_id") % 3 > 0).collect()}
-    # nearly every context is split, and nodes come in other batches than their strings
-    monkeypatch.setattr(ctw, "MEET", 1)
-    parts, batch = (spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch"))
-    spark.conf.set("spark.sql.shuffle.partitions", "64")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
-    try:
-        got = {r.id: r.score for r in ctw.score(spark, docs, F.col("doc_id") % 3 > 0).collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", parts)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    assert got == pytest.approx(want, rel=1e-9)
-
-
 def test_table():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64))
