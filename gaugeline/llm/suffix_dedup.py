@@ -3,14 +3,18 @@
 Two equal strings of ``length`` bytes hold the same smallest hash of their ``GRAM``-byte strings. So every window of
 ``length`` bytes is routed by that hash, runs of windows with one hash make a segment, and all windows that can
 be equal meet in one shard. A hash that occurs once, in a segment that holds it once, cannot repeat and is dropped;
-equal segments are reduced to one with a count before anything is moved. A hash whose segments exceed HOT_BYTES (those
+equal segments are reduced to one with a count before anything is moved; where a hash has no other segment, all windows
+of this one are repeated and there is nothing to sort. A hash whose segments exceed HOT_BYTES (those
 around a common header, say) is split: its segments are routed again, by strings twice as long and at last by whole
 windows. Each shard's segments are sorted by external induced sorting, and a window is repeated where its common prefix
-with a neighbour reaches ``length`` or where its segment occurs more than once.
+with a neighbour reaches ``length`` or where its segment occurs more than once. A window reaches far to the left or to
+the right of its segment's smallest hash; segments that agree with no other one of their hash on either side share no
+window and are not sorted.
 
 Shards are small next to a partition: a task sorts its partition by shard (Spark spills that), then takes one shard after
-another, so partitions may hold hundreds of MB and their number does not follow the number of shards. A shard's bytes,
-symbols, types, names, seeds and flags lie in memory-mapped files beyond SORT_BUDGET, its tuples in queues that spill.
+another, small ones together, so partitions may hold hundreds of MB and their number does not follow the number of shards.
+A shard's bytes, symbols, types, names, seeds and flags lie in memory-mapped files beyond SORT_BUDGET, its tuples in
+queues that spill.
 """
 
 from __future__ import annotations
@@ -54,12 +58,8 @@ def _sliding(least, x: np.ndarray, width: int) -> np.ndarray:
     return least(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def _segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...] | None:
-    """(start, windows, routing hash, hash of the bytes, whether it may repeat within itself) of a chunk's segments."""
-    n = len(data)
-    if n < length:
-        return None
-    prefix = prefix_hash(BYTE_HASH[data])
+def _gram_hashes(prefix: np.ndarray, gram: int) -> np.ndarray:
+    """The hash of the ``gram`` bytes from each place on."""
     with np.errstate(over="ignore"):
         low = prefix[gram:] - prefix[:-gram]
         # of the polynomial value times its inverse power; one multiply-xorshift spreads it
@@ -67,6 +67,16 @@ def _segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple
         low ^= low >> U64(31)
         low *= U64(0x9E3779B97F4A7C15)
         low ^= low >> U64(29)
+    return low
+
+
+def _segments(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...] | None:
+    """(start, windows, routing hash, hash of the bytes, whether it may repeat within itself) of a chunk's segments."""
+    n = len(data)
+    if n < length:
+        return None
+    prefix = prefix_hash(BYTE_HASH[data])
+    low = _gram_hashes(prefix, gram)
     width = length - gram + 1
     grams, low = low, _sliding(np.minimum, low, width)
     size = np.diff(at)
@@ -126,8 +136,70 @@ def _routed(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("row_a", "row_b", "text").mapInArrow(run, "key long, seg long, row_a long, row_b long, start int, n int, twice boolean")
 
 
-def _cut(wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted segments: (key, seg, copies, n, body)."""
+def _flanks(body: pa.Array, key: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each segment's bytes before and after the string of its routing hash, half of what a window has besides it.
+
+    A side that is shorter gives 0, and both sides are 1 where the hash occurs more than once.
+    """
+    half = (length - gram + 1) // 2
+    out = np.zeros((2, len(body)), dtype=U64)
+    for lo, hi, data, at in chunks(body):
+        prefix = prefix_hash(BYTE_HASH[data])
+        low = _gram_hashes(prefix, gram)
+        owner = np.repeat(np.arange(hi - lo), np.diff(at))[: len(low)]
+        place = np.flatnonzero((low == key[lo:hi].view(U64)[owner]) & (np.arange(len(low)) + gram <= at[1:][owner]))
+        count = np.bincount(owner[place], minlength=hi - lo)
+        assert count.all()
+        first = place[np.cumsum(count) - count]
+        for side, a in zip(out, (first - half, first + gram), strict=True):
+            fits = (a >= at[:-1]) & (a + half <= at[1:])
+            side[lo:hi][fits] = span_hash(prefix, a[fits], a[fits] + half) | U64(2)
+            side[lo:hi][count > 1] = 1
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
+def _sortable(key: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which segments may share a window with another one of their hash, or hold one twice; all segments of each hash are here."""
+    again = left == 1
+    out = np.isin(key, key[again]) if again.any() else again.copy()
+    for side in (left, right):
+        have = np.flatnonzero((side != 0) & ~again)
+        # two that fall on one number are sorted in vain, no more
+        with np.errstate(over="ignore"):
+            both = key[have].view(U64) * U64(0x9E3779B97F4A7C15) + side[have].view(U64)
+        _, which, count = np.unique(both, return_inverse=True, return_counts=True)
+        out[have[count[which] > 1]] = True
+    return out
+
+
+def _whole_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, those of one hash (neighbours in the order) in one batch."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        if held and held[-1].column(0)[0].as_py() != key[0]:
+            yield joined()
+            held = []
+        other = np.flatnonzero(key != key[-1])
+        if len(other):
+            held.append(batch.slice(0, int(other[-1]) + 1))
+            yield joined()
+            held = []
+            batch = batch.slice(int(other[-1]) + 1)
+        held.append(batch)
+    if held:
+        yield joined()
+
+
+def _cut(wanted: DataFrame, length: int, gram: int) -> DataFrame:
+    """The bytes of the wanted segments: (key, seg, copies, n, hot, left, right, body)."""
+    names = ["key", "seg", "copies", "n", "hot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,19 +211,21 @@ def _cut(wanted: DataFrame, length: int) -> DataFrame:
                 end = (rows.field("n").to_numpy() + (length - 1)).tolist()
                 raw = data.tobytes()
                 body = pa.array([raw[a : a + k] for a, k in zip(start, end, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(rows.field(c) for c in ("key", "seg", "copies", "n")), body], ["key", "seg", "copies", "n", "body"])
+                sides = _flanks(body, rows.field("key").to_numpy(), length, gram)
+                yield pa.RecordBatch.from_arrays([*(rows.field(c) for c in names), *map(pa.array, sides), body], [*names, "left", "right", "body"])
 
-    return wanted.mapInArrow(run, "key long, seg long, copies long, n int, body binary")
+    return wanted.mapInArrow(run, "key long, seg long, copies long, n int, hot boolean, left long, right long, body binary")
 
 
 def _sorted_shards(segments: DataFrame, length: int, shards: int, spread: int) -> DataFrame:
     """Sorts the segments of each shard: (key, seg, runs) with the runs of repeated windows, for segments that have some.
 
-    segments: (key, seg, copies, n, body), each (key, seg) once. A hash's segments lie in one shard, shards in one
-    partition of ``spread`` each. A task holds one shard's names and counts at a time; its bytes are spooled.
+    segments: (key, seg, copies, n, left, right, body), each (key, seg) once. A hash's segments lie in one shard, shards in
+    one partition of ``spread`` each. A task holds one hash's segments and one shard's names and counts at a time; the bytes
+    to sort are spooled. Shards of which little is left to sort are sorted together with the next one.
     """
-    dealt = segments.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(spread, "shard").sortWithinPartitions("shard")
-    budget, base_case = SORT_BUDGET, BASE_CASE
+    dealt = segments.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(spread, "shard").sortWithinPartitions("shard", "key")
+    budget, base_case, enough = SORT_BUDGET, BASE_CASE, SHARD_BYTES // 2
 
     def sort(held: list[pa.RecordBatch], spool: Spool) -> Iterator[pa.RecordBatch]:
         meta = pa.Table.from_batches(held)
@@ -174,26 +248,36 @@ def _sorted_shards(segments: DataFrame, length: int, shards: int, spread: int) -
         pick = pa.array(have)
         yield from pa.table({"key": meta["key"].take(pick), "seg": meta["seg"].take(pick), "runs": runs}).to_batches(max_chunksize=5000)
 
+    def alone(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.column(3).to_numpy()
+        ends = np.zeros(len(n), np.int32), n.astype(np.int32)
+        runs = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32)), pa.StructArray.from_arrays([*map(pa.array, ends)], ["a", "b"]))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), runs], ["key", "seg", "runs"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         shard, spool = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            of = batch.column(5).to_numpy()
+        for batch in _whole_hashes(batches):
+            key, copies, left, right, of = (batch.column(i).to_numpy() for i in (0, 2, 4, 5, 7))
+            sortable = _sortable(key, left, right)
+            yield alone(batch.filter(pa.array(~sortable & (copies > 1))))
+            batch, of = batch.filter(pa.array(sortable)), of[sortable]
             edges = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if spool is None or of[a] != shard:
+                if a == b:
+                    continue
+                if spool is None or of[a] != shard and spool.bytes >= enough:
                     if spool is not None:
                         yield from sort(held, spool)
-                    shard, spool, held = of[a], Spool(Files(None, budget)), []
+                    spool, held = Spool(Files(None, budget)), []
+                shard = of[a]
                 part = batch.slice(a, b - a)
-                spool.add(*string_buffers(part.column(4)))
+                spool.add(*string_buffers(part.column(6)))
                 held.append(part.select(["key", "seg", "copies", "n"]))
         if spool is not None:
             yield from sort(held, spool)
 
-    return dealt.select("key", "seg", "copies", "n", "body", "shard").mapInArrow(run, "key long, seg long, runs array<struct<a:int,b:int>>")
+    return dealt.select("key", "seg", "copies", "n", "left", "right", "body", "shard").mapInArrow(run, "key long, seg long, runs array<struct<a:int,b:int>>")
 
 
 def _cut_out(body: np.ndarray, a: np.ndarray, b: np.ndarray, whole_characters: bool) -> tuple[bytes, int, int]:
@@ -252,39 +336,45 @@ def _repeated(scratch: Scratch, rows: DataFrame, length: int, gram: int, level:
     spread = F.xxhash64("row_a", "row_b", "start")
     routed = scratch.keep(_routed(rows, length, gram), table.format("routed"))
     n_routed = routed.count()
-    keys = routed.groupBy("key").agg(F.count("*").alias("members"), F.max("twice").alias("repeats")).where("members > 1 or repeats").select("key", "members")
+    # segments of one kind that are alone with their hash: all their windows are repeated
+    same = (F.min("seg") == F.max("seg")) & (F.count("*") > 1)
+    keys = routed.groupBy("key").agg(F.count("*").alias("members"), F.max("twice").alias("repeats"), same.alias("same")).where("members > 1 or repeats").select("key", "members", "same")
     crowd = join_by_key(routed.drop("twice"), scratch.keep(keys, table.format("keys")), ["key"], n_routed, spread)
     crowd = scratch.keep(crowd, table.format("crowd"))
     scratch.drop(table.format("routed"), table.format("keys"))
+    alone = crowd.where("same").select("row_a", "row_b", F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b"))).alias("runs"))
+    crowd = crowd.where("not same").drop("same")
     unique = crowd.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("row_a", "row_b", "start", "n")).alias("rep"))
     unique = scratch.keep(unique.select("key", "seg", "copies", "rep.*"), table.format("unique"))
     # equal windows share their strings of any length too, so a hot hash's segments part exactly; whole windows end it
     size = F.sum(F.col("n") + F.lit(length - 1))
     hot = unique.groupBy("key").agg(F.count("*").alias("members"), size.alias("bytes")).where(F.col("bytes") > HOT_BYTES)
     hot = None if gram == length else scratch.keep(hot.select("key", "members", F.lit(True).alias("hot")), table.format("hot"))
-    cold, deep = unique, None
-    if hot is not None and not hot.isEmpty():
-        marked = scratch.keep(join_by_key(unique, hot, ["key"], unique.count(), F.col("seg"), all_rows=True), table.format("marked"))
-        cold, deep = marked.where("hot is null").drop("hot"), marked.where("hot").drop("hot")
-
-    def cut(segments: DataFrame) -> DataFrame:
-        wanted = segments.groupBy("row_a", "row_b").agg(F.collect_list(F.struct("start", "n", "key", "seg", "copies")).alias("parts"))
-        return _cut(rows.join(wanted.hint("shuffle_hash"), ["row_a", "row_b"]).select("text", "parts"), length)
-
-    volume = cold.agg(size).first()[0] or 0
+    if hot is not None and hot.isEmpty():
+        hot = None
+    marked = unique.withColumn("hot", F.lit(None).cast("boolean")) if hot is None else join_by_key(unique, hot, ["key"], unique.count(), F.col("seg"), all_rows=True)
+    wanted = marked.groupBy("row_a", "row_b").agg(F.collect_list(F.struct("start", "n", "key", "seg", "copies", "hot")).alias("parts"))
+    bodies = _cut(rows.join(wanted.hint("shuffle_hash"), ["row_a", "row_b"]).select("text", "parts"), length, gram)
+    cold, deep, measured = bodies, None, unique
+    if hot is not None:
+        # texts are read once for both kinds
+        bodies = scratch.keep(bodies, table.format("bodies"))
+        cold, deep = bodies.where("hot is null"), bodies.where("hot")
+        measured = cold
+    volume = measured.agg(size).first()[0] or 0
     shards = max(1, math.ceil(volume / SHARD_BYTES))
     tasks = min(shards, max(partitions(rows.sparkSession), math.ceil(volume / PARTITION_BYTES)))
-    found = scratch.keep(_sorted_shards(cut(cold), length, shards, tasks), table.format("found"))
+    found = scratch.keep(_sorted_shards(cold.drop("hot"), length, shards, tasks), table.format("found"))
     if deep is not None:
         # segments are the next level's rows; those that occur more than once repeat from end to end
-        bodies = scratch.keep(cut(deep).select(F.col("key").alias("row_a"), F.col("seg").alias("row_b"), F.col("body").alias("text")), table.format("bodies"))
-        inner = _repeated(scratch, bodies, length, min(2 * gram, length), level + 1).withColumnsRenamed({"row_a": "key", "row_b": "seg"})
+        inner = deep.select(F.col("key").alias("row_a"), F.col("seg").alias("row_b"), F.col("body").alias("text"))
+        inner = _repeated(scratch, inner, length, min(2 * gram, length), level + 1).withColumnsRenamed({"row_a": "key", "row_b": "seg"})
         whole = deep.where("copies > 1").select("key", "seg", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("runs"))
         inner = inner.unionByName(whole).groupBy("key", "seg").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
         found = found.unionByName(inner)
     found = found.join(unique.select("key", "seg", F.col("copies").alias("members")), ["key", "seg"])
     spans = join_by_key(crowd, scratch.keep(found, table.format("runs")), ["key", "seg"], n_routed, spread)
-    return spans.select("row_a", "row_b", F.expr("transform(runs, x -> struct(x.a + start as a, x.b + start as b))").alias("runs"))
+    return alone.unionByName(spans.select("row_a", "row_b", F.expr("transform(runs, x -> struct(x.a + start as a, x.b + start as b))").alias("runs")))
 
 
 def remove_repeats(

@@ -113,6 +113,45 @@ def test_hot_hashes_are_split(spark, monkeypatch):
     assert max(sizes) < 12_000
 
 
+def test_only_segments_that_may_share_a_window_are_sorted(spark, monkeypatch):
+    from gaugeline.llm import suffix_dedup
+
+    rng = np.random.default_rng(12)
+    noise = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    copies = [noise(400) for _ in range(20)]
+    texts = [t + noise(300) for t in copies for _ in range(2)]
+    seen, sort = [], suffix_dedup._sorted_shards
+
+    def spy(segments, length, shards, spread):
+        seen.append(segments.count())
+        return sort(segments, length, shards, spread)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_shards", spy)
+    assert run(spark, copies * 2, length=50, gram=16) == brute(copies * 2, 50)
+    # every hash has one kind of segment
+    assert seen == [0]
+    assert run(spark, texts, length=50, gram=16) == brute(texts, 50)
+
+
+def test_sides_of_a_hash():
+    import pyarrow as pa
+
+    from gaugeline.llm import suffix_dedup as s
+
+    rng = np.random.default_rng(13)
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    gram, other, shared = noise(8), noise(8), noise(20)
+    bodies = [noise(30) + gram + noise(30), noise(30) + gram + noise(30), shared + gram + noise(40), noise(9) + shared + gram + noise(5), noise(20) + other + noise(9) + other, noise(25) + other + noise(20)]
+    prefix = [s.prefix_hash(s.BYTE_HASH[np.frombuffer(x, np.uint8)]) for x in (gram, other)]
+    key = np.array([s._gram_hashes(p, 8)[0] for p in prefix])[[0, 0, 0, 0, 1, 1]].view(np.int64)
+    left, right = s._flanks(pa.array(bodies), key, 40, 8)
+    # chance meetings are left out, a shared side and a hash that occurs twice are not
+    assert s._sortable(key, left, right).tolist() == [False, False, True, True, True, True]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 2, 2, 2, 2, 3, 3, 4])], ["key"])
+    parts = [batch.slice(0, 3), batch.slice(3, 1), batch.slice(4, 0), batch.slice(4, 3), batch.slice(7, 1), batch.slice(8, 1)]
+    assert [x.column(0).to_pylist() for x in s._whole_hashes(iter(parts))] == [[1, 1], [2, 2, 2, 2], [3, 3], [4]]
+
+
 def test_real_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = docs.orderBy("doc_id").collect()
