@@ -120,3 +120,20 @@ def test_components(spark, edges):
             low = min(min(group), parent.get(a, a), parent.get(b, b))
             parent |= dict.fromkeys(group, low)
     assert got == parent
+
+
+def test_few_edges_take_few_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    edges = rng.integers(0, 400, (260, 2)).tolist() + [[k, k + 1] for k in range(1000, 1200)] + [[2000, k] for k in rng.permutation(np.arange(1500, 1600)).tolist()]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    kept = []
+
+    class Counted(Scratch):
+        def keep(self, df, table):
+            kept.append(table)
+            return super().keep(df, table)
+
+    got = {r.id: r.component for r in connected_components(df, Counted(spark, "t"), "few").collect()}
+    assert kept == ["few-0"]
+    monkeypatch.setattr(components, "FEW", 0)
+    assert got == {r.id: r.component for r in connected_components(df, Scratch(spark, "t")).collect()}
