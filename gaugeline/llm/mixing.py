@@ -181,7 +181,7 @@ def mix(
     targets: shares by value for ``source``, ``lang`` or ``topic``; a dimension without targets gets its tokens' shares
     raised to TEMPER. A value that given targets do not name gets weight 0. Nulls count as the value "". Targets that
     cannot be met together end in a warning with the remaining error. ``budget`` is the share of all tokens to keep.
-    topic: any column; without one, topics are learned (``topics.learn``, on a bounded sample) and every whole text is
+    topic: any column; without one, topics are learned from all texts (``topics.learn``) and every whole text is
     given one. ``sampled`` compares a hash of id and seed with the probability, so it does not depend on partitions;
     repeated rows and all rows of one id share it (rows without an id are told apart by their text). Null and empty
     texts cost nothing and stay where their values are wanted. An empty table stays empty. Columns of the added names

@@ -127,6 +127,23 @@ def test_topics_against_brute_force(spark):
     assert topics.learn(docs.limit(0)) is None and {r.topic for r in topics.assign(docs, None).collect()} == {topics.NONE}
 
 
+def test_topics_are_learned_from_every_text(spark):
+    """No text is left out of the model: 9000 texts, of which one in 300 has words of its own."""
+    import numpy as np
+
+    from gaugeline.llm import topics
+
+    df = spark.range(9000).selectExpr("id as doc_id", "if(id % 300 = 7, concat('zebra', id, ' quagga', id), concat('common words here number', id % 5)) as text").union(spark.sql("select -1L, null union all select -2L, 'a b'"))
+    model = topics.learn(df, topics=3)
+    again = topics.learn(df.repartition(7), topics=3)
+    assert np.array_equal(model.idf, again.idf) and np.array_equal(model.centroids, again.centroids)
+    counts = np.zeros(topics.DIM)
+    for r in df.where("text is not null").collect():
+        raw = r.text.encode()
+        counts[np.unique(topics._cells(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[1])] += 1
+    assert np.allclose(model.idf, np.log(9001 / (1 + counts)) + 0.01, rtol=1e-6)
+
+
 def test_contradicting_targets_are_reported(spark):
     # each source has one language, so the two dimensions' targets cannot both be met
     df = spark.createDataFrame([(1, "a b", "x", "en"), (2, "c d e", "y", "de")], "doc_id long, text string, source string, lang string")
