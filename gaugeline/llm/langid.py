@@ -1,8 +1,9 @@
 """Language identification by nearest centroid.
 
 A text becomes a vector of hashed byte n-grams (letters lower-cased, everything else a blank), weighted by TF-IDF and
-normalised. Each language has several centroids, found by spherical k-means. A text takes the language of the centroid
-with the largest cosine, and is rejected where that cosine is far below what training texts of its length reach.
+normalised. Each language has several centroids, found by spherical k-means over all of its texts. A text takes the language
+of the centroid with the largest cosine, and is rejected where that cosine is far below what training texts of its length
+reach. The training texts' counts are stored once; each round reads them and sends one sum a centroid and task on.
 """
 
 from __future__ import annotations
@@ -12,22 +13,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeline.llm._split import bucket, sample_every
+from gaugeline.llm._split import bucket
 from gaugeline.llm._store import Scratch
+from gaugeline.llm._sums import added, packed, summed, total, unpacked, weights
 from gaugeline.llm._text import chunks
 
 DIM = 4096
-#: Centroids for each language; training texts for each language, in all, and for each where languages are many.
-CENTROIDS, EACH, MOST, FEW = 4, 600, 12_000, 100
+#: Centroids for each language, and rounds of k-means at most.
+CENTROIDS, ROUNDS = 4, 12
 #: A text is rejected below REJECT times the cosine that all but LOWEST of the training texts and pieces of its length reach.
 REJECT, LOWEST = 0.6, 0.01
 #: Lengths are told apart by powers of two. Each training text counts in its own class and gives one piece to every
 #: class from PIECES on below it; a class of fewer than ENOUGH takes the limit of the next shorter one.
 LENGTHS, PIECES, ENOUGH = 24, 4, 50
+#: Cosines are counted in steps of 1 / STEPS to find that limit.
+STEPS = 1 << 13
 #: Documents whose counts are dense at a time.
 DENSE = 512
 
@@ -82,12 +87,13 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
         yield raw[a : a + size].decode("utf-8", "ignore").encode()
 
 
-def _limits(best: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
-    """The least accepted cosine of each length class; shorter texts are never asked for more than longer ones."""
-    own, out = _length(n_bytes), np.zeros(LENGTHS)
+def _limits(reached: dict[int, np.ndarray]) -> np.ndarray:
+    """The least accepted cosine of each length class, from counts by step; shorter texts are never asked for more than longer ones."""
+    out = np.zeros(LENGTHS)
     for k in range(1, LENGTHS):
-        mine = best[own == k]
-        out[k] = max(out[k - 1], REJECT * float(np.quantile(mine, LOWEST))) if len(mine) >= ENOUGH else out[k - 1]
+        below = np.cumsum(reached.get(k, np.zeros(STEPS + 1, np.int64)))
+        low = int(np.searchsorted(below, LOWEST * (below[-1] - 1), side="right")) / STEPS
+        out[k] = max(out[k - 1], REJECT * low) if below[-1] >= ENOUGH else out[k - 1]
     return out
 
 
@@ -111,75 +117,112 @@ class LanguageModel:
     least: np.ndarray
 
 
-def fit(texts: DataFrame, lang_col: str = "lang", text_col: str = "text", key: str = "doc_id", each: int = EACH, most: int = MOST, centroids: int = CENTROIDS) -> LanguageModel | None:
-    """Learns every non-null language from a sample of about ``each`` rows; None if there are none.
+def _vectors(rows: DataFrame) -> DataFrame:
+    """(h, lang, cells, counts) of every text with a letter and an n-gram; rows: (h, lang, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, at in chunks(batch.column(2), most=DENSE):
+                counts = _counts(data, at)
+                counts[~_letters(data, at)] = 0
+                flat = counts.reshape(-1)
+                place = np.flatnonzero(flat)
+                by = np.searchsorted(place, np.arange(hi - lo + 1) * DIM)
+                have = pa.array(np.diff(by) > 0)
+                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *packed(place % DIM, flat[place], by)]
+                yield pa.RecordBatch.from_arrays([x.filter(have) for x in columns], ["h", "lang", "cells", "counts"])
+
+    return rows.mapInArrow(run, "h long, lang string, cells binary, counts binary")
 
-    With more than ``most // each`` languages the rows for each go down to FEW at least, and from there the sample grows
-    with the languages. Only one language's rows are dense at a time.
-    """
-    rows = texts.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    sample = sample_every(rows, "lang", "key", "text", each, most, FEW).select("lang", "text")
-    sample = Scratch(texts.sparkSession, "langid").keep(sample, "sample")
 
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first(vectors: DataFrame, centroids: int) -> list:
+    """The ``centroids`` different texts of each language with the smallest hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in chunks(batch.column(1), most=DENSE):
-                counts, letter = _counts(data, at), _letters(data, at)
-                where, value = [], []
-                for i in range(hi - lo):
-                    nz = np.flatnonzero(counts[i]) if letter[i] else np.zeros(0, np.int64)
-                    where.append(nz.astype(np.int16).tobytes())
-                    value.append(counts[i][nz].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(where, pa.binary()), pa.array(value, pa.binary())], ["lang", "cells", "counts"])
-
-    got = sample.mapInArrow(sparse, "lang string, cells binary, counts binary").toArrow().to_pydict()
-    use = [i for i, w in enumerate(got["cells"]) if w]
-    if not use:
+            code = batch.column(1).dictionary_encode().indices.to_numpy()
+            h = batch.column(0).to_numpy()
+            order = np.lexsort((h, code))
+            code, h = code[order], h[order]
+            new = np.concatenate([[True], (code[1:] != code[:-1]) | (h[1:] != h[:-1])])[: len(order)]
+            order, code = order[new], code[new]
+            place = np.arange(len(code)) - np.searchsorted(code, code)
+            yield batch.take(pa.array(order[place < centroids]))
+
+    best = vectors.mapInArrow(run, vectors.schema).dropDuplicates(["lang", "h"])
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= centroids)
+    return sorted(best.collect(), key=lambda r: (r["lang"], r["place"]))
+
+
+def fit(texts: DataFrame, lang_col: str = "lang", text_col: str = "text", centroids: int = CENTROIDS) -> LanguageModel | None:
+    """Learns every non-null language from all of its texts, each as often as it occurs; None if there are none.
+
+    Sums are of whole numbers (``_sums``), so the model does not depend on partitions.
+    """
+    text = F.col(text_col).cast("string")
+    rows = texts.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(text, F.lit("langid")).alias("h"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
+    vectors = Scratch(texts.sparkSession, "langid").keep(_vectors(rows), "vectors")
+
+    def frequencies(cell: np.ndarray, count: np.ndarray, by: np.ndarray, _) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.zeros(1, np.int64), np.bincount(cell, minlength=DIM)[None], np.array([len(by) - 1])
+
+    counted = added(vectors, frequencies)
+    if not counted:
         return None
-    cells = [np.frombuffer(got["cells"][i], np.int16) for i in use]
-    counts = [np.frombuffer(got["counts"][i], np.float32) for i in use]
-    # the sample's order does not matter to the model
-    order = sorted(range(len(use)), key=lambda i: (got["lang"][use[i]], got["cells"][use[i]], got["counts"][use[i]]))
-    cells, counts = [cells[i] for i in order], [counts[i] for i in order]
-    lang = np.array([got["lang"][use[i]] for i in order])
-    df = np.zeros(DIM, dtype=np.int64)
-    for c in cells:
-        df[c] += 1
-    idf = np.log((1 + len(use)) / (1 + df)).astype(np.float32) + 0.01
-    names = sorted(set(lang.tolist()))
-    rng = np.random.default_rng(17)
-    cents, owner = [], []
-    for k, name in enumerate(names):
-        mine = np.flatnonzero(lang == name)
-        own = np.zeros((len(mine), DIM), dtype=np.float32)
-        for r, i in enumerate(mine):
-            own[r, cells[i]] = counts[i]
-        own = _weighted(own, idf)
-        c = own[rng.permutation(len(own))[: min(centroids, len(own))]].copy()
-        for _ in range(12):
-            near = (own @ c.T).argmax(axis=1)
-            for j in range(len(c)):
-                if (near == j).any():
-                    mean = own[near == j].sum(axis=0)
-                    c[j] = mean / max(float(np.sqrt((mean * mean).sum())), 1e-12)
-        cents.append(c)
-        owner += [k] * len(c)
-    model = LanguageModel(names, idf, np.concatenate(cents), np.array(owner), np.zeros(LENGTHS))
-
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                parts = pa.array(list(_pieces(text.encode())), pa.binary())
-                for _, _, data, at in chunks(parts):
-                    use = _letters(data, at)
-                    best = (_weighted(_counts(data, at), model.idf) @ model.centroids.T).max(axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(best[use].astype(np.float64)), pa.array(np.diff(at)[use])], ["best", "size"])
-
-    reached = sample.mapInArrow(reach, "best double, size long").toArrow()
-    model.least = _limits(reached["best"].to_numpy(), reached["size"].to_numpy())
+    df, n = counted[0]
+    idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 0.01
+    first = _first(vectors, centroids)
+    names = sorted({r["lang"] for r in first})
+    # the j-th centroid of every language; some have fewer
+    c = np.zeros((centroids, len(names), DIM))
+    have = np.zeros((centroids, len(names)), dtype=bool)
+    cell, count, by = unpacked(*(pa.array([bytes(r[k]) for r in first], pa.binary()) for k in ("cells", "counts")))
+    x = weights(cell, count, by, idf)
+    for r, a, b in zip(first, by[:-1], by[1:], strict=True):
+        j, k = r["place"] - 1, names.index(r["lang"])
+        c[j, k, cell[a:b]] = x[a:b]
+        have[j, k] = True
+
+    before: dict = {}
+    for _ in range(ROUNDS):
+        now = added(vectors, _nearest_sums(c, have, names, idf), "lang")
+        for g, (vector, _n) in now.items():
+            v = vector.astype(np.float64)
+            c[g // len(names), g % len(names)] = v / max(float(np.sqrt((v * v).sum())), 1e-12)
+        if now.keys() == before.keys() and all(np.array_equal(now[g][0], before[g][0]) for g in now):
+            break
+        before = now
+    owner = [k for k in range(len(names)) for j in range(centroids) if have[j, k]]
+    cents = np.stack([c[j, k] for k in range(len(names)) for j in range(centroids) if have[j, k]]).astype(np.float32)
+    model = LanguageModel(names, idf, cents, np.array(owner), np.zeros(LENGTHS))
+
+    def reach(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for i in range(0, batch.num_rows, DENSE // 8):
+            parts = pa.array([p for text in batch.column(0).slice(i, DENSE // 8).to_pylist() for p in _pieces(text.encode())], pa.binary())
+            for _, _, data, at in chunks(parts, most=DENSE):
+                use = _letters(data, at)
+                best = (_weighted(_counts(data, at), model.idf) @ model.centroids.T).max(axis=1)[use]
+                step = (np.clip(best, 0, 1) * STEPS).astype(np.int64)
+                size, own, rows = np.unique(_length(np.diff(at)[use]), return_inverse=True, return_counts=True)
+                yield size, np.bincount(own * (STEPS + 1) + step, minlength=len(size) * (STEPS + 1)).reshape(-1, STEPS + 1), rows
+
+    model.least = _limits({k: v for k, (v, _) in total(rows.select("text"), reach).items()})
     return model
 
 
+def _nearest_sums(c: np.ndarray, have: np.ndarray, names: list[str], idf: np.ndarray):
+    flat, known = c.reshape(len(c), -1).copy(), pa.array(names)
+
+    def run(cell: np.ndarray, count: np.ndarray, by: np.ndarray, lang: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = weights(cell, count, by, idf)
+        k = pc.index_in(lang, value_set=known).to_numpy().astype(np.int64)
+        at = np.repeat(k, np.diff(by)) * DIM + cell
+        cos = np.stack([np.where(ok[k], np.add.reduceat(row[at] * x, by[:-1]), -1.0) for row, ok in zip(flat, have, strict=True)])
+        return summed(cos.argmax(axis=0) * len(names) + k, cell, x, by, DIM)
+
+    return run
+
+
 def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """Adds the predicted language, its cosine (0 to 1) and whether the text is rejected to every row.
 

@@ -56,6 +56,20 @@ def test_every_language_is_learned(spark):
     assert np.mean([r.lang == r.lang_pred for r in got if r.lang >= "l20"]) > 0.9
 
 
+def test_languages_are_learned_from_every_text(spark):
+    """No text is left out of weights, centroids or limits: 3000 texts, of which few have letters of their own."""
+    df = spark.range(3000).selectExpr("id as doc_id", "if(id % 2 = 0, 'a', 'b') as lang", "if(id % 300 < 2, repeat('zqxj ', 30), if(id % 2 = 0, repeat('lorem ipsum ', 12), repeat('dolor amet ', 13))) as text")
+    model, again = langid.fit(df), langid.fit(df.repartition(7))
+    assert all(np.array_equal(getattr(model, k), getattr(again, k)) for k in ("idf", "centroids", "least"))
+    counts = np.zeros(langid.DIM)
+    for r in df.collect():
+        raw = r.text.encode()
+        counts[langid._counts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0] > 0] += 1
+    assert np.allclose(model.idf, np.log(3001 / (1 + counts)) + 0.01, rtol=1e-5)
+    # one text in 150 is below the hundredth that limits are set at
+    assert langid._limits({8: np.bincount([100] * 9 + [4096] * 991, minlength=langid.STEPS + 1)})[8] == pytest.approx(langid.REJECT * 0.5)
+
+
 def test_many_languages_share_the_sample(spark):
     from gaugeline.llm._split import sample_every
 
