@@ -47,15 +47,21 @@ SORT_BUDGET = 1 << 20
 BASE_CASE = 2 << 20
 #: Windows in a segment at most; a longer run (a text that repeats itself) is cut into several of the same hash.
 RUN = 4096
+#: Places whose sliding minima are made at a time, so that the steps between stay in a core's cache.
+SLIDE = 1 << 16
 
 
 def _sliding(least, x: np.ndarray, width: int) -> np.ndarray:
-    """least (np.minimum or np.maximum) of each ``width`` neighbours, by doubling."""
-    have = 1
-    while have * 2 <= width:
-        x = least(x[: len(x) - have], x[have:])
-        have *= 2
-    return least(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
+    """least (np.minimum or np.maximum) of each ``width`` neighbours, by doubling, SLIDE of them at a time."""
+    out = np.empty(len(x) - width + 1, x.dtype)
+    for i in range(0, len(out), SLIDE):
+        part, have = x[i : i + SLIDE + width - 1], 1
+        while have * 2 <= width:
+            part = least(part[: len(part) - have], part[have:])
+            have *= 2
+        rest = width - have
+        out[i : i + SLIDE] = least(part[: len(part) - rest], part[rest:]) if rest else part
+    return out
 
 
 def _gram_hashes(prefix: np.ndarray, gram: int) -> np.ndarray:
@@ -370,7 +376,7 @@ def _repeated(scratch: Scratch, rows: DataFrame, length: int, gram: int, level:
         inner = deep.select(F.col("key").alias("row_a"), F.col("seg").alias("row_b"), F.col("body").alias("text"))
         inner = _repeated(scratch, inner, length, min(2 * gram, length), level + 1).withColumnsRenamed({"row_a": "key", "row_b": "seg"})
         whole = deep.where("copies > 1").select("key", "seg", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("runs"))
-        inner = inner.unionByName(whole).groupBy("key", "seg").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+        inner = inner.unionByName(whole).groupBy("key", "seg").agg(F.flatten(F.collect_list("runs")).alias("runs"))
         found = found.unionByName(inner)
     found = found.join(unique.select("key", "seg", F.col("copies").alias("members")), ["key", "seg"])
     spans = join_by_key(crowd, scratch.keep(found, table.format("runs")), ["key", "seg"], n_routed, spread)
@@ -423,7 +429,8 @@ def remove_repeats(
         # one text for each, combined before the shuffle
         distinct = distinct.unionByName(scratch.keep(again.groupBy(*row).agg(F.first("text").alias("text")), "distinct"))
     spans = _repeated(scratch, distinct, length, gram)
-    per_row = spans.groupBy(*row).agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("spans"))
+    # runs that are given twice (by two levels) are left to the cut: array_distinct compares each with all others
+    per_row = spans.groupBy(*row).agg(F.flatten(F.collect_list("runs")).alias("spans"))
     joined = once.join(per_row.hint("shuffle_hash"), row, "left").select("id", "carried", "text", "spans")
     if again is not None:
         size = F.octet_length("text")

@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -223,6 +224,28 @@ def test_very_long_texts(spark):
     assert [g[1:3] for g in got] == [(500, 1), (400_000, 1), (500, 1)]
 
 
+def test_very_many_runs_in_one_text(spark):
+    """A long text that repeats as a whole has a run for each of its segments; nothing grows with their square."""
+    rng = np.random.default_rng(3)
+    long = bytes(rng.integers(97, 123, 4_000_000).astype(np.uint8)).decode()
+    df = spark.createDataFrame([(1, long), (2, long + "!")], "doc_id long, text string")
+    out = remove_repeats(spark, df)
+    began = time.perf_counter()
+    assert sorted((r.id, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect()) == [(1, 4_000_000, 1, b""), (2, 4_000_000, 1, b"!")]
+    # compared with each other, the runs took 46 s
+    assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 8])
+def test_sliding_minima_in_blocks(width, monkeypatch):
+    from gaugeline.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "SLIDE", 5)
+    x = np.random.default_rng(width).integers(0, 99, 33)
+    for least in (np.minimum, np.maximum):
+        assert suffix_dedup._sliding(least, x, width).tolist() == [least.reduce(x[i : i + width]) for i in range(len(x) - width + 1)]
+
+
 def test_columns_named_as_inside(spark):
     names = ["row_a", "row_b", "spans", "runs", "carried", "key", "seg", "members", "again", "text2", "c0", "shard"]
     df = spark.createDataFrame([(1, "abcdefghijkl" * 3, *range(12)), (2, "abcdefghijkl" * 3, *range(12))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
