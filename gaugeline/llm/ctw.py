@@ -8,9 +8,9 @@ mixes the estimates of all depths. A context that was never seen predicts 1/2, a
 A text is coded as its bytes, with zero bytes before it, and the byte 0xFF (never in UTF-8) to close it.
 
 Scale: all that is gathered are counts of (context, byte) strings and of words, reduced in each task before the
-shuffle. The model is built in partitions by the three nearest context bytes, a block of contexts at a time; only the
-nodes of depth 2 (65 536 x 255 at most) reach the driver. The commonest strings and words, at most HELD and HELD_WORDS, are broadcast; occurrences of all others are
-joined with the whole table.
+shuffle. The model is built in partitions by the three nearest context bytes, a block of contexts at a time; only the nodes of depth 2 (65 536 x 255
+at most) reach the driver. The commonest strings and words, at most HELD and HELD_WORDS, are broadcast; occurrences of
+all others are joined with the whole table. The blocks below set a worker's memory and change no result.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ from gaugeline.llm._store import Scratch, partitions
 from gaugeline.llm._text import U64, chunks, word_hashes
 
 DEPTH = 5
-#: Entries of the broadcast tables at most: strings (16 bytes in 4.2 million places) and words (16 in half a million).
+#: Entries of the broadcast tables at most: strings and words (about 20 bytes each).
 HELD, HELD_WORDS = 2_000_000, 250_000
-#: Strings that a task sorts at a time while it counts.
-COUNT_BLOCK = 3_000_000
+#: Bytes of texts that a task turns into strings at a time.
+TEXT_BLOCK = 1 << 17
+#: Strings that a task sorts at a time while it counts, and distinct ones that it holds before it hands them on.
+COUNT_BLOCK, COUNT_HELD = 1_000_000, 1_000_000
 #: Strings whose deeper levels a task builds at a time.
-BUILD_BLOCK = 200_000
+BUILD_BLOCK = 60_000
 #: Depths up to NEAR are finished on the driver: at most 256**2 contexts of 255 nodes at depth 2, far fewer in text.
 NEAR = 2
 GRAM, WORD = 0, 1
@@ -64,13 +66,15 @@ def _reduced(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[edge], np.diff(np.append(edge, len(x)))
 
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    code = np.concatenate([p[0] for p in parts])
-    n = np.concatenate([p[1] for p in parts])
-    order = np.argsort(code, kind="stable")
-    code, n = code[order], n[order]
-    edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-    return code[edge], np.add.reduceat(n, edge)
+def _with(held: tuple[np.ndarray, np.ndarray] | None, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and their counts with further ones; held's counts may be overwritten."""
+    if held is None:
+        return code, n
+    at = np.searchsorted(held[0], code)
+    seen = held[0][np.minimum(at, len(held[0]) - 1)] == code
+    held[1][at[seen]] += n[seen]
+    at, code, n = at[~seen], code[~seen], n[~seen]
+    return np.insert(held[0], at, code), np.insert(held[1], at, n)
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -83,21 +87,20 @@ def _counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[tuple[int, bool], list[np.ndarray]] = {}
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAM: [], WORD: []}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         size = 0
 
         def settle() -> None:
-            for (kind, learn), parts in waiting.items():
-                code, n = _reduced(np.concatenate(parts))
-                held[kind].append((code, n if learn else np.zeros_like(n)))
-            waiting.clear()
-            for kind in held:
-                if len(held[kind]) > 1:
-                    held[kind] = [_added(held[kind])]
+            while waiting:
+                (kind, learn), parts = waiting.popitem()
+                x = np.concatenate(parts)
+                parts.clear()
+                code, n = _reduced(x)
+                held[kind] = _with(held.get(kind), code, n if learn else np.zeros_like(n))
 
         for batch in batches:
             learn_col = batch.column(1).to_numpy(False)
-            for lo, hi, data, at in chunks(batch.column(0)):
+            for lo, hi, data, at in chunks(batch.column(0), TEXT_BLOCK):
                 learn = learn_col[lo:hi].astype(bool)
                 code, by = gram_codes(data, at)
                 mask = np.repeat(learn, np.diff(by))
@@ -109,14 +112,12 @@ def _counts(docs: DataFrame) -> DataFrame:
                 if size >= COUNT_BLOCK:
                     settle()
                     size = 0
-                    for kind in held:
-                        if held[kind] and len(held[kind][0][0]) > COUNT_BLOCK // 2:
-                            yield from emit(kind, *held[kind][0])
-                            held[kind] = []
+                    for kind in list(held):
+                        if len(held[kind][0]) > COUNT_HELD:
+                            yield from emit(kind, *held.pop(kind))
         settle()
-        for kind in held:
-            if held[kind]:
-                yield from emit(kind, *held[kind][0])
+        for kind in list(held):
+            yield from emit(kind, *held.pop(kind))
 
     return docs.select("text", "learn").mapInArrow(run, "kind int, code long, n long")
 
@@ -139,6 +140,20 @@ def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1.0) - np.log(np.pi)
 
 
+class _Mixer:
+    """What a prediction reads of the nodes of one depth: sorted keys, weights and estimates."""
+
+    def __init__(self, keys: np.ndarray, weight: np.ndarray, estimate: np.ndarray):
+        self.keys, self.weight, self.estimate = keys, weight, estimate
+
+    def mix(self, key: np.ndarray, deeper: np.ndarray) -> np.ndarray:
+        """Probability of a 1 at these nodes, given that of one depth more."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        seen = self.keys[at] == key
+        w = self.weight[at]
+        return np.where(seen, w * self.estimate[at] + (1 - w) * deeper, deeper)
+
+
 class _Level:
     """The nodes of one depth: sorted keys context << 8 | node, counts, and the weight of the node's own estimate."""
 
@@ -151,13 +166,8 @@ class _Level:
             self.log_w = np.logaddexp(own, below) + np.log(0.5)
             self.weight = np.exp(own + np.log(0.5) - self.log_w)
 
-    def mix(self, key: np.ndarray, deeper: np.ndarray) -> np.ndarray:
-        """Probability of a 1 at these nodes, given that of one depth more."""
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        seen = self.keys[at] == key
-        estimate = (self.ones[at] + 0.5) / (self.zeros[at] + self.ones[at] + 1.0)
-        w = self.weight[at]
-        return np.where(seen, w * estimate + (1 - w) * deeper, deeper)
+    def mixer(self) -> _Mixer:
+        return _Mixer(self.keys, self.weight, (self.ones + 0.5) / (self.zeros + self.ones + 1.0))
 
 
 def _nodes(context: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,9 +209,9 @@ def build(code: np.ndarray, n: np.ndarray, low: int = 0) -> tuple[np.ndarray, _L
             parent = (level.keys >> U64(16) << U64(8)) | (level.keys & U64(255))
             below = _summed(parent, level.log_w, keys)
         level = _Level(keys, zeros, ones, below)
-        context = code >> U64(8) >> shift
+        context, mixer = code >> U64(8) >> shift, level.mixer()
         for j in range(8):
-            p[j] = level.mix(context << U64(8) | (U64(1 << j) | byte_all >> U64(8 - j)), p[j])
+            p[j] = mixer.mix(context << U64(8) | (U64(1 << j) | byte_all >> U64(8 - j)), p[j])
     return p, level
 
 
@@ -262,7 +272,8 @@ def _model(spark: SparkSession, counts: DataFrame, scratch: Scratch) -> DataFram
         for _ in range(NEAR + 1):
             levels.append(_Level(*parts))
             parts = _parents(levels[-1])
-    shared = spark.sparkContext.broadcast(levels)
+    shared = spark.sparkContext.broadcast([level.mixer() for level in levels])
+    del levels
 
     def shallow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,33 +282,30 @@ def _model(spark: SparkSession, counts: DataFrame, scratch: Scratch) -> DataFram
             code = batch.column(0).to_numpy().view(U64)
             p = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.float64).reshape(-1, 8).T.copy()
             byte = code & U64(255)
-            for d, level in zip(range(NEAR, -1, -1), shared.value):
+            for d, mixer in zip(range(NEAR, -1, -1), shared.value):
                 context = code >> U64(8 * (DEPTH - d + 1))
                 for j in range(8):
-                    p[j] = level.mix(context << U64(8) | (U64(1 << j) | byte >> U64(8 - j)), p[j])
+                    p[j] = mixer.mix(context << U64(8) | (U64(1 << j) | byte >> U64(8 - j)), p[j])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(log10_of(p, byte))], ["code", "n", "value"])
 
-    return scratch.keep(got.where("p is not null").select("code", "n", "p").mapInArrow(shallow, "code long, n long, value double"), "model")
+    model = scratch.keep(got.where("p is not null").select("code", "n", "p").mapInArrow(shallow, "code long, n long, value double"), "model")
+    shared.destroy()
+    return model
 
 
 class Table:
-    """An open-addressing table from 64-bit keys to floating-point values, built and read by whole arrays."""
+    """A table from 64-bit keys to floating-point values, built and read by whole arrays; its entries lie by hash, about one a bucket."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         """values: none may be NaN; they keep their type."""
-        bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
-        self.shift, self.mask = U64(64 - bits), (1 << bits) - 1
-        self.keys = np.zeros(1 << bits, dtype=U64)
-        self.values = np.full(1 << bits, np.nan, dtype=values.dtype)
-        todo, place = np.arange(len(keys)), self._home(keys)
-        while len(todo):
-            free = np.isnan(self.values[place])
-            _, first = np.unique(np.where(free, place, -1), return_index=True)
-            first = first[free[first]]
-            self.keys[place[first]], self.values[place[first]] = keys[todo[first]], values[todo[first]]
-            rest = np.ones(len(todo), dtype=bool)
-            rest[first] = False
-            todo, place = todo[rest], (place[rest] + 1) & self.mask
+        bits = max(4, int(max(1, len(keys)) - 1).bit_length())
+        self.shift = U64(64 - bits)
+        home = self._home(keys)
+        order = np.argsort(home, kind="stable")
+        # one more, so that the place of an empty last bucket can be read
+        self.keys, self.values = np.append(keys[order], U64(0)), np.append(values[order], values.dtype.type(0))
+        self.start = np.zeros((1 << bits) + 1, dtype=np.int32 if len(keys) < 1 << 31 else np.int64)
+        np.cumsum(np.bincount(home, minlength=1 << bits), out=self.start[1:])
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -305,16 +313,17 @@ class Table:
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Values, NaN where a key is absent."""
-        place = self._home(keys)
-        out = self.values[place]
-        todo = np.flatnonzero((self.keys[place] != keys) & ~np.isnan(out))
-        place = place[todo]
+        home = self._home(keys)
+        place, end = self.start[home], self.start[home + 1]
+        found = (self.keys[place] == keys) & (place < end)
+        out = np.where(found, self.values[place], self.values.dtype.type(np.nan))
+        todo = np.flatnonzero(~found & (place + 1 < end))
+        place, end = place[todo] + 1, end[todo]
         while len(todo):
-            place = (place + 1) & self.mask
-            value = self.values[place]
-            out[todo] = value
-            more = (self.keys[place] != keys[todo]) & ~np.isnan(value)
-            todo, place = todo[more], place[more]
+            found = self.keys[place] == keys[todo]
+            out[todo[found]] = self.values[place[found]]
+            more = ~found & (place + 1 < end)
+            todo, place, end = todo[more], place[more] + 1, end[more]
         return out
 
 
@@ -366,7 +375,7 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column, id_col: str = "do
             return pa.ListArray.from_arrays(pa.array(off), pa.array(code[miss].view(np.int64)))
 
         for batch in batches:
-            for lo, hi, data, at in chunks(batch.column(1)):
+            for lo, hi, data, at in chunks(batch.column(1), TEXT_BLOCK):
                 code, by = gram_codes(data, at)
                 value = g.get(code)
                 miss = np.isnan(value)
@@ -394,6 +403,8 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column, id_col: str = "do
     kind = docs.schema[id_col].dataType.simpleString()
     done = base.mapInArrow(run, f"id {kind}, learn boolean, n_bytes long, n_tokens long, known long, words double, grams double, rest_grams array<long>, rest_words array<long>")
     done = scratch.keep(done.withColumn("row", F.monotonically_increasing_id()), "scored")
+    grams.destroy()
+    vocab.destroy()
     # occurrences of strings and words outside the broadcast tables, joined with the whole tables
     far_grams = done.select("row", F.explode("rest_grams").alias("code")).join(model.where(F.col("n") < gram_least).select("code", "value"), "code")
     far_words = done.select("row", F.explode("rest_words").alias("code")).join(words.where(F.col("n") < word_least), "code", "left")

@@ -1,8 +1,10 @@
 import collections
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +106,61 @@ def test_table():
     assert np.isnan(ctw.Table(keys[:0], np.zeros(0)).get(keys)).all()
 
 
+def test_a_table_takes_few_bytes_a_key():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 70_000, dtype=np.uint64))
+    t = ctw.Table(keys, np.arange(len(keys), dtype=float))
+    assert sum(x.nbytes for x in vars(t).values() if isinstance(x, np.ndarray)) < 25 * len(keys)
+    assert (t.get(keys[::-1]) == np.arange(len(keys))[::-1]).all()
+
+
+class Captured:
+    """Stands for a DataFrame and keeps the function that tasks would run."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+def counting(texts, learn):
+    """What one task hands on, batch by batch."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(learn)], ["text", "learn"])
+    return ctw._counts(Captured()).run(iter([batch]))
+
+
+@pytest.mark.parametrize(("block", "held"), [(10**6, 10**6), (40, 10**6), (40, 60)])
+def test_counts_in_small_blocks(block, held, monkeypatch):
+    monkeypatch.setattr(ctw, "COUNT_BLOCK", block)
+    monkeypatch.setattr(ctw, "COUNT_HELD", held)
+    monkeypatch.setattr(ctw, "TEXT_BLOCK", 30)
+    texts, learn = [t or "" for t in TEXTS] * 3, [i % 9 < 5 for i in range(27)]
+    want, got = collections.Counter(), collections.Counter()
+    for t, k in zip(texts, learn, strict=True):
+        data, at = np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])
+        for code in ctw.gram_codes(data, at)[0].tolist():
+            want[ctw.GRAM, code] += k
+        for code in ctw.word_hashes(data, at)[0].tolist():
+            if k:
+                want[ctw.WORD, code] += 1
+    rows = [r for b in counting(texts, learn) for r in b.to_pylist()]
+    for r in rows:
+        got[r["kind"], r["code"] % 2**64] += r["n"]
+    assert dict(got) == dict(want) and (len(rows) == len(want)) == (held > 60)
+
+
+def test_a_counting_task_holds_little():
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"etaoinshrdlu ", np.uint8)
+    texts = [bytes(letters[rng.integers(0, len(letters), 2000)]).decode() for _ in range(4000)]
+    tracemalloc.start()
+    assert sum(b.num_rows for b in counting(texts, [True] * len(texts))) > 10**6
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 145e6
+
+
 def test_beats_the_base_on_held_out_text(spark):
     from gaugeline.llm._split import bucket
 
