@@ -12,14 +12,16 @@ HOT_ROWS, HOT_KEYS = 100, 2000
 def join_by_key(rows: DataFrame, table: DataFrame, keys: list[str], total: int, spread_by: Column, all_rows: bool = False) -> DataFrame:
     """rows joined with ``table``, which has one row for each key and its number of rows as ``members``.
 
-    Hot keys' rows of ``table`` are broadcast (HOT_KEYS at most), and the rows of hot keys are dealt by ``spread_by``
-    instead of by key, so no task holds a hot key. total: the number of rows, or a bound from below.
+    Hot keys' rows of ``table`` are broadcast (HOT_KEYS at most), and the rows of hot keys are dealt by key and ``spread_by``
+    together, so no task holds a hot key. total: the number of rows, or a bound from below.
     """
     least = max(HOT_ROWS, -(-total // HOT_KEYS))
     values = [c for c in table.columns if c not in (*keys, "members")]
     packed = F.struct(*[F.col(c) for c in values], F.lit(1).alias("_one"))
     hot = table.where(F.col("members") >= least).select(*keys, packed.alias("_hot"))
-    cold = table.where(F.col("members") < least).select(*keys, F.lit(0).cast("long").alias("_salt"), packed.alias("_cold"))
+    # zero, but not a literal: the optimiser would take a constant out of the join's keys, and hot rows would meet by key
+    zero = F.least(F.col("members").cast("long"), F.lit(0).cast("long"))
+    cold = table.where(F.col("members") < least).select(*keys, zero.alias("_salt"), packed.alias("_cold"))
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread_by).bitwiseOR(F.lit(1))))
     both = dealt.join(cold, [*keys, "_salt"], "left").withColumn("_got", F.coalesce("_hot", "_cold"))
     if not all_rows:

@@ -21,3 +21,35 @@ def test_single_and_no_rows(spark):
     table = rows.groupBy("k").agg(F.count("*").alias("members"))
     assert _skew.join_by_key(rows, table, ["k"], 10, F.col("k")).count() == 10
     assert _skew.join_by_key(rows.limit(0), table, ["k"], 0, F.col("k")).count() == 0
+
+
+def _half_on_one_key(spark, n=20_000):
+    rows = spark.range(n).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 997).alias("k"), F.col("id").alias("i"))
+    table = rows.groupBy("k").agg(F.count("*").alias("members"), F.max("i").alias("top"))
+    return rows, table
+
+
+def test_the_salt_is_part_of_the_shuffle(spark):
+    rows, table = _half_on_one_key(spark)
+    out = _skew.join_by_key(rows, table, ["k"], 20_000, F.col("i"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "LeftOuter" in line and "_salt" in line)
+    # both sides' salts are compared; a constant would leave the left one only, outside the keys
+    assert join.count("_salt#") == 2
+
+
+def test_no_partition_holds_a_hot_key(spark, tmp_path):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("50", "false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        rows, table = _half_on_one_key(spark)
+        rows.write.parquet(f"{tmp_path}/rows")
+        table.write.parquet(f"{tmp_path}/table")
+        out = _skew.join_by_key(spark.read.parquet(f"{tmp_path}/rows"), spark.read.parquet(f"{tmp_path}/table"), ["k"], 20_000, F.col("i"))
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 20_000 and len(sizes) == 50
+    assert max(sizes) < 3 * 20_000 / 50
