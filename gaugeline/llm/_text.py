@@ -62,9 +62,28 @@ def prefix_hash(values: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Values of a span that enter its hash as one polynomial. Polynomials modulo 2**64 of 1000 and more values have equal
+#: sums for different ones (Thue-Morse patterns); up to this length their differences keep half of the bits.
+BLOCK = 64
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of values[start:end] for each pair, whatever its place in the buffer."""
-    return mix64((prefix[end] - prefix[start]) * powers(_M_INV, len(prefix))[start])
+    """A hash of values[start:end] for each pair, whatever its place in the buffer.
+
+    BLOCK values at a time enter as a polynomial; blocks are chained by mixing, so a longer span is no polynomial.
+    """
+    back = powers(_M_INV, len(prefix))
+    stop = np.minimum(end, start + BLOCK)
+    out = mix64((prefix[stop] - prefix[start]) * back[start])
+    more = np.flatnonzero(stop < end)
+    a, last = stop[more], end[more]
+    with np.errstate(over="ignore"):
+        while len(more):
+            b = np.minimum(last, a + BLOCK)
+            out[more] = mix64(out[more] * U64(0x9FB21C651E98DF25) + (prefix[b] - prefix[a]) * back[a] + (b - a).astype(U64))
+            on = b < last
+            more, a, last = more[on], b[on], last[on]
+    return out
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

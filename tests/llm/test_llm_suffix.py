@@ -272,3 +272,17 @@ def df_lit():
     from pyspark.sql import functions as F
 
     return F.lit("s")
+
+
+def test_texts_that_differ_by_a_thue_morse_pattern_keep_all_bytes(spark):
+    # polynomials modulo 2**64 cannot tell these two apart; none of their windows repeats
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    fixed = "".join(rng.choice(letters, 32))
+    filler = ["".join(rng.choice(letters, 31)) for _ in range(64)]
+    pattern = [bin(i).count("1") & 1 for i in range(64)]
+    texts = ["".join(fixed + f + (one, two)[p] for f, p in zip(filler, pattern)) + "".join(rng.choice(letters, 32)) for one, two in ("ab", "ba")]
+    for t in texts:
+        assert len(t) == 4128
+    assert [x[1] for x in brute(texts, 200)] == [0, 0]
+    assert run(spark, texts) == brute(texts, 200)

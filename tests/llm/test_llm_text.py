@@ -48,3 +48,24 @@ def test_span_hash_ignores_place():
     p = _text.prefix_hash(_text.BYTE_HASH[x])
     h = _text.span_hash(p, np.array([0, 3, 6, 0]), np.array([3, 6, 9, 2]))
     assert h[0] == h[1] != h[2] and h[3] != h[0]
+
+
+def thue_morse(n):
+    return [bin(i).count("1") & 1 for i in range(n)]
+
+
+def test_long_patterns_do_not_collide():
+    for n in (128, 512, 1024, 4096):
+        for one, two in (b"ab", b"09", b"\x00\xff"):
+            a = np.array([(one, two)[b] for b in thue_morse(n)], np.uint8)
+            b = np.array([(two, one)[b] for b in thue_morse(n)], np.uint8)
+            p = _text.prefix_hash(_text.BYTE_HASH[np.concatenate([a, b, a])])
+            h = _text.span_hash(p, np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n]))
+            assert h[0] != h[1] and h[0] == h[2]
+
+
+def test_long_words_are_told_apart():
+    a, b = (bytes((x, y)[k] for k in thue_morse(2048)) for x, y in (b"ab", b"ba"))
+    text = b" ".join([a, b, a, b"short"])
+    h, _ = _text.word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert h[0] == h[2] and len(set(h.tolist())) == 3
