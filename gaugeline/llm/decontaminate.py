@@ -6,6 +6,10 @@ that similar otherwise. Such a window gets a fingerprint of its weighted shingle
 fingerprints are split into RADIUS + 1 blocks, two within RADIUS agree in one block at least, so the blocks' tables give
 all items within RADIUS. These are verified by the weighted Jaccard similarity of the shingle multisets. A shingle weighs
 its words' bytes, so a match depends on the window and the item alone, however large the benchmark is.
+
+A fingerprint's bits follow the angle between two weight vectors. So that this is the similarity's, however uneven the
+weights are, a shingle enters as many parts of UNIT bytes, each with signs of its own, and so does every further occurrence
+of it. At similarity s the angle is then arccos(2 s / (1 + s)) at most, up to the rounding of weights to whole units.
 """
 
 from __future__ import annotations
@@ -25,8 +29,11 @@ from gaugeline.llm._store import Scratch
 from gaugeline.llm._text import BYTE_HASH, U64, chunks, mix64, prefix_hash, span_hash, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits of a fingerprint and the radius: similarity 0.8 leaves about 38 of 256 bits different, with a deviation of 6.
+#: Bits of a fingerprint and the radius: similarity 0.8 leaves 38.8 of 256 bits different, with a deviation of 5.7, so a
+#: pair at the threshold lies beyond the radius with a probability of about 2e-5, and more alike ones with less.
 BITS, RADIUS = 256, 63
+#: Bytes of a part of a shingle.
+UNIT = 4
 #: Bytes of benchmark text in one index. Of a larger benchmark, documents with none of its shingles are settled in one
 #: pass, and the others are searched in several.
 INDEX_BYTES = 4 << 20
@@ -70,13 +77,43 @@ def _weights(size: np.ndarray, run: int) -> np.ndarray:
     return total[run:] - total[: max(0, len(total) - run)]
 
 
-def _signs(shingles: np.ndarray) -> np.ndarray:
-    """BITS signs of each shingle."""
+def _signs(parts: np.ndarray) -> np.ndarray:
+    """BITS signs of each part."""
     with np.errstate(over="ignore"):
-        h = mix64(shingles[:, None] + U64(0x9E3779B97F4A7C15) * np.arange(1, BITS // 64 + 1, dtype=U64))
+        h = mix64(parts[:, None] + U64(0x9E3779B97F4A7C15) * np.arange(1, BITS // 64 + 1, dtype=U64))
     return np.unpackbits(h.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
+def _vectors(shingles: np.ndarray, weight: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """The sum of the signs of each shingle's parts, one for UNIT bytes (one at least); turn: which occurrence of it this is."""
+    out = np.zeros((len(shingles), BITS), dtype=np.int32)
+    parts = np.maximum(1, (weight + UNIT // 2) // UNIT)
+    stop = np.cumsum(parts)
+    for a in range(0, int(stop[-1]) if len(stop) else 0, SPAN):
+        b = min(a + SPAN, int(stop[-1]))
+        own = np.searchsorted(stop, np.arange(a, b), side="right")
+        part = np.arange(a, b) - (stop - parts)[own]
+        with np.errstate(over="ignore"):
+            seed = mix64(shingles[own] + U64(0x9FB21C651E98DF25) * (turn[own].astype(U64) + U64(1))) + mix64(part.astype(U64) + U64(1))
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        out[own[first]] += np.add.reduceat(_signs(seed), first, axis=0, dtype=np.int32)
+    return out
+
+
+def _turns(shingles: np.ndarray) -> np.ndarray:
+    """For each shingle, how many equal ones stand before it."""
+    order = np.argsort(shingles, kind="stable")
+    new = np.flatnonzero(np.diff(shingles[order], prepend=shingles[order][:1] + U64(1)))
+    out = np.empty(len(shingles), np.int64)
+    out[order] = np.arange(len(shingles)) - np.repeat(new, np.diff(new, append=len(shingles)))
+    return out
+
+
+def _code(shingles: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The fingerprint of a multiset of shingles."""
+    return np.packbits(_vectors(shingles, weight, _turns(shingles)).sum(axis=0) > 0)
+
+
 def _blocks(codes: np.ndarray) -> np.ndarray:
     """The RADIUS + 1 block values of each code."""
     bits = np.unpackbits(codes, axis=1)
@@ -151,7 +188,7 @@ class BenchmarkIndex:
             self.bags.append(Counter(run.tolist()))
             self.weight.update(zip(run.tolist(), w.tolist(), strict=True))
             keys[size].update(run.tolist())
-            codes.append(np.packbits((_signs(run) * w[:, None]).sum(axis=0) > 0))
+            codes.append(_code(run, w))
             total.append(int(w.sum()))
             groups.setdefault((len(h), size), _Items(len(h), size)).number.append(i)
         self.codes = np.stack(codes) if codes else np.zeros((0, BITS // 8), np.uint8)
@@ -188,10 +225,21 @@ class BenchmarkIndex:
                 j = int(np.searchsorted(start, start[i] + SPAN))
                 lo, hi = start[i], stop[i:j].max()
                 total = np.zeros((hi - lo + 1, BITS), dtype=np.int64)
-                np.cumsum(_signs(r[lo:hi]) * weight[size][lo:hi, None], axis=0, out=total[1:])
+                # one vector for each distinct shingle
+                some, at, which = np.unique(r[lo:hi], return_index=True, return_inverse=True)
+                np.cumsum(_vectors(some, weight[size][lo:hi][at], np.zeros(len(some), np.int64))[which], axis=0, out=total[1:])
+                # windows that hold a shingle twice are summed by themselves
+                order = np.argsort(which, kind="stable")
+                before = np.full(hi - lo, -1)
+                before[order[1:]] = np.where(which[order[1:]] == which[order[:-1]], order[:-1], -1)
+                latest = np.maximum.accumulate(before)
                 for g in np.unique(own[i:j]):
                     pick = i + np.flatnonzero(own[i:j] == g)
                     codes = np.packbits(total[stop[pick] - lo] - total[start[pick] - lo] > 0, axis=1)
+                    # the latest repeated place is inside only if the shingle before it is
+                    for w in np.flatnonzero(latest[stop[pick] - 1 - lo] >= start[pick] - lo).tolist():
+                        a, b = start[pick[w]], stop[pick[w]]
+                        codes[w] = _code(r[a:b], weight[size][a:b])
                     group, bags = self.groups[g], {}
                     for w, k in zip(*(x.tolist() for x in group.within(codes)), strict=True):
                         a, b = int(start[pick[w]]), int(stop[pick[w]])

@@ -122,3 +122,47 @@ def test_items_without_an_id(spark):
     for size in (1 << 20, 40):
         got = {r.doc_id: [m.item for m in r.matches] for r in d.find_contamination(spark, df, bench, index_bytes=size).collect()}
         assert sorted(got[1], key=str) == [3, None] and got[2] == [None] and got[3] == []
+
+
+@pytest.mark.parametrize("n, size", [(60, 6), (200, 80), (300, 120), (500, 200), (1000, 500)])
+def test_one_long_word_among_short_ones(n, size):
+    """Items whose long word is changed in the document: the similarity stays above the threshold, whatever the weights."""
+    rng = np.random.default_rng(n)
+    lost = met = 0
+    for _ in range(30):
+        w = [f"w{x:04d}" for x in rng.integers(0, 9999, n)]
+        at = int(rng.integers(n))
+        item, text = list(w), list(w)
+        item[at], text[at] = "".join(map(chr, rng.integers(97, 123, size))), "".join(map(chr, rng.integers(97, 123, size)))
+        if brute(" ".join(text), " ".join(item)) < 0.8:
+            continue
+        met += 1
+        raw = np.frombuffer(" ".join(text).encode(), np.uint8)
+        lost += not d.BenchmarkIndex([(1, " ".join(item))]).scan(raw, np.array([0, len(raw)]))[0]
+    assert met >= 10 and lost == 0
+
+
+def test_repeated_shingles_in_an_item(spark):
+    rng = np.random.default_rng(9)
+    vocab = [f"w{k}" for k in range(500)]
+    items, texts = [], []
+    for k in range(12):
+        # a line that an item has many times outweighs the rest
+        line = list(rng.choice(vocab, 6))
+        rest = list(rng.choice(vocab, 60))
+        items.append((k, " ".join(line * 8 + rest)))
+        rest[int(rng.integers(20, 40))] = "changed"
+        texts.append(" ".join(["before", *line * 8, *rest, "after"]))
+        texts.append(" ".join([*line * 30, *rest]))
+    sims = {(i, k): brute(text, t) for i, text in enumerate(texts) for k, t in items}
+    want = {i: [k for k, _ in items if sims[i, k] >= 0.8 - 1e-9] for i in range(len(texts))}
+    assert sum(map(bool, want.values())) >= 12
+    assert found(spark, texts, items) == want
+
+
+def test_a_word_of_a_megabyte():
+    long = b"x" * 1_000_000
+    item = b"one two three four " + long + b" five six seven eight"
+    index = d.BenchmarkIndex([(1, item.decode())])
+    raw = np.frombuffer(b"start " + item + b" end", np.uint8)
+    assert [(m[0], m[1]) for m in index.scan(raw, np.array([0, len(raw)]))[0]] == [(1, 1)]
