@@ -255,6 +255,13 @@ def write_index(records: DataFrame, folder: str, lines: int = BLOCK_LINES) -> No
     dealt.mapInArrow(pack, "first_key string, block binary, n long").write.mode("overwrite").parquet(folder)
 
 
+def _mounted(spark: SparkSession, path: str) -> bool:
+    """Whether tasks can open the path themselves; one without a scheme lies in the cluster's default store."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    scheme = fs.Path(path).toUri().getScheme() or fs.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration()).getScheme()
+    return scheme == "file"
+
+
 class CaptureIndex:
     """Looks URLs up: the sparse directory is in memory, blocks and records are read on demand.
 
@@ -323,7 +330,7 @@ class CaptureIndex:
         but the ranges; in other stores Spark reads each file, FILE_BYTES or one record long, and the ranges are taken
         from it. Bytes that are no record end the job.
         """
-        if archives.startswith(("file:", "/")):
+        if _mounted(self.spark, archives):
 
             def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 def rows() -> Iterator[tuple]:

@@ -122,3 +122,18 @@ def test_keys():
         list(warc.members(gzip.compress(b"x" * 1000)[:20]))
     with pytest.raises(ValueError, match="not a WARC"):
         warc.parse_record(b"HTTP/1.1\r\n\r\n")
+
+
+def test_a_folder_without_a_scheme_lies_in_the_default_store(spark, archived):
+    _, back, index = archived
+    archives = back[0].file.rsplit("/", 1)[0]
+    plain = archives.removeprefix("file:").replace("///", "/")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    default = conf.get("fs.defaultFS")
+    assert warc._mounted(spark, archives) and warc._mounted(spark, plain)
+    assert index.records(plain).count() == len(back)
+    try:
+        conf.set("fs.defaultFS", "hdfs://elsewhere:8020")
+        assert not warc._mounted(spark, plain) and warc._mounted(spark, archives)
+    finally:
+        conf.set("fs.defaultFS", default)
