@@ -55,8 +55,9 @@ def op6_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ctw.score(spark, _table(spark, sf_dir, "documents"), bucket("doc_id", 10) != 0)
-    return out.withColumnRenamed("id", "doc_id")
+    out = ctw.score(spark, _table(spark, sf_dir, "documents"), bucket("doc_id", 10) != 0).withColumnRenamed("id", "doc_id")
+    # a row without an id is neither learned from nor set aside by the rule
+    return out.withColumn("held_out", F.coalesce(bucket("doc_id", 10) == 0, F.lit(False)))
 
 
 def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,3 +168,14 @@ def test_beats_the_base_on_held_out_text(spark):
     rows = ctw.score(spark, docs, bucket("doc_id", 10) != 0).where("held_out").collect()
     assert all(zlib.crc32(str(r.id).encode()) % 10 == 0 for r in rows)
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_query_counts_rows_without_an_id_as_not_held_out(spark, tmp_path):
+    from gaugeline.llm.queries import op7_context_tree_scoring
+
+    rows = [(None, "a b"), *((i, f"a b {i}") for i in range(40))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.held_out for r in op7_context_tree_scoring(spark, str(tmp_path)).collect()}
+    import zlib
+
+    assert got == {None: False} | {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(40)}
