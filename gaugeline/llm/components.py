@@ -59,7 +59,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", m
 
     Each step rewires every edge to the smallest neighbour, so the graph turns into stars in a number of
     rounds that grows with the logarithm of its size. A node's neighbours are only ever reduced by ``min``
-    (combined before the shuffle) and joined back; the edges of a node that has very many are dealt by their other end.
+    (combined before the shuffle) and joined back; the edges of a node that has very many are dealt by both ends.
     Self-loops and repeated edges are allowed; null ends are ignored. An empty table gives an empty result. Once there are
     less than FEW edges, one task settles them: a step costs the driver a dozen plans however few they are.
     """

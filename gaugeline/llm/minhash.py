@@ -333,7 +333,9 @@ def near_duplicates(
         if links.isEmpty():
             continue
         if k:
-            links = links.join(labels.select(F.col("id").alias("a"), F.col("component").alias("src")), "a").join(labels.select(F.col("id").alias("b"), F.col("component").alias("dst")), "b")
+            # a bucket's centre is an end of most of its links
+            links = join_salted(links, labels.select(F.col("id").alias("a"), F.col("component").alias("src")), "a", hot, F.col("b"))
+            links = join_salted(links, labels.select(F.col("id").alias("b"), F.col("component").alias("dst")), "b", hot, F.col("a"))
         merged = connected_components(links.select("src", "dst") if k else links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch, f"cc{k}")
         labels = scratch.keep(labels.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component")), f"labels-{k}")
 
