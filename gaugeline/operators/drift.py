@@ -314,8 +314,12 @@ class ContinuousBaseline:
         """(by..., metric, value) of the data against the baseline; no rows where there is no data."""
         if isinstance(self.held, tuple) and not by:
             return _long(_scored(self.histogram(df, column), self.interior(), by, eps), metrics, by)
-        base = self.table(df.sparkSession) if isinstance(self.held, tuple) else self.held
-        rows = self.counts(df, column, by).join(base, "bin", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+        return self.score_weights(self.counts(df, column, by), by, eps, metrics)
+
+    def score_weights(self, weights: DataFrame, by: Sequence[str] = (), eps: float = EPS, metrics: Iterable[str] | None = None) -> DataFrame:
+        """The same from the weights of the bins that have some: rows (by..., bin, c), one for a bin of a group."""
+        base = self.table(weights.sparkSession) if isinstance(self.held, tuple) else self.held
+        rows = weights.join(base, "bin", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
         return _long(_scored_in_part(rows, base, self.n_bins, self.interior(), by, eps), metrics, by)
 
 
@@ -360,7 +364,11 @@ class CategoricalBaseline:
 
     def score(self, df: DataFrame, column: str, metrics: Iterable[str] | None = None, by: Sequence[str] = (), eps: float = EPS) -> DataFrame:
         """(by..., metric, value) of the data against the baseline; no rows where there is no data."""
-        seen = self._counts(df, column, by).join(self.labels, "label", "left")
+        return self.score_weights(self._counts(df, column, by), by, eps, metrics)
+
+    def score_weights(self, weights: DataFrame, by: Sequence[str] = (), eps: float = EPS, metrics: Iterable[str] | None = None) -> DataFrame:
+        """The same from labels' weights: rows (by..., label, c); a null label stands for labels that the baseline does not know."""
+        seen = weights.join(self.labels, "label", "left")
         # labels that the baseline does not know share a bin
         rows = seen.groupBy(*by, F.when(F.col("p").isNotNull(), F.col("label")).alias("label")).agg(F.coalesce(F.first("p"), F.lit(0.0)).alias("p"), F.sum("c").alias("c"))
         return _long(_scored_in_part(rows, self.labels, self.n_bins, None, by, eps), metrics, by)

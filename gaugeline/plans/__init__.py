@@ -1 +1,4 @@
 
+
+from gaugeline.plans import catalogue as catalogue
+from gaugeline.plans import streams as streams
