@@ -88,13 +88,14 @@ class _Cells(StatefulProcessor):
 class WindowProcessor(_Cells):
     """A key's windows: one begins with its first row and ends after ``rate`` rows, or once ``cadence`` is over.
 
-    A window's cells are emitted when it ends. Time is the rows' own: a row that is ``cadence`` or more after a window's
-    first one ends it and begins the next; without such a row the watermark does (mode EventTime), so a key that falls
-    silent leaves the state too. Rows of a batch are taken in order of time, then of ``order``.
+    A window's cells are emitted when it ends. With the clock ``event`` time is the rows' own: a row that is ``cadence`` or
+    more after a window's first one ends it and begins the next; without such a row the watermark does. With the clock
+    ``processing`` a row's time is that of its batch, and the wall clock ends windows. Either way a timer ends what no row
+    ends, so a key that falls silent leaves the state. Rows of a batch are taken in order of time, then of ``order``.
     """
 
-    def __init__(self, rate: int, cadence: float):
-        self.rate, self.cadence = int(rate), float(cadence)
+    def __init__(self, rate: int, cadence: float, clock: str = "event"):
+        self.rate, self.cadence, self.clock = int(rate), float(cadence), clock
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -109,6 +110,8 @@ class WindowProcessor(_Cells):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         data = self._gathered(rows).sort_values(["at", "turn"], kind="stable")
         at, cells = data["at"].to_numpy(np.int64), data["cell"]
+        if self.clock == "processing":
+            at = np.full(len(at), int(timerValues.getCurrentProcessingTimeInMs()) * 1000)
         if self.window.exists():
             started, latest, size = (int(x) for x in self.window.get())
         else:
@@ -187,17 +190,19 @@ class DecayProcessor(_Cells):
         yield self._rows({"step": step, "updates": updates + 1, "size": size * self.factor}, key, scale * self.factor)
 
 
-def flush_cells(stream: DataFrame, key: str, time: str, rate: int = 1_000_000, cadence: float = 86_400.0, delay: str = "0 seconds", order: str | None = None) -> DataFrame:
+def flush_cells(stream: DataFrame, key: str, time: str, rate: int = 1_000_000, cadence: float = 86_400.0, delay: str = "0 seconds", order: str | None = None, clock: str = "event") -> DataFrame:
     """Ended windows (key, started, ended, reason, cell, weight, size) of a stream that has ``cell``, one row a cell that occurred.
 
-    reason is ``rows`` or ``time``. Rows with a null key or time are left out, those behind the watermark (``delay`` after
-    the latest) are dropped; repeated rows count each. A key's rows of one batch are in one task's memory: bound a batch
+    reason is ``rows`` or ``time``; clock: ``event`` or ``processing``. Rows with a null key or time are left out, with the
+    event clock those behind the watermark (``delay`` after the latest) are dropped too; repeated rows count each. A key's rows of one batch are in one task's memory: bound a batch
     by the source's limits. Needs the RocksDB state store.
     """
     at = F.col(time).cast("timestamp")
     rows = stream.where(at.isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), at.alias("_time"), F.unix_micros(at).alias("at"), (F.col(order) if order else F.lit(0)).cast("long").alias("turn"), "cell")
-    marked = rows.withWatermark("_time", delay)
-    return marked.groupBy("key").transformWithStateInPandas(WindowProcessor(rate, cadence), f"key string, {_WINDOW}", "Append", "EventTime")
+    if clock not in ("event", "processing"):
+        raise ValueError(f"no such clock: {clock}")
+    marked, mode = (rows.withWatermark("_time", delay), "EventTime") if clock == "event" else (rows.drop("_time"), "ProcessingTime")
+    return marked.groupBy("key").transformWithStateInPandas(WindowProcessor(rate, cadence, clock), f"key string, {_WINDOW}", "Append", mode)
 
 
 def decay_cells(stream: DataFrame, key: str, step: str, half_life: float) -> DataFrame:

@@ -24,6 +24,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def replay(stream: DataFrame, name: str) -> DataFrame:
     """Runs a finite stream to its end and returns the rows it appended; timers and open rows beyond its last watermark stay open.
 
+    A stream with timers of the wall clock has no end and is none for this.
     State lies in RocksDB, as keyed processors need it; the session's own choice is put back afterwards.
     """
     spark = stream.sparkSession
