@@ -9,14 +9,14 @@ SF = "/root/testdata/sf0.001"
 
 def test_names():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names[:-1]] == [f"op{k}" for k in range(1, 11)] and names[-1] == "pipeline"
+    assert [n.split("_")[0] for n in names[:-1]] == [f"op{k}" for k in range(1, 14)] and names[-1] == "pipeline"
     assert set(queries.oracle_sql()) <= set(names)
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("conversations", "pages"):
+    for t in ("conversations", "pages", "documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rel = con.execute(queries.oracle_sql()[name])
     cols = [d[0] for d in rel.description]
