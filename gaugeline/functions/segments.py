@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import operator
+from collections.abc import Sequence
 from dataclasses import dataclass
 from enum import StrEnum
 from typing import Any
@@ -140,27 +142,65 @@ def is_categorical(distinct: int, rows: int, share: float = DISTINCT_SHARE) -> b
     return distinct <= FEW_DISTINCT or (rows > 0 and distinct / rows <= share)
 
 
-def heuristic_segment(df: DataFrame, column: str, label: Any, share: float = DISTINCT_SHARE) -> Column:
-    """The criterion that a bare label implies.
+#: Size of the sketch of distinct values (2^14 places) and the bound of its error that decides: seven times its deviation of 1.04 / 2^7.
+SKETCH_BITS, SKETCH_SLACK = 14, 7 * 1.04 / 2**7
+
+
+def categorical_columns(df: DataFrame, columns: Sequence[str], share: float = DISTINCT_SHARE) -> dict[str, bool]:
+    """Whether each numeric column's distinct values are few enough for labels; nulls are left out.
+
+    One scan sketches all columns at once and shuffles a sketch of 16 KB a column and partition. Columns whose estimate is
+    within SKETCH_SLACK of the boundary are counted exactly, all in one more scan; the others are decided (a sketch is
+    further off with a probability of about 1e-12). Only a column near the boundary shuffles its values.
+    """
+    columns = list(dict.fromkeys(columns))
+    if not columns:
+        return {}
+    # adding 0.0 makes one value of both zeros; NaN are one value
+    value = {c: F.col(c) + F.lit(0.0) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else F.col(c) for c in columns}
+    sketched = [F.hll_sketch_estimate(F.hll_sketch_agg(F.when(F.col(c).isNotNull(), F.xxhash64(value[c])), F.lit(SKETCH_BITS))).alias(f"d{i}") for i, c in enumerate(columns)]
+    seen = df.agg(*sketched, *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    out: dict[str, bool] = {}
+    near = []
+    for i, c in enumerate(columns):
+        d, n = seen[f"d{i}"] or 0, seen[f"n{i}"]
+        # one more or less for the rounding of the estimate
+        sides = {is_categorical(max(0, math.floor(d * (1 - SKETCH_SLACK)) - 1), n, share), is_categorical(math.ceil(d * (1 + SKETCH_SLACK)) + 1, n, share)}
+        if len(sides) == 1:
+            out[c] = sides.pop()
+        else:
+            near.append((i, c))
+    if near:
+        exact = df.agg(*[F.count_distinct(value[c]).alias(f"d{i}") for i, c in near]).first()
+        out |= {c: is_categorical(exact[f"d{i}"], seen[f"n{i}"], share) for i, c in near}
+    return out
+
+
+def heuristic_segments(df: DataFrame, labels: Sequence[tuple[str, Any]], share: float = DISTINCT_SHARE) -> list[Column]:
+    """The criteria that bare labels (column, label) imply, in order; all numeric columns are looked at together.
 
     Booleans and strings are compared for equality; a numeric column with few distinct values too, any other numeric
-    column by ``>=``. The distinct count is exact, as the boundary matters; it is one aggregate whose groups are
-    combined before the shuffle. An integer column takes a float label cut to an integer.
+    column by ``>=``. An integer column takes a float label cut to an integer.
     """
-    kind = df.schema[column].dataType
-    value = F.col(column)
-    if isinstance(kind, T.BooleanType):
-        if not isinstance(label, (bool, int)):
-            raise TypeError(f"{column} is boolean, the label {type(label).__name__}")
-        return value == F.lit(bool(label) if isinstance(label, bool) else label == 1)
-    if isinstance(kind, T.NumericType):
-        if isinstance(label, str) or not isinstance(label, (int, float)):
-            raise TypeError(f"{column} is numeric, the label {type(label).__name__}")
-        whole = isinstance(kind, T.IntegralType)
-        cut = int(label) if whole else float(label)
-        used = df.where(value.isNotNull())
-        seen = used.agg(F.count_distinct(value).alias("d"), F.count("*").alias("n")).first()
-        return value == F.lit(cut) if is_categorical(seen["d"], seen["n"], share) else ThresholdSegment(cut, "GreaterThanEqualTo").column(value, kind)
-    if not isinstance(label, str):
-        raise TypeError(f"{column} is a string, the label {type(label).__name__}")
-    return value == F.lit(label)
+    wanted = []
+    for column, label in labels:
+        kind = df.schema[column].dataType
+        if isinstance(kind, T.BooleanType):
+            if not isinstance(label, (bool, int)):
+                raise TypeError(f"{column} is boolean, the label {type(label).__name__}")
+            wanted.append((column, kind, bool(label) if isinstance(label, bool) else label == 1))
+        elif isinstance(kind, T.NumericType):
+            if isinstance(label, str) or not isinstance(label, (int, float)):
+                raise TypeError(f"{column} is numeric, the label {type(label).__name__}")
+            wanted.append((column, kind, int(label) if isinstance(kind, T.IntegralType) else float(label)))
+        else:
+            if not isinstance(label, str):
+                raise TypeError(f"{column} is a string, the label {type(label).__name__}")
+            wanted.append((column, kind, label))
+    few = categorical_columns(df, [c for c, kind, _ in wanted if isinstance(kind, T.NumericType)], share)
+    return [F.col(c) == F.lit(v) if few.get(c, True) else ThresholdSegment(v, "GreaterThanEqualTo").column(F.col(c), kind) for c, kind, v in wanted]
+
+
+def heuristic_segment(df: DataFrame, column: str, label: Any, share: float = DISTINCT_SHARE) -> Column:
+    """``heuristic_segments`` of one column."""
+    return heuristic_segments(df, [(column, label)], share)[0]

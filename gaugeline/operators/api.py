@@ -13,7 +13,7 @@ from gaugeline.errors import EmptyDatasetError, FacetError, InvalidMetricError,
 from gaugeline.functions.cells import EPS
 from gaugeline.functions.finishers import FINISHERS
 from gaugeline.functions.metrics import DATA_BIAS, MODEL_BIAS, ModelType
-from gaugeline.functions.segments import DISTINCT_SHARE, LabeledSegment, Segment, heuristic_segment
+from gaugeline.functions.segments import DISTINCT_SHARE, LabeledSegment, Segment, heuristic_segments
 from gaugeline.operators import analysis
 from gaugeline.operators.reports import THRESHOLD, drift_report_dict, report_from_dict, runtime_check, to_long
 from gaugeline.sources.tables import performance_report, require_numeric
@@ -54,8 +54,8 @@ def _analysed(counted: DataFrame, family: str) -> dict[str, float]:
 
 def data_bias_perform_analysis(df: DataFrame, feature: str, ground_truth: str, feature_label_or_threshold: Any, ground_truth_label_or_threshold: Any, share: float = DISTINCT_SHARE) -> dict[str, float]:
     """Metrics with criteria implied by bare labels or thresholds; share: of distinct values, up to which a number is a label."""
-    truth = heuristic_segment(df, ground_truth, ground_truth_label_or_threshold, share)
-    return _analysed(analysis.facet_counts(df, heuristic_segment(df, feature, feature_label_or_threshold, share), truth), DATA_BIAS)
+    facet, truth = heuristic_segments(df, [(feature, feature_label_or_threshold), (ground_truth, ground_truth_label_or_threshold)], share)
+    return _analysed(analysis.facet_counts(df, facet, truth), DATA_BIAS)
 
 
 def data_bias_perform_analysis_explicit_segmentation(df: DataFrame, feature: str, ground_truth: str, feature_segment: Segment | Column, ground_truth_segment: Segment | Column) -> dict[str, float]:
@@ -65,7 +65,7 @@ def data_bias_perform_analysis_explicit_segmentation(df: DataFrame, feature: str
 def model_bias_perform_analysis(
     df: DataFrame, feature: str, ground_truth: str, predictions: str, feature_label_or_threshold: Any, ground_truth_label_or_threshold: Any, prediction_label_or_threshold: Any, share: float = DISTINCT_SHARE
 ) -> dict[str, float]:
-    sides = [heuristic_segment(df, c, v, share) for c, v in ((feature, feature_label_or_threshold), (ground_truth, ground_truth_label_or_threshold), (predictions, prediction_label_or_threshold))]
+    sides = heuristic_segments(df, [(feature, feature_label_or_threshold), (ground_truth, ground_truth_label_or_threshold), (predictions, prediction_label_or_threshold)], share)
     return _analysed(analysis.model_counts(df, *sides), MODEL_BIAS)
 
 

@@ -2,3 +2,4 @@
 
 from gaugeline.plans import catalogue as catalogue
 from gaugeline.plans import streams as streams
+from gaugeline.plans import grouped as grouped
