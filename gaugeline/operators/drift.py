@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from gaugeline.errors import BaselineError, DriftInputError, EmptyDatasetError
 from gaugeline.functions.ieee import ln
 from gaugeline.functions.metrics import drift_names
-from gaugeline.operators.selection import kth_smallest
+from gaugeline.operators.quantiles import order_statistics
 
 EPS = 1e-12
 #: Edges that a plan lists as values; of more, about MARKS are listed. Bins whose shares are kept on the driver.
@@ -257,7 +257,10 @@ class ContinuousBaseline:
         """Fits on at least two finite values; nulls are left out. The rows are never sorted as a whole."""
         rule = QuantileType(rule)
         values = _values(df, column)
-        s = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_samp("v").alias("sd"), F.count_if(F.isnan("v")).alias("nan")).first()
+        places = {"q1": lambda n: F.floor(n * 0.25), "q3": lambda n: F.least(F.floor(n * 0.75), n - 1)} if rule is QuantileType.FreedmanDiaconis else {}
+        s = order_statistics(values, "v", places).first()
+        if s is None:
+            raise BaselineError("a baseline needs two values")
         if s["nan"]:
             raise BaselineError("the baseline holds NaN")
         if s["n"] and (math.isinf(s["lo"]) or math.isinf(s["hi"])):
@@ -266,8 +269,7 @@ class ContinuousBaseline:
             raise BaselineError("a baseline needs two values")
         spread = 0.0
         if rule is QuantileType.FreedmanDiaconis:
-            q1, q3 = kth_smallest(values, "v", [int(0.25 * s["n"]), min(int(0.75 * s["n"]), s["n"] - 1)], (s["lo"], s["hi"], s["n"]))
-            spread = q3 - q1
+            spread = s["q3"] - s["q1"]
         elif rule is QuantileType.Scott:
             spread = s["sd"]
         k = bin_count(rule, s["n"], s["lo"], s["hi"], spread)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gaugeline.streaming.shared import shared_folder
 
 #: Size of a rank sketch, how many of its 99 % errors a bracket reaches to either side, and shares at which its values are read.
-SKETCH, ERRORS, GRID = 4096, 2.0, 1024
+SKETCH, ERRORS, GRID = 4096, 2.0, 256
 #: Groups whose rows of at most some KB each are broadcast; of more, those with this share of all rows are salted.
 BROADCAST_GROUPS, HOT_SHARE, SALTS = 5_000, 1 / 2_000, 64
 
@@ -72,7 +72,7 @@ def summaries(values: DataFrame, places: Mapping[str, Callable[[Column], Column]
         return written(out.withColumn("spans", F.lit(None).cast("array<struct<rank:bigint,low:double,high:double>>")), "quantiles")
     n, margin, last = F.col("n"), F.lit(rank_margin(k)), F.lit(GRID)
     # a sketch gives values at fixed shares only, so brackets end on a grid of shares
-    grid = F.kll_sketch_get_quantile_double(F.col("sketch"), F.lit([i / GRID for i in range(GRID + 1)]))
+    grid = F.kll_sketch_get_quantile_double(F.col("sketch"), F.expr(f"array({', '.join(f'{i / GRID!r}D' for i in range(GRID + 1))})"))
     out = out.select("_g", "n", "lo", "hi", "sd", "nan", F.when(n > 0, grid).alias("grid"))
     spans = []
     for place in places.values():
@@ -102,23 +102,17 @@ def order_statistics(df: DataFrame, column: str, places: Mapping[str, Callable[[
     if not places:
         return ungroup(groups.drop("spans"), by)
     n_groups = groups.count()
-    found = _settled(values, groups, n_groups)
-    names = list(places)
-    missed = groups.where("n > 0").join(found.where("v is not null").groupBy("_g").agg(F.count("*").alias("found")), "_g", "left")
-    # a place that the group does not have is none to be found
-    wanted = F.size(F.filter("spans", lambda s: s["rank"].between(0, F.col("n") - 1)))
-    missed = missed.where(F.coalesce("found", F.lit(0)) < wanted).select(*groups.columns)
-    n_missed = missed.count()
+    out = _settled(values, groups, n_groups, list(places))
+    n_missed = out.where("missed").count()
     if n_missed:
         whole = F.transform("spans", lambda s: F.struct(s["rank"].alias("rank"), F.col("lo").alias("low"), F.col("hi").alias("high")))
-        again = _settled(values, missed.withColumn("spans", whole), n_missed)
-        found = found.join(missed.select("_g"), "_g", "left_anti").unionByName(again)
-    picked = found.groupBy("_g").agg(*[F.max(F.when(F.col("place") == i, F.col("v"))).alias(name) for i, name in enumerate(names)])
-    return ungroup(groups.drop("spans").join(picked, "_g", "left"), by)
+        again = groups.join(out.where("missed").select("_g"), "_g", "left_semi").withColumn("spans", whole)
+        out = out.where("not missed").unionByName(_settled(values, again, n_missed, list(places)))
+    return ungroup(out.drop("missed"), by)
 
 
-def _settled(values: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
-    """(_g, place, v): the values that lie in their bracket, by one scan of the values."""
+def _settled(values: DataFrame, groups: DataFrame, n_groups: int, names: Sequence[str]) -> DataFrame:
+    """(_g, n, lo, hi, sd, nan, a column a place, missed) by one scan of the values; missed: a place lies outside its bracket."""
     rows = with_group(values.where(~F.isnan("v")), groups.select("_g", "n", "spans"), n_groups)
     v = F.col("v")
     cell = lambda s, i: F.when(v <= s["high"], F.struct(i.alias("place"), F.when(v >= s["low"], v).alias("v")))
@@ -133,4 +127,9 @@ def _settled(values: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
     held = parts.join(ranks, ["_g", "place"]).where("before <= rank and rank < before + c").select("_g", "place", "part", (F.col("rank") - F.col("before")).alias("left"))
     upto = F.sum("c").over(Window.partitionBy("_g", "place", "part").orderBy(F.col("v").asc_nulls_first()))
     inside = ranges.join(held, ["_g", "place", "part"]).select("_g", "place", "v", "c", "left", upto.alias("upto"))
-    return written(inside.where("upto - c <= left and left < upto and v is not null").select("_g", "place", "v"), "quantiles")
+    found = inside.where("upto - c <= left and left < upto and v is not null")
+    picked = found.groupBy("_g").agg(F.count("*").alias("found"), *[F.max(F.when(F.col("place") == i, F.col("v"))).alias(name) for i, name in enumerate(names)])
+    # a place that the group does not have is none to be found
+    wanted = F.coalesce(F.size(F.filter("spans", lambda s: s["rank"].between(0, F.col("n") - 1))), F.lit(0))
+    out = groups.join(picked, "_g", "left").withColumn("missed", (F.col("n") > 0) & (F.coalesce("found", F.lit(0)) < wanted))
+    return written(out.select("_g", "n", "lo", "hi", "sd", "nan", *names, "missed"), "quantiles")

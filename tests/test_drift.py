@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeline.errors import BaselineError, DriftInputError, EmptyDatasetError, InvalidMetricError
 from gaugeline.operators import drift
-from gaugeline.operators.selection import kth_smallest
+from gaugeline.operators.quantiles import order_statistics
 from gaugeline.sources.tables import drift_values, from_columns
 from gaugeline.streaming.monitors import histogram_divergences
 
@@ -98,21 +98,23 @@ def test_bins_agree_with_a_scan(spark, base, k, probes):
         assert b == want == drift.bin_of(x, edges, k)
 
 
-@pytest.mark.parametrize("n", [1, 2, 5, 80, 1000])
-def test_order_statistics(spark, n, monkeypatch):
-    import gaugeline.operators.selection as s
+def places(ranks):
+    return {f"r{k}": lambda n, k=k: F.lit(k) for k in ranks}
+
 
-    monkeypatch.setattr(s, "SMALL", 10)
-    monkeypatch.setattr(s, "CELLS", 7)
+@pytest.mark.parametrize("n", [1, 2, 5, 80, 1000])
+def test_order_statistics(spark, n):
     rng = np.random.default_rng(n)
     values = np.round(rng.normal(0, 10, n), 1) if n > 2 else rng.normal(0, 1, n)
     ranks = sorted({0, n // 4, n // 2, (3 * n) // 4 if n > 1 else 0, n - 1})
-    assert kth_smallest(numbers(spark, values), "v", ranks) == [np.sort(values)[k] for k in ranks]
+    got = order_statistics(numbers(spark, values), "v", places(ranks), k=8).first()
+    assert [got[f"r{k}"] for k in ranks] == [np.sort(values)[k] for k in ranks]
 
 
 def test_order_statistics_of_extremes(spark):
     values = [0.0, 1e-300, 1e300, -1e300, 5e-324, 1.0]
-    assert kth_smallest(numbers(spark, values * 3), "v", [0, 9, 17]) == [sorted(values * 3)[k] for k in (0, 9, 17)]
+    got = order_statistics(numbers(spark, values * 3), "v", places([0, 9, 17]), k=8).first()
+    assert [got[f"r{k}"] for k in (0, 9, 17)] == [sorted(values * 3)[k] for k in (0, 9, 17)]
 
 
 def test_column_and_driver_formulas_agree(spark):
