@@ -68,6 +68,15 @@ class CellLog:
     def is_empty(self) -> bool:
         return not self._parts()
 
+    def last(self) -> int | None:
+        """The largest id that was appended."""
+        ids = self._numbers("merged")[-1:] + self._numbers("batches")[-1:]
+        return max(ids) if ids else None
+
+    def version_rows(self, batch_id: int) -> DataFrame:
+        """The rows of one batch as it was appended; a log whose batches are read like this is not to be merged."""
+        return self.spark.read.parquet(f"{self.folder}/batches/{batch_id}")
+
     def read(self) -> DataFrame:
         """The cells of every key so far; a log without batches has no schema yet and is refused."""
         parts = self._parts()

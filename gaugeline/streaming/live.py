@@ -7,13 +7,14 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from gaugeline.functions.segments import Segment
 from gaugeline.operators import analysis
 from gaugeline.operators.drift import ContinuousBaseline, Edges
+from gaugeline.operators.numbering import number_rows
 from gaugeline.streaming.monitors import histogram_divergences
 
 
@@ -74,32 +75,14 @@ def join_labels(predictions: DataFrame, truths: DataFrame, key: str, predicted_a
     return p.join(t, (F.col(key) == F.col("_key")) & (F.col(labelled_at) >= F.col(predicted_at)) & late).drop("_key")
 
 
-def flush_windows(df: DataFrame, order: list[str], rate: int, by: list[str] | None = None) -> DataFrame:
-    """Adds ``flush_window``: which run of ``rate`` rows a row falls into, in order.
+def flush_windows(df: DataFrame, order: list[str], rate: int, by: list[str] | None = None, unique: bool = False) -> DataFrame:
+    """Adds ``flush_window``: which run of ``rate`` rows a row falls into, in order, by group.
 
-    Without ``by`` the running number is taken within ranges of the first order column (its approximate quantiles,
-    so equal values share a range) and shifted by the rows of the ranges before: no task holds all rows.
+    Rows are numbered by ``number_rows``: ties have one fixed order, ``unique`` says that there are none, and no task
+    holds a group or all rows of one time.
     """
-    if by:
-        number = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-        return df.withColumn("flush_window", F.floor((number - 1) / F.lit(rate)).cast("long"))
-    spread = min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.agg(F.percentile_approx(order[0], [k / spread for k in range(1, spread)] or [0.5], 10_000).alias("cuts")).first()["cuts"] or []
-    # the range is a function of the row alone, so every evaluation of the plan agrees
-    cuts = sorted(set(cuts))
-
-    def place(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(order[0]) < F.lit(cuts[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
-
-    ranged = df.withColumn("_part", F.when(F.col(order[0]).isNull(), F.lit(-1)).otherwise(place(0, len(cuts))))
-    numbered = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    # one row for each range, as many as there are shuffle partitions
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return numbered.join(F.broadcast(before), "_part").withColumn("flush_window", F.floor((F.col("_before") + F.col("_rn") - 1) / F.lit(rate)).cast("long")).drop("_part", "_rn", "_before")
+    numbered = number_rows(df, order, by or (), "_number", unique)
+    return numbered.withColumn("flush_window", F.floor(F.col("_number") / F.lit(rate)).cast("long")).drop("_number")
 
 
 def decayed_histogram(df: DataFrame, step: str, bin_col: str, last_step: int, half_life: float, by: tuple[str, ...] = ()) -> DataFrame:

@@ -25,6 +25,7 @@ from gaugeline.functions.segments import LabeledSegment, Segment, judged
 from gaugeline.operators import analysis
 from gaugeline.operators.api import check_cells
 from gaugeline.operators.drift import EPS, CategoricalBaseline, ContinuousBaseline, QuantileType, bin_of
+from gaugeline.operators.numbering import number_rows
 from gaugeline.operators.reports import STABILITY_EPS, THRESHOLD, drift_report_dict, drift_snapshot, report_to_dict, snapshot_failures
 
 
@@ -510,7 +511,9 @@ class _FlushMode(_DriftMonitor):
             raise ValueError("a batch that overflows the window needs an order column")
         live = (int(self.size) + n - 1) % self.flush_rate + 1
         self._clear()
-        self._add(self._binned(df.orderBy((F.col(order) if isinstance(order, str) else order).desc()).limit(live)))
+        # the window that is open holds the last rows, a million perhaps: they are numbered in ranges, not sorted in one task
+        rows = df.select((F.col(order) if isinstance(order, str) else order).alias("_order"), self.column)
+        self._add(self._binned(number_rows(rows, ["_order"], name="_number").where(F.col("_number") >= n - live)))
 
 
 class _DecayMode(_DriftMonitor):
