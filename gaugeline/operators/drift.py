@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from gaugeline.errors import BaselineError, DriftInputError, EmptyDatasetError
 from gaugeline.functions.ieee import ln
 from gaugeline.functions.metrics import drift_names
-from gaugeline.operators.quantiles import order_statistics
+from gaugeline.operators.quantiles import order_statistics, written
 
 EPS = 1e-12
 #: Edges that a plan lists as values; of more, about MARKS are listed. Bins whose shares are kept on the driver.
@@ -278,7 +278,8 @@ class ContinuousBaseline:
         edges = bin_edges(s["lo"], s["hi"], k)
         counted = values.groupBy(bin_column(F.col("v"), edges, k).alias("bin")).agg(F.count("*").alias("c"))
         if k > DRIVER_BINS:
-            return cls(edges, counted.select("bin", (F.col("c") / F.lit(float(s["n"]))).alias("p")).persist(), rule, k)
+            # written, so that scores neither read the baseline again nor depend on executors that held it
+            return cls(edges, written(counted.select("bin", (F.col("c") / F.lit(float(s["n"]))).alias("p")), "baseline"), rule, k)
         counts = {r["bin"]: r["c"] for r in counted.collect()}
         return cls(tuple(edges) if isinstance(edges, list) else edges, tuple(counts.get(i, 0) / s["n"] for i in range(k)), rule, k)
 
@@ -339,11 +340,12 @@ class CategoricalBaseline:
     def fit(cls, df: DataFrame, column: str) -> CategoricalBaseline:
         """Nulls are left out; any type is taken as its text."""
         counted = df.select(F.col(column).cast("string").alias("label")).where("label is not null").groupBy("label").agg(F.count("*").alias("c"))
+        # written, so that neither shares nor scores read the baseline again or depend on executors that held it
+        counted = written(counted, "baseline")
         s = counted.agg(F.sum("c").alias("n"), F.count("*").alias("k")).first()
         if not s["n"]:
             raise BaselineError("the baseline is empty")
-        # kept, so that scores do not read the baseline again
-        return cls(counted.select("label", (F.col("c") / F.lit(float(s["n"]))).alias("p")).persist(), s["k"])
+        return cls(counted.select("label", (F.col("c") / F.lit(float(s["n"]))).alias("p")), s["k"])
 
     def _counts(self, df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
         return df.select(*by, F.col(column).cast("string").alias("label")).where("label is not null").groupBy(*by, "label").agg(F.count("*").alias("c"))
