@@ -94,6 +94,8 @@ class _Monitor(_Kept):
     family: str
     cell_names: tuple[str, ...]
     flush_on_reset = False
+    #: Decimal places of reports and of their distances, as a threshold sees them; None: all.
+    digits: int | None = None
 
     def __init__(self, spark: SparkSession, eps: float = STABILITY_EPS):
         self.spark, self.eps = spark, eps
@@ -156,7 +158,13 @@ class _Monitor(_Kept):
 
     def _report(self, cells: dict[str, float]) -> DataFrame:
         one = self.spark.createDataFrame([tuple(float(cells[c]) for c in self.cell_names)], ", ".join(f"{c} double" for c in self.cell_names))
-        return analysis.finish(one, self.family)
+        return self._cut(analysis.finish(one, self.family))
+
+    def _cut(self, report: DataFrame) -> DataFrame:
+        return report if self.digits is None else report.withColumn("value", F.round(F.col("value"), self.digits) + F.lit(0.0))
+
+    def _drift(self, metrics: Iterable[str] | None = None) -> DataFrame:
+        return self._cut(drift_snapshot(self._runtime(), self.baseline, self.family, metrics, eps=self.eps))
 
     def reset_baseline(self, df: DataFrame) -> None:
         self._set_baseline(df)
@@ -174,23 +182,22 @@ class _Monitor(_Kept):
         return report_to_dict(self._runtime())
 
     def drift_snapshot(self) -> dict[str, float]:
-        return report_to_dict(drift_snapshot(self._runtime(), self.baseline, self.family, eps=self.eps))
+        return report_to_dict(self._drift())
 
     def drift_report(self, drift_threshold: float = THRESHOLD) -> dict:
         return self.drift_report_partial_metrics(None, drift_threshold)
 
     def drift_report_partial_metrics(self, metrics: Iterable[str] | None, drift_threshold: float = THRESHOLD) -> dict:
-        snapshot = drift_snapshot(self._runtime(), self.baseline, self.family, metrics, eps=self.eps)
-        return drift_report_dict(snapshot_failures(snapshot, drift_threshold))
+        return drift_report_dict(snapshot_failures(self._drift(metrics), drift_threshold))
 
 
 class DataBiasStreaming(_Monitor):
-    """A reset of the baseline also flushes."""
+    """A reset of the baseline also flushes. With ``digits``, reports are rounded before they are compared, as stored ones are."""
 
     family, cell_names, flush_on_reset = DATA_BIAS, C.FACET_CELLS, True
 
-    def __init__(self, df: DataFrame, feature: str, ground_truth: str, feature_segment: Segment | Column, ground_truth_segment: Segment | Column, eps: float = STABILITY_EPS):
-        self.columns, self.segments = (feature, ground_truth), (feature_segment, ground_truth_segment)
+    def __init__(self, df: DataFrame, feature: str, ground_truth: str, feature_segment: Segment | Column, ground_truth_segment: Segment | Column, eps: float = STABILITY_EPS, digits: int | None = None):
+        self.columns, self.segments, self.digits = (feature, ground_truth), (feature_segment, ground_truth_segment), digits
         super().__init__(df.sparkSession, eps)
         self._set_baseline(df)
 

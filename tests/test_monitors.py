@@ -1,6 +1,7 @@
 import datetime
 import shutil
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from gaugeline.errors import BaselineError, EmptyDatasetError, PayloadTypeError
 from gaugeline.functions.segments import LabeledSegment, ThresholdSegment
 from gaugeline.operators import analysis, reports
 from gaugeline.operators.drift import CategoricalDataDrift, ContinuousBaseline, compute_drift_categorical_distribution
+from gaugeline.plans import catalogue
 from gaugeline.sources.tables import from_columns
 from gaugeline.streaming import live, monitors
 
@@ -47,6 +49,27 @@ def test_data_bias_monitor(spark):
     assert m.drift_report()["passed"]
 
 
+def test_monitor_report_compares_what_its_sql_compares(spark, tmp_path):
+    # the facets differ so little that divergences of either side are 0 at six places, though one is four times the other
+    quarter, k = F.expr("id div 20000"), F.col("id") % 20000
+    rows = spark.range(40000).select(
+        F.when(quarter == 0, F.lit("1995-02-01")).otherwise("1995-08-01").cast("timestamp_ntz").alias("l_shipdate"),
+        F.when(k % 2 == 0, "R").otherwise("N").alias("l_returnflag"),
+        F.when(k < 10000 + 2 * F.when(k % 2 == 0, 0).otherwise(1 + quarter), 30.0).otherwise(20.0).alias("l_quantity"),
+    )
+    rows.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(r[0] for r in con.execute(catalogue.ORACLES["monitor_drift_report"]).fetchall())
+    assert want == ["DifferenceInProportionOfLabels", "KolmogorovSmirnov", "LpNorm", "TotalVariationDistance"]
+    assert sorted(r["metric"] for r in catalogue.QUERIES["monitor_drift_report"](spark, str(tmp_path)).collect()) == want
+    # without rounding the monitor sees the divergences too
+    first = rows.where(F.quarter("l_shipdate") == 1)
+    m = monitors.DataBiasStreaming(first, "l_returnflag", "l_quantity", catalogue.RETURNED, catalogue.MANY)
+    m.push_batch(rows.where(F.quarter("l_shipdate") > 1))
+    assert {"KlDivergence", "JsDivergence"} < {r["metric"] for r in m.drift_report(0.01)["failed_report"]}
+
+
 def test_model_bias_monitor(spark):
     m = monitors.ModelBiasStreaming(even(spark), "f", "g", "p", ONE, ONE, ONE)
     m.push_batch(even(spark))
