@@ -23,6 +23,8 @@ from gaugeline.operators.drift import EPS, CategoricalBaseline, ContinuousBaseli
 OTHER, KNOWN = "-", "+"
 #: A scale below which stored weights are written anew.
 SMALLEST = 1e-120
+#: Rows of ended windows that are counted at a time.
+BLOCK = 200_000
 _WINDOW = "started timestamp, ended timestamp, reason string, cell string, weight double, size double"
 _STEP = "step long, updates long, cell string, weight double, size double"
 
@@ -92,6 +94,8 @@ class WindowProcessor(_Cells):
     more after a window's first one ends it and begins the next; without such a row the watermark does. With the clock
     ``processing`` a row's time is that of its batch, and the wall clock ends windows. Either way a timer ends what no row
     ends, so a key that falls silent leaves the state. Rows of a batch are taken in order of time, then of ``order``.
+    The state store is asked for the window that was open before a batch and the one that is open after it, however many
+    windows lie between.
     """
 
     def __init__(self, rate: int, cadence: float, clock: str = "event"):
@@ -102,33 +106,74 @@ class WindowProcessor(_Cells):
         self.window = handle.getValueState("window", "started long, latest long, size long")
 
     def _end(self, key: Any, started: int, latest: int, size: int, reason: str) -> pd.DataFrame:
-        head = {"started": pd.Timestamp(started, unit="us"), "ended": pd.Timestamp(latest, unit="us"), "reason": reason, "size": float(size)}
+        head = {"started": pd.Timestamp(started, unit="us", tz="UTC"), "ended": pd.Timestamp(latest, unit="us", tz="UTC"), "reason": reason, "size": float(size)}
         out = self._rows(head, key)
         self.weights.clear()
         return out
 
+    @staticmethod
+    def _ordered(rows: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Times and cells of a key's rows in order, twelve bytes a row: cells by their place in the list of names."""
+        place, parts = {OTHER: 0}, []
+        for data in rows:
+            codes, cells = pd.factorize(data["cell"])
+            # a null has the code -1, and so the last entry
+            known = np.array([*(place.setdefault(_stored(c), len(place)) for c in cells), 0], np.int32)
+            parts.append((data["at"].to_numpy(np.int64), data["turn"].to_numpy(np.int64), known[codes]))
+        at, turn, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((turn, at))
+        return at[order], codes[order], list(place)
+
+    def _begins(self, at: np.ndarray, first: int) -> np.ndarray:
+        """Where the windows begin, the first of them at the row ``first``, and each where the one before ends."""
+        n, span, out = len(at), int(self.cadence * 1e6), [first]
+        while True:
+            stop = min(out[-1] + self.rate, n)
+            due = at[out[-1]] + span
+            if at[stop - 1] >= due:
+                stop = int(at.searchsorted(due))
+            if (stop := max(stop, out[-1] + 1)) >= n:
+                return np.array(out)
+            out.append(stop)
+
+    def _ended(self, key: Any, at: np.ndarray, codes: np.ndarray, names: list[str], begins: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The windows that begin and end in one batch, counted without the state store, about ``BLOCK`` rows at a time."""
+        cells, sizes, a = np.array([_cell(c) for c in names], object), np.diff(begins), 0
+        while a < len(sizes):
+            b = max(a + 1, int(begins.searchsorted(begins[a] + BLOCK, "right")) - 1)
+            window = np.repeat(np.arange(a, b), sizes[a:b])
+            pairs, weights = np.unique(window * len(names) + codes[begins[a] : begins[b]], return_counts=True)
+            window, cell = np.divmod(pairs, len(names))
+            times = {c: pd.to_datetime(at[i], unit="us", utc=True) for c, i in (("started", begins[window]), ("ended", begins[window + 1] - 1))}
+            reason = np.where(sizes[window] >= self.rate, "rows", "time").astype(object)
+            yield pd.DataFrame({"key": str(key[0]), **times, "reason": reason, "cell": cells[cell], "weight": weights.astype(float), "size": sizes[window].astype(float)})
+            a = b
+
+    def _keep(self, codes: np.ndarray, names: list[str]) -> None:
+        """Adds the rows of the open window to the state."""
+        self._add({names[c]: int(n) for c, n in enumerate(np.bincount(codes)) if n})
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        data = self._gathered(rows).sort_values(["at", "turn"], kind="stable")
-        at, cells = data["at"].to_numpy(np.int64), data["cell"]
+        at, codes, names = self._ordered(rows)
         if self.clock == "processing":
             at = np.full(len(at), int(timerValues.getCurrentProcessingTimeInMs()) * 1000)
         if self.window.exists():
             started, latest, size = (int(x) for x in self.window.get())
         else:
             started, latest, size = int(at[0]), int(at[0]), 0
-        span, i = int(self.cadence * 1e6), 0
-        before = started
-        while i < len(at):
-            if size and (size >= self.rate or at[i] - started >= span):
+        before, due, first = started, started + int(self.cadence * 1e6), 0
+        if 0 < size < self.rate and at[0] < due:
+            first = max(1, min(self.rate - size, int(at.searchsorted(due))))
+            self._keep(codes[:first], names)
+            size, latest = size + first, max(latest, int(at[first - 1]))
+        if first < len(at):
+            if size:
                 yield self._end(key, started, latest, size, "rows" if size >= self.rate else "time")
-                size = 0
-            if not size:
-                started = latest = int(at[i])
-            stop = min(i + self.rate - size, int(np.searchsorted(at, started + span)))
-            stop = max(stop, i + 1)
-            self._add(_counts(cells.iloc[i:stop]))
-            size += stop - i
-            latest, i = max(latest, int(at[stop - 1])), stop
+            begins = self._begins(at, first)
+            yield from self._ended(key, at, codes, names, begins)
+            last = int(begins[-1])
+            self._keep(codes[last:], names)
+            started, latest, size = int(at[last]), int(at[-1]), len(at) - last
         self.window.update((started, latest, size))
         self._wake(before, started)
 
@@ -198,7 +243,7 @@ def flush_cells(stream: DataFrame, key: str, time: str, rate: int = 1_000_000, c
     by the source's limits. Needs the RocksDB state store.
     """
     at = F.col(time).cast("timestamp")
-    rows = stream.where(at.isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), at.alias("_time"), F.unix_micros(at).alias("at"), (F.col(order) if order else F.lit(0)).cast("long").alias("turn"), "cell")
+    rows = stream.where(at.isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), at.alias("_time"), F.unix_micros(at).alias("at"), (F.coalesce(F.col(order).cast("long"), F.lit(2**63 - 1)) if order else F.lit(0).cast("long")).alias("turn"), "cell")
     if clock not in ("event", "processing"):
         raise ValueError(f"no such clock: {clock}")
     marked, mode = (rows.withWatermark("_time", delay), "EventTime") if clock == "event" else (rows.drop("_time"), "ProcessingTime")

@@ -6,7 +6,9 @@ import random
 import time
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,6 +263,69 @@ def test_windows_end_by_rows_and_by_time(spark, tmp_path, files):
     assert ("silent", at(5), "time", "x", 1.0) in windows_of(out)
 
 
+class Store:
+    """A state store of one key in memory, which counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.value, self.cells, self.timers = 0, None, {}, set()
+
+    def getMapState(self, *_):
+        def update(k, v):
+            self.calls += 1
+            self.cells[k] = v
+
+        def get(k):
+            self.calls += 1
+            return self.cells.get(k)
+
+        return SimpleNamespace(getValue=get, updateValue=update, iterator=lambda: iter(self.cells.items()), clear=self.cells.clear)
+
+    def getValueState(self, *_):
+        return SimpleNamespace(exists=lambda: self.value is not None, get=lambda: self.value, update=lambda v: setattr(self, "value", v), clear=lambda: setattr(self, "value", None))
+
+    def listTimers(self):
+        return iter([(t,) for t in self.timers])
+
+    def deleteTimer(self, t):
+        self.timers.discard(t)
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+
+@pytest.mark.parametrize(("batches", "block", "rate"), [(1, 200_000, 7), (3, 20, 7), (5, 1, 1), (40, 10, 7), (2, 50, 10**6)])
+def test_windows_of_a_batch_do_not_ask_the_state_store(batches, block, rate, monkeypatch):
+    monkeypatch.setattr(keyed, "BLOCK", block, raising=False)
+    rng = random.Random(batches)
+    rows = [(i, "a", m, rng.choice(["x", "y", None])) for i, m in enumerate(sorted(rng.randrange(3000) for _ in range(900)))]
+    micros = lambda m: int((at(m) - datetime(1970, 1, 1)).total_seconds()) * 10**6
+    store, got = Store(), Counter()
+    processor = keyed.WindowProcessor(rate, 45 * 60)
+    processor.init(store)
+
+    def add(frames):
+        for f in frames:
+            got.update((k, s.tz_localize(None).to_pydatetime(), r, None if pd.isna(c) else c, w) for k, s, r, c, w in zip(f["key"], f["started"], f["reason"], f["cell"], f["weight"], strict=True))
+
+    for k in range(batches):
+        part = rows[len(rows) * k // batches : len(rows) * (k + 1) // batches]
+        frame = pd.DataFrame({"at": [micros(m) for _, _, m, _ in part], "turn": [i for i, *_ in part], "cell": pd.Series([c for *_, c in part], dtype=object)}).sample(frac=1, random_state=k)
+        add(processor.handleInputRows(("a",), iter([frame.iloc[:9], frame.iloc[9:]]), None))
+    add(processor.handleExpiredTimer(("a",), None, None))
+    assert got == brute_windows(rows, rate, 45, 10**6)
+    # two windows of three cells a batch at most, read and written
+    assert store.calls <= batches * 2 * 3 * 2
+
+
+def test_rows_without_a_turn_are_the_last_of_their_time(spark, tmp_path):
+    rows = [(None, "a", at(1), "z"), (2**60 + 1, "a", at(1), "y"), (2**60, "a", at(1), "x"), (5, "a", at(500), "x"), (6, "b", at(900), "x")]
+    stream = stream_of(spark, tmp_path / "in", [rows], E_SCHEMA).withColumn("cell", F.col("label"))
+    out = replay(keyed.flush_cells(stream, "key", "t", 1, 60 * 60, "0 seconds", "id"), "w")
+    assert [r.cell for r in sorted(out.where("reason = 'rows'").collect(), key=lambda r: r.cell)] == ["x", "y", "z"]
+    pairs = replay(keyed.flush_cells(stream, "key", "t", 2, 60 * 60, "0 seconds", "id"), "w").where("started = '2024-03-01 00:01:00'")
+    assert {(r.cell, r.reason) for r in pairs.collect()} == {("x", "rows"), ("y", "rows"), ("z", "time")}
+
+
 def test_late_rows_and_the_wall_clock(spark, tmp_path):
     # a row from before a window's first one still counts in it; one behind the watermark does not
     # (Spark drops by the watermark of the batch before)
