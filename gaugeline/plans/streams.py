@@ -244,10 +244,15 @@ def _flushed(spark: SparkSession, sf_dir: str, baseline: CategoricalBaseline) ->
     return cells.withColumn("key", F.col("key").cast("long")).withColumn("started", F.col("started").cast("timestamp_ntz"))
 
 
+def _weights(cells: DataFrame, *by: str) -> DataFrame:
+    """The weights by the windows' starts: windows of a key that begin at one time, as rows of equal times make them, are one in the SQL."""
+    return cells.groupBy(*by).agg(F.sum("weight").alias("weight"))
+
+
 @query("keyed_flush_windows", f"{_WINDOWS} SELECT key, started, reason, cell, weight FROM cells")
 def keyed_flush_windows(spark, sf_dir):
     """Windows of a key that end after sixty rows or twelve hours: the state store's cells of each."""
-    return _flushed(spark, sf_dir, _old_labels(spark, sf_dir)).select("key", "started", "reason", "cell", "weight")
+    return _weights(_flushed(spark, sf_dir, _old_labels(spark, sf_dir)), "key", "started", "reason", "cell")
 
 
 @query(
@@ -304,4 +309,5 @@ def keyed_flush_continuous(spark, sf_dir):
     baseline = ContinuousBaseline.fit(K._when(events, K._EV_OLD), "value", "Sturges")
     rows = keyed.binned(_streamed(spark, sf_dir).withColumn("key", F.col("user_id") % 7), "value", baseline)
     cells = replay(keyed.flush_cells(rows, "key", "ts", _RATE, _CADENCE_H * 3600, "1 hour", "event_id"), "flush")
-    return cells.select(F.col("key").cast("long").alias("key"), F.col("started").cast("timestamp_ntz").alias("started"), F.col("cell").cast("int").alias("bin"), "weight")
+    cells = cells.select(F.col("key").cast("long").alias("key"), F.col("started").cast("timestamp_ntz").alias("started"), F.col("cell").cast("int").alias("bin"), "weight")
+    return _weights(cells, "key", "started", "bin")

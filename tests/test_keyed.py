@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from gaugeline.errors import BaselineError
 from gaugeline.functions.metrics import DATA_BIAS
 from gaugeline.operators import analysis
 from gaugeline.operators.drift import CategoricalBaseline, ContinuousBaseline
+from gaugeline.plans import catalogue
 from gaugeline.streaming import keyed, labels, shared
 from gaugeline.streaming.celllog import CellLog, KeyedMonitor
 from gaugeline.streaming.shared import replay
@@ -326,6 +328,21 @@ def test_rows_without_a_turn_are_the_last_of_their_time(spark, tmp_path):
     assert {(r.cell, r.reason) for r in pairs.collect()} == {("x", "rows"), ("y", "rows"), ("z", "time")}
 
 
+@pytest.mark.parametrize("name", ["keyed_flush_windows", "keyed_flush_drift", "keyed_flush_continuous"])
+def test_windows_that_begin_at_one_time_are_one_as_in_the_sql(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT k * 130 + i AS event_id, TIMESTAMP '2024-01-10' + to_hours(CAST(k AS INTEGER)) AS ts, k % 2 AS user_id,
+      ['view', 'click', 'error'][1 + (k + i // 50) % 3] AS event_type, CAST((k * 7 + i) % 90 AS DOUBLE) AS value FROM range(8) a(k), range(130) b(i) WHERE k < 6 OR i < 90
+      UNION ALL SELECT 5000 + m, TIMESTAMP '2024-01-20' + to_days(CAST(m AS INTEGER)), m % 3, 'view', 5.0 FROM range(6) c(m)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    want = Counter(con.sql(catalogue.ORACLES[name]).select(", ".join(df.columns)).fetchall())
+    assert Counter(tuple(r) for r in df.collect()) == want and max(want.values()) == 1
+    if name == "keyed_flush_windows":
+        # two windows of sixty rows begin with the first of 130 rows of one time
+        assert max(w for *_, w in want) > 60 and {r for _, _, r, _, _ in want} == {"rows", "time"}
+
+
 def test_late_rows_and_the_wall_clock(spark, tmp_path):
     # a row from before a window's first one still counts in it; one behind the watermark does not
     # (Spark drops by the watermark of the batch before)
